@@ -1,0 +1 @@
+"""No streaming operators: the reference behaviour is one-shot batch work only."""
