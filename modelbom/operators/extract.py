@@ -360,7 +360,7 @@ def dedupe_discoveries(hits: DataFrame, bound: int = EVIDENCE_BOUND) -> DataFram
         F.array_sort(F.collect_list(F.struct("at", "evidence"))).alias("items"),
     )
     joined = F.aggregate(
-        F.slice("items", 2, (1 << 31) - 1),
+        F.slice("items", F.lit(2), F.size("items") - 1),
         F.get("items", F.lit(0))["evidence"],
         lambda acc, e: F.when(F.contains(acc, e["evidence"]), acc).otherwise(
             F.concat(acc, F.lit(". "), e["evidence"])

@@ -7,7 +7,7 @@ per-key minimum with a map-side cut; unions keep rows, and no list is built.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelbom.functions.text import identity_ref, nz, tool_key
@@ -193,8 +193,7 @@ def concat_legacy_tools(placed: DataFrame) -> DataFrame:
     return placed.where("legacy")
 
 
-def renumber(rows: DataFrame, order: list[str] = ORDER) -> DataFrame:
-    """Consecutive ``ord`` inside a target, for rows of one document that is about to be
-    written (a document's rows are bounded by the document)."""
-    w = Window.partitionBy("target_id").orderBy(*order)
-    return rows.withColumn("ord", (F.row_number().over(w) - 1).cast("bigint"))
+def ordered(rows: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """``ord`` as the order value of the merged document. It stays a struct: consecutive
+    numbers would need all rows of a target in one task."""
+    return rows.withColumn("ord", F.struct(*order))

@@ -161,9 +161,8 @@ def merge_boms(
     merged = merge.merge_components(placed, deduplicate)
     stats = merge.merge_stats(placed, merged)
     base = placed.where("seq = 0 and is_metadata").withColumn("rank", F.lit(0))
-    rows = merge.renumber(merged).unionByName(base, allowMissingColumns=True)
     # The other BOMs' metadata components are plain components of the merged BOM.
-    components = rows.withColumn("is_metadata", F.col("is_metadata") & (F.col("seq") == 0))
+    components = merge.ordered(merged.unionByName(base)).withColumn("is_metadata", F.col("is_metadata") & (F.col("seq") == 0))
 
     def placed_or_none(rows_, make):
         return None if rows_ is None else make(merge.place(rows_, members))
@@ -172,13 +171,13 @@ def merge_boms(
         return None if df is None else df.withColumn("bom_id", F.col("target_id").cast("string"))
 
     def list_of(rows_):
-        return placed_or_none(rows_, lambda p: merge.renumber(merge.concat_lists(p), ["seq", "ord"]))
+        return placed_or_none(rows_, lambda p: merge.ordered(merge.concat_lists(p), ["seq", "ord"]))
 
     tools = placed_or_none(
         tables.tools, merge.concat_legacy_tools if two_bom_form else merge.merge_tools
     )
     if tools is not None:
-        tools = merge.renumber(tools, ["seq", "legacy", "ord"])
+        tools = merge.ordered(tools, ["seq", "legacy", "ord"])
     services = placed_or_none(
         tables.services, lambda p: merge.merge_services(p, keep_base_repeats=two_bom_form)
     )
@@ -194,7 +193,7 @@ def merge_boms(
         components=as_bom(components),
         dependencies=as_bom(deps),
         tools=as_bom(tools),
-        services=as_bom(None if services is None else merge.renumber(services, ["seq", "ord"])),
+        services=as_bom(None if services is None else merge.ordered(services, ["seq", "ord"])),
         compositions=as_bom(list_of(tables.compositions)),
         external_refs=as_bom(list_of(tables.external_refs)),
     )
