@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -278,11 +279,13 @@ FROM events JOIN p ON p.k = user_id
 """
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
+def register_tables(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
+    """Temporary views of the test tables (only those a SQL text names)."""
     for t in TABLES:
-        path = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(path) or "://" in sf_dir:
-            spark.read.parquet(path).createOrReplaceTempView(t)
+        if sql is None or re.search(rf"\b{t}\b", sql):
+            path = os.path.join(sf_dir, f"{t}.parquet")
+            if os.path.exists(path) or "://" in sf_dir:
+                spark.read.parquet(path).createOrReplaceTempView(t)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -291,7 +294,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Long computed texts pass through ``inline`` so that filters on them are not rewritten into
     filters on the whole text expression, as they would not be on a stored table.
     """
-    register_tables(spark, sf_dir)
+    register_tables(spark, sf_dir, VIEWS[name])
     df = spark.sql(VIEWS[name])
     if name in STORED_LIKE:
         width = spark.sparkContext.defaultParallelism

@@ -1 +1,420 @@
+"""Joins with hub data and assembly: J1-J3, J8, X1, X2, A12, W1, T1, T2, S2-S5, L1, L2."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import fixtures as fx
+from catalog.extract_queries import DISCOVERIES_CTE
+from catalog.fixtures import VIEWS, view, with_views
+from catalog.function_queries import (
+    DATASET_FM, DATASETS_LIST_SQL, LANGUAGE_SQL, LICENSE_SQL, MODEL_FM, _METRICS_SQL, _RES_D, _J, _flat, card_sql,
+    configs_sql, group_sql, normalized_sql, ordered_distinct_sql, purl_sql, refs_sql, string_members_sql,
+    string_or_list_sql,
+)
+from catalog.registry import query
+from catalog.sqltext import lit, nz_sql
+from modelbom.functions import cards
+from modelbom.functions import semistructured as ss
+from modelbom.operators import assemble, extract, security
+from modelbom.operators.common import cap_pages, first_wins, search_models
+from modelbom.plans import inventory
+from modelbom.sources import boms as bomio
+
+# ---- flattened component rows, Spark side -----------------------------------------------
+
+
+def _pairs(arr, a, b):
+    return F.array_join(F.transform(arr, lambda x: F.concat(x[a], F.lit("="), x[b])), "|")
+
+
+def flat_components(c):
+    """Component rows as text columns (what the oracles produce)."""
+    mp, cons, d = F.col("model_card.modelParameters"), F.col("model_card.considerations"), F.get("data", F.lit(0))
+
+    def parties(role):
+        return F.get(d["governance"][role], F.lit(0))["organization"]["name"]
+
+    return c.select(
+        "bom_id", "ord", "type", "name", "group", "purl", "bom_ref",
+        F.col("manufacturer.name").alias("manufacturer"),
+        F.array_join(F.transform("authors", lambda a: a["name"]), "|").alias("authors"),
+        F.get("licenses", F.lit(0))["license"]["name"].alias("license"),
+        _pairs("hashes", "alg", "content").alias("hashes"),
+        _pairs("external_references", "type", "url").alias("refs"),
+        F.array_join("tags", "|").alias("tags"),
+        _pairs("properties", "name", "value").alias("props"),
+        mp["task"].alias("task"), mp["architectureFamily"].alias("family"), mp["modelArchitecture"].alias("arch"),
+        F.array_join(F.transform(mp["datasets"], lambda r: r["ref"]), "|").alias("datasets"),
+        F.array_join(cons["useCases"], "|").alias("use_cases"),
+        F.array_join(cons["technicalLimitations"], "|").alias("limitations"),
+        _pairs(cons["ethicalConsiderations"], "name", "mitigationStrategy").alias("ethics"),
+        _pairs(F.col("model_card.quantitativeAnalysis.performanceMetrics"), "type", "value").alias("metrics"),
+        _pairs(cons["environmentalConsiderations"]["properties"], "name", "value").alias("environment"),
+        d["description"].alias("description"), d["contents"]["attachment"]["content"].alias("attachment"),
+        F.array_join(d["sensitiveData"], "|").alias("sensitive"), d["classification"].alias("classification"),
+        parties("custodians").alias("custodian"), parties("stewards").alias("steward"), parties("owners").alias("owner"),
+    )
+
+
+MODEL_COLUMNS = (
+    "bom_id ord type name group purl bom_ref manufacturer license hashes refs tags props task family arch datasets "
+    "use_cases limitations ethics metrics environment"
+).split()
+DATASET_COLUMNS = (
+    "bom_id ord type name group purl bom_ref manufacturer authors license hashes refs tags props description attachment "
+    "sensitive classification custodian steward owner"
+).split()
+
+# ---- the same rows in SQL ---------------------------------------------------------------
+
+# Cards of models (by the model's pk) and of datasets (by document id).
+_MODEL_CARDS = f"""{card_sql(cards.MODEL_SECTIONS, cards.MODEL_BULLETS, MODEL_FM)},
+model_cards AS (SELECT m.id AS card_id, c.* EXCLUDE (doc_id) FROM card c JOIN hub_models m ON m.pk = c.doc_id)"""
+_SEC = """sec AS (SELECT repo_id, CASE WHEN count_if(lower(status) = 'unsafe') > 0 THEN 'unsafe'
+    WHEN count_if(lower(status) = 'caution') > 0 THEN 'caution' ELSE 'safe' END AS overall, count(status) AS scanned,
+    count_if(lower(status) = 'unsafe') AS n_unsafe, count_if(lower(status) = 'caution') AS n_caution
+  FROM security_flat WHERE kind = 'model' AND page < 10 GROUP BY repo_id)"""
+_API = """api AS (SELECT id AS api_id, * EXCLUDE (id, api_status) FROM hub_models WHERE api_status = 200)"""
+
+
+def joined_cte(base: str) -> str:
+    """base(id, scan_name, scan_type, scan_path, evidence) -> j, every source side by side."""
+    return f"""{_MODEL_CARDS}, {_SEC}, {_API},
+base AS ({base}),
+j AS (SELECT coalesce({nz_sql('b.id')}, {nz_sql('b.scan_name')}) AS mid, b.scan_name, b.scan_type, b.scan_path, b.evidence,
+        a.*, c.*, s.* EXCLUDE (repo_id)
+      FROM base b LEFT JOIN api a ON a.api_id = coalesce({nz_sql('b.id')}, {nz_sql('b.scan_name')})
+      LEFT JOIN model_cards c ON c.card_id = coalesce({nz_sql('b.id')}, {nz_sql('b.scan_name')})
+      LEFT JOIN sec s ON s.repo_id = coalesce({nz_sql('b.id')}, {nz_sql('b.scan_name')}))"""
+
+
+def _prop(name: str, value: str) -> str:
+    return f"'{name}=' || {value}"
+
+
+_IDX = f"CASE WHEN card_id IS NOT NULL THEN coalesce({_METRICS_SQL}, []) ELSE [] END"
+_EXTRA = (
+    f"list_transform(list_filter(coalesce(string_split(metrics, '|'), []), lambda n: NOT list_contains(list_transform({_IDX}, "
+    "lambda x: split_part(x, '=', 1)), n)), lambda n: n || '=')"
+)
+_NORMAL_TAGS = f"nullif({normalized_sql(chr(115) + 'tring_split(tags_csv, ' + lit(',') + ')')}, [])"
+X1_SQL = f"""SELECT mid AS bom_id, CAST(0 AS BIGINT) AS ord, 'machine-learning-model' AS type, name_ AS name, "group", purl, purl AS bom_ref,
+  manufacturer, license_ AS license, hashes, refs, tags_ AS tags, props, task, family, arch, datasets_ AS datasets, use_cases, limitations,
+  ethics, metrics_ AS metrics, environment
+FROM (SELECT *, {purl_sql("'machine-learning-model'", "name_", "sha")} AS purl FROM (SELECT mid,
+  coalesce({nz_sql('scan_name')}, {nz_sql('api_id')}, {nz_sql('model_id')}, {nz_sql('mid')}, 'model') AS name_,
+  coalesce({group_sql('model_id', 'api_id', 'mid')}, {nz_sql('author')}, developed_by) AS "group", sha,
+  coalesce({nz_sql('author')}, developed_by) AS manufacturer, coalesce({LICENSE_SQL}, license) AS license_,
+  'SHA-1=' || {nz_sql('sha')} AS hashes, {refs_sql('mid', 'paper_url', 'demo_url', 'https://huggingface.co/')} AS refs,
+  coalesce(array_to_string({_NORMAL_TAGS}, '|'), tags) AS tags_,
+  concat_ws('|', {_prop('aibomgen.type', nz_sql('scan_type'))}, {_prop('aibomgen.evidence', nz_sql('evidence'))},
+    {_prop('aibomgen.path', nz_sql('scan_path'))}, {_prop('huggingface:lastModified', nz_sql('last_modified'))},
+    {_prop('huggingface:createdAt', nz_sql('created_at'))}, {_prop('huggingface:language', LANGUAGE_SQL)},
+    {_prop('huggingface:usedStorage', 'CASE WHEN used_storage > 0 THEN CAST(used_storage AS VARCHAR) END')},
+    {_prop('huggingface:private', 'CAST(private AS VARCHAR)')}, {_prop('huggingface:libraryName', nz_sql('library_name'))},
+    {_prop('huggingface:downloads', 'CASE WHEN downloads > 0 THEN CAST(downloads AS VARCHAR) END')},
+    {_prop('huggingface:likes', 'CASE WHEN likes > 0 THEN CAST(likes AS VARCHAR) END')},
+    {_prop('huggingface:baseModel', 'base_model')}, {_prop('huggingface:modelCardContact', 'model_card_contact')},
+    {_prop('huggingface:security:overallStatus', 'overall')}, {_prop('huggingface:security:scannedFileCount', 'CAST(scanned AS VARCHAR)')},
+    {_prop('huggingface:security:unsafeFileCount', 'CAST(n_unsafe AS VARCHAR)')},
+    {_prop('huggingface:security:cautionFileCount', 'CAST(n_caution AS VARCHAR)')}) AS props,
+  coalesce({nz_sql('pipeline_tag')}, CASE WHEN card_id IS NOT NULL THEN {nz_sql(f"json_extract_string({_J}, '{_RES_D}.task.type')")} END) AS task,
+  {nz_sql('model_type')} AS family, {nz_sql("string_split(architectures_csv, ',')[1]")} AS arch,
+  coalesce(CASE WHEN api_id IS NOT NULL THEN nullif(array_to_string({DATASETS_LIST_SQL}, '|'), '') END,
+    array_to_string(list_transform(string_split(datasets, '|'), lambda d: CASE WHEN starts_with(d, 'dataset:') THEN d ELSE 'dataset:' || d END), '|')) AS datasets_,
+  nullif(concat_ws('|', direct_use, 'out-of-scope: ' || out_of_scope_use), '') AS use_cases,
+  bias_risks_limitations AS limitations,
+  CASE WHEN bias_risks_limitations IS NOT NULL OR bias_recommendations IS NOT NULL
+    THEN coalesce(bias_risks_limitations, 'bias_risks_limitations') || '=' || coalesce(bias_recommendations, '') END AS ethics,
+  coalesce(nullif(array_to_string(list_concat({_IDX}, {_EXTRA}), '|'), ''), CASE WHEN testing_metrics IS NOT NULL OR results IS NOT NULL
+    THEN coalesce(testing_metrics, 'testing_metrics') || '=' || coalesce(results, '') END) AS metrics_,
+  nullif(concat_ws('|', 'hardwareType=' || hardware_type, 'hoursUsed=' || hours_used, 'cloudProvider=' || cloud_provider,
+    'computeRegion=' || compute_region, 'carbonEmitted=' || carbon_emitted), '') AS environment
+  FROM j))"""
+
+_DS_IDS = ordered_distinct_sql(
+    f"list_transform(list_concat(coalesce({string_or_list_sql('$.datasets')}, []), coalesce(string_split(datasets, '|'), [])), "
+    f"lambda d: {nz_sql('d')})"
+)
+# Card fields of datasets get their own names: their CTEs run over the same cards.
+_DS_CARD_FIELDS = ["license", "tags", "annotation_creators", *cards.DATASET_SECTIONS, *cards.DATASET_BULLETS]
+_DCARD = card_sql(cards.DATASET_SECTIONS, cards.DATASET_BULLETS, DATASET_FM).rsplit("card AS (", 1)[1]
+DATASET_ROWS = f"""dcard AS ({_DCARD},
+ds_ids AS (SELECT mid AS bom_id, {_DS_IDS} AS ids FROM j),
+ds_refs AS (SELECT bom_id, unnest(range(0, len(ids))) AS ord, unnest(ids) AS dataset_id FROM ds_ids),
+dj AS (SELECT r.bom_id, r.ord, r.dataset_id, d.author, d.sha, d.description, d.last_modified, d.created_at, d.used_storage, d.tags_csv, d.card_json,
+         {', '.join(f'k.{f} AS c_{f}' for f in _DS_CARD_FIELDS)}, k.doc_id AS card_id
+       FROM ds_refs r JOIN hub_datasets d ON d.id = r.dataset_id
+       LEFT JOIN dcard k ON concat('ds-org/', CAST(k.doc_id AS VARCHAR)) = r.dataset_id)"""
+
+_CONFIG_LINES = (
+    "array_to_string(flatten(list_transform(" + configs_sql() + ", lambda c: list_transform(list_filter(string_split(substr(c, strpos(c, '>') + 1), ';'), "
+    "lambda f: f <> ''), lambda f: 'config:' || left(c, strpos(c, '>') - 1) || ' split:' || split_part(f, ':', 1) || ' path:' || split_part(f, ':', 2)))), chr(10))"
+)
+X2_SQL = f"""SELECT bom_id, ord, 'data' AS type, dataset_id AS name, {group_sql('dataset_id')} AS "group", {purl_sql("'data'", "dataset_id", "sha")} AS purl,
+  {purl_sql("'data'", "dataset_id", "sha")} AS bom_ref, coalesce({nz_sql('author')}, {nz_sql("string_split(c_annotation_creators, '|')[1]")}) AS manufacturer,
+  nullif(concat_ws('|', {nz_sql('author')}, c_annotation_creators), '') AS authors,
+  coalesce(c_license, {nz_sql(f"json_extract_string({_J}, '$.license')")}) AS license, 'SHA-1=' || {nz_sql('sha')} AS hashes,
+  {refs_sql('dataset_id', 'c_paper_url', 'c_demo_url', 'https://huggingface.co/datasets/')} AS refs,
+  nullif(concat_ws('|', coalesce(array_to_string({_NORMAL_TAGS}, '|'), c_tags), 'lastModified:' || {nz_sql('last_modified')}), '') AS tags,
+  nullif(concat_ws('|', {_prop('huggingface:createdAt', nz_sql('created_at'))},
+    {_prop('huggingface:usedStorage', 'CASE WHEN used_storage > 0 THEN CAST(used_storage AS VARCHAR) END')},
+    {_prop('huggingface:datasetContact', 'c_dataset_card_contact')}), '') AS props,
+  coalesce(c_dataset_description, {nz_sql('description')}) AS description,
+  CASE WHEN card_id IS NOT NULL THEN nullif({_CONFIG_LINES}, '') END AS attachment,
+  nullif(concat_ws('|', array_to_string({string_members_sql('$.tags')}, '|'), 'out-of-scope: ' || c_out_of_scope_use,
+    'personal-info: ' || c_personal_sensitive_info, 'bias-risks: ' || c_bias_risks_limitations), '') AS sensitive,
+  CASE WHEN json_type({_J}, '$.task_categories') = 'ARRAY' AND json_type({_J}, '$.task_categories[0]') = 'VARCHAR'
+    THEN {nz_sql(f"json_extract_string({_J}, '$.task_categories[0]')")} END AS classification,
+  coalesce({nz_sql('author')}, c_shared_by, c_curated_by) AS custodian, c_curated_by AS steward, c_funded_by AS owner
+FROM dj"""
+
+_MODEL_VIEWS = ("hub_models", "cards", "security_flat")
+_FROM_HUB = """SELECT id, CASE WHEN pk % 6 = 0 THEN ' ' ELSE concat(id, CASE WHEN pk % 5 = 0 THEN ' ' ELSE '' END) END AS scan_name,
+  'model' AS scan_type, concat('/src/', id) AS scan_path, CASE WHEN pk % 4 <> 0 THEN concat('seen ', id) END AS evidence FROM hub_models"""
+
+
+# ---- Spark side sources -----------------------------------------------------------------
+
+
+def hub(spark, sf_dir) -> inventory.Hub:
+    """Fixture hub: only models that answered 200 have metadata."""
+    every = fx.hub_models(spark, sf_dir)
+    text = view(spark, sf_dir, "cards")
+    model_cards = cards.model_card(text).join(every.select("id", "pk"), F.col("doc_id") == F.col("pk"))
+    dataset_cards = cards.dataset_card(
+        text.withColumn("id", F.concat(F.lit("ds-org/"), F.col("doc_id").cast("string")))
+    )
+    return inventory.Hub(
+        models=every.where("api_status = 200"),
+        datasets=fx.hub_datasets(spark, sf_dir),
+        model_cards=model_cards,
+        dataset_cards=dataset_cards,
+        security=fx.security_entries(spark, sf_dir),
+        status=every.select("id", F.col("api_status").alias("status")),
+    )
+
+
+def hub_discoveries(spark, sf_dir):
+    rows = view(spark, sf_dir, "hub_models").selectExpr("*")
+    rows.createOrReplaceTempView("hub_models")
+    return spark.sql(_FROM_HUB).selectExpr(
+        "id", "scan_name AS name", "scan_type AS type", "scan_path AS path", "evidence", "CAST(NULL AS STRING) AS method"
+    )
+
+
+def attached(spark, sf_dir):
+    h = hub(spark, sf_dir)
+    entries = cap_pages(h.security).where("kind = 'model'")
+    summary = security.security_summary(entries, ("repo_id",)).withColumnRenamed("repo_id", "id")
+    return h, assemble.attach_metadata(hub_discoveries(spark, sf_dir), h.models, h.model_cards, summary)
+
+
+@query(
+    "J1_attach_metadata",
+    with_views(*_MODEL_VIEWS)
+    + f", {joined_cte(_FROM_HUB)} SELECT mid AS bom_id, sha, downloads, license AS card_license, model_card_contact, overall, scanned FROM j",
+)
+def j1(spark, sf_dir):
+    _, rows = attached(spark, sf_dir)
+    return rows.select(
+        "bom_id", "api.sha", "api.downloads", F.col("card.license").alias("card_license"), "card.model_card_contact",
+        "sec.overall", "sec.scanned",
+    )
+
+
+@query(
+    "J2_drop_unreachable",
+    with_views("src_files", "hub_models")
+    + f", {DISCOVERIES_CTE} SELECT id, path, method FROM discoveries WHERE id NOT IN (SELECT id FROM hub_models WHERE api_status IN (401, 403, 404))",
+)
+def j2(spark, sf_dir):
+    found = extract.scan_references(view(spark, sf_dir, "src_files"))
+    status = view(spark, sf_dir, "hub_models").select("id", F.col("api_status").alias("status"))
+    return assemble.drop_unreachable(found, status).select("id", "path", "method")
+
+
+@query(
+    "J3_attach_datasets",
+    with_views(*_MODEL_VIEWS, "hub_datasets")
+    + f", {joined_cte(_FROM_HUB)}, {DATASET_ROWS} SELECT bom_id, ord, dataset_id, sha, c_license AS card_license, c_curated_by AS curated_by FROM dj",
+)
+def j3(spark, sf_dir):
+    h, rows = attached(spark, sf_dir)
+    data = assemble.attach_datasets(assemble.model_dataset_refs(rows), h.datasets, h.dataset_cards)
+    return data.select(
+        "bom_id", "ord", "dataset_id", "api.sha", F.col("card.license").alias("card_license"), "card.curated_by"
+    )
+
+
+@query("X1_assemble_models", with_views(*_MODEL_VIEWS) + f", {joined_cte(_FROM_HUB)} {X1_SQL}")
+def x1(spark, sf_dir):
+    _, rows = attached(spark, sf_dir)
+    return flat_components(assemble.assemble_models(rows)).select(*MODEL_COLUMNS)
+
+
+@query(
+    "X2_assemble_datasets",
+    with_views(*_MODEL_VIEWS, "hub_datasets") + f", {joined_cte(_FROM_HUB)}, {DATASET_ROWS} {X2_SQL}",
+)
+def x2(spark, sf_dir):
+    h, rows = attached(spark, sf_dir)
+    data = assemble.attach_datasets(assemble.model_dataset_refs(rows), h.datasets, h.dataset_cards)
+    return flat_components(assemble.assemble_datasets(data)).select(*DATASET_COLUMNS)
+
+
+_DEPENDENCIES = """m AS (SELECT bom_id, bom_ref FROM {c} WHERE is_metadata AND coalesce(bom_ref, '') <> ''),
+d AS (SELECT bom_id, ord, bom_ref FROM {c} WHERE NOT is_metadata AND type = 'data' AND coalesce(bom_ref, '') <> '')
+SELECT m.bom_id, CAST(0 AS BIGINT) AS ord, m.bom_ref AS ref, d.ord AS pos, d.bom_ref AS depends_on FROM m LEFT JOIN d USING (bom_id)
+UNION ALL SELECT bom_id, d.ord + 1, d.bom_ref, NULL, NULL FROM m JOIN d USING (bom_id)"""
+
+
+@query("J8_dependency_edges", with_views("comp_flat") + ", " + _DEPENDENCIES.replace("{c}", "comp_flat"))
+def j8(spark, sf_dir):
+    return assemble.dependency_edges(fx.components(spark, sf_dir))
+
+
+_BASE_SCAN = """SELECT id, name AS scan_name, type AS scan_type, path AS scan_path, evidence FROM discoveries
+  WHERE id NOT IN (SELECT id FROM hub_models WHERE api_status IN (401, 403, 404))"""
+_L_COLUMNS = "bom_id, ord, type, name, \"group\", bom_ref, license, hashes, refs, tags, props"
+
+
+def _generated(base: str) -> str:
+    return (
+        f"{joined_cte(base)}, {DATASET_ROWS}, models AS ({X1_SQL}), datas AS ({X2_SQL}) "
+        f"SELECT {_L_COLUMNS}, true AS is_metadata FROM models UNION ALL SELECT {_L_COLUMNS}, false FROM datas"
+    )
+
+
+def _generated_columns(tables):
+    flat = flat_components(tables.components)
+    keys = [c.strip('"') for c in _L_COLUMNS.split(", ")]
+    return flat.select(*keys).withColumn("is_metadata", F.col("type") == "machine-learning-model").withColumn(
+        "props", F.when(F.col("is_metadata"), F.coalesce("props", F.lit(""))).otherwise(F.col("props"))
+    )
+
+
+@query(
+    "L1_scan_and_generate",
+    with_views("src_files", *_MODEL_VIEWS, "hub_datasets") + f", {DISCOVERIES_CTE}, {_generated(_BASE_SCAN)}",
+)
+def l1(spark, sf_dir):
+    tables = inventory.scan_and_generate(view(spark, sf_dir, "src_files"), hub(spark, sf_dir))
+    return _generated_columns(tables)
+
+
+_IDS_TABLE = "SELECT id FROM hub_models UNION ALL SELECT concat(' ', c_name, chr(9)) FROM customer UNION ALL SELECT '  ' FROM region"
+_BASE_IDS = f"""SELECT DISTINCT {nz_sql('id')} AS id, {nz_sql('id')} AS scan_name, 'huggingface' AS scan_type, '' AS scan_path,
+  concat('from model-id: ', {nz_sql('id')}) AS evidence FROM ({_IDS_TABLE}) WHERE {nz_sql('id')} IS NOT NULL
+  AND {nz_sql('id')} NOT IN (SELECT id FROM hub_models WHERE api_status IN (401, 403, 404))"""
+
+
+@query(
+    "L2_generate_from_ids",
+    with_views(*_MODEL_VIEWS, "hub_datasets") + f", {_generated(_BASE_IDS)}",
+)
+def l2(spark, sf_dir):
+    fx.register_tables(spark, sf_dir, "customer region")
+    view(spark, sf_dir, "hub_models").createOrReplaceTempView("hub_models")
+    return _generated_columns(inventory.generate_from_ids(spark.sql(_IDS_TABLE), hub(spark, sf_dir)))
+
+
+@query(
+    "L1_vulnerabilities",
+    with_views(*_MODEL_VIEWS, "hub_datasets")
+    + f""", {joined_cte(_BASE_IDS)}, gate AS (SELECT DISTINCT repo_id FROM security_flat WHERE kind = 'model' AND page < 10 AND lower(status) IN ('unsafe', 'caution'))
+    SELECT mid AS bom_id, count(*) AS files FROM j JOIN gate ON gate.repo_id = mid JOIN security_flat s ON s.repo_id = mid AND s.kind = 'model' AND s.page < 10
+    WHERE lower(s.status) NOT IN ('safe', 'unscanned', '') GROUP BY mid""",
+)
+def l1_vulnerabilities(spark, sf_dir):
+    fx.register_tables(spark, sf_dir, "customer region")
+    view(spark, sf_dir, "hub_models").createOrReplaceTempView("hub_models")
+    tables = inventory.generate_from_ids(spark.sql(_IDS_TABLE), hub(spark, sf_dir))
+    return tables.vulnerabilities.groupBy("bom_id").agg(F.count("*").alias("files"))
+
+
+@query(
+    "A12_fetch_outcomes",
+    with_views("fetch_log")
+    + """, o AS (SELECT id, min(seq) FILTER (WHERE stage = 'api' AND status = 200) AS ok_seq FROM fetch_log GROUP BY id),
+    r AS (SELECT l.*, ok_seq, status >= 400 AND stage <> 'complete' AS failed FROM fetch_log l JOIN o USING (id)),
+    q AS (SELECT *, failed AND (status = 404 OR (status IN (401, 403) AND (ok_seq IS NULL OR seq < ok_seq))) AS missing FROM r),
+    g AS (SELECT id, max(ok_seq) IS NOT NULL AS api_ok, bool_or(missing) AS nf, bool_or(stage = 'complete') AS done,
+      arg_min(status, seq) FILTER (WHERE failed AND NOT missing) AS err FROM q GROUP BY id)
+    SELECT id, CASE WHEN nf AND NOT api_ok THEN 'not found' WHEN NOT done THEN 'incomplete' WHEN err IN (401, 403) THEN 'unauthorised'
+      WHEN err IS NOT NULL THEN 'failed' WHEN api_ok AND nf THEN 'no readme' ELSE 'ok' END AS outcome FROM g""",
+)
+def a12(spark, sf_dir):
+    return security.fetch_outcomes(view(spark, sf_dir, "fetch_log"))
+
+
+@query(
+    "A12_dataset_outcome",
+    with_views("hub_models")
+    + " SELECT id, CASE WHEN api_status = 200 THEN 'ok' WHEN api_status IN (401, 403, 404) THEN 'not found' ELSE 'failed' END AS outcome FROM hub_models",
+)
+def a12_dataset(spark, sf_dir):
+    m = view(spark, sf_dir, "hub_models")
+    return m.select("id", security.dataset_outcome("api_status").alias("outcome"))
+
+
+@query(
+    "W1_first_wins",
+    with_views("services")
+    + """ SELECT bom_ref, ord, name FROM (SELECT *, row_number() OVER (PARTITION BY bom_ref, CASE WHEN coalesce(bom_ref, '') = '' THEN ord END ORDER BY ord) AS rn
+      FROM services) WHERE rn = 1""",
+)
+def w1(spark, sf_dir):
+    s = view(spark, sf_dir, "services")
+    return first_wins(s, ["bom_ref"], ["ord"], blank_key="bom_ref").select("bom_ref", "ord", "name")
+
+
+@query(
+    "T1_search_models",
+    with_views("hub_models")
+    + " SELECT id, downloads, likes FROM hub_models WHERE contains(lower(id), 'ring') ORDER BY downloads DESC, id LIMIT 20",
+)
+def t1(spark, sf_dir):
+    return search_models(view(spark, sf_dir, "hub_models"), "Ring").select("id", "downloads", "likes")
+
+
+@query("T2_cap_pages", with_views("security_flat") + " SELECT kind, repo_id, page, path FROM security_flat WHERE page < 10")
+def t2(spark, sf_dir):
+    return cap_pages(fx.security_entries(spark, sf_dir)).select("kind", "repo_id", "page", "path")
+
+
+# ---- documents --------------------------------------------------------------------------
+
+
+def small_boms(spark, sf_dir) -> bomio.BomTables:
+    """Component rows regrouped into many small BOMs."""
+    c = fx.components(spark, sf_dir).withColumn(
+        "bom_id", F.concat("type", F.lit("-"), F.floor(F.col("k") / 10).cast("string"))
+    ).withColumn("is_metadata", F.col("is_metadata") & (F.col("k") % 10 == 0)).drop("k")
+    rows = c.groupBy("bom_id").agg(F.max("version").alias("version"))
+    boms = rows.select(
+        "bom_id", F.lit("1.6").alias("spec_version"), F.lit("CycloneDX").alias("bom_format"), F.col("bom_id").alias("serial_number"),
+        F.lit(1).cast("bigint").alias("version"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+    )
+    return bomio.BomTables(boms=boms, components=c)
+
+
+@query(
+    "S2_S3_document_round_trip",
+    with_views("comp_flat")
+    + """, s AS (SELECT *, concat(type, '-', CAST(CAST(floor(k / 10) AS BIGINT) AS VARCHAR)) AS doc, is_metadata AND k % 10 = 0 AS meta FROM comp_flat)
+    SELECT doc AS bom_id, meta AS is_metadata, bom_ref, type, name, purl, license, replace(tags_csv, ',', '|') AS tags,
+      nullif(props_csv, '') AS props, CASE WHEN is_metadata AND has_card THEN task END AS task,
+      CASE WHEN NOT is_metadata AND has_card THEN classification END AS classification FROM s""",
+)
+def s2_s3(spark, sf_dir):
+    docs = bomio.documents(small_boms(spark, sf_dir))
+    text = docs.select("bom_id", bomio.document_json(docs).alias("value"))
+    back = bomio.tables_from_documents(bomio.documents_from_json(text))
+    return back.components.select(
+        "bom_id", "is_metadata", "bom_ref", "type", "name", "purl",
+        F.get("licenses", F.lit(0))["license"]["name"].alias("license"), F.array_join("tags", "|").alias("tags"),
+        _pairs("properties", "name", "value").alias("props"), F.col("model_card.modelParameters.task").alias("task"),
+        F.get("data", F.lit(0))["classification"].alias("classification"),
+    )

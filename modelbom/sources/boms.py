@@ -272,88 +272,126 @@ def _attach(rows: DataFrame, kids: DataFrame | None) -> DataFrame:
     return joined.withColumn("c", _document_struct([F.col("kids").alias("components")])).drop("kids", "_ref")
 
 
-def _listed(rows: DataFrame, name: str, entry: Column) -> DataFrame:
-    """All entries of a document as one array in order (bounded by the document)."""
-    return rows.groupBy("bom_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", entry.alias("e")))), lambda x: x["e"]).alias(name)
+DOCUMENT_BOUND = 50_000
+
+
+def _listed(rows: DataFrame, name: str, entry: Column, bound: int) -> DataFrame:
+    """(bom_id, part, list in order). The entries of a BOM are counted first; more than
+    ``bound`` of them are spread over several parts, so no group grows with the data."""
+    sizes = rows.groupBy("bom_id").agg(F.ceil(F.count("*") / bound).alias("_parts"))
+    placed = rows.select("bom_id", "ord", entry.alias("e")).join(sizes, "bom_id")
+    part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("ord", F.to_json(F.struct("e"))), F.col("_parts")))
+    return placed.groupBy("bom_id", F.coalesce(part, F.lit(0)).cast("bigint").alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x["e"]).alias(name)
+    )
+
+
+def _tool_entries(tools: DataFrame) -> tuple[DataFrame, Column]:
+    maker = F.coalesce("manufacturer", "vendor")
+    entry = F.struct(
+        F.coalesce("type", F.lit("application")).alias("type"), "name", "version",
+        F.when(maker.isNotNull(), F.struct(maker.alias("name"))).alias("manufacturer"),
+    )
+    return tools, entry
+
+
+def _dependency_entries(edges: DataFrame, bound: int) -> tuple[DataFrame, Column]:
+    """Edges -> one row per (ref, piece of its list)."""
+    keys = ["bom_id", "ord", "ref"]
+    sizes = edges.groupBy(*keys).agg(F.ceil(F.count("*") / bound).alias("_parts"))
+    piece = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("depends_on"), F.col("_parts")))
+    lists = (
+        edges.join(sizes, keys)
+        .groupBy(*keys, F.coalesce(piece, F.lit(0)).alias("piece"))
+        .agg(
+            F.transform(
+                F.array_sort(
+                    F.collect_list(F.when(F.col("depends_on").isNotNull(), F.struct("pos", "depends_on")))
+                ),
+                lambda e: e["depends_on"],
+            ).alias("deps")
+        )
     )
+    return lists, F.struct("ref", F.when(F.size("deps") > 0, F.col("deps")).alias("dependsOn"))
 
 
-def documents(tables: BomTables, spec: str | None = None) -> DataFrame:
-    """Tables -> one row per BOM with the document's top-level fields, ready for JSON."""
+def _vulnerability_entries(rows: DataFrame) -> tuple[DataFrame, Column]:
+    v = rows if "ord" in rows.columns else rows.withColumn("ord", F.struct("bom_ref"))
+    ratings = F.transform(
+        "ratings",
+        lambda r: F.struct(
+            F.struct(r["source"].alias("name")).alias("source"), r["severity"].alias("severity"),
+            r["method"].alias("method"),
+        ),
+    )
+    entry = F.struct(
+        F.col("bom_ref").alias("bom-ref"),
+        F.struct(F.col("source_name").alias("name"), F.col("source_url").alias("url")).alias("source"),
+        "description", ratings.alias("ratings"), "advisories",
+        F.array(F.struct(F.col("affects").alias("ref"))).alias("affects"),
+    )
+    return v, entry
+
+
+def documents(tables: BomTables, spec: str | None = None, bound: int = DOCUMENT_BOUND) -> DataFrame:
+    """Tables -> one row per BOM with the document's top-level fields, ready for JSON.
+
+    A BOM with more than ``bound`` entries in a list becomes several documents (``part`` 0, 1,
+    ...) with the same serial number; together they hold every entry.
+    """
     nested = tables.nested_components
     comps = _with_children(
         spec_downgrade(tables.components, spec), None if nested is None else spec_downgrade(nested, spec)
     )
-    meta = comps.where("is_metadata").select("bom_id", F.col("c").alias("_component"))
-    out = tables.boms.join(meta, "bom_id", "left")
-    out = out.join(_listed(comps.where("not is_metadata"), "components", F.col("c")), "bom_id", "left")
-    tool_part = F.lit(None).cast(_TOOLS_TYPE)
+    lists: dict[str, tuple[DataFrame, Column]] = {
+        "components": (comps.where("not is_metadata"), F.col("c"))
+    }
     if tables.tools is not None:
-        tools = tables.tools.select(
-            "bom_id", "ord",
-            F.struct(
-                F.coalesce("type", F.lit("application")).alias("type"), "name", "version",
-                F.when(
-                    F.coalesce("manufacturer", "vendor").isNotNull(),
-                    F.struct(F.coalesce("manufacturer", "vendor").alias("name")),
-                ).alias("manufacturer"),
-            ).alias("t"),
-        )
-        out = out.join(_listed(tools, "_tools", F.col("t")), "bom_id", "left")
-        tool_part = F.when(F.col("_tools").isNotNull(), F.struct(F.col("_tools").alias("components")))
+        lists["_tools"] = _tool_entries(tables.tools)
     if tables.dependencies is not None:
-        per_ref = tables.dependencies.groupBy("bom_id", "ord", "ref").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("depends_on").isNotNull(), F.struct("pos", "depends_on")))),
-                lambda e: e["depends_on"],
-            ).alias("deps")
-        )
-        entry = F.struct("ref", F.when(F.size("deps") > 0, F.col("deps")).alias("dependsOn"))
-        out = out.join(_listed(per_ref, "dependencies", entry), "bom_id", "left")
+        lists["dependencies"] = _dependency_entries(tables.dependencies, bound)
     if tables.services is not None:
-        entry = F.struct(F.col("bom_ref").alias("bom-ref"), "name", "version")
-        out = out.join(_listed(tables.services, "services", entry), "bom_id", "left")
+        lists["services"] = (tables.services, F.struct(F.col("bom_ref").alias("bom-ref"), "name", "version"))
     if tables.compositions is not None:
-        out = out.join(
-            _listed(tables.compositions, "compositions", F.struct("aggregate", "assemblies")), "bom_id", "left"
-        )
+        lists["compositions"] = (tables.compositions, F.struct("aggregate", "assemblies"))
     if tables.external_refs is not None:
-        out = out.join(
-            _listed(tables.external_refs, "externalReferences", F.struct("type", "url")), "bom_id", "left"
-        )
+        lists["externalReferences"] = (tables.external_refs, F.struct("type", "url"))
     if tables.vulnerabilities is not None:
-        v = tables.vulnerabilities
-        if "ord" not in v.columns:
-            v = v.withColumn("ord", F.struct("bom_ref"))
-        ratings = F.transform(
-            "ratings",
-            lambda r: F.struct(F.struct(r["source"].alias("name")).alias("source"), r["severity"].alias("severity"), r["method"].alias("method")),
-        )
-        entry = F.struct(
-            F.col("bom_ref").alias("bom-ref"),
-            F.struct(F.col("source_name").alias("name"), F.col("source_url").alias("url")).alias("source"),
-            "description", ratings.alias("ratings"), "advisories",
-            F.array(F.struct(F.col("affects").alias("ref"))).alias("affects"),
-        )
-        out = out.join(_listed(v, "vulnerabilities", entry), "bom_id", "left")
-    rest = [
-        c for c in ("components", "dependencies", "services", "compositions", "externalReferences", "vulnerabilities")
-        if c in out.columns
-    ]
+        lists["vulnerabilities"] = _vulnerability_entries(tables.vulnerabilities)
+    body = tables.boms.select("bom_id", F.lit(0).cast("bigint").alias("part"))
+    for name, (rows, entry) in lists.items():
+        body = body.join(_listed(rows, name, entry, bound), ["bom_id", "part"], "full")
+    meta = comps.where("is_metadata").select("bom_id", F.col("c").alias("_component"))
+    out = body.join(tables.boms, "bom_id").join(meta, "bom_id", "left")
+    tool_part = F.lit(None).cast(_TOOLS_TYPE)
+    if "_tools" in lists:
+        tool_part = F.when(F.col("_tools").isNotNull(), F.struct(F.col("_tools").alias("components")))
     version = F.lit(spec) if spec else F.coalesce("spec_version", F.lit("1.6"))
     return out.select(
         "bom_id",
+        "part",
         F.col("_component.name").alias("_name"),
         F.coalesce("bom_format", F.lit("CycloneDX")).alias("bomFormat"),
         version.alias("specVersion"),
         F.col("serial_number").alias("serialNumber"),
         F.coalesce("version", F.lit(1).cast("bigint")).alias("version"),
         F.struct("timestamp", tool_part.alias("tools"), F.col("_component").alias("component")).alias("metadata"),
-        *rest,
+        *[n for n in lists if n != "_tools"],
     )
 
 
+def documents_from_json(texts: DataFrame, ident: str = "bom_id", value: str = "value") -> DataFrame:
+    """JSON document texts in a column -> document rows for ``tables_from_documents``."""
+    return texts.select(ident, F.from_json(value, bom_schema()).alias("d")).select(
+        F.col(ident).alias("bom_id"), "d.*"
+    )
+
+
+def document_json(docs: DataFrame, pretty: bool = False) -> Column:
+    body = [c for c in docs.columns if c not in ("bom_id", "part", "_name")]
+    return F.to_json(F.struct(*body), {"pretty": "true"} if pretty else {})
+
+
 def write_boms(
     tables: BomTables, path: str, fmt: str = "json", spec: str = "", layout: str = "lines", mode: str = "errorifexists"
 ) -> None:
@@ -366,7 +404,6 @@ def write_boms(
     actual, version = check_output("out." + resolve_format("", fmt), fmt, spec)
     docs = documents(tables, version)
     name = bom_file_name("_name", F.lit(None).cast("string"), F.lit(None).cast("string"), "." + actual)
-    body = [c for c in docs.columns if c not in ("bom_id", "_name")]
     if actual == "xml":
         from modelbom.sources.bomxml import xml_columns
 
@@ -375,8 +412,7 @@ def write_boms(
         out = writer.write.mode(mode).format("xml").option("rowTag", "bom").option("rootTag", "boms")
         (out.partitionBy("file_name") if layout == "files" else out).save(path)
         return
-    pretty = {"pretty": "true"} if layout == "files" else {}
-    text = docs.select(name.alias("file_name"), F.to_json(F.struct(*body), pretty).alias("value"))
+    text = docs.select(name.alias("file_name"), document_json(docs, layout == "files").alias("value"))
     if layout == "files":
         text.write.mode(mode).partitionBy("file_name").text(path)
     else:
