@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelbom.functions.text import col, trim, trim_nz
+from modelbom.functions.text import trim_nz
 
 
 def first_wins(
@@ -17,12 +17,12 @@ def first_wins(
 
     ``row_number() = 1`` is cut to one row per key on the map side before the shuffle
     (Spark's window group limit), so a hot key moves at most one row per input task. Blank
-    keys are spread by their own order values.
+    keys are spread by the values of the order columns given by name.
     """
     salt = []
     if blank_key is not None:
         blank = F.coalesce(F.col(blank_key), F.lit("")) == ""
-        salt = [F.when(blank, F.struct(*[col(o) for o in order])).alias("salt")]
+        salt = [F.when(blank, F.struct(*[o for o in order if isinstance(o, str)])).alias("salt")]
     w = Window.partitionBy(*keys, *salt).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -64,6 +64,3 @@ def materialize(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
-
-def text_or(c, default: str) -> Column:
-    return F.coalesce(trim(c), F.lit(default))
