@@ -578,12 +578,10 @@ _FM_KEYS = [*_FM_LISTS, *_FM_SCALARS]
     with_views("cards") + f", {FRONT_CTE} SELECT c.doc_id, {front_columns(_FM_KEYS)} FROM cards c {front_joins(_FM_KEYS)}",
 )
 def f12(spark, sf_dir):
-    staged = cards._with_parts(view(spark, sf_dir, "cards"), "raw")
-    return staged.select(
-        "doc_id",
-        *[joined(cards.front_matter_list("_front", "_keys", k)).alias(k) for k in _FM_LISTS],
-        *[cards.front_matter_scalar("_front", "_keys", k).alias(k) for k in _FM_SCALARS],
+    parsed = cards.parse_card(
+        view(spark, sf_dir, "cards"), {k: k for k in _FM_SCALARS}, {k: k for k in _FM_LISTS}, {}, {}
     )
+    return _flat(parsed.drop("fm_unparsed"))
 
 
 _RES = "$.model-index[0].results[0]"
@@ -671,10 +669,8 @@ _ALL_BULLETS = {**cards.MODEL_BULLETS, **cards.DATASET_BULLETS}
     + " FROM bh",
 )
 def f15(spark, sf_dir):
-    staged = cards._with_parts(view(spark, sf_dir, "cards"), "raw")
-    return staged.select(
-        "doc_id", *[cards.section_from("_lines", "_headings", h).alias(n) for n, h in _ALL_SECTIONS.items()]
-    )
+    parsed = cards.parse_card(view(spark, sf_dir, "cards"), {}, {}, _ALL_SECTIONS, {})
+    return parsed.drop("fm_unparsed")
 
 
 @query(
@@ -685,8 +681,8 @@ def f15(spark, sf_dir):
     + " FROM fm",
 )
 def f16(spark, sf_dir):
-    staged = cards._with_parts(view(spark, sf_dir, "cards"), "raw")
-    return staged.select("doc_id", *[cards.extract_bullet("_body", h).alias(n) for n, h in _ALL_BULLETS.items()])
+    parsed = cards.parse_card(view(spark, sf_dir, "cards"), {}, {}, {}, _ALL_BULLETS)
+    return parsed.drop("fm_unparsed")
 
 
 def card_sql(sections: dict, bullets: dict, fm: dict) -> str:

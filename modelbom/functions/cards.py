@@ -77,20 +77,26 @@ def header_positions(lines, pattern: str) -> Column:
 HEADING = rf"\A#+{_SP}+[^\n]+\z"
 
 
-def section_from(lines, headings, heading: str) -> Column:
-    """Text between the first level 2-3 heading of that name and the next heading."""
-    lines, headings = col(lines), col(headings)
+def heading_at(headings, heading: str) -> Column:
+    """Place of the first level 2-3 heading of that name in the headings, 0 when absent."""
     wanted = rf"\A#{{2,3}}{_SP}+\Q{heading}\E{_SP}*\z"
-    hit = F.array_position(F.transform(headings, lambda h: h["line"].rlike(wanted)), F.lit(True))
-    start = F.get(headings, (hit - 1).cast("int"))["pos"]
-    stop = F.coalesce(F.get(headings, hit.cast("int"))["pos"], F.size(lines) + 1)
+    flags = F.transform(col(headings), lambda h: h["line"].rlike(wanted))
+    return F.array_position(flags, F.lit(True)).cast("int")
+
+
+def section_at(lines, headings, hit) -> Column:
+    """Text between the heading at that place and the next heading."""
+    lines, headings, hit = col(lines), col(headings), col(hit)
+    start = F.get(headings, hit - 1)["pos"]
+    stop = F.coalesce(F.get(headings, hit)["pos"], F.size(lines) + 1)
     inner = F.slice(lines, start + 1, stop - start - 1)
     return F.when(hit > 0, trim_nz(F.array_join(inner, "\n")))
 
 
 def extract_section(text, heading: str) -> Column:
     lines = text_lines(text)
-    return section_from(lines, header_positions(lines, HEADING), heading)
+    headings = header_positions(lines, HEADING)
+    return section_at(lines, headings, heading_at(headings, heading))
 
 
 def extract_bullet(text, label: str) -> Column:
@@ -128,30 +134,36 @@ def _block(lines, keys, key: str) -> Column:
     """struct(head, items): the rest of the key's line and its ``- item`` texts."""
     lines, keys = col(lines), col(keys)
     wanted = rf"\A[\"']?\Q{key}\E[\"']?[ \t]*:(?:[ \t]|\z)"
-    hit = F.array_position(F.transform(keys, lambda k: k["line"].rlike(wanted)), F.lit(True))
-    found = F.get(keys, (hit - 1).cast("int"))
-    stop = F.coalesce(F.get(keys, hit.cast("int"))["pos"], F.size(lines) + 1)
-    head = trim(F.regexp_replace(found["line"], wanted, ""))
-    inner = F.slice(lines, found["pos"] + 1, stop - found["pos"] - 1)
-    items = F.transform(
-        F.filter(inner, lambda l: l.rlike(_ITEM)), lambda l: F.regexp_replace(l, _ITEM, "")
+    places = F.filter(
+        F.transform(keys, lambda k, i: F.when(k["line"].rlike(wanted), i)), lambda i: i.isNotNull()
     )
-    return F.when(hit > 0, F.struct(head.alias("head"), items.alias("items")))
+
+    def block(i):
+        found = F.get(keys, i)
+        stop = F.coalesce(F.get(keys, i + 1)["pos"], F.size(lines) + 1)
+        inner = F.slice(lines, found["pos"] + 1, stop - found["pos"] - 1)
+        items = F.transform(
+            F.filter(inner, lambda l: l.rlike(_ITEM)), lambda l: F.regexp_replace(l, _ITEM, "")
+        )
+        head = trim(F.regexp_replace(found["line"], wanted, ""))
+        return F.struct(head.alias("head"), items.alias("items"))
+
+    return F.get(F.transform(F.slice(places, F.lit(1), F.lit(1)), block), F.lit(0))
 
 
 def _inline_list(head: Column) -> Column:
     return F.split(F.regexp_replace(head, r"\A\[|\][ \t]*(?:#.*)?\z", ""), ",")
 
 
-def front_matter_scalar(lines, keys, key: str) -> Column:
-    block = _block(lines, keys, key)
+def block_scalar(block) -> Column:
+    block = col(block)
     is_list = block["head"].startswith("[") | (F.size(block["items"]) > 0)
     return F.when(~is_list, trim_nz(_scalar(block["head"])))
 
 
-def front_matter_list(lines, keys, key: str) -> Column:
+def block_list(block) -> Column:
     """Values of a key as a normalised list: scalar, ``[a, b]`` or ``- item`` lines."""
-    block = _block(lines, keys, key)
+    block = col(block)
     head = block["head"]
     raw = (
         F.when(head.startswith("["), _inline_list(head))
@@ -159,7 +171,7 @@ def front_matter_list(lines, keys, key: str) -> Column:
         .otherwise(F.array(head))
     )
     values = F.array_distinct(F.array_compact(F.transform(raw, lambda x: trim_nz(_scalar(x)))))
-    return F.when(F.size(values) > 0, values)
+    return F.get(F.filter(F.array(values), lambda v: F.size(v) > 0), F.lit(0))
 
 
 def front_matter_unparsed(lines) -> Column:
@@ -168,50 +180,63 @@ def front_matter_unparsed(lines) -> Column:
     return F.exists(col(lines), lambda l: ~l.rlike(known))
 
 
-def _with_parts(cards: DataFrame, raw: str) -> DataFrame:
-    """Stage the shared arrays in their own projections so that each is computed once."""
+def with_parts(cards: DataFrame, raw: str = "raw") -> DataFrame:
+    """Stage front matter, body, lines, headings and keys, each in its own projection so that
+    it is computed once: _front, _body, _lines, _headings, _front_lines, _keys."""
     parts = cards.withColumn("_fm", split_front_matter(raw))
     staged = parts.select(
         "*",
         F.col("_fm.body").alias("_body"),
-        F.split(F.col("_fm.front"), "\n").alias("_front"),
+        F.split(F.col("_fm.front"), "\n").alias("_front_lines"),
         text_lines(F.col("_fm.body")).alias("_lines"),
     )
     return staged.select(
         "*",
-        yaml_key_positions("_front").alias("_keys"),
+        yaml_key_positions("_front_lines").alias("_keys"),
         header_positions("_lines", HEADING).alias("_headings"),
     )
 
 
-def _body_fields(sections: dict, bullets: dict) -> list[Column]:
-    cols = [section_from("_lines", "_headings", h).alias(n) for n, h in sections.items()]
-    return cols + [extract_bullet("_body", label).alias(n) for n, label in bullets.items()]
+def parse_card(
+    cards: DataFrame,
+    scalars: dict[str, str],
+    lists: dict[str, str],
+    sections: dict[str, str],
+    bullets: dict[str, str],
+    raw: str = "raw",
+) -> DataFrame:
+    """Card text -> the named front-matter keys, sections and bullets; other columns are kept."""
+    keep = [c for c in cards.columns if c != raw]
+    keys = {**scalars, **lists}
+    parts = with_parts(cards, raw).select(
+        "*",
+        *[_block("_front_lines", "_keys", key).alias(f"_block_{n}") for n, key in keys.items()],
+        *[heading_at("_headings", h).alias(f"_at_{n}") for n, h in sections.items()],
+    )
+    return parts.select(
+        *keep,
+        *[block_scalar(f"_block_{n}").alias(n) for n in scalars],
+        *[block_list(f"_block_{n}").alias(n) for n in lists],
+        *[section_at("_lines", "_headings", f"_at_{n}").alias(n) for n in sections],
+        *[extract_bullet("_body", label).alias(n) for n, label in bullets.items()],
+        F.coalesce(front_matter_unparsed("_front_lines"), F.lit(False)).alias("fm_unparsed"),
+    )
 
 
 def model_card(cards: DataFrame, raw: str = "raw") -> DataFrame:
-    """Card text -> one row of card fields; all other input columns are kept."""
-    keep = [c for c in cards.columns if c != raw]
-    return _with_parts(cards, raw).select(
-        *keep,
-        front_matter_scalar("_front", "_keys", "license").alias("license"),
-        front_matter_list("_front", "_keys", "tags").alias("tags"),
-        front_matter_list("_front", "_keys", "datasets").alias("datasets"),
-        front_matter_list("_front", "_keys", "metrics").alias("metrics"),
-        front_matter_scalar("_front", "_keys", "base_model").alias("base_model"),
-        *_body_fields(MODEL_SECTIONS, MODEL_BULLETS),
-        F.coalesce(front_matter_unparsed("_front"), F.lit(False)).alias("fm_unparsed"),
+    """Card text -> one row of model card fields; all other input columns are kept."""
+    return parse_card(
+        cards,
+        {"license": "license", "base_model": "base_model"},
+        {"tags": "tags", "datasets": "datasets", "metrics": "metrics"},
+        MODEL_SECTIONS, MODEL_BULLETS, raw,
     )
 
 
 def dataset_card(cards: DataFrame, raw: str = "raw") -> DataFrame:
-    keep = [c for c in cards.columns if c != raw]
-    return _with_parts(cards, raw).select(
-        *keep,
-        front_matter_scalar("_front", "_keys", "license").alias("license"),
-        front_matter_list("_front", "_keys", "tags").alias("tags"),
-        front_matter_list("_front", "_keys", "language").alias("language"),
-        front_matter_list("_front", "_keys", "annotations_creators").alias("annotation_creators"),
-        *_body_fields(DATASET_SECTIONS, DATASET_BULLETS),
-        F.coalesce(front_matter_unparsed("_front"), F.lit(False)).alias("fm_unparsed"),
+    return parse_card(
+        cards,
+        {"license": "license"},
+        {"tags": "tags", "language": "language", "annotation_creators": "annotations_creators"},
+        DATASET_SECTIONS, DATASET_BULLETS, raw,
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from modelbom import schemas as sc
 from modelbom.functions import semistructured as ss
 from modelbom.functions.text import bom_ref, first_text, property_entry, purl, trim_nz
+from modelbom.operators.common import stage
 from modelbom.operators.registry import (
     DATASET_REGISTRY, MODEL_REGISTRY, OPTIONAL_TEXT, FieldSpec, Get,
 )
@@ -70,8 +71,8 @@ def attach_metadata(
         rows = _join(rows, _side(security, sc.SECURITY_FIELDS, "sec"), "model_id", "left")
     else:
         rows = rows.withColumn("sec", null_sec)
-    return rows.select(
-        F.col("model_id").alias("bom_id"), "model_id", "scan", "api", _with_index("card"), "sec"
+    return _with_index(rows).select(
+        F.col("model_id").alias("bom_id"), "model_id", "scan", "api", "card", "sec"
     )
 
 
@@ -79,13 +80,17 @@ def _struct_type(fields: dict[str, str]) -> str:
     return "struct<" + ",".join(f"{n}:{t}" for n, t in fields.items()) + ">"
 
 
-def _with_index(card: str) -> Column:
+def _with_index(rows: DataFrame) -> DataFrame:
     """Add the model-index fields (held by the card data) to the card struct."""
     index = ss.parse_model_index(ss.at(F.col("api.card_data"), "$['model-index']"))
-    c = F.col(card)
-    for field in ("task_type", "task_name"):
-        c = c.withField(field, index[field])
-    return c.withField("index_metrics", index["metrics"]).alias(card)
+    staged = rows.withColumn("_index", index)
+    card = (
+        F.col("card")
+        .withField("task_type", F.col("_index.task_type"))
+        .withField("task_name", F.col("_index.task_name"))
+        .withField("index_metrics", F.col("_index.metrics"))
+    )
+    return staged.withColumn("card", card).drop("_index")
 
 
 def model_dataset_refs(rows: DataFrame) -> DataFrame:
@@ -207,24 +212,33 @@ def _component_columns(
 
 
 def _from_sources(
-    registry: list[FieldSpec], get: Get, existing: Get | None, is_model: bool, evidence: Column | None
-) -> dict[str, Column]:
+    rows: DataFrame,
+    registry: list[FieldSpec],
+    existing: Get | None,
+    is_model: bool,
+    evidence: Column | None,
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with staged source values, and the final column per component field."""
+    specs = [s for s in registry if s.source is not None]
+    rows, value = stage(rows, "source", {s.key: s.source(row_get) for s in specs})
+    if existing is not None:
+        targeted = [s for s in specs if s.target and s.target != "tags+"]
+        rows, settled = stage(
+            rows, "settled", {s.key: _settled(s, value[s.key], existing) for s in targeted}
+        )
+        value = {**value, **settled}
     values: dict[str, Column] = {}
     props: list[Column] = [] if evidence is None else [evidence]
     tags_extra = None
-    for spec in registry:
-        if spec.source is None:
-            continue
-        value = spec.source(get)
+    for spec in specs:
         if spec.prop:
-            props.append(property_entry(F.lit(spec.prop), value))
+            props.append(property_entry(F.lit(spec.prop), value[spec.key]))
         elif spec.target == "tags+":
-            tags_extra = value
+            tags_extra = value[spec.key]
         else:
-            values[spec.target] = _settled(spec, value, existing)
-    empty = F.array().cast(PROPS_TYPE)
-    joined = F.concat(*props) if props else empty
-    return _component_columns(values, joined, tags_extra, existing, is_model)
+            values[spec.target] = value[spec.key]
+    joined = F.concat(*props) if props else F.array().cast(PROPS_TYPE)
+    return rows, _component_columns(values, joined, tags_extra, existing, is_model)
 
 
 def evidence_properties(scan: str = "scan") -> Column:
@@ -248,7 +262,8 @@ def assemble_models(
     rows: DataFrame, registry: list[FieldSpec] = MODEL_REGISTRY, evidence: bool = True
 ) -> DataFrame:
     """Attached rows -> one metadata component per BOM, one projection, no shuffle."""
-    cols = _from_sources(registry, row_get, None, True, evidence_properties() if evidence else None)
+    seen = evidence_properties() if evidence else None
+    rows, cols = _from_sources(rows, registry, None, True, seen)
     cols["type"] = F.lit("machine-learning-model")
     skeleton = first_text("model_id", "scan.name")
     cols["name"] = F.coalesce(cols["name"], skeleton, F.lit("model"))
@@ -261,7 +276,7 @@ def assemble_models(
 
 def assemble_datasets(rows: DataFrame, registry: list[FieldSpec] = DATASET_REGISTRY) -> DataFrame:
     """Attached dataset rows -> data components."""
-    cols = _from_sources(registry, row_get, None, False, None)
+    rows, cols = _from_sources(rows, registry, None, False, None)
     cols["type"] = F.lit("data")
     cols["name"] = F.coalesce(cols["name"], trim_nz("dataset_id"), F.lit("dataset"))
     keys = [
@@ -287,12 +302,12 @@ def refresh_models(
         rows = _join(rows, _side(model_cards, sc.MODEL_CARD_FIELDS, "card"), "model_id", "left")
     else:
         rows = rows.withColumn("card", F.lit(None).cast(_struct_type(sc.MODEL_CARD_FIELDS)))
-    rows = rows.select(
-        *components.columns, "model_id", "api", _with_index("card"),
+    rows = _with_index(rows).select(
+        *components.columns, "model_id", "api", "card",
         F.lit(None).cast(_struct_type(sc.SCAN_FIELDS)).alias("scan"),
         F.lit(None).cast(_struct_type(sc.SECURITY_FIELDS)).alias("sec"),
     )
-    cols = _from_sources(registry, row_get, component_get, True, None)
+    rows, cols = _from_sources(rows, registry, component_get, True, None)
     found = F.col("api").isNotNull() | F.col("card").isNotNull()
     touched = {n: F.when(found, c).otherwise(F.col(n)) for n, c in cols.items()}
     keys = [F.col(k) for k in components.columns if k not in sc.COMPONENT_FIELDS]
@@ -314,31 +329,37 @@ def apply_user_values(
         (s.target or "").startswith("data.") for s in registry
     )
     rows = components.withColumn("_values", values)
+    specs = [s for s in registry if s.weight > 0]
+
+    def supplied(spec: FieldSpec) -> Column:
+        raw = F.try_element_at("_values", F.lit(spec.key.lower()))
+        return raw if only is None else F.when(F.array_contains(only, spec.key), raw)
+
+    rows, raw = stage(rows, "raw", {s.key: supplied(s) for s in specs})
+    readable = [s for s in specs if s.parse]
+    rows, parsed = stage(rows, "parsed", {s.key: s.parse(raw[s.key]) for s in readable})
+    shaped = {s.key: s.user_target(parsed[s.key]) for s in readable if s.user_target}
+    rows, shaped = stage(rows, "shaped", shaped)
+    value = {**parsed, **shaped}
     targets: dict[str, Column] = {}
     props: list[Column] = [F.array().cast(PROPS_TYPE)]
-    errors: list[Column] = []
     tags_extra = None
-    for spec in registry:
-        if spec.weight <= 0:
-            continue
-        raw = F.try_element_at("_values", F.lit(spec.key.lower()))
-        if only is not None:
-            raw = F.when(F.array_contains(only, spec.key), raw)
-        parsed = spec.parse(raw) if spec.parse else F.lit(None).cast("string")
-        if spec.key not in OPTIONAL_TEXT:
-            errors.append(F.when(raw.isNotNull() & parsed.isNull(), F.lit(spec.key)))
-        if spec.parse is None:
-            continue
-        value = parsed if spec.user_target is None else spec.user_target(parsed)
+    for spec in readable:
         if spec.prop:
-            props.append(property_entry(F.lit(spec.prop), value))
+            props.append(property_entry(F.lit(spec.prop), value[spec.key]))
         elif spec.target == "tags+":
-            tags_extra = value
+            tags_extra = value[spec.key]
         else:
-            targets[spec.target] = F.coalesce(value, component_get(spec.target))
+            targets[spec.target] = F.coalesce(value[spec.key], component_get(spec.target))
     for spec in registry:
         if spec.parse is None and spec.target:
             targets[spec.target] = component_get(spec.target)
+    rows, targets = stage(rows, "target", targets)
+    errors = [
+        F.when(raw[s.key].isNotNull() & parsed.get(s.key, F.lit(None)).isNull(), F.lit(s.key))
+        for s in specs
+        if s.key not in OPTIONAL_TEXT
+    ]
     cols = _component_columns(targets, F.concat(*props), tags_extra, component_get, is_model)
     keys = [F.col(k) for k in components.columns if k not in sc.COMPONENT_FIELDS]
     return rows.select(

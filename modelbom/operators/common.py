@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from modelbom.functions.text import trim_nz
 
 
+def stage(df: DataFrame, prefix: str, cols: dict) -> tuple[DataFrame, dict]:
+    """Add computed columns in a projection of their own and give back references to them.
+
+    Later expressions use a value several times; staged, it is planned and computed once.
+    """
+    named = {k: f"_{prefix}{i}" for i, k in enumerate(cols)}
+    staged = df.select("*", *[c.alias(named[k]) for k, c in cols.items()])
+    return staged, {k: F.col(n) for k, n in named.items()}
+
+
 def first_wins(
     df: DataFrame, keys: list[str], order: list[Column | str], blank_key: str | None = None
 ) -> DataFrame:

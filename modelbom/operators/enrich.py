@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelbom.operators.assemble import apply_user_values
 from modelbom.operators.registry import DATASET_REGISTRY, MODEL_REGISTRY, FieldSpec
-from modelbom.operators.score import model_result_columns, _result_columns, missing_specs
+from modelbom.operators.score import missing_specs, with_model_results, with_results
 
 
 def enrichment_lookup(missing: DataFrame, values: DataFrame) -> DataFrame:
@@ -37,15 +37,12 @@ def enrich(
     ``values`` maps lower-cased keys to text (a literal map for one settings file, or a column
     for values per BOM). Scoring, lookup and parsing are one narrow plan.
     """
-    is_dataset = registry is DATASET_REGISTRY
-    result = _result_columns(registry) if is_dataset else model_result_columns(registry)[1:]
-    scored = components.withColumn("_values", values).select(
-        *components.columns, "_values", *[c for c in result]
-    )
-    marked = scored.select(
-        *components.columns, "_values",
-        F.transform(missing_specs(registry, required_only, min_weight), lambda m: m["key"]).alias("_missing"),
+    rows = components.withColumn("_values", values)
+    scored = (
+        with_results(rows, registry) if registry is DATASET_REGISTRY else with_model_results(rows, registry)
     )
+    missing = F.transform(missing_specs(registry, required_only, min_weight), lambda m: m["key"])
+    marked = scored.select(*components.columns, "_values", missing.alias("_missing"))
     return apply_user_values(marked, F.col("_values"), registry, only=F.col("_missing")).drop(
         "_values", "_missing"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelbom.functions.text import SPEC_VERSIONS, nz, trim
 from modelbom.operators.assemble import component_get
-from modelbom.operators.common import first_wins
+from modelbom.operators.common import first_wins, stage
 from modelbom.operators.registry import DATASET_REGISTRY, DATASETS_KEY, MODEL_REGISTRY, FieldSpec
 
 
@@ -17,13 +17,19 @@ def datasets_referenced() -> Column:
     return F.coalesce(F.exists(refs, lambda d: d["ref"] != ""), F.lit(False))
 
 
-def _result_columns(registry: list[FieldSpec], gate: dict[str, Column] | None = None) -> list[Column]:
-    """score, passed, total and the missing keys in registry order, as plain expressions."""
+def with_results(
+    components: DataFrame, registry: list[FieldSpec], gate: dict[str, Column] | None = None
+) -> DataFrame:
+    """Add score, passed, total and the missing keys in registry order to component rows.
+
+    Every presence test runs once, in a projection of flags; the rest is arithmetic on them.
+    """
     specs = [s for s in registry if s.weight > 0]
-    ok = {}
+    tests = {}
     for s in specs:
         test = s.is_present(component_get)
-        ok[s.key] = test & gate[s.key] if gate and s.key in gate else test
+        tests[s.key] = test & gate[s.key] if gate and s.key in gate else test
+    rows, ok = stage(components, "ok", tests)
     whole = sum((s.weight for s in specs), 0.0)
     earned, passed = F.lit(0.0), F.lit(0)
     for s in specs:
@@ -35,18 +41,24 @@ def _result_columns(registry: list[FieldSpec], gate: dict[str, Column] | None =
         return F.array_compact(F.array(*keys).cast("array<string>"))
 
     score = earned / F.lit(whole) if whole > 0 else F.lit(0.0)
-    return [
+    return rows.select(
+        *components.columns,
         score.alias("score"),
         passed.alias("passed"),
         F.lit(len(specs)).alias("total"),
         missing(True).alias("missing_required"),
         missing(False).alias("missing_optional"),
-    ]
+    )
 
 
-def model_result_columns(registry: list[FieldSpec] = MODEL_REGISTRY) -> list[Column]:
-    model_id = F.coalesce(nz("name"), F.lit("(unknown)")).alias("model_id")
-    return [model_id, *_result_columns(registry, {DATASETS_KEY: datasets_referenced()})]
+RESULT = ["score", "passed", "total", "missing_required", "missing_optional"]
+
+
+def with_model_results(
+    components: DataFrame, registry: list[FieldSpec] = MODEL_REGISTRY
+) -> DataFrame:
+    scored = with_results(components, registry, {DATASETS_KEY: datasets_referenced()})
+    return scored.withColumn("model_id", F.coalesce(nz("name"), F.lit("(unknown)")))
 
 
 def completeness(
@@ -56,13 +68,14 @@ def completeness(
     models = components.where("is_metadata")
     if boms is not None:
         models = boms.select("bom_id").join(models, "bom_id", "left")
-    return models.select("bom_id", *model_result_columns(registry))
+    return with_model_results(models, registry).select("bom_id", "model_id", *RESULT)
 
 
 def dataset_scores(components: DataFrame, registry: list[FieldSpec] = DATASET_REGISTRY) -> DataFrame:
     """Score of every data component, whatever its BOM."""
-    return components.where("not is_metadata and type = 'data'").select(
-        "bom_id", "ord", F.col("name").alias("dataset_ref"), *_result_columns(registry)
+    data = components.where("not is_metadata and type = 'data'")
+    return with_results(data, registry).select(
+        "bom_id", "ord", F.col("name").alias("dataset_ref"), *RESULT
     )
 
 
@@ -75,8 +88,8 @@ def dataset_completeness(
     data = components.where("not is_metadata and type = 'data'").join(users, "bom_id", "left_semi")
     named = data.withColumn("_name", F.coalesce("name", F.lit("")))
     last = first_wins(named, ["bom_id", "_name"], [F.desc("ord")])
-    return last.select(
-        "bom_id", "ord", F.col("name").alias("dataset_ref"), *_result_columns(registry)
+    return with_results(last, registry).select(
+        "bom_id", "ord", F.col("name").alias("dataset_ref"), *RESULT
     )
 
 
@@ -125,9 +138,8 @@ def validate(
             card["modelParameters"].isNull(), F.lit("model parameters not present")
         ),
     )
-    scored = rows.select(
-        "bom_id",
-        *model_result_columns(registry),
+    scored = with_model_results(rows, registry).select(
+        "bom_id", "model_id", *RESULT,
         no_metadata.alias("no_metadata"),
         bad_spec.alias("bad_spec"),
         old_spec.alias("old_spec"),
