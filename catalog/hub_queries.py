@@ -8,6 +8,7 @@ from catalog import fixtures as fx
 from catalog.extract_queries import DISCOVERIES_CTE
 from catalog.fixtures import VIEWS, view, with_views
 from catalog.function_queries import (
+    _FM, _FRONT_LINES, _HEAD, _ITEM_TEXT, yaml_scalar_sql,
     DATASET_FM, DATASETS_LIST_SQL, LANGUAGE_SQL, LICENSE_SQL, MODEL_FM, _METRICS_SQL, _RES_D, _J, _flat, card_sql,
     configs_sql, group_sql, normalized_sql, ordered_distinct_sql, purl_sql, refs_sql, string_members_sql,
     string_or_list_sql,
@@ -19,7 +20,10 @@ from modelbom.functions import semistructured as ss
 from modelbom.operators import assemble, extract, security
 from modelbom.operators.common import cap_pages, first_wins, search_models
 from modelbom.plans import inventory
+from modelbom import schemas as sc
 from modelbom.sources import boms as bomio
+from modelbom.sources import hub as hubio
+from modelbom.sources.files import settings_rows
 
 # ---- flattened component rows, Spark side -----------------------------------------------
 
@@ -418,3 +422,84 @@ def s2_s3(spark, sf_dir):
         _pairs("properties", "name", "value").alias("props"), F.col("model_card.modelParameters.task").alias("task"),
         F.get("data", F.lit(0))["classification"].alias("classification"),
     )
+
+
+# ---- decoding of landed texts -----------------------------------------------------------
+
+
+@query(
+    "S4_decode_hub_models",
+    with_views("hub_models")
+    + f""" SELECT id, author, downloads, array_to_string(string_split(tags_csv, ','), '|') AS tags, last_modified, private,
+      CASE json_type(CAST(gated_json AS JSON)) WHEN 'NULL' THEN NULL ELSE trim(json_extract_string(gated_json, '$')) END AS gated,
+      model_type, nullif(array_to_string(string_split(architectures_csv, ','), '|'), '') AS architectures,
+      json_extract_string({_J}, '$.license') AS license FROM hub_models""",
+)
+def s4(spark, sf_dir):
+    m = fx.hub_models(spark, sf_dir)
+    pairs = [
+        F.concat(F.lit('"cardData":'), F.coalesce("card_json", F.lit("null"))),
+        F.concat(F.lit('"gated":'), F.col("gated_json")),
+    ]
+    plain = F.to_json(
+        F.struct(
+            "id", "author", "downloads", "tags", F.col("last_modified").alias("lastModified"), "private",
+            F.struct("model_type", "architectures").alias("config"),
+        )
+    )
+    text = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit(","), F.substring(plain, 2, 1 << 30))
+    raw = m.select(F.from_json(text, sc.HUB_MODEL).alias("r")).select("r.*")
+    return hubio.decoded_models(raw).select(
+        "id", "author", "downloads", F.array_join("tags", "|").alias("tags"), "last_modified", "private", "gated",
+        "model_type", F.array_join("architectures", "|").alias("architectures"),
+        ss.at("card_data", "$.license", "string").alias("license"),
+    )
+
+
+@query(
+    "S5_decode_security_tree",
+    with_views("security_flat")
+    + " SELECT repo_id, page, path, status, CASE WHEN status IS NOT NULL THEN av_status END AS av_status, "
+    + "CASE WHEN status IS NOT NULL AND imports_csv IS NOT NULL THEN 'system' END AS import FROM security_flat WHERE page < 10",
+)
+def s5(spark, sf_dir):
+    e = fx.security_entries(spark, sf_dir)
+    text = F.to_json(F.struct("repo_id", "page", "path", "securityFileStatus"))
+    raw = e.select(F.from_json(text, hubio.TREE_ROW).alias("r")).select("r.*")
+    s = F.col("securityFileStatus")
+    return hubio.listed_entries(raw).select(
+        "repo_id", "page", "path", s["status"].alias("status"), s["avScan"]["status"].alias("av_status"),
+        F.get(s["pickleImportScan"]["pickleImports"], F.lit(0))["name"].alias("import"),
+    )
+
+
+@query(
+    "S6_settings_rows",
+    with_views("cards")
+    + f""", {_FM}, {_FRONT_LINES}, rows AS (SELECT doc_id, lower(owner) AS key, max(CASE WHEN key IS NOT NULL THEN {yaml_scalar_sql(_HEAD)} END) AS head,
+        '[' || array_to_string(list(coalesce({yaml_scalar_sql(_ITEM_TEXT)}, '<nil>') ORDER BY n) FILTER (WHERE key IS NULL AND regexp_matches(l, '^[ \t]*-(?:[ \t]|$)')), ' ') || ']' AS items
+      FROM fb GROUP BY doc_id, owner)
+    SELECT doc_id, key, coalesce(head, items) AS value FROM rows WHERE coalesce(head, items) IS NOT NULL""",
+)
+def s6(spark, sf_dir):
+    texts = view(spark, sf_dir, "cards").select("doc_id", cards.split_front_matter("raw")["front"].alias("text"))
+    return settings_rows(texts.where("text is not null"))
+
+
+@query(
+    "P23_stamp_boms",
+    with_views("bom_rows")
+    + """ SELECT bom_id, CASE WHEN serial_number IS NULL THEN 'urn:uuid:' ELSE serial_number END AS serial,
+      CASE WHEN nullif(timestamp, '') IS NULL THEN 'now' ELSE timestamp END AS stamp, 'modelbom@v0.0.0' AS tool FROM bom_rows""",
+)
+def p23(spark, sf_dir):
+    before = view(spark, sf_dir, "bom_rows")
+    boms, tools = bomio.stamp_boms(before.withColumn("had", F.struct("serial_number", "timestamp")))
+    new_time = F.col("timestamp").rlike(r"^20\d\d-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)$")
+    shown = boms.select(
+        "bom_id",
+        F.when(F.col("had.serial_number").isNull(), F.left("serial_number", F.lit(9))).otherwise(F.col("serial_number")).alias("serial"),
+        F.when(F.coalesce("had.timestamp", F.lit("")) != "", F.col("timestamp")).when(new_time, "now").alias("stamp"),
+    )
+    tool = tools.select("bom_id", F.concat("name", F.lit("@"), "version").alias("tool"))
+    return shown.join(tool, "bom_id")

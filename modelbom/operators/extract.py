@@ -352,11 +352,14 @@ def dedupe_discoveries(hits: DataFrame, bound: int = EVIDENCE_BOUND) -> DataFram
     sizes = texts.groupBy("type", "id").agg(
         F.min("at").alias("head"), F.sum(F.length("evidence") + 2).alias("chars")
     )
-    placed = texts.join(sizes, ["type", "id"]).withColumn(
-        "part", F.when(F.col("chars") > bound, F.col("at.path"))
+    large = sizes.where(F.col("chars") > bound).select("type", "id", "head")
+    placed = texts.join(large, ["type", "id"], "left").withColumn(
+        "part", F.when(F.col("head").isNotNull(), F.col("at.path"))
     )
-    grouped = placed.groupBy("type", "id", "part").agg(
-        F.min("head").alias("head"),
+    # An explicit exchange: the join may have put all of an id into one partition.
+    spread = placed.repartition("type", "id", "part")
+    grouped = spread.groupBy("type", "id", "part").agg(
+        F.coalesce(F.min("head"), F.min("at")).alias("head"),
         F.array_sort(F.collect_list(F.struct("at", "evidence"))).alias("items"),
     )
     joined = F.aggregate(

@@ -94,9 +94,10 @@ def merge_dependencies(placed: DataFrame, base_last_wins: bool = False) -> DataF
     (target_id, ref, pos, depends_on) with ``pos`` an order value.
 
     A ref that one entry lists keeps that list as it is; lists of several entries become their
-    union in first-seen order. Distinct edges are found by an aggregate on the edge, so a ref
-    with very many edges is spread over tasks. ``base_last_wins``: of several base entries
-    of one ref only the last counts (the two-BOM form).
+    union in first-seen order. Edges are first made distinct, with map-side combine and spread
+    by the edge, so a ref with a large share of the rows is never in one place.
+    ``base_last_wins``: of several base entries of one ref only the last counts (the two-BOM
+    form).
     """
     entry = F.struct("seq", "ord")
     rows = placed
@@ -104,29 +105,51 @@ def merge_dependencies(placed: DataFrame, base_last_wins: bool = False) -> DataF
         last = rows.where("seq = 0").groupBy("target_id", "ref").agg(F.max("ord").alias("last_ord"))
         rows = rows.join(last, ["target_id", "ref"], "left").where("seq > 0 or ord = last_ord").drop("last_ord")
     at = F.struct("seq", "ord", "pos")
-    listing = F.when(F.col("depends_on").isNotNull(), entry)
-    lists = rows.groupBy("target_id", "ref").agg(
-        F.min(listing).alias("first"), F.max(listing).alias("last")
+    edges = rows.groupBy("target_id", "ref", "depends_on").agg(
+        F.min(at).alias("at"), F.min(entry).alias("first"), F.max(entry).alias("last"),
+        F.count("*").alias("copies"),
     )
-    known = rows.join(lists, ["target_id", "ref"])
+    listed = F.col("depends_on").isNotNull()
+    lists = edges.groupBy("target_id", "ref").agg(
+        F.min(F.when(listed, F.col("first"))).alias("list_first"),
+        F.max(F.when(listed, F.col("last"))).alias("list_last"),
+    )
+    known = edges.join(lists, ["target_id", "ref"])
     # A ref without any list keeps one empty row.
-    wanted = known.where(F.col("depends_on").isNotNull() | F.col("first").isNull())
-    single = F.coalesce(F.col("first") == F.col("last"), F.lit(False))
-    copies = F.when(single, at)
-    return (
-        wanted.groupBy("target_id", "ref", "depends_on", copies.alias("copy"))
-        .agg(F.min(at).alias("at"))
-        .drop("copy")
+    wanted = known.where(listed | F.col("list_first").isNull())
+    single = F.coalesce(F.col("list_first") == F.col("list_last"), F.lit(False))
+    repeats = single & (F.col("copies") > 1)
+    once = wanted.where(~repeats).select("target_id", "ref", "depends_on", "at")
+    # Repeats inside the only list of a ref: every copy comes back with its own place.
+    repeated = wanted.where(repeats).select("target_id", "ref", "depends_on")
+    copies = rows.join(repeated, ["target_id", "ref", "depends_on"], "left_semi").select(
+        "target_id", "ref", "depends_on", at.alias("at")
     )
+    return once.unionByName(copies)
+
+
+LIST_BOUND = 50_000
 
 
-def dependency_lists(edges: DataFrame) -> DataFrame:
-    """Edge rows -> (target_id, ref, depends_on ARRAY) as a document needs them."""
-    return edges.groupBy("target_id", "ref").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("depends_on").isNotNull(), F.struct("at", "depends_on")))),
-            lambda e: e["depends_on"],
-        ).alias("depends_on")
+def dependency_lists(edges: DataFrame, bound: int = LIST_BOUND) -> DataFrame:
+    """Edge rows -> (target_id, ref, piece, depends_on ARRAY) as a document needs them.
+
+    The edges of a ref are counted first. More than ``bound`` of them come as several pieces,
+    so no list grows without limit.
+    """
+    keys = ["target_id", "ref"]
+    sizes = edges.groupBy(*keys).agg(F.ceil(F.count("*") / bound).alias("pieces"))
+    spread = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("depends_on"), F.col("pieces")))
+    piece = F.coalesce(spread, F.lit(0)).cast("bigint").alias("piece")
+    entry = F.when(F.col("depends_on").isNotNull(), F.struct("at", "depends_on"))
+    return (
+        edges.join(sizes, keys)
+        .select(*keys, piece, "at", "depends_on")
+        .repartition(*keys, "piece")
+        .groupBy(*keys, "piece")
+        .agg(
+            F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["depends_on"]).alias("depends_on")
+        )
     )
 
 

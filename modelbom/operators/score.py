@@ -83,12 +83,17 @@ def dataset_completeness(
     components: DataFrame, registry: list[FieldSpec] = DATASET_REGISTRY
 ) -> DataFrame:
     """Scores of data components in BOMs whose model references datasets; of several with one
-    name in a BOM the last counts."""
+    name in a BOM the last counts.
+
+    The per-name rule comes first: on the scan its map-side cut works, while after the join
+    all of a very large BOM could sit in one partition.
+    """
     users = components.where("is_metadata").where(datasets_referenced()).select("bom_id")
-    data = components.where("not is_metadata and type = 'data'").join(users, "bom_id", "left_semi")
+    data = components.where("not is_metadata and type = 'data'")
     named = data.withColumn("_name", F.coalesce("name", F.lit("")))
     last = first_wins(named, ["bom_id", "_name"], [F.desc("ord")])
-    return with_results(last, registry).select(
+    used = last.join(users, "bom_id", "left_semi")
+    return with_results(used, registry).select(
         "bom_id", "ord", F.col("name").alias("dataset_ref"), *RESULT
     )
 

@@ -226,7 +226,7 @@ def upsert_vulnerabilities(existing: DataFrame, incoming: DataFrame) -> DataFram
     incoming ones the last counts."""
     keys = ["bom_id", "bom_ref"]
     last = first_wins(incoming, keys, [F.desc("target_rank"), F.desc("target_ord"), F.desc("path")])
-    kept = existing.join(incoming.select(*keys).distinct(), keys, "left_anti")
+    kept = existing.join(last.select(*keys), keys, "left_anti")
     return kept.unionByName(last, allowMissingColumns=True)
 
 
@@ -239,8 +239,8 @@ def fetch_outcomes(log: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame
     """Status log (keys, seq, stage, status) -> one outcome per model.
 
     Stages are api, readme, tree and complete. An unauthorised answer counts as not found
-    unless the api stage succeeded before it. Two aggregates and a join on the key: the
-    first success has to be known before the answers are judged.
+    unless the api stage succeeded before it, so the first success is found first and joined
+    back. The answers of one model are then judged in several slices, which are combined.
     """
     keys = list(keys)
     ok_seq = (
@@ -252,13 +252,24 @@ def fetch_outcomes(log: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame
     before_ok = F.col("ok_seq").isNull() | (F.col("seq") < F.col("ok_seq"))
     missing = failed & ((F.col("status") == 404) | (unauthorised & before_ok))
     error = failed & ~missing
-    agg = rows.groupBy(*keys).agg(
-        F.max(F.col("ok_seq").isNotNull()).alias("api_ok"),
-        F.bool_or(missing).alias("not_found"),
-        F.min(F.when(error, F.struct("seq", unauthorised.alias("unauthorised"))))["unauthorised"].alias("first_error_unauthorised"),
-        F.bool_or(F.col("stage") == "complete").alias("complete"),
-    )
-    first = F.col("first_error_unauthorised")
+    slice_ = F.pmod(F.xxhash64("seq"), F.lit(64)).alias("slice")
+    judged = rows.select(
+        *keys,
+        slice_,
+        F.col("ok_seq").isNotNull().alias("api_ok"),
+        missing.alias("not_found"),
+        F.when(error, F.struct("seq", unauthorised.alias("unauthorised"))).alias("error"),
+        (F.col("stage") == "complete").alias("complete"),
+    ).repartition(*keys, "slice")
+
+    def combine(df, *by):
+        return df.groupBy(*by).agg(
+            F.max("api_ok").alias("api_ok"), F.max("not_found").alias("not_found"),
+            F.min("error").alias("error"), F.max("complete").alias("complete"),
+        )
+
+    agg = combine(combine(judged, *keys, "slice"), *keys)
+    first = F.col("error.unauthorised")
     outcome = (
         F.when(F.col("not_found") & ~F.col("api_ok"), "not found")
         .when(~F.col("complete"), "incomplete")

@@ -280,8 +280,11 @@ def _listed(rows: DataFrame, name: str, entry: Column, bound: int) -> DataFrame:
     ``bound`` of them are spread over several parts, so no group grows with the data."""
     sizes = rows.groupBy("bom_id").agg(F.ceil(F.count("*") / bound).alias("_parts"))
     placed = rows.select("bom_id", "ord", entry.alias("e")).join(sizes, "bom_id")
-    part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("ord", F.to_json(F.struct("e"))), F.col("_parts")))
-    return placed.groupBy("bom_id", F.coalesce(part, F.lit(0)).cast("bigint").alias("part")).agg(
+    spread = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("ord", F.to_json(F.struct("e"))), F.col("_parts")))
+    part = F.coalesce(spread, F.lit(0)).cast("bigint").alias("part")
+    # An explicit exchange: the join may have put all of a BOM into one partition.
+    parted = placed.select("bom_id", part, "ord", "e").repartition("bom_id", "part")
+    return parted.groupBy("bom_id", "part").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x["e"]).alias(name)
     )
 
@@ -299,10 +302,12 @@ def _dependency_entries(edges: DataFrame, bound: int) -> tuple[DataFrame, Column
     """Edges -> one row per (ref, piece of its list)."""
     keys = ["bom_id", "ord", "ref"]
     sizes = edges.groupBy(*keys).agg(F.ceil(F.count("*") / bound).alias("_parts"))
-    piece = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("depends_on"), F.col("_parts")))
+    spread = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("depends_on"), F.col("_parts")))
     lists = (
         edges.join(sizes, keys)
-        .groupBy(*keys, F.coalesce(piece, F.lit(0)).alias("piece"))
+        .select(*keys, F.coalesce(spread, F.lit(0)).alias("piece"), "pos", "depends_on")
+        .repartition(*keys, "piece")
+        .groupBy(*keys, "piece")
         .agg(
             F.transform(
                 F.array_sort(

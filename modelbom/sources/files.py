@@ -35,14 +35,21 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
-    """Flat settings file (full key: value, or key with ``- item`` lines) -> (key, value).
+    """Flat settings file (full key: value, or key with ``- item`` lines) -> (key, value)."""
+    texts = spark.read.text(path, wholetext=True)
+    return settings_rows(texts.withColumnRenamed("value", "text")).select("key", "value")
+
+
+def settings_rows(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Settings texts -> (other columns, key, value).
 
     Keys come out lower-cased. A list becomes its items between brackets.
     """
-    raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), "\n").alias("lines"))
-    keyed = lines.select("lines", yaml_key_positions("lines").alias("keys"))
-    n = F.size("keys")
+    keep = [c for c in texts.columns if c != text]
+    lines = texts.select(
+        *keep, F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n").alias("lines")
+    )
+    keyed = lines.select("*", yaml_key_positions("lines").alias("keys"))
     blocks = F.transform(
         "keys",
         lambda k, i: F.struct(
@@ -50,22 +57,22 @@ def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
             F.slice(
                 F.col("lines"),
                 k["pos"] + 1,
-                F.when(i + 1 < n, F.get(F.col("keys"), i + 1)["pos"]).otherwise(F.size("lines") + 1)
-                - k["pos"] - 1,
+                F.coalesce(F.get(F.col("keys"), i + 1)["pos"], F.size("lines") + 1) - k["pos"] - 1,
             ).alias("inner"),
         ),
     )
-    rows = keyed.select(F.inline(blocks))
+    rows = keyed.select(*keep, F.inline(blocks))
     key = F.regexp_extract("line", r"\A[\"']?([^\n]*?)[\"']?[ \t]*:(?:[ \t]|\z)", 1)
     head = F.regexp_replace("line", r"\A[^\n]*?:(?:[ \t]|\z)", "")
+    item = r"\A[ \t]*-(?:[ \t]|\z)"
     items = F.transform(
-        F.filter("inner", lambda l: l.rlike(r"\A[ \t]*-(?:[ \t]|\z)")),
-        lambda l: F.coalesce(_scalar(F.regexp_replace(l, r"\A[ \t]*-(?:[ \t]|\z)", "")), F.lit("<nil>")),
+        F.filter("inner", lambda l: l.rlike(item)),
+        lambda l: F.coalesce(_scalar(F.regexp_replace(l, item, "")), F.lit("<nil>")),
     )
     listed = F.when(F.size(items) > 0, F.concat(F.lit("["), F.array_join(items, " "), F.lit("]")))
-    return rows.select(F.lower(key).alias("key"), F.coalesce(nz(_scalar(head)), listed).alias("value")).where(
-        "value is not null"
-    )
+    return rows.select(
+        *keep, F.lower(key).alias("key"), F.coalesce(nz(_scalar(head)), listed).alias("value")
+    ).where("value is not null")
 
 
 def values_map(values: DataFrame) -> DataFrame:

@@ -26,9 +26,13 @@ def _renamed(df: DataFrame) -> DataFrame:
 
 def read_hub_models(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of model responses; card data as VARIANT, the bool-or-string ``gated`` as text."""
-    raw = _renamed(spark.read.schema(sc.HUB_MODEL).json(path))
-    return raw.select(
-        *[c for c in raw.columns if c not in ("cardData", "config", "gated")],
+    return decoded_models(spark.read.schema(sc.HUB_MODEL).json(path))
+
+
+def decoded_models(raw: DataFrame) -> DataFrame:
+    rows = _renamed(raw)
+    return rows.select(
+        *[c for c in rows.columns if c not in ("cardData", "config", "gated")],
         F.trim("gated").alias("gated"),
         card_variant("cardData").alias("card_data"),
         F.col("config.model_type").alias("model_type"),
@@ -37,18 +41,28 @@ def read_hub_models(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hub_datasets(spark: SparkSession, path: str) -> DataFrame:
-    raw = _renamed(spark.read.schema(sc.HUB_DATASET).json(path))
-    return raw.select(
-        *[c for c in raw.columns if c not in ("cardData", "gated")],
+    return decoded_datasets(spark.read.schema(sc.HUB_DATASET).json(path))
+
+
+def decoded_datasets(raw: DataFrame) -> DataFrame:
+    rows = _renamed(raw)
+    return rows.select(
+        *[c for c in rows.columns if c not in ("cardData", "gated")],
         F.trim("gated").alias("gated"),
         card_variant("cardData").alias("card_data"),
     )
 
 
+TREE_ROW = f"repo_id string, page int, {sc.SECURITY_ENTRY}"
+
+
 def read_security_tree(spark: SparkSession, path: str, kind: str = "model", pages: int = 10) -> DataFrame:
     """JSON lines of listing entries with ``repo_id`` and landed ``page`` number; at most the
     first ``pages`` pages of a repository."""
-    raw = spark.read.schema(f"repo_id string, page int, {sc.SECURITY_ENTRY}").json(path)
+    return listed_entries(spark.read.schema(TREE_ROW).json(path), kind, pages)
+
+
+def listed_entries(raw: DataFrame, kind: str = "model", pages: int = 10) -> DataFrame:
     return cap_pages(raw, pages).withColumn("kind", F.lit(kind))
 
 
