@@ -161,11 +161,12 @@ def _quoted_fields(type_: str) -> str:
     return type_.replace("bom-ref:", "`bom-ref`:")
 
 
-def _nested(rows: DataFrame) -> DataFrame:
+def _nested(rows: DataFrame) -> DataFrame | None:
     """Children of components, level by level, as rows with ``parent_ref`` and ``level``."""
-    out = None
+    out, level = None, 2
     level_rows = rows.select("bom_id", "c")
-    for level in range(2, NESTED_LEVELS + 1):
+    kind = level_rows.schema["c"].dataType
+    while "components" in kind.fieldNames():
         parent = identity_ref(F.col("c.bom-ref"), F.col("c.type"), F.col("c.name"), F.col("c.version"))
         kids = level_rows.select(
             "bom_id", parent.alias("parent_ref"), F.posexplode("c.components").alias("pos", "k")
@@ -176,6 +177,7 @@ def _nested(rows: DataFrame) -> DataFrame:
         )
         out = made if out is None else out.unionByName(made)
         level_rows = kids.select("bom_id", F.col("k").alias("c"))
+        kind, level = level_rows.schema["c"].dataType, level + 1
     return out
 
 

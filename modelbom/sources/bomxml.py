@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _PROP = "struct<property:array<struct<_name:string,_VALUE:string>>>"
 _MODEL_CARD = (
@@ -111,7 +112,7 @@ def _component(c: Column) -> Column:
 
 def read_xml_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``bom`` elements as rows in the JSON document shape."""
-    from modelbom.sources.boms import _component_type, bom_schema
+    from modelbom.sources.boms import bom_schema
 
     raw = (
         spark.read.format("xml").option("rowTag", "bom").option("recursiveFileLookup", "true")
@@ -146,15 +147,7 @@ def read_xml_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     # Fields the XML mapping does not carry come as NULL in their JSON type.
     have = set(shaped.columns)
-    target = spark.createDataFrame([], bom_schema()).schema
-    leaf = F.lit(None).cast(f"array<{_component_type(1)}>")
-
-    def padded(c: Column) -> Column:
-        return c.withField("components", leaf)
-
-    shaped = shaped.withColumn("components", F.transform("components", padded)).withColumn(
-        "metadata", F.col("metadata").withField("component", F.when(F.col("metadata.component").isNotNull(), padded(F.col("metadata.component"))))
-    )
+    target = StructType.fromDDL(bom_schema())
     extra = [
         F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields if f.name not in have
     ]
