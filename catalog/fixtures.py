@@ -113,7 +113,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey
 VIEWS["security_flat"] = f"""
 WITH p AS ({_IDS})
 SELECT CASE WHEN event_id % 10 = 9 THEN 'dataset' ELSE 'model' END AS kind,
-       CASE WHEN event_id % 10 = 9 THEN concat('ds-org/', CAST(user_id % 40 AS STRING)) ELSE id END AS repo_id,
+       CASE WHEN event_id % 10 = 9 THEN concat('ds-org/', CAST(user_id AS STRING)) ELSE id END AS repo_id,
        event_id, CAST(event_id % 12 AS INT) AS page,
        concat('dir ', CAST(event_id % 7 AS STRING), '/w"', CAST(event_id AS STRING), '.bin') AS path,
        CASE WHEN event_id % 11 = 0 THEN NULL
@@ -156,8 +156,8 @@ WITH b AS (
   SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'bom-1' ELSE concat('bom-', CAST(o_custkey AS STRING)) END, o_orderkey + 1, false, o_orderkey,
          CASE WHEN o_orderkey % 5 = 0 THEN 'library' WHEN o_orderkey % 23 = 0 THEN 'machine-learning-model' ELSE 'data' END,
          CASE WHEN o_orderkey % 7 <> 0 THEN concat('data/', CAST(o_orderkey % 500 AS STRING)) WHEN o_orderkey % 2 = 0 THEN '' END,
-         CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE concat('datasets/ds-org/', CAST(o_orderkey % 60 AS STRING)) END,
-         CASE o_orderkey % 4 WHEN 0 THEN concat('pkg:huggingface/datasets/ds-org/', CAST(o_orderkey % 50 AS STRING), '@abc')
+         CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE concat('datasets/ds-org/', CAST(CAST(floor(o_orderkey / 20.0) AS BIGINT) AS STRING)) END,
+         CASE o_orderkey % 4 WHEN 0 THEN concat('pkg:huggingface/datasets/ds-org/', CAST(CAST(floor(o_orderkey / 25.0) AS BIGINT) AS STRING), '@abc')
               WHEN 1 THEN 'pkg:huggingface/single' WHEN 2 THEN 'pkg:huggingface/datasets/' END
   FROM orders)
 SELECT *, CASE WHEN k % 2 = 0 THEN CAST(k % 3 AS STRING) END AS version,
@@ -279,13 +279,21 @@ FROM events JOIN p ON p.k = user_id
 """
 
 
+_REGISTERED: dict[str, tuple] = {}
+
+
 def register_tables(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
     """Temporary views of the test tables (only those a SQL text names)."""
     for t in TABLES:
-        if sql is None or re.search(rf"\b{t}\b", sql):
-            path = os.path.join(sf_dir, f"{t}.parquet")
-            if os.path.exists(path) or "://" in sf_dir:
-                spark.read.parquet(path).createOrReplaceTempView(t)
+        if sql is not None and not re.search(rf"\b{t}\b", sql):
+            continue
+        path = os.path.join(sf_dir, f"{t}.parquet")
+        here = (spark.sparkContext.applicationId, id(spark), path)
+        if _REGISTERED.get(t) == here and spark.catalog.tableExists(t):
+            continue
+        if os.path.exists(path) or "://" in sf_dir:
+            spark.read.parquet(path).createOrReplaceTempView(t)
+            _REGISTERED[t] = here
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -516,8 +516,8 @@ fm AS (SELECT doc_id, CASE WHEN cut IS NOT NULL THEN left(rest, cut - 1) END AS
 
 @query("F11_split_front_matter", with_views("cards") + f", {_FM} SELECT * FROM fm")
 def f11(spark, sf_dir):
-    c = view(spark, sf_dir, "cards").select("doc_id", cards.split_front_matter("raw").alias("p"))
-    return c.select("doc_id", "p.front", "p.body")
+    parts = cards.split_front_matter(view(spark, sf_dir, "cards"))
+    return parts.select("doc_id", F.col("_front").alias("front"), F.col("_body").alias("body"))
 
 
 # Flat keys by exploded lines: the key's own line, then the item lines up to the next key.

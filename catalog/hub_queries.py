@@ -182,19 +182,26 @@ _FROM_HUB = """SELECT id, CASE WHEN pk % 6 = 0 THEN ' ' ELSE concat(id, CASE WHE
 # ---- Spark side sources -----------------------------------------------------------------
 
 
+def hub_cards(spark, sf_dir):
+    """(hub models, model cards by id)."""
+    every = fx.hub_models(spark, sf_dir)
+    parsed = cards.model_card(view(spark, sf_dir, "cards"))
+    return every, parsed.join(every.select("id", "pk"), F.col("doc_id") == F.col("pk"))
+
+
+def dataset_cards(spark, sf_dir):
+    ident = F.concat(F.lit("ds-org/"), F.col("doc_id").cast("string"))
+    return cards.dataset_card(view(spark, sf_dir, "cards").withColumn("id", ident))
+
+
 def hub(spark, sf_dir) -> inventory.Hub:
     """Fixture hub: only models that answered 200 have metadata."""
-    every = fx.hub_models(spark, sf_dir)
-    text = view(spark, sf_dir, "cards")
-    model_cards = cards.model_card(text).join(every.select("id", "pk"), F.col("doc_id") == F.col("pk"))
-    dataset_cards = cards.dataset_card(
-        text.withColumn("id", F.concat(F.lit("ds-org/"), F.col("doc_id").cast("string")))
-    )
+    every, model_cards = hub_cards(spark, sf_dir)
     return inventory.Hub(
         models=every.where("api_status = 200"),
         datasets=fx.hub_datasets(spark, sf_dir),
         model_cards=model_cards,
-        dataset_cards=dataset_cards,
+        dataset_cards=dataset_cards(spark, sf_dir),
         security=fx.security_entries(spark, sf_dir),
         status=every.select("id", F.col("api_status").alias("status")),
     )
@@ -209,10 +216,18 @@ def hub_discoveries(spark, sf_dir):
 
 
 def attached(spark, sf_dir):
-    h = hub(spark, sf_dir)
-    entries = cap_pages(h.security).where("kind = 'model'")
+    """Attached model rows over the fixture discoveries."""
+    every, model_cards = hub_cards(spark, sf_dir)
+    entries = cap_pages(fx.security_entries(spark, sf_dir)).where("kind = 'model'")
     summary = security.security_summary(entries, ("repo_id",)).withColumnRenamed("repo_id", "id")
-    return h, assemble.attach_metadata(hub_discoveries(spark, sf_dir), h.models, h.model_cards, summary)
+    return assemble.attach_metadata(
+        hub_discoveries(spark, sf_dir), every.where("api_status = 200"), model_cards, summary
+    )
+
+
+def attached_datasets(spark, sf_dir):
+    refs = assemble.model_dataset_refs(attached(spark, sf_dir))
+    return assemble.attach_datasets(refs, fx.hub_datasets(spark, sf_dir), dataset_cards(spark, sf_dir))
 
 
 @query(
@@ -221,7 +236,7 @@ def attached(spark, sf_dir):
     + f", {joined_cte(_FROM_HUB)} SELECT mid AS bom_id, sha, downloads, license AS card_license, model_card_contact, overall, scanned FROM j",
 )
 def j1(spark, sf_dir):
-    _, rows = attached(spark, sf_dir)
+    rows = attached(spark, sf_dir)
     return rows.select(
         "bom_id", "api.sha", "api.downloads", F.col("card.license").alias("card_license"), "card.model_card_contact",
         "sec.overall", "sec.scanned",
@@ -245,8 +260,7 @@ def j2(spark, sf_dir):
     + f", {joined_cte(_FROM_HUB)}, {DATASET_ROWS} SELECT bom_id, ord, dataset_id, sha, c_license AS card_license, c_curated_by AS curated_by FROM dj",
 )
 def j3(spark, sf_dir):
-    h, rows = attached(spark, sf_dir)
-    data = assemble.attach_datasets(assemble.model_dataset_refs(rows), h.datasets, h.dataset_cards)
+    data = attached_datasets(spark, sf_dir)
     return data.select(
         "bom_id", "ord", "dataset_id", "api.sha", F.col("card.license").alias("card_license"), "card.curated_by"
     )
@@ -254,7 +268,7 @@ def j3(spark, sf_dir):
 
 @query("X1_assemble_models", with_views(*_MODEL_VIEWS) + f", {joined_cte(_FROM_HUB)} {X1_SQL}")
 def x1(spark, sf_dir):
-    _, rows = attached(spark, sf_dir)
+    rows = attached(spark, sf_dir)
     return flat_components(assemble.assemble_models(rows)).select(*MODEL_COLUMNS)
 
 
@@ -263,8 +277,7 @@ def x1(spark, sf_dir):
     with_views(*_MODEL_VIEWS, "hub_datasets") + f", {joined_cte(_FROM_HUB)}, {DATASET_ROWS} {X2_SQL}",
 )
 def x2(spark, sf_dir):
-    h, rows = attached(spark, sf_dir)
-    data = assemble.attach_datasets(assemble.model_dataset_refs(rows), h.datasets, h.dataset_cards)
+    data = attached_datasets(spark, sf_dir)
     return flat_components(assemble.assemble_datasets(data)).select(*DATASET_COLUMNS)
 
 
@@ -482,7 +495,8 @@ def s5(spark, sf_dir):
     SELECT doc_id, key, coalesce(head, items) AS value FROM rows WHERE coalesce(head, items) IS NOT NULL""",
 )
 def s6(spark, sf_dir):
-    texts = view(spark, sf_dir, "cards").select("doc_id", cards.split_front_matter("raw")["front"].alias("text"))
+    parts = cards.split_front_matter(view(spark, sf_dir, "cards"))
+    texts = parts.select("doc_id", F.col("_front").alias("text"))
     return settings_rows(texts.where("text is not null"))
 
 

@@ -50,16 +50,28 @@ DATASET_BULLETS = {
 }
 
 
-def split_front_matter(raw) -> Column:
-    """struct(front, body). ``front`` is NULL without a front-matter block; the body then is
-    the whole text, else it starts at the closing marker."""
-    text = trim(F.replace(col(raw), F.lit("\r\n"), F.lit("\n")))
-    rest = F.when(text.startswith("---\n"), F.substring(text, 5, 1 << 30))
-    exact, loose = F.instr(rest, "\n---\n"), F.instr(rest, "\n---")
+def card_text(raw) -> Column:
+    return trim(F.replace(col(raw), F.lit("\r\n"), F.lit("\n")))
+
+
+def front_matter_end(text) -> Column:
+    """Where the closing marker's line end is in a card text; NULL without front matter."""
+    text = col(text)
+    exact, loose = F.locate("\n---\n", text, 5), F.locate("\n---", text, 5)
     end = F.when(exact > 0, exact).when(loose > 0, loose)
-    front = F.when(end.isNotNull(), F.substring(rest, F.lit(1), end - 1))
-    body = F.when(end.isNotNull(), trim(F.substring(rest, end, F.length(rest))))
-    return F.struct(front.alias("front"), F.coalesce(body, text).alias("body"))
+    return F.when(text.startswith("---\n"), end)
+
+
+def split_front_matter(cards: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add ``_front`` and ``_body``. ``_front`` is NULL without a front-matter block; the body
+    then is the whole text, else it starts at the closing marker."""
+    staged = cards.select("*", card_text(raw).alias("_text"))
+    staged = staged.select("*", front_matter_end("_text").alias("_end"))
+    text, end = F.col("_text"), F.col("_end")
+    body = F.when(end.isNull(), text).otherwise(trim(F.substring(text, end, F.length(text))))
+    return staged.select(
+        *cards.columns, F.substring(text, F.lit(5), end - 5).alias("_front"), body.alias("_body")
+    )
 
 
 def text_lines(text) -> Column:
@@ -183,12 +195,8 @@ def front_matter_unparsed(lines) -> Column:
 def with_parts(cards: DataFrame, raw: str = "raw") -> DataFrame:
     """Stage front matter, body, lines, headings and keys, each in its own projection so that
     it is computed once: _front, _body, _lines, _headings, _front_lines, _keys."""
-    parts = cards.withColumn("_fm", split_front_matter(raw))
-    staged = parts.select(
-        "*",
-        F.col("_fm.body").alias("_body"),
-        F.split(F.col("_fm.front"), "\n").alias("_front_lines"),
-        text_lines(F.col("_fm.body")).alias("_lines"),
+    staged = split_front_matter(cards, raw).select(
+        "*", F.split("_front", "\n").alias("_front_lines"), text_lines("_body").alias("_lines")
     )
     return staged.select(
         "*",
