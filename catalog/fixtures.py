@@ -188,11 +188,12 @@ UNION ALL
 SELECT concat('empty-', CAST(s_suppkey AS STRING)), s_suppkey, '1.6', 'CycloneDX', NULL, CAST(1 AS BIGINT), NULL FROM supplier
 """
 
-# Which BOMs are merged: a third of them go into one target.
-VIEWS["members"] = """
-SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY k) - 1 AS INT) AS seq, bom_id
-FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'app-hot' ELSE concat('app-', CAST(c_custkey % 40 AS STRING)) END AS target_id,
-             c_custkey AS k, concat('bom-', CAST(c_custkey AS STRING)) AS bom_id FROM customer) m
+# Which BOMs are merged: a third of them go into one target. The smallest key is the base.
+_TARGETS = """SELECT CASE WHEN c_custkey % 3 = 0 THEN 'app-hot' ELSE concat('app-', CAST(c_custkey % 40 AS STRING)) END AS target_id,
+         c_custkey AS k, concat('bom-', CAST(c_custkey AS STRING)) AS bom_id FROM customer"""
+VIEWS["members"] = f"""
+SELECT m.target_id, CASE WHEN m.k = b.base THEN 0 ELSE m.k + 1 END AS seq, m.bom_id
+FROM ({_TARGETS}) m JOIN (SELECT target_id, min(k) AS base FROM ({_TARGETS}) t GROUP BY target_id) b ON b.target_id = m.target_id
 """
 
 VIEWS["dep_rows"] = """
@@ -209,14 +210,15 @@ SELECT concat('bom-', CAST(s_suppkey AS STRING)), s_suppkey + 200000000, concat(
        CAST(NULL AS BIGINT), CAST(NULL AS STRING) FROM supplier
 """
 
-VIEWS["tools"] = """
+_TOOL_ROWS = " UNION ALL ".join(f"SELECT c_custkey, c_mktsegment, {n} AS n FROM customer" for n in (0, 1, 2, 5))
+VIEWS["tools"] = f"""
 SELECT concat('bom-', CAST(c_custkey AS STRING)) AS bom_id, CAST(n AS BIGINT) AS ord, (c_custkey + n) % 4 = 0 AS legacy,
        CASE WHEN (c_custkey + n) % 4 <> 0 THEN 'application' END AS type,
        CASE WHEN (c_custkey + n) % 4 = 0 AND c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN '' END AS vendor,
        CASE WHEN (c_custkey + n) % 4 <> 0 AND c_custkey % 5 = 0 THEN c_mktsegment END AS manufacturer,
        concat('tool-', CAST((c_custkey * 3 + n) % 11 AS STRING)) AS name,
        CASE WHEN n % 3 <> 0 THEN CAST(c_custkey % 2 AS STRING) END AS version
-FROM customer JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 5) r ON true
+FROM ({_TOOL_ROWS}) r
 """
 
 VIEWS["services"] = """

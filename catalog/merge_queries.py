@@ -216,13 +216,16 @@ def l7(spark, sf_dir):
     return merged_components(out)
 
 
-# The two-BOM form over each target's first two BOMs.
-_TWO = "members2 AS (SELECT * FROM members WHERE seq < 2)"
+# The two-BOM form over the base of each target and the BOM after it.
+_TWO = """members2 AS (SELECT * FROM members WHERE seq = 0 UNION ALL SELECT m.* FROM members m
+  JOIN (SELECT target_id, min(seq) AS s FROM members WHERE seq > 0 GROUP BY target_id) x ON x.target_id = m.target_id AND x.s = m.seq)"""
 _TWO_LISTED = "listed2 AS (SELECT * FROM listed WHERE NOT is_metadata)"
 
 
 def two_members(spark, sf_dir):
-    return view(spark, sf_dir, "members").where("seq < 2")
+    every = view(spark, sf_dir, "members")
+    second = every.where("seq > 0").groupBy("target_id").agg(F.min("seq").alias("seq"))
+    return every.where("seq = 0").unionByName(every.join(second, ["target_id", "seq"], "left_semi"))
 
 
 @query(

@@ -437,7 +437,8 @@ def l5(spark, sf_dir):
 @query(
     "L5_refresh_models",
     with_views("comp_flat", "hub_models")
-    + f""", a AS (SELECT * FROM hub_models WHERE api_status = 200), c AS (SELECT *, CASE WHEN k % 2 = 0 THEN (SELECT max(id) FROM a) ELSE name END AS nm FROM comp_flat WHERE is_metadata)
+    + f""", a AS (SELECT * FROM hub_models WHERE api_status = 200),
+    c AS (SELECT f.*, coalesce(h.id, f.name) AS nm FROM comp_flat f LEFT JOIN hub_models h ON h.pk = f.k WHERE f.is_metadata)
     SELECT c.bom_id, CASE WHEN a.id IS NOT NULL THEN a.id ELSE nm END AS name,
       CASE WHEN a.id IS NOT NULL THEN coalesce('SHA-1=' || {nz_sql('a.sha')}, 'SHA-1=' || c.sha) ELSE 'SHA-1=' || c.sha END AS hashes,
       CASE WHEN a.id IS NOT NULL AND {nz_sql('c.author')} IS NULL THEN coalesce({nz_sql('a.author')}, c.author) ELSE c.author END AS manufacturer
@@ -445,12 +446,11 @@ def l5(spark, sf_dir):
 )
 def l5_refresh(spark, sf_dir):
     models = fx.components(spark, sf_dir).where("is_metadata")
-    hub = fx.hub_models(spark, sf_dir).where("api_status = 200")
-    last = hub.agg(F.max("id").alias("last_id"))
-    named = models.crossJoin(F.broadcast(last)).withColumn(
-        "name", F.when(F.col("k") % 2 == 0, F.col("last_id")).otherwise(F.col("name"))
-    ).drop("last_id", "k")
-    return flat_components(refresh_models(named, hub)).select("bom_id", "name", "hashes", "manufacturer")
+    hub = fx.hub_models(spark, sf_dir)
+    ids = hub.select(F.col("id").alias("hub_name"), F.col("pk").alias("k"))
+    named = models.join(ids, "k", "left").withColumn("name", F.coalesce("hub_name", "name")).drop("hub_name", "k")
+    fresh = refresh_models(named, hub.where("api_status = 200"))
+    return flat_components(fresh).select("bom_id", "name", "hashes", "manufacturer")
 
 
 @query(
