@@ -50,8 +50,14 @@ DATASET_BULLETS = {
 }
 
 
+def _plain_ends(text) -> Column:
+    """CRLF -> LF; the byte-wise replacement runs only on texts that hold a CR at all."""
+    text = col(text)
+    return F.when(text.rlike("\r"), F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text)
+
+
 def card_text(raw) -> Column:
-    return trim(F.replace(col(raw), F.lit("\r\n"), F.lit("\n")))
+    return trim(_plain_ends(raw))
 
 
 def front_matter_end(text) -> Column:
@@ -75,7 +81,7 @@ def split_front_matter(cards: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def text_lines(text) -> Column:
-    return F.split(F.replace(col(text), F.lit("\r\n"), F.lit("\n")), "\n")
+    return F.split(_plain_ends(text), "\n")
 
 
 def header_positions(lines, pattern: str) -> Column:
@@ -133,7 +139,7 @@ def yaml_key_positions(lines) -> Column:
 def _scalar(text: Column) -> Column:
     """Plain, quoted or commented scalar -> its text; null spellings -> NULL."""
     t = trim(text)
-    double = F.regexp_extract(t, r'\A"((?:[^"\\]|\\.)*+)"[ \t]*(?:#.*)?\z', 1)
+    double = F.regexp_extract(t, r'\A"([^"\\]*+(?:\\.[^"\\]*+)*+)"[ \t]*(?:#.*)?\z', 1)
     single = F.regexp_extract(t, r"\A'([^']*+)'[ \t]*(?:#.*)?\z", 1)
     plain = trim(F.regexp_replace(t, r"(?:\A|[ \t])#.*\z", ""))
     value = (
@@ -196,7 +202,7 @@ def with_parts(cards: DataFrame, raw: str = "raw") -> DataFrame:
     """Stage front matter, body, lines, headings and keys, each in its own projection so that
     it is computed once: _front, _body, _lines, _headings, _front_lines, _keys."""
     staged = split_front_matter(cards, raw).select(
-        "*", F.split("_front", "\n").alias("_front_lines"), text_lines("_body").alias("_lines")
+        "*", F.split("_front", "\n").alias("_front_lines"), F.split("_body", "\n").alias("_lines")
     )
     return staged.select(
         "*",

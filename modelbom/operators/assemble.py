@@ -93,9 +93,14 @@ def _with_index(rows: DataFrame) -> DataFrame:
     return staged.withColumn("card", card).drop("_index")
 
 
-def model_dataset_refs(rows: DataFrame) -> DataFrame:
-    """Attached rows -> (bom_id, ord, dataset_id): card data first, then card text, distinct."""
-    ids = ss.dataset_ids(F.col("api.card_data"), F.col("card.datasets"))
+def model_dataset_ids() -> Column:
+    """Dataset ids of an attached row: card data first, then card text, distinct."""
+    return ss.dataset_ids(F.col("api.card_data"), F.col("card.datasets"))
+
+
+def model_dataset_refs(rows: DataFrame, ids: Column | None = None) -> DataFrame:
+    """Attached rows (or rows with an array of ``ids``) -> (bom_id, ord, dataset_id)."""
+    ids = model_dataset_ids() if ids is None else ids
     return rows.select("bom_id", F.posexplode(ids).alias("pos", "dataset_id")).select(
         "bom_id", F.col("pos").cast("bigint").alias("ord"), "dataset_id"
     )
@@ -259,9 +264,15 @@ def _finish(rows: DataFrame, columns: dict[str, Column], keys: list[Column]) ->
 
 
 def assemble_models(
-    rows: DataFrame, registry: list[FieldSpec] = MODEL_REGISTRY, evidence: bool = True
+    rows: DataFrame,
+    registry: list[FieldSpec] = MODEL_REGISTRY,
+    evidence: bool = True,
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Attached rows -> one metadata component per BOM, one projection, no shuffle."""
+    """Attached rows -> one metadata component per BOM: projections only, no shuffle.
+
+    ``carry`` adds columns computed from the attached row.
+    """
     seen = evidence_properties() if evidence else None
     rows, cols = _from_sources(rows, registry, None, True, seen)
     cols["type"] = F.lit("machine-learning-model")
@@ -270,6 +281,7 @@ def assemble_models(
     keys = [
         F.col("bom_id"), F.lit(0).cast("bigint").alias("ord"), F.lit(True).alias("is_metadata"),
         F.lit(None).cast("string").alias("parent_ref"),
+        *[c.alias(n) for n, c in (carry or {}).items()],
     ]
     return _finish(rows, cols, keys)
 

@@ -42,13 +42,14 @@ def generate(discoveries: DataFrame, hub: Hub) -> BomTables:
         per_repo = security.security_summary(entries.where("kind = 'model'"), ("repo_id",))
         summary = per_repo.withColumnRenamed("repo_id", "id")
     rows = assemble.attach_metadata(found, hub.models, hub.model_cards, summary)
-    models = assemble.assemble_models(rows)
-    components = models
+    # Models are stored with their dataset ids, so hub data is joined and read once.
+    ids = {"dataset_ids": assemble.model_dataset_ids()}
+    models = materialize(assemble.assemble_models(rows, carry=ids))
+    components = models.drop("dataset_ids")
     if hub.datasets is not None:
-        refs = assemble.model_dataset_refs(rows)
+        refs = assemble.model_dataset_refs(models, F.col("dataset_ids"))
         attached = assemble.attach_datasets(refs, hub.datasets, hub.dataset_cards)
-        components = models.unionByName(assemble.assemble_datasets(attached))
-    components = materialize(components)
+        components = components.unionByName(materialize(assemble.assemble_datasets(attached)))
     vulnerabilities = None
     if entries is not None:
         targets = components.where("is_metadata").select(
