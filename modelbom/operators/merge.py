@@ -106,12 +106,11 @@ def merge_dependencies(placed: DataFrame, base_last_wins: bool = False) -> DataF
         rows = rows.join(last, ["target_id", "ref"], "left").where("seq > 0 or ord = last_ord").drop("last_ord")
     at = F.struct("seq", "ord", "pos")
     edges = rows.groupBy("target_id", "ref", "depends_on").agg(
-        F.min(at).alias("at"), F.min(entry).alias("first"), F.max(entry).alias("last"),
-        F.count("*").alias("copies"),
+        F.min(at).alias("at"), F.max(entry).alias("last"), F.count("*").alias("copies")
     )
     listed = F.col("depends_on").isNotNull()
     lists = edges.groupBy("target_id", "ref").agg(
-        F.min(F.when(listed, F.col("first"))).alias("list_first"),
+        F.min(F.when(listed, F.struct("at.seq", "at.ord"))).alias("list_first"),
         F.max(F.when(listed, F.col("last"))).alias("list_last"),
     )
     known = edges.join(lists, ["target_id", "ref"])
