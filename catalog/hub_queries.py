@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.extract_queries import DISCOVERIES_CTE
-from catalog.fixtures import VIEWS, view, with_views
+from catalog.fixtures import view, with_views
 from catalog.function_queries import (
     _FM, _FRONT_LINES, _HEAD, _ITEM_TEXT, yaml_scalar_sql,
-    DATASET_FM, DATASETS_LIST_SQL, LANGUAGE_SQL, LICENSE_SQL, MODEL_FM, _METRICS_SQL, _RES_D, _J, _flat, card_sql,
+    DATASET_FM, DATASETS_LIST_SQL, LANGUAGE_SQL, LICENSE_SQL, MODEL_FM, _METRICS_SQL, _RES_D, _J, card_sql,
     configs_sql, group_sql, normalized_sql, ordered_distinct_sql, purl_sql, refs_sql, string_members_sql,
     string_or_list_sql,
 )

@@ -12,7 +12,7 @@ from catalog.registry import query
 from catalog.sqltext import nz_sql, trim_sql
 from modelbom.operators import enrich, score
 from modelbom.operators.assemble import apply_user_values, refresh_models
-from modelbom.operators.registry import DATASET_REGISTRY, MODEL_REGISTRY, FieldSpec
+from modelbom.operators.registry import DATASET_REGISTRY, FieldSpec
 from modelbom.plans import inventory
 from modelbom.sources.boms import BomTables
 from modelbom.functions.text import trim_nz
