@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelbom.llm.common import read
+from modelbom.llm.decontaminate import contaminated
 from modelbom.llm.line_dedup import RUN, line_dedup
+from modelbom.llm.packing import pack
 from modelbom.llm.quality_rules import STOP_WORDS, quality_rules
+from modelbom.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +86,24 @@ LEFT JOIN c ON o.doc_id IS NOT DISTINCT FROM c.doc_id AND c.g = k.g
 @query("op5_line_dedup", LINES_SQL)
 def op5(spark, sf_dir):
     return line_dedup(read(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_packing")
+def op8(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op10_simhash")
+def op10(spark, sf_dir):
+    return simhash_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op1_decontaminate")
+def op1(spark, sf_dir):
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("digest")
