@@ -247,13 +247,14 @@ def _verify(share: float):
 
 def item_classes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(member, item_id, words): every item and the smallest id among the items of the same words."""
-    import pandas as pd
 
-    @F.pandas_udf("string")
-    def joined(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: " ".join(words_of(x)))
+    def joined(batches):
+        for pdf in batches:
+            pdf["words"] = [" ".join(words_of(t)) for t in pdf["words"]]
+            yield pdf
 
-    worded = items.select(F.col(f"`{item_id}`").cast("long").alias("member"), joined(F.col(f"`{text}`")).alias("words"))
+    worded = items.select(F.col(f"`{item_id}`").cast("long").alias("member"), F.col(f"`{text}`").cast("string").alias("words"))
+    worded = worded.mapInPandas(joined, "member long, words string")
     least = worded.groupBy("words").agg(F.min("member").alias("item_id"))
     return worded.join(least, "words").select("member", "item_id", "words")
 

@@ -45,8 +45,11 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
-    """Add the measured columns to ``docs``; all are longs and 0 for a null or empty text."""
+def measure(docs: DataFrame, text: str = "text", window: int = 5, more: dict | None = None) -> DataFrame:
+    """Add the measured columns to ``docs``; all are longs and 0 for a null or empty text.
+
+    ``more`` has further columns: names and functions of the array of words.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(F.translate(x, SPACE, " " * len(SPACE))) != "")
     a = docs.withColumns({"_words": words(t), "_lines": lines})
@@ -80,6 +83,7 @@ def measure(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         count(MARKS).cast("long").alias("n_marks"),
+        *[f(F.col("_words")).cast("long").alias(c) for c, f in (more or {}).items()],
     ))
 
 

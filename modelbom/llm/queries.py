@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelbom.llm.common import read
+from modelbom.llm.classifier import classify
+from modelbom.llm.common import new_path, read
 from modelbom.llm.decontaminate import contaminated
 from modelbom.llm.line_dedup import RUN, line_dedup
 from modelbom.llm.packing import pack
+from modelbom.llm.pii import pseudonymise
 from modelbom.llm.quality_rules import STOP_WORDS, quality_rules
+from modelbom.llm.resharding import resharded
 from modelbom.llm.simhash import simhash_groups
+from modelbom.llm.suffix_dedup import remove_repeats
+from modelbom.llm.warc import BASE32, parse_records, read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +112,54 @@ def op10(spark, sf_dir):
 @query("op1_decontaminate")
 def op1(spark, sf_dir):
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("digest")
+
+
+_BASE32 = ", ".join(
+    f"substr('{BASE32}', 1 + (((strpos('0123456789abcdef', substr(h, {5 * i // 4 + 1}, 1)) - 1) * 16"
+    f" + (strpos('0123456789abcdef', substr(h, {5 * i // 4 + 2}, 1)) - 1)) >> {3 - 5 * i % 4}) % 32, 1)"
+    for i in range(32)
+)
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS last FROM p)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, concat({_BASE32}) AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM h
+"""
+
+
+@query("op2_warc", WARC_SQL)
+def op2(spark, sf_dir):
+    path = new_path(spark, "archive")
+    write_archive(read(spark, sf_dir, "pages"), path)
+    return parse_records(read_archive(spark, path)).drop("url")
+
+
+#: The key of the registered query; a caller gives their own secret.
+PII_KEY = "corpus"
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    return pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
+
+
+#: Shards before; their sizes follow the sources and differ much.
+OLD_SHARDS = 6
+
+
+@query("op6_sharding")
+def op6(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return resharded(docs, F.pmod(F.crc32(F.encode("source", "utf-8")), F.lit(OLD_SHARDS)), 8)
+
+
+@query("op7_classifier")
+def op7(spark, sf_dir):
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op9_suffix_dedup")
+def op9(spark, sf_dir):
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("doc", "kept")
