@@ -18,8 +18,9 @@ def _with_lines(docs: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     at = F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     worded = F.filter(at, lambda x: F.trim(F.translate(x["line"], SPACE, " " * len(SPACE))) != "")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(
-        "doc_id", F.col(f"`{text}`").alias("text"), F.unhex(F.md5(t)).alias("digest"), worded.alias("lines")
+        "doc_id", F.col(f"`{text}`").alias("text"), F.unhex(F.md5(t)).alias("digest"), worded.alias("lines"), row.alias("row")
     )
 
 
@@ -73,6 +74,11 @@ def repeated_runs(lined: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
+    """See ``shortened``; without the rows as they came."""
+    return shortened(docs, text, run).drop("row")
+
+
+def shortened(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
     """Delete from every document the lines of runs that occurred at an earlier place.
 
     A run is ``run`` or more consecutive lines with a word (lines without one are stepped over and
@@ -80,12 +86,12 @@ def line_dedup(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame
     first place of a run stays, also within one document; every later one goes, wherever it is.
 
     Returns doc_id, text (what is left), n_lines (lines with a word), n_removed, removed (their
-    0-based numbers among all lines). Rows equal in doc_id and text are one document and give equal
+    0-based numbers among all lines) and row (the row as it came). Rows equal in doc_id and text are one document and give equal
     rows. A null text gives null and counts 0; an empty text stays; further columns of any name are
     ignored; an empty table gives an empty result.
     """
     lined = _with_lines(docs, text)
-    found = store(repeated_runs(lined, run), "runs")
+    found = store(repeated_runs(lined.drop("row"), run), "runs")
     gone = found.groupBy("doc_id", "digest").agg(F.collect_set("i").alias("starts"))
     gone = gone.select(
         F.col("doc_id").alias("_d"), F.col("digest").alias("_g"),
@@ -95,10 +101,10 @@ def line_dedup(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame
     removed = F.coalesce(
         F.sort_array(F.transform("runs", lambda i: F.get(F.col("lines"), i)["at"])), F.array().cast("array<int>")
     )
-    both = both.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), removed.alias("removed"))
+    both = both.select("doc_id", "text", "row", F.size("lines").cast("long").alias("n_lines"), removed.alias("removed"))
     all_lines = F.split("text", "\n")
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), "removed"), lambda i: F.get(all_lines, i)), "\n")
     return both.select(
         "doc_id", F.when(F.size("removed") == 0, F.col("text")).otherwise(left).alias("text"),
-        "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed",
+        "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "row",
     )

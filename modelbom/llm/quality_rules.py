@@ -122,3 +122,10 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
         base.alias("base_failed"), (~base & kept).alias("kept"), failed.alias("failed_rules"),
         "n_lines", "n_stop_words", "n_marks",
     )
+
+
+def passing(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that pass all rules, with all their columns as they came."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    m = measure(docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text")), "_text")
+    return m.where(verdict(rules)[0]).select("_row.*")

@@ -44,7 +44,7 @@ def _fingerprints(shingle: int):
         for b in batches:
             prints = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             bits = pa.array([x - (1 << 64) if x >> 63 else x for x in prints], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), bits], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), bits], ["doc_id", "digest", "bits"])
 
     return run
 
@@ -232,20 +232,39 @@ def simhash_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
     never name one unless all its ids are null. Further columns of any name are ignored; an empty
     table gives an empty result. ``distance`` may be at most 3.
     """
+    rows, roots = _grouped(docs, text, shingle, distance)
+    group = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(group, "root").select("bits", "component_id")
+    return rows.join(named, "bits").select(
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that stand for a group: the one of the smallest doc_id (null last), with all columns.
+
+    Of rows equal in doc_id the one with the least MD5 of the text stays, of rows equal in both any one.
+    """
+    rows, roots = _grouped(docs, text, shingle, distance)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    stays = rows.join(roots, "bits").groupBy("root").agg(F.min(place).alias("p"))
+    stays = stays.select(F.col("p.doc_id").alias("_doc"), F.col("p.digest").alias("_digest"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    marked = docs.select(F.col("doc_id").cast("long").alias("d"), digest.alias("g"), row.alias("row"))
+    kept = marked.join(store(stays, "stays"), F.col("d").eqNullSafe(F.col("_doc")) & (F.col("g") == F.col("_digest")), "left_semi")
+    return kept.dropDuplicates(["d", "g"]).select("row.*")
+
+
+def _grouped(docs: DataFrame, text: str, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, bits) of every row, and (bits, least doc_id, root) of every fingerprint."""
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
-    prints = store(
-        docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text"))
-        .mapInArrow(_fingerprints(shingle), "doc_id long, bits long"), "prints"
-    )
-    distinct = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long"), t.alias("text"), F.unhex(F.md5(t)).alias("digest"))
+    rows = store(texts.mapInArrow(_fingerprints(shingle), "doc_id long, digest binary, bits long"), "prints")
+    distinct = rows.groupBy("bits").agg(F.min("doc_id").alias("least"))
     keyed = distinct.select("bits").mapInArrow(_keyed, "key long, bits long")
     edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance), "a long, b long")
-    roots = components(edges)
-    labelled = distinct.join(roots, distinct["bits"] == roots["node"], "left")
-    labelled = labelled.select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    group = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(group, "root").select("bits", "component_id")
-    return prints.join(named, "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    labelled = distinct.join(components(edges), F.col("bits") == F.col("node"), "left")
+    return rows, labelled.select("bits", "least", F.coalesce("root", "bits").alias("root"))
