@@ -237,14 +237,25 @@ def g6(spark, sf_dir):
 
 def dedupe_sql(hits: str) -> str:
     order = "path, cell, emit_line, phase, rule_ord, match_ord"
-    return f"""SELECT id, id AS name, 'model' AS type, first(path ORDER BY {order}) AS path,
-  list_reduce(list(evidence ORDER BY {order}),
-    lambda acc, x: CASE WHEN contains(acc, x) THEN acc ELSE concat(acc, '. ', x) END) AS evidence,
-  first(method ORDER BY {order}) AS method
-FROM {hits} GROUP BY id"""
+    return f"""SELECT id, id AS name, 'model' AS type, first(path ORDER BY {order}) AS path, first(method ORDER BY {order}) AS method,
+  count(DISTINCT evidence) AS evidence_texts, CAST(sum(length(evidence)) FILTER (rn = 1) AS BIGINT) AS evidence_chars
+FROM (SELECT *, row_number() OVER (PARTITION BY id, evidence ORDER BY {order}) AS rn FROM {hits}) GROUP BY id"""
 
 
-_DISCOVERY = ["id", "name", "type", "path", "evidence", "method"]
+def evidence_sql(hits: str) -> str:
+    order = "path, cell, emit_line, phase, rule_ord, match_ord"
+    return f"""SELECT id, evidence, path, cell, emit_line, method FROM (SELECT *, row_number() OVER (PARTITION BY id, evidence ORDER BY {order}) AS rn
+FROM {hits}) WHERE rn = 1"""
+
+
+def joined_sql(hits: str) -> str:
+    order = "path, cell, emit_line, phase, rule_ord, match_ord"
+    return f"""SELECT id, list_reduce(list(evidence ORDER BY {order}),
+    lambda acc, x: CASE WHEN contains(acc, x) THEN acc ELSE concat(acc, '. ', x) END) AS evidence FROM {hits} GROUP BY id"""
+
+
+_DISCOVERY = ["id", "name", "type", "path", "method", "evidence_texts", "evidence_chars"]
+_EVIDENCE = ["id", "evidence", "at.path", "at.cell", "at.emit_line", "at.method"]
 DISCOVERIES_CTE = f"{_TEXTS}, hits AS ({hits_sql('texts', RULES)}), discoveries AS ({dedupe_sql('hits')})"
 
 
@@ -257,6 +268,23 @@ def a1(spark, sf_dir):
     return ex.dedupe_discoveries(hits).select(*_DISCOVERY)
 
 
+@query(
+    "A1_evidence_rows",
+    with_views("src_files") + f", {_TEXTS}, hits AS ({hits_sql('texts', RULES)}) {evidence_sql('hits')}",
+)
+def a1_evidence(spark, sf_dir):
+    return ex.evidence_rows(ex.scan_hits(view(spark, sf_dir, "src_files"))).select(*_EVIDENCE)
+
+
+@query(
+    "A1_joined_evidence",
+    with_views("notebooks") + f", {_NB_TEXTS}, hits AS ({hits_sql('texts', RULES)}) {joined_sql('hits')}",
+)
+def a1_joined(spark, sf_dir):
+    hits = ex.scan_hits(view(spark, sf_dir, "notebooks"))
+    return ex.joined_evidence(ex.evidence_rows(hits)).select("id", "evidence")
+
+
 @query("G7_scan_references", with_views("src_files") + f", {DISCOVERIES_CTE} SELECT * FROM discoveries")
 def g7(spark, sf_dir):
     return ex.scan_references(view(spark, sf_dir, "src_files")).select(*_DISCOVERY)

@@ -279,8 +279,8 @@ def _prop_text(props):
 @query(
     "P22_evidence_properties",
     with_views("hub_models")
-    + f""" SELECT id, concat_ws('|', 'aibomgen.type=' || {nz_sql('pipeline_tag')}, 'aibomgen.evidence=' || {nz_sql('author')},
-      'aibomgen.path=' || {nz_sql('library_name')}) AS props FROM hub_models""",
+    + f""" SELECT id, concat_ws('|', 'modelbom.type=' || {nz_sql('pipeline_tag')}, 'modelbom.evidence=' || {nz_sql('author')},
+      'modelbom.path=' || {nz_sql('library_name')}) AS props FROM hub_models""",
 )
 def p22(spark, sf_dir):
     m = view(spark, sf_dir, "hub_models")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from catalog.extract_queries import DISCOVERIES_CTE
+from catalog.extract_queries import _TEXTS, DISCOVERIES_CTE, evidence_sql, hits_sql
 from catalog.fixtures import view, with_views
 from catalog.function_queries import (
     _FM, _FRONT_LINES, _HEAD, _ITEM_TEXT, yaml_scalar_sql,
@@ -17,8 +17,9 @@ from catalog.registry import query
 from catalog.sqltext import lit, nz_sql
 from modelbom.functions import cards
 from modelbom.functions import semistructured as ss
+from modelbom.functions.rules import RULES
 from modelbom.operators import assemble, extract, security
-from modelbom.operators.common import cap_pages, first_wins, search_models
+from modelbom.operators.common import cap_pages, first_wins, search_models, work_folder
 from modelbom.plans import inventory
 from modelbom import schemas as sc
 from modelbom.sources import boms as bomio
@@ -78,7 +79,7 @@ model_cards AS (SELECT m.id AS card_id, c.* EXCLUDE (doc_id) FROM card c JOIN hu
 _SEC = """sec AS (SELECT repo_id, CASE WHEN count_if(lower(status) = 'unsafe') > 0 THEN 'unsafe'
     WHEN count_if(lower(status) = 'caution') > 0 THEN 'caution' ELSE 'safe' END AS overall, count(status) AS scanned,
     count_if(lower(status) = 'unsafe') AS n_unsafe, count_if(lower(status) = 'caution') AS n_caution
-  FROM security_flat WHERE kind = 'model' AND page < 10 GROUP BY repo_id)"""
+  FROM security_flat WHERE kind = 'model' GROUP BY repo_id)"""
 _API = """api AS (SELECT id AS api_id, * EXCLUDE (id, api_status) FROM hub_models WHERE api_status = 200)"""
 
 
@@ -112,8 +113,8 @@ FROM (SELECT *, {purl_sql("'machine-learning-model'", "name_", "sha")} AS purl F
   coalesce({nz_sql('author')}, developed_by) AS manufacturer, coalesce({LICENSE_SQL}, license) AS license_,
   'SHA-1=' || {nz_sql('sha')} AS hashes, {refs_sql('mid', 'paper_url', 'demo_url', 'https://huggingface.co/')} AS refs,
   coalesce(array_to_string({_NORMAL_TAGS}, '|'), tags) AS tags_,
-  concat_ws('|', {_prop('aibomgen.type', nz_sql('scan_type'))}, {_prop('aibomgen.evidence', nz_sql('evidence'))},
-    {_prop('aibomgen.path', nz_sql('scan_path'))}, {_prop('huggingface:lastModified', nz_sql('last_modified'))},
+  concat_ws('|', {_prop('modelbom.type', nz_sql('scan_type'))}, {_prop('modelbom.evidence', nz_sql('evidence'))},
+    {_prop('modelbom.path', nz_sql('scan_path'))}, {_prop('huggingface:lastModified', nz_sql('last_modified'))},
     {_prop('huggingface:createdAt', nz_sql('created_at'))}, {_prop('huggingface:language', LANGUAGE_SQL)},
     {_prop('huggingface:usedStorage', 'CASE WHEN used_storage > 0 THEN CAST(used_storage AS VARCHAR) END')},
     {_prop('huggingface:private', 'CAST(private AS VARCHAR)')}, {_prop('huggingface:libraryName', nz_sql('library_name'))},
@@ -194,12 +195,18 @@ def dataset_cards(spark, sf_dir):
     return cards.dataset_card(view(spark, sf_dir, "cards").withColumn("id", ident))
 
 
+def landed_twice(rows):
+    """Responses as a crawler lands them: every id twice, the second time with other contents."""
+    again = rows.withColumn("author", F.lit("landed later"))
+    return rows.withColumn("landed", F.lit(1)).unionByName(again.withColumn("landed", F.lit(2)))
+
+
 def hub(spark, sf_dir) -> inventory.Hub:
     """Fixture hub: only models that answered 200 have metadata."""
     every, model_cards = hub_cards(spark, sf_dir)
     return inventory.Hub(
-        models=every.where("api_status = 200"),
-        datasets=fx.hub_datasets(spark, sf_dir),
+        models=landed_twice(every.where("api_status = 200")),
+        datasets=landed_twice(fx.hub_datasets(spark, sf_dir)),
         model_cards=model_cards,
         dataset_cards=dataset_cards(spark, sf_dir),
         security=fx.security_entries(spark, sf_dir),
@@ -218,16 +225,16 @@ def hub_discoveries(spark, sf_dir):
 def attached(spark, sf_dir):
     """Attached model rows over the fixture discoveries."""
     every, model_cards = hub_cards(spark, sf_dir)
-    entries = cap_pages(fx.security_entries(spark, sf_dir)).where("kind = 'model'")
+    entries = fx.security_entries(spark, sf_dir).where("kind = 'model'")
     summary = security.security_summary(entries, ("repo_id",)).withColumnRenamed("repo_id", "id")
     return assemble.attach_metadata(
-        hub_discoveries(spark, sf_dir), every.where("api_status = 200"), model_cards, summary
+        hub_discoveries(spark, sf_dir), landed_twice(every.where("api_status = 200")), model_cards, summary
     )
 
 
 def attached_datasets(spark, sf_dir):
     refs = assemble.model_dataset_refs(attached(spark, sf_dir))
-    return assemble.attach_datasets(refs, fx.hub_datasets(spark, sf_dir), dataset_cards(spark, sf_dir))
+    return assemble.attach_datasets(refs, landed_twice(fx.hub_datasets(spark, sf_dir)), dataset_cards(spark, sf_dir))
 
 
 @query(
@@ -292,7 +299,7 @@ def j8(spark, sf_dir):
     return assemble.dependency_edges(fx.components(spark, sf_dir))
 
 
-_BASE_SCAN = """SELECT id, name AS scan_name, type AS scan_type, path AS scan_path, evidence FROM discoveries
+_BASE_SCAN = """SELECT id, name AS scan_name, type AS scan_type, path AS scan_path, CAST(NULL AS VARCHAR) AS evidence FROM discoveries
   WHERE id NOT IN (SELECT id FROM hub_models WHERE api_status IN (401, 403, 404))"""
 _L_COLUMNS = "bom_id, ord, type, name, \"group\", bom_ref, license, hashes, refs, tags, props"
 
@@ -317,10 +324,24 @@ def _generated_columns(tables):
     with_views("src_files", *_MODEL_VIEWS, "hub_datasets") + f", {DISCOVERIES_CTE}, {_generated(_BASE_SCAN)}",
 )
 def l1(spark, sf_dir):
-    tables = inventory.scan_and_generate(view(spark, sf_dir, "src_files"), hub(spark, sf_dir))
+    tables = inventory.scan_and_generate(view(spark, sf_dir, "src_files"), hub(spark, sf_dir), store=work_folder(spark))
     return _generated_columns(tables)
 
 
+@query(
+    "L1_evidence",
+    with_views("src_files", "hub_models")
+    + f""", {_TEXTS}, hits AS ({hits_sql('texts', RULES)}), ev AS ({evidence_sql('hits')})
+    SELECT id AS bom_id, path, emit_line, evidence FROM ev WHERE id NOT IN (SELECT id FROM hub_models WHERE api_status IN (401, 403, 404))""",
+)
+def l1_evidence(spark, sf_dir):
+    every = fx.hub_models(spark, sf_dir)
+    status = every.select("id", F.col("api_status").alias("status"))
+    some = inventory.Hub(models=every.where("api_status = 200"), status=status)
+    tables = inventory.scan_and_generate(view(spark, sf_dir, "src_files"), some, store=work_folder(spark))
+    return tables.extras["evidence"].select("bom_id", "at.path", "at.emit_line", "evidence")
+
+
 _IDS_TABLE = "SELECT id FROM hub_models UNION ALL SELECT concat(' ', c_name, chr(9)) FROM customer UNION ALL SELECT '  ' FROM region"
 _BASE_IDS = f"""SELECT DISTINCT {nz_sql('id')} AS id, {nz_sql('id')} AS scan_name, 'huggingface' AS scan_type, '' AS scan_path,
   concat('from model-id: ', {nz_sql('id')}) AS evidence FROM ({_IDS_TABLE}) WHERE {nz_sql('id')} IS NOT NULL
@@ -340,8 +361,8 @@ def l2(spark, sf_dir):
 @query(
     "L1_vulnerabilities",
     with_views(*_MODEL_VIEWS, "hub_datasets")
-    + f""", {joined_cte(_BASE_IDS)}, gate AS (SELECT DISTINCT repo_id FROM security_flat WHERE kind = 'model' AND page < 10 AND lower(status) IN ('unsafe', 'caution'))
-    SELECT mid AS bom_id, count(*) AS files FROM j JOIN gate ON gate.repo_id = mid JOIN security_flat s ON s.repo_id = mid AND s.kind = 'model' AND s.page < 10
+    + f""", {joined_cte(_BASE_IDS)}, gate AS (SELECT DISTINCT repo_id FROM security_flat WHERE kind = 'model' AND lower(status) IN ('unsafe', 'caution'))
+    SELECT mid AS bom_id, count(*) AS files FROM j JOIN gate ON gate.repo_id = mid JOIN security_flat s ON s.repo_id = mid AND s.kind = 'model'
     WHERE lower(s.status) NOT IN ('safe', 'unscanned', '') GROUP BY mid""",
 )
 def l1_vulnerabilities(spark, sf_dir):
@@ -460,7 +481,7 @@ def s4(spark, sf_dir):
             F.struct("model_type", "architectures").alias("config"),
         )
     )
-    text = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit(","), F.substring(plain, 2, 1 << 30))
+    text = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit(","), F.substr(plain, F.lit(2), F.length(plain)))
     raw = m.select(F.from_json(text, sc.HUB_MODEL).alias("r")).select("r.*")
     return hubio.decoded_models(raw).select(
         "id", "author", "downloads", F.array_join("tags", "|").alias("tags"), "last_modified", "private", "gated",
@@ -473,7 +494,7 @@ def s4(spark, sf_dir):
     "S5_decode_security_tree",
     with_views("security_flat")
     + " SELECT repo_id, page, path, status, CASE WHEN status IS NOT NULL THEN av_status END AS av_status, "
-    + "CASE WHEN status IS NOT NULL AND imports_csv IS NOT NULL THEN 'system' END AS import FROM security_flat WHERE page < 10",
+    + "CASE WHEN status IS NOT NULL AND imports_csv IS NOT NULL THEN 'os.system=dangerous|re.match=safe' END AS imports FROM security_flat",
 )
 def s5(spark, sf_dir):
     e = fx.security_entries(spark, sf_dir)
@@ -482,7 +503,12 @@ def s5(spark, sf_dir):
     s = F.col("securityFileStatus")
     return hubio.listed_entries(raw).select(
         "repo_id", "page", "path", s["status"].alias("status"), s["avScan"]["status"].alias("av_status"),
-        F.get(s["pickleImportScan"]["pickleImports"], F.lit(0))["name"].alias("import"),
+        F.array_join(
+            F.transform(
+                s["pickleImportScan"]["pickleImports"],
+                lambda i: F.concat(i["module"], F.lit("."), i["name"], F.lit("="), i["safety"]),
+            ), "|",
+        ).alias("imports"),
     )
 
 

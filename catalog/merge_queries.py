@@ -77,7 +77,7 @@ def a9(spark, sf_dir):
 def a9_lists(spark, sf_dir):
     rows = merge.place(view(spark, sf_dir, "dep_rows"), view(spark, sf_dir, "members"))
     lists = merge.dependency_lists(merge.merge_dependencies(rows))
-    return lists.where("piece = 0").select("target_id", "ref", F.array_join("depends_on", "|").alias("depends_on"))
+    return lists.select("target_id", "ref", F.array_join("depends_on", "|").alias("depends_on"))
 
 
 _STATS = """st AS (SELECT target_id, CAST(count_if(seq = 0 AND NOT is_metadata) AS BIGINT) AS sbom_components, CAST(count_if(seq > 0) AS BIGINT) AS candidates,
@@ -109,21 +109,21 @@ def a10_names(spark, sf_dir):
     + " SELECT target_id, seq, ord, type, url FROM ext_refs JOIN members USING (bom_id)",
 )
 def u1(spark, sf_dir):
-    rows = merge.place(view(spark, sf_dir, "ext_refs"), view(spark, sf_dir, "members"))
-    return merge.concat_lists(rows).select("target_id", "seq", "ord", "type", "url")
+    rows = merge.concat_lists(view(spark, sf_dir, "ext_refs"), view(spark, sf_dir, "members"))
+    return rows.select("target_id", "ord.seq", "ord.ord", "type", "url")
 
 
 @query(
     "U1_concat_compositions",
     with_views("services", "members")
-    + " SELECT target_id, seq, ord, name AS aggregate, bom_ref AS assembly FROM services JOIN members USING (bom_id)",
+    + " SELECT target_id, seq, ord, name AS aggregate, concat_ws('|', bom_ref, name) AS assemblies FROM services JOIN members USING (bom_id)",
 )
 def u1_compositions(spark, sf_dir):
     rows = view(spark, sf_dir, "services").select(
-        "bom_id", "ord", F.col("name").alias("aggregate"), F.array("bom_ref").alias("assemblies")
+        "bom_id", "ord", F.col("name").alias("aggregate"), F.array_compact(F.array("bom_ref", "name")).alias("assemblies")
     )
-    out = merge.concat_lists(merge.place(rows, view(spark, sf_dir, "members")))
-    return out.select("target_id", "seq", "ord", "aggregate", F.col("assemblies")[0].alias("assembly"))
+    out = merge.concat_lists(rows, view(spark, sf_dir, "members"))
+    return out.select("target_id", "ord.seq", "ord.ord", "aggregate", F.array_join("assemblies", "|").alias("assemblies"))
 
 
 _SERVICES = "sv AS (SELECT m.target_id, m.seq, s.* FROM services s JOIN members m USING (bom_id))"

@@ -248,7 +248,7 @@ def weights_sql(tests, minimum: float) -> str:
 
 def _with_evidence(tests):
     """Registry position counts the evidence field without weight."""
-    return tests[:7] + [("aibomgen.evidence", -1.0, "")] + tests[7:]
+    return tests[:7] + [("modelbom.evidence", -1.0, "")] + tests[7:]
 
 
 @query(
@@ -354,16 +354,16 @@ _GOV = f"coalesce({_CU}, {_ST}, {_OW}) IS NOT NULL"
 @query(
     "X3_apply_dataset_values",
     with_views("comp_flat", "user_values")
-    + f""" SELECT bom_id, ord, CASE WHEN {_V} IS NOT NULL THEN array_to_string(list_concat({_DISTINCT}, ['lastModified:' || {_V}]), '|')
+    + f""" SELECT bom_id, ord, CASE WHEN value IS NULL THEN replace(tags_csv, ',', '|') WHEN {_V} IS NOT NULL THEN array_to_string(list_concat({_DISTINCT}, ['lastModified:' || {_V}]), '|')
         ELSE array_to_string({_DISTINCT}, '|') END AS tags,
       coalesce(array_to_string(nullif({_DISTINCT}, []), '|'), author) AS authors, coalesce({_V}, CASE WHEN has_card THEN description END) AS description,
       CASE WHEN has_card THEN attachment END AS attachment, coalesce({_V}, CASE WHEN has_card THEN sensitive END) AS sensitive,
       CASE WHEN {_GOV} THEN {_CU} ELSE CASE WHEN has_card THEN custodian END END AS custodian, {_ST} AS steward, {_OW} AS owner
-    FROM comp_flat JOIN user_values ON k = c_custkey WHERE NOT is_metadata""",
+    FROM comp_flat LEFT JOIN user_values ON k = c_custkey WHERE NOT is_metadata""",
 )
 def x3_dataset(spark, sf_dir):
     data = fx.components(spark, sf_dir).where("not is_metadata")
-    rows = data.join(view(spark, sf_dir, "user_values"), F.col("k") == F.col("c_custkey"))
+    rows = data.join(view(spark, sf_dir, "user_values"), F.col("k") == F.col("c_custkey"), "left")
     done = apply_user_values(rows, user_value_map(_D, _X3D_KEYS), DATASET_REGISTRY)
     cols = "bom_id ord tags authors description attachment sensitive custodian steward owner".split()
     return flat_components(done).select(*cols)

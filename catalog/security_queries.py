@@ -66,17 +66,21 @@ vulns AS (SELECT t.bom_id, concat('hfsec-', t.bom_ref, '-', replace(replace(path
     nullif(array_to_string(list_filter(ratings, lambda r: r IS NOT NULL), '|'), '') AS ratings, advisories,
     CASE WHEN t.is_metadata THEN 0 ELSE 1 END AS target_rank, t.ord AS target_ord, path
   FROM targets t JOIN found f ON f.kind = t.kind AND f.repo_id = t.hub_id)"""
-_LISTED = "listed AS (SELECT * FROM security_flat WHERE page < 10)"
+_LISTED = "listed AS (SELECT * FROM security_flat)"
 _VULN_COLUMNS = "bom_id, bom_ref, affects, source_url, description, ratings, advisories"
 
 
-def flat_vulns(df):
+def flat_findings(df):
     def pairs(arr, a, b):
         return F.array_join(F.transform(arr, lambda x: F.concat(x[a], F.lit("="), x[b])), "|")
 
     return df.withColumn("ratings", pairs("ratings", "source", "severity")).withColumn(
         "advisories", pairs("advisories", "title", "url")
-    ).select(*_VULN_COLUMNS.split(", "))
+    )
+
+
+def flat_vulns(df):
+    return flat_findings(df).select(*_VULN_COLUMNS.split(", "))
 
 
 @query(
@@ -85,7 +89,27 @@ def flat_vulns(df):
 )
 def a6(spark, sf_dir):
     targets = security.scan_targets(components(spark, sf_dir))
-    return flat_vulns(security.file_vulnerabilities(targets, security.tree_entries(fx.security_entries(spark, sf_dir))))
+    return flat_vulns(security.file_vulnerabilities(targets, fx.security_entries(spark, sf_dir)))
+
+
+@query(
+    "A6_file_findings",
+    with_views("security_flat") + f", {_LISTED}, {_FINDINGS.split('vulns AS')[0].rstrip().rstrip(',')} SELECT kind, repo_id AS hub_id, path, description, "
+    "nullif(array_to_string(list_filter(ratings, lambda r: r IS NOT NULL), '|'), '') AS ratings, advisories FROM found",
+)
+def a6_findings(spark, sf_dir):
+    found = security.file_findings(fx.security_entries(spark, sf_dir)).withColumnRenamed("kind", "k").withColumnRenamed("hub_id", "h")
+    return flat_findings(found).selectExpr("k AS kind", "h AS hub_id", "path", "description", "ratings", "advisories")
+
+
+@query(
+    "A6_finding_links",
+    with_views(*_VIEWS) + f", {_COMP}, {_TARGETS}, {_LISTED}, {_FINDINGS} SELECT bom_id, affects AS bom_ref, target_ord AS ord, count(*) AS findings FROM vulns GROUP BY ALL",
+)
+def a6_links(spark, sf_dir):
+    found = security.file_findings(fx.security_entries(spark, sf_dir))
+    links = security.finding_links(security.scan_targets(components(spark, sf_dir)), found)
+    return links.groupBy("bom_id", "bom_ref", "ord").agg(F.sum("findings").alias("findings"))
 
 
 _SEV = """CASE WHEN contains(ratings, '=critical') THEN 'critical' WHEN contains(ratings, '=high') THEN 'high'
@@ -98,7 +122,7 @@ _SEV = """CASE WHEN contains(ratings, '=critical') THEN 'critical' WHEN contains
 )
 def a7(spark, sf_dir):
     targets = security.scan_targets(components(spark, sf_dir))
-    v = security.file_vulnerabilities(targets, security.tree_entries(fx.security_entries(spark, sf_dir)))
+    v = security.file_vulnerabilities(targets, fx.security_entries(spark, sf_dir))
     return v.select("bom_id", "bom_ref", "source_url", security.highest_severity("ratings").alias("severity"))
 
 
@@ -113,7 +137,7 @@ FROM targets t LEFT JOIN rep r ON r.kind = t.kind AND r.repo_id = t.hub_id"""
 @query("A8_vuln_report", with_views(*_VIEWS) + f", {_COMP}, {_TARGETS}, {_LISTED}, {_REPORT}")
 def a8(spark, sf_dir):
     targets = security.scan_targets(components(spark, sf_dir))
-    return security.vuln_report(targets, security.tree_entries(fx.security_entries(spark, sf_dir)))
+    return security.vuln_report(targets, fx.security_entries(spark, sf_dir))
 
 
 # Existing vulnerabilities: some that the scan finds again, some it does not.
@@ -140,7 +164,7 @@ def existing_vulns(spark, sf_dir, incoming):
 )
 def j7(spark, sf_dir):
     targets = security.scan_targets(components(spark, sf_dir))
-    incoming = security.file_vulnerabilities(targets, security.tree_entries(fx.security_entries(spark, sf_dir)))
+    incoming = security.file_vulnerabilities(targets, fx.security_entries(spark, sf_dir))
     merged = security.upsert_vulnerabilities(existing_vulns(spark, sf_dir, incoming), incoming)
     return merged.select("bom_id", "bom_ref", "description")
 

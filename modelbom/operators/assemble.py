@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from modelbom import schemas as sc
 from modelbom.functions import semistructured as ss
 from modelbom.functions.text import bom_ref, first_text, property_entry, purl, trim_nz
-from modelbom.operators.common import stage
+from modelbom.operators.common import first_wins, stage
 from modelbom.operators.registry import (
     DATASET_REGISTRY, MODEL_REGISTRY, OPTIONAL_TEXT, FieldSpec, Get,
 )
@@ -32,10 +32,16 @@ def conform(df: DataFrame, fields: dict[str, str]) -> list[Column]:
 
 
 def _side(df: DataFrame, fields: dict[str, str], name: str, key: str = "id") -> DataFrame:
-    """key and one struct column, to be joined."""
-    return df.select(trim_nz(key).alias("_key"), F.struct(*conform(df, fields)).alias(name)).where(
-        "_key is not null"
-    )
+    """key and one struct column, to be joined: one row per key.
+
+    Landed tables may hold an id several times. The row with the least ``landed`` (a column of the
+    caller's, if there) counts, then the one whose text comes first.
+    """
+    at = F.col("landed") if "landed" in df.columns else F.lit(0)
+    side = F.struct(*conform(df, fields)).alias(name)
+    rows = df.select(trim_nz(key).alias("_key"), side, at.alias("_landed")).where("_key is not null")
+    rows = rows.withColumn("_text", F.to_json(F.struct(name)))
+    return first_wins(rows, ["_key"], ["_landed", "_text"]).select("_key", name)
 
 
 def _join(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
@@ -246,12 +252,10 @@ def _from_sources(
     return rows, _component_columns(values, joined, tags_extra, existing, is_model)
 
 
-def evidence_properties(scan: str = "scan") -> Column:
-    # Property names.
+def evidence_properties(scan: str = "scan", prefix: str = "modelbom.") -> Column:
+    """Properties ``type``, ``evidence`` and ``path`` under the caller's prefix."""
     return F.concat(
-        property_entry(F.lit("aibomgen.type"), F.col(f"{scan}.type")),
-        property_entry(F.lit("aibomgen.evidence"), F.col(f"{scan}.evidence")),
-        property_entry(F.lit("aibomgen.path"), F.col(f"{scan}.path")),
+        *[property_entry(F.lit(prefix + n), F.col(f"{scan}.{n}")) for n in ("type", "evidence", "path")]
     )
 
 
@@ -395,7 +399,9 @@ def dependency_edges(components: DataFrame) -> DataFrame:
     data = components.where("not is_metadata and type = 'data' and coalesce(bom_ref, '') != ''").select(
         "bom_id", "ord", F.col("bom_ref").alias("data_ref")
     )
-    pairs = models.join(data, "bom_id", "left")
+    # Inner, so that Spark can split the data components of one BOM over tasks.
+    pairs = data.join(models, "bom_id")
+    alone = models.join(data.select("bom_id").distinct(), "bom_id", "left_anti")
     none = F.lit(None).cast("string")
 
     def entry(ord_, ref, pos, to):
@@ -405,5 +411,6 @@ def dependency_edges(components: DataFrame) -> DataFrame:
 
     edge = entry(F.lit(0), F.col("model_ref"), F.col("ord"), F.col("data_ref"))
     leaf = entry(F.col("ord") + 1, F.col("data_ref"), F.lit(None).cast("bigint"), none)
-    both = F.filter(F.array(edge, leaf), lambda e: e["ref"].isNotNull())
-    return pairs.select("bom_id", F.inline(both))
+    single = entry(F.lit(0), F.col("model_ref"), F.lit(None).cast("bigint"), none)
+    edges = pairs.select("bom_id", F.inline(F.array(edge, leaf)))
+    return edges.unionByName(alone.select("bom_id", F.inline(F.array(single))))

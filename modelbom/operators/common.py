@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modelbom.functions.text import trim_nz
@@ -56,21 +57,25 @@ def cap_pages(entries: DataFrame, pages: int = 10) -> DataFrame:
     return entries.where(F.col("page") < pages)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a result once that several later plans read.
+#: Seconds spent in ``stored``, for a bench that tells planning from execution.
+STORED_SECONDS = [0.0]
+
+
+def work_folder(spark: SparkSession, name: str = "work") -> str:
+    """A new folder for intermediate tables: below ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{shared.rstrip('/')}/modelbom-{name}-{uuid.uuid4().hex}"
 
-    Writes a reliable checkpoint to the shared folder the cluster names in
-    ``spark.checkpoint.dir``, so that the loss of an executor costs nothing. Only a local
-    session without that setting gets a folder of its own. Elsewhere the plan stays lazy.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="modelbom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
 
+def stored(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """Write a result that several later plans read to ``folder`` and read it from there.
+
+    Without a folder the plan stays lazy, and each reader computes it. The folder is the caller's, on
+    storage that all executors share; nothing depends on the master.
+    """
+    if folder is None:
+        return df
+    start, path = time.time(), f"{folder}/{name}"
+    df.write.parquet(path)
+    STORED_SECONDS[0] += time.time() - start
+    return df.sparkSession.read.schema(df.schema).parquet(path)

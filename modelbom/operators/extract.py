@@ -332,57 +332,43 @@ def apply_rules(texts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 # ---- one row per reference ------------------------------------------------------------
 
-EVIDENCE_BOUND = 1 << 20
 
+def evidence_rows(hits: DataFrame) -> DataFrame:
+    """Hits -> (type, id, evidence, at): the distinct evidence texts of each reference, with the place
+    of the first one. Equal texts of one id collapse with map-side combine; the rows of a hot id stay
+    spread over the tasks by their text."""
+    order = F.struct(*HIT_ORDER, "method")
+    return hits.groupBy("type", "id", "evidence").agg(F.min(order).alias("at"))
 
-def dedupe_discoveries(hits: DataFrame, bound: int = EVIDENCE_BOUND) -> DataFrame:
-    """Hits -> (id, name, type, path, evidence, method, part), one row per (type, id).
-
-    Path and method are those of the first hit; evidence texts are joined by '. ' in hit
-    order, leaving out a text which the joined text already contains.
 
-    Equal texts of one id collapse first, with map-side combine (a repeated text is always
-    contained, so this changes nothing). Then the distinct texts of an id are measured. Up
-    to ``bound`` characters they are folded into one row (``part`` NULL). An id with more
-    gets one row per file instead, ``part`` naming the file: joined in path order they hold
-    every distinct evidence text of the id, and no task ever holds the whole id.
-    """
-    order = F.struct(*HIT_ORDER, "method")
-    texts = hits.groupBy("type", "id", "evidence").agg(F.min(order).alias("at"))
-    sizes = texts.groupBy("type", "id").agg(
-        F.min("at").alias("head"), F.sum(F.length("evidence") + 2).alias("chars")
-    )
-    large = sizes.where(F.col("chars") > bound).select("type", "id", "head")
-    placed = texts.join(large, ["type", "id"], "left").withColumn(
-        "part", F.when(F.col("head").isNotNull(), F.col("at.path"))
+def references(evidence: DataFrame) -> DataFrame:
+    """Evidence rows -> (id, name, type, path, method, evidence_texts, evidence_chars), one row per
+    (type, id). Path and method are those of the first hit."""
+    refs = evidence.groupBy("type", "id").agg(
+        F.min("at").alias("head"), F.count("*").alias("evidence_texts"), F.sum(F.length("evidence")).alias("evidence_chars")
     )
-    # An explicit exchange: the join may have put all of an id into one partition.
-    spread = placed.repartition("type", "id", "part")
-    grouped = spread.groupBy("type", "id", "part").agg(
-        F.coalesce(F.min("head"), F.min("at")).alias("head"),
-        F.array_sort(F.collect_list(F.struct("at", "evidence"))).alias("items"),
+    return refs.select(
+        "id", F.col("id").alias("name"), "type", F.col("head.path").alias("path"), F.col("head.method").alias("method"),
+        "evidence_texts", "evidence_chars",
     )
+
+
+def joined_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence rows -> (type, id, evidence): one text per reference, joined by '. ' in hit order, leaving
+    out a text which the joined text already contains. For a caller who wants one property text: it
+    gathers all texts of a reference, so choose the references first."""
+    items = evidence.groupBy("type", "id").agg(F.array_sort(F.collect_list(F.struct("at", "evidence"))).alias("items"))
     joined = F.aggregate(
         F.slice("items", F.lit(2), F.size("items") - 1),
         F.get("items", F.lit(0))["evidence"],
-        lambda acc, e: F.when(F.contains(acc, e["evidence"]), acc).otherwise(
-            F.concat(acc, F.lit(". "), e["evidence"])
-        ),
-    )
-    return grouped.select(
-        "id",
-        F.col("id").alias("name"),
-        "type",
-        F.col("head.path").alias("path"),
-        joined.alias("evidence"),
-        F.col("head.method").alias("method"),
-        "part",
+        lambda acc, e: F.when(F.contains(acc, e["evidence"]), acc).otherwise(F.concat(acc, F.lit(". "), e["evidence"])),
     )
+    return items.select("type", "id", joined.alias("evidence"))
 
 
-def one_per_reference(discoveries: DataFrame) -> DataFrame:
-    """The leading row of each reference (drops the further parts of very large ones)."""
-    return discoveries.where("part is null or part = path")
+def dedupe_discoveries(hits: DataFrame) -> DataFrame:
+    """Hits -> one row per reference, see ``references``."""
+    return references(evidence_rows(hits))
 
 
 def scan_hits(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

@@ -91,65 +91,44 @@ def merged_names(merged: DataFrame) -> DataFrame:
 
 def merge_dependencies(placed: DataFrame, base_last_wins: bool = False) -> DataFrame:
     """Dependency rows (target_id, seq, ord, ref, pos, depends_on) -> one list per ref, as rows
-    (target_id, ref, pos, depends_on) with ``pos`` an order value.
+    (target_id, ref, depends_on, at) with ``at`` an order value.
 
     A ref that one entry lists keeps that list as it is; lists of several entries become their
-    union in first-seen order. Edges are first made distinct, with map-side combine and spread
-    by the edge, so a ref with a large share of the rows is never in one place.
-    ``base_last_wins``: of several base entries of one ref only the last counts (the two-BOM
-    form).
+    union in first-seen order; a ref without any list keeps one empty row. ``base_last_wins``: of
+    several base entries of one ref only the last counts (the two-BOM form).
+
+    The entries of a ref are an aggregate combined before the shuffle. It has one row per ref, so the
+    join with the rows can be split at a hot ref, and the distinct after it is spread by the edge.
     """
-    entry = F.struct("seq", "ord")
-    rows = placed
-    if base_last_wins:
-        last = rows.where("seq = 0").groupBy("target_id", "ref").agg(F.max("ord").alias("last_ord"))
-        rows = rows.join(last, ["target_id", "ref"], "left").where("seq > 0 or ord = last_ord").drop("last_ord")
-    at = F.struct("seq", "ord", "pos")
-    edges = rows.groupBy("target_id", "ref", "depends_on").agg(
-        F.min(at).alias("at"), F.max(entry).alias("last"), F.count("*").alias("copies")
-    )
     listed = F.col("depends_on").isNotNull()
-    lists = edges.groupBy("target_id", "ref").agg(
-        F.min(F.when(listed, F.struct("at.seq", "at.ord"))).alias("list_first"),
-        F.max(F.when(listed, F.col("last"))).alias("list_last"),
-    )
-    known = edges.join(lists, ["target_id", "ref"])
-    # A ref without any list keeps one empty row.
-    wanted = known.where(listed | F.col("list_first").isNull())
-    single = F.coalesce(F.col("list_first") == F.col("list_last"), F.lit(False))
-    repeats = single & (F.col("copies") > 1)
-    once = wanted.where(~repeats).select("target_id", "ref", "depends_on", "at")
-    # Repeats inside the only list of a ref: every copy comes back with its own place.
-    repeated = wanted.where(repeats).select("target_id", "ref", "depends_on")
-    copies = rows.join(repeated, ["target_id", "ref", "depends_on"], "left_semi").select(
-        "target_id", "ref", "depends_on", at.alias("at")
+    base, entry = F.col("seq") == 0, F.struct("seq", "ord")
+    other = listed & ~base if base_last_wins else listed
+    entries = placed.groupBy("target_id", "ref").agg(
+        F.max(F.when(base, F.col("ord"))).alias("_last"),
+        F.max(F.when(base & listed, F.col("ord"))).alias("_last_listed"),
+        F.min(F.when(other, entry)).alias("_first"), F.max(F.when(other, entry)).alias("_final"),
     )
-    return once.unionByName(copies)
-
-
-LIST_BOUND = 50_000
-
+    rows = placed.join(entries, ["target_id", "ref"])
+    first, final = F.col("_first"), F.col("_final")
+    if base_last_wins:
+        rows = rows.where("seq > 0 or ord = _last")
+        kept = F.struct(F.lit(0).cast(rows.schema["seq"].dataType).alias("seq"), F.col("_last").alias("ord"))
+        kept = F.when(F.col("_last_listed") == F.col("_last"), kept)
+        first, final = F.coalesce(kept, first), F.coalesce(final, kept)
+    at = F.struct("seq", "ord", "pos")
+    rows = rows.where(listed | first.isNull())
+    # Repeats inside the only list of a ref stay, each with its own place.
+    copy = F.when(first == final, at).alias("_copy")
+    one = rows.groupBy("target_id", "ref", "depends_on", copy).agg(F.min(at).alias("at"))
+    return one.select("target_id", "ref", "depends_on", "at")
 
-def dependency_lists(edges: DataFrame, bound: int = LIST_BOUND) -> DataFrame:
-    """Edge rows -> (target_id, ref, piece, depends_on ARRAY) as a document needs them.
 
-    The edges of a ref are counted first. More than ``bound`` of them come as several pieces,
-    so no list grows without limit.
-    """
-    keys = ["target_id", "ref"]
-    sizes = edges.groupBy(*keys).agg(F.ceil(F.count("*") / bound).alias("pieces"))
-    spread = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("depends_on"), F.col("pieces")))
-    piece = F.coalesce(spread, F.lit(0)).cast("bigint").alias("piece")
+def dependency_lists(edges: DataFrame) -> DataFrame:
+    """Edge rows -> (target_id, ref, depends_on ARRAY): the whole list of a ref in one row, for a
+    caller who wants documents. The edges are the form to work with; this one gathers a ref's."""
     entry = F.when(F.col("depends_on").isNotNull(), F.struct("at", "depends_on"))
-    return (
-        edges.join(sizes, keys)
-        .select(*keys, piece, "at", "depends_on")
-        .repartition(*keys, "piece")
-        .groupBy(*keys, "piece")
-        .agg(
-            F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["depends_on"]).alias("depends_on")
-        )
-    )
+    lists = edges.groupBy("target_id", "ref").agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    return lists.select("target_id", "ref", F.transform("items", lambda e: e["depends_on"]).alias("depends_on"))
 
 
 # ---- tools, services, lists -------------------------------------------------------------
@@ -188,9 +167,9 @@ def merge_services(placed: DataFrame, keep_base_repeats: bool = False) -> DataFr
     return first_wins(keyed, ["target_id", "_key"], ORDER, blank_key="_key").drop("_key")
 
 
-def concat_lists(placed: DataFrame) -> DataFrame:
-    """Compositions and external references: all rows, in (seq, ord) order."""
-    return placed
+def concat_lists(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Compositions and external references of the merged BOMs: all rows, in (seq, ord) order."""
+    return ordered(place(rows, members), ["seq", "ord"])
 
 
 def merge_metadata(boms: DataFrame, members: DataFrame) -> DataFrame:

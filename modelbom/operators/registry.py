@@ -259,7 +259,7 @@ MODEL_REGISTRY: list[FieldSpec] = [
             first_text(s("api.author"), s("card.developed_by")),
         ),
     ),
-    FieldSpec("aibomgen.evidence", 0.0, present=lambda c: F.lit(True), parse=None),
+    FieldSpec("modelbom.evidence", 0.0, present=lambda c: F.lit(True), parse=None),
     _prop("huggingface:lastModified", 0.2, lambda s: trim_nz(s("api.last_modified"))),
     _prop("huggingface:createdAt", 0.2, lambda s: trim_nz(s("api.created_at"))),
     _prop("huggingface:language", 0.2, lambda s: ss.extract_language(s("api.card_data"))),

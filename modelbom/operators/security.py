@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelbom.functions.text import HUB_URL, col, dataset_id_from_component, model_id_from_component, nz
-from modelbom.operators.common import cap_pages, first_wins
+from modelbom.operators.common import first_wins
 
 # Scanner key -> display name, in report order.
 SCANNERS = {
@@ -150,23 +150,35 @@ def _finding_columns() -> list[Column]:
     ]
 
 
-def file_vulnerabilities(targets: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per component and finding, for repositories with an unsafe or caution file.
+def file_findings(entries: DataFrame) -> DataFrame:
+    """One row per file with findings, of repositories with an unsafe or caution file:
+    (kind, hub_id, path, safe_path, description, ratings, advisories).
 
-    The gate is a per-repository aggregate joined back as a semi join, and texts are built once
-    per file before the join with the components.
+    The gate is a per-repository aggregate joined back as a semi join; texts are built once per file.
     """
     gate = (
         entries.where(F.lower(F.col(STATUS)).isin("unsafe", "caution")).select("kind", "repo_id").distinct()
     )
-    findings = (
+    return (
         entries.where(actionable(F.col(STATUS)))
         .join(gate, ["kind", "repo_id"], "left_semi")
         .select("*", _scanner_findings().alias("found"))
         .select("kind", "repo_id", "path", *_finding_columns())
         .withColumnRenamed("repo_id", "hub_id")
     )
-    joined = targets.join(findings, ["kind", "hub_id"])
+
+
+def finding_links(targets: DataFrame, findings: DataFrame) -> DataFrame:
+    """The components whose repository has findings, one row each: which component refers to which
+    repository. With ``file_findings`` it says the same as ``file_vulnerabilities`` without repeating
+    the texts of a repository for each of its components."""
+    found = findings.groupBy("kind", "hub_id").agg(F.count("*").alias("findings"))
+    return targets.join(found, ["kind", "hub_id"])
+
+
+def expand_findings(links: DataFrame, findings: DataFrame) -> DataFrame:
+    """Links and findings -> one row per component and finding, as documents hold them."""
+    joined = links.join(findings, ["kind", "hub_id"])
     return joined.select(
         "bom_id",
         F.concat(F.lit("hfsec-"), "bom_ref", F.lit("-"), "safe_path").alias("bom_ref"),
@@ -182,6 +194,11 @@ def file_vulnerabilities(targets: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def file_vulnerabilities(targets: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row per component and finding: the rows are as many as documents need."""
+    return expand_findings(targets, file_findings(entries))
+
+
 def highest_severity(ratings) -> Column:
     ranks = F.create_map(*[F.lit(x) for pair in SEVERITY_RANK.items() for x in pair])
     ranked = F.filter(
@@ -230,11 +247,6 @@ def upsert_vulnerabilities(existing: DataFrame, incoming: DataFrame) -> DataFram
     return kept.unionByName(last, allowMissingColumns=True)
 
 
-def tree_entries(entries: DataFrame) -> DataFrame:
-    """Listings as they are used: the first ten pages per repository."""
-    return cap_pages(entries)
-
-
 def fetch_outcomes(log: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Status log (keys, seq, stage, status) -> one outcome per model.
 

@@ -1,7 +1,7 @@
 """From sources to bills of materials: scan, generate, score, validate, enrich, merge.
 
-Each function takes and gives DataFrames; nothing runs before an action on a result, except
-that a result which several outputs read is stored once (see ``materialize``).
+Each function takes and gives DataFrames; nothing runs before an action on a result, except where
+the caller names a ``store`` folder: there, results which several outputs read are written once.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from modelbom.functions.rules import RULES, Rule
 from modelbom.operators import assemble, enrich, extract, merge, score, security
-from modelbom.operators.common import cap_pages, clean_ids, materialize
+from modelbom.operators.common import clean_ids, stored
 from modelbom.operators.registry import DATASET_REGISTRY, MODEL_REGISTRY
-from modelbom.sources.boms import BomTables
+from modelbom.sources.boms import BomTables, stamp_boms
 
 
 @dataclass
@@ -31,12 +31,16 @@ class Hub:
     status: DataFrame | None = None
 
 
-def generate(discoveries: DataFrame, hub: Hub) -> BomTables:
-    """One BOM per reachable reference: model, data components, dependencies, vulnerabilities."""
+def generate(discoveries: DataFrame, hub: Hub, store: str | None = None, tool: tuple[str, str] = ("modelbom", "v0.0.0")) -> BomTables:
+    """One BOM per reachable reference: model, data components, dependencies, vulnerabilities.
+
+    Each BOM gets a serial number (a name-based UUID of its id, so a plan that runs twice gives the same
+    one), the time and the tool. ``store`` names a folder for the components, which several tables read.
+    """
     found = discoveries
     if hub.status is not None:
         found = assemble.drop_unreachable(found, hub.status)
-    entries = None if hub.security is None else cap_pages(hub.security)
+    entries = hub.security
     summary = None
     if entries is not None:
         per_repo = security.security_summary(entries.where("kind = 'model'"), ("repo_id",))
@@ -44,36 +48,49 @@ def generate(discoveries: DataFrame, hub: Hub) -> BomTables:
     rows = assemble.attach_metadata(found, hub.models, hub.model_cards, summary)
     # Models are stored with their dataset ids, so hub data is joined and read once.
     ids = {"dataset_ids": assemble.model_dataset_ids()}
-    models = materialize(assemble.assemble_models(rows, carry=ids))
+    models = stored(assemble.assemble_models(rows, carry=ids), store, "models")
     components = models.drop("dataset_ids")
     if hub.datasets is not None:
         refs = assemble.model_dataset_refs(models, F.col("dataset_ids"))
         attached = assemble.attach_datasets(refs, hub.datasets, hub.dataset_cards)
-        components = components.unionByName(materialize(assemble.assemble_datasets(attached)))
-    vulnerabilities = None
+        components = components.unionByName(stored(assemble.assemble_datasets(attached), store, "datasets"))
+    vulnerabilities, extras = None, {}
     if entries is not None:
         targets = components.where("is_metadata").select(
             "bom_id", "ord", "is_metadata", "bom_ref", F.lit("model").alias("kind"),
             F.col("bom_id").alias("hub_id"),
         )
-        vulnerabilities = security.file_vulnerabilities(targets, entries)
+        findings = security.file_findings(entries)
+        links = security.finding_links(targets, findings)
+        extras = {"findings": findings, "finding_links": links}
+        vulnerabilities = security.expand_findings(links, findings)
     none = F.lit(None).cast("string")
     boms = components.where("is_metadata").select(
         "bom_id", F.lit("1.6").alias("spec_version"), F.lit("CycloneDX").alias("bom_format"),
         none.alias("serial_number"), F.lit(1).cast("bigint").alias("version"), none.alias("timestamp"),
     )
+    boms, tools = stamp_boms(boms, *tool)
     return BomTables(
         boms=boms,
         components=components,
         dependencies=assemble.dependency_edges(components),
+        tools=tools,
         vulnerabilities=vulnerabilities,
+        extras=extras,
     )
 
 
-def scan_and_generate(files: DataFrame, hub: Hub, rules: list[Rule] = RULES) -> BomTables:
-    """Source files -> BOMs. The references are stored once; the corpus is read once."""
-    discoveries = materialize(extract.scan_references(files, rules))
-    return generate(extract.one_per_reference(discoveries), hub)
+def scan_and_generate(files: DataFrame, hub: Hub, rules: list[Rule] = RULES, store: str | None = None) -> BomTables:
+    """Source files -> BOMs. With a ``store`` folder the corpus is read once.
+
+    The evidence of all references comes as rows (bom_id, at, evidence) in ``extras["evidence"]``: a hot
+    reference has any number of them. ``extract.joined_evidence`` makes one text per reference of them.
+    """
+    evidence = stored(extract.evidence_rows(extract.scan_hits(files, rules)), store, "evidence")
+    tables = generate(extract.references(evidence), hub, store)
+    seen = evidence.select(F.col("id").alias("bom_id"), "at", "evidence")
+    known = tables.boms.select("bom_id")
+    return replace(tables, extras={**tables.extras, "evidence": seen.join(known, "bom_id", "left_semi")})
 
 
 def discoveries_from_ids(ids: DataFrame) -> DataFrame:
@@ -89,8 +106,8 @@ def discoveries_from_ids(ids: DataFrame) -> DataFrame:
     )
 
 
-def generate_from_ids(ids: DataFrame, hub: Hub) -> BomTables:
-    return generate(discoveries_from_ids(ids), hub)
+def generate_from_ids(ids: DataFrame, hub: Hub, store: str | None = None) -> BomTables:
+    return generate(discoveries_from_ids(ids), hub, store)
 
 
 def completeness(tables: BomTables) -> tuple[DataFrame, DataFrame]:
@@ -137,14 +154,16 @@ def enrich_boms(
 def vuln_scan(tables: BomTables, entries: DataFrame) -> tuple[BomTables, DataFrame]:
     """Look up every component, derive vulnerabilities, put them in: (tables, report)."""
     targets = security.scan_targets(tables.components)
-    listed = cap_pages(entries)
-    incoming = security.file_vulnerabilities(targets, listed)
+    findings = security.file_findings(entries)
+    links = security.finding_links(targets, findings)
+    incoming = security.expand_findings(links, findings)
     existing = tables.vulnerabilities
     if existing is None:
         spark = incoming.sparkSession
         existing = spark.createDataFrame([], incoming.schema)
     merged = security.upsert_vulnerabilities(existing, incoming)
-    return replace(tables, vulnerabilities=merged), security.vuln_report(targets, listed)
+    extras = {**tables.extras, "findings": findings, "finding_links": links}
+    return replace(tables, vulnerabilities=merged, extras=extras), security.vuln_report(targets, entries)
 
 
 def merge_boms(
@@ -172,7 +191,7 @@ def merge_boms(
         return None if df is None else df.withColumn("bom_id", F.col("target_id").cast("string"))
 
     def list_of(rows_):
-        return placed_or_none(rows_, lambda p: merge.ordered(merge.concat_lists(p), ["seq", "ord"]))
+        return None if rows_ is None else merge.concat_lists(rows_, members)
 
     tools = placed_or_none(
         tables.tools, merge.concat_legacy_tools if two_bom_form else merge.merge_tools

@@ -429,11 +429,13 @@ def write_boms(
 def stamp_boms(boms: DataFrame, tool_name: str = "modelbom", tool_version: str = "v0.0.0") -> tuple[DataFrame, DataFrame]:
     """Serial number and timestamp where unset, and a tool entry per BOM: (boms, tools).
 
-    The serial number is random, so store the result before using it twice.
+    The serial number is a name-based UUID of the id, so it does not change when a plan runs again.
     """
+    name = F.sha1(F.concat(F.lit("modelbom/bom/"), "bom_id"))
+    digits = F.regexp_replace(name, "^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "$1-$2-5$3-8$4-$5")
     stamped = boms.withColumn(
         "serial_number",
-        F.coalesce(F.nullif("serial_number", F.lit("")), F.concat(F.lit("urn:uuid:"), F.uuid())),
+        F.coalesce(F.nullif("serial_number", F.lit("")), F.concat(F.lit("urn:uuid:"), digits)),
     ).withColumn(
         "timestamp",
         F.coalesce(

@@ -73,10 +73,3 @@ def settings_rows(texts: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(
         *keep, F.lower(key).alias("key"), F.coalesce(nz(_scalar(head)), listed).alias("value")
     ).where("value is not null")
-
-
-def values_map(values: DataFrame) -> DataFrame:
-    """(key, value) settings as one row with one map column, bounded by the settings file."""
-    return values.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values")
-    )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from modelbom import schemas as sc
 from modelbom.functions.semistructured import card_variant
-from modelbom.operators.common import cap_pages
 
 # Response field -> table column.
 RENAMED = {
@@ -56,14 +55,13 @@ def decoded_datasets(raw: DataFrame) -> DataFrame:
 TREE_ROW = f"repo_id string, page int, {sc.SECURITY_ENTRY}"
 
 
-def read_security_tree(spark: SparkSession, path: str, kind: str = "model", pages: int = 10) -> DataFrame:
-    """JSON lines of listing entries with ``repo_id`` and landed ``page`` number; at most the
-    first ``pages`` pages of a repository."""
-    return listed_entries(spark.read.schema(TREE_ROW).json(path), kind, pages)
+def read_security_tree(spark: SparkSession, path: str, kind: str = "model") -> DataFrame:
+    """JSON lines of listing entries with ``repo_id`` and landed ``page`` number."""
+    return listed_entries(spark.read.schema(TREE_ROW).json(path), kind)
 
 
-def listed_entries(raw: DataFrame, kind: str = "model", pages: int = 10) -> DataFrame:
-    return cap_pages(raw, pages).withColumn("kind", F.lit(kind))
+def listed_entries(raw: DataFrame, kind: str = "model") -> DataFrame:
+    return raw.withColumn("kind", F.lit(kind))
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:

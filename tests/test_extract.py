@@ -77,7 +77,10 @@ def test_evidence_is_folded(spark):
     ]
     (row,) = scan(spark, files).collect()
     assert row.path == "a.py" and row.method == "model_kwarg_slash"
-    assert row.evidence.split(". ") == [
+    seen = ex.evidence_rows(ex.scan_hits(spark.createDataFrame(files, "path string, content string")))
+    assert row.evidence_texts == seen.count() and row.evidence_chars == sum(len(r.evidence) for r in seen.collect())
+    (joined,) = ex.joined_evidence(seen).collect()
+    assert joined.evidence.split(". ") == [
         'model_kwarg_slash at line 2: "t", model="o/m")',
         'pipeline_model_kwarg at line 1: pipeline( "t", model="o/m")',
         'model_kwarg_slash at line 1: pipeline( "t", model="o/m")',
@@ -86,15 +89,14 @@ def test_evidence_is_folded(spark):
     ]
 
 
-def test_very_large_reference_is_split_by_file(spark):
-    files = [(f"f{i:02}.py", f'x{i} = f(model="o/hot")\ny = g(model="o/hot")') for i in range(20)]
-    hits = ex.scan_hits(spark.createDataFrame(files, "path string, content string"))
-    (whole,) = ex.dedupe_discoveries(hits).collect()
-    parts = ex.dedupe_discoveries(hits, bound=100)
-    rows = sorted(parts.collect(), key=lambda r: r.part)
-    assert len(rows) == 20 and {r.path for r in rows} == {"f00.py"} and {r.method for r in rows} == {whole.method}
-    assert ". ".join(r.evidence for r in rows) == whole.evidence
-    assert [r.part for r in ex.one_per_reference(parts).collect()] == ["f00.py"]
+def test_hot_reference_keeps_all_evidence(spark):
+    """One form at every size: one row for the reference, a row for each of its texts."""
+    for n in (10, 20_000):
+        files = spark.range(n).selectExpr("concat('f', lpad(id, 6, '0'), '.py') AS path", "concat('x', id, ' = f(model=\"o/hot\")') AS content")
+        hits = ex.scan_hits(files)
+        (row,) = ex.dedupe_discoveries(hits).collect()
+        assert (row.id, row.path, row.evidence_texts) == ("o/hot", "f000000.py", n)
+        assert ex.evidence_rows(hits).count() == n
 
 
 def test_custom_rules(spark):

@@ -97,7 +97,7 @@ def test_everything_present_scores_one(spark):
 def test_model_values(spark):
     (c,) = assemble.assemble_models(rows(spark)).collect()
     assert (c.name, c.group, c.purl, c.manufacturer.name) == ("o/m", "o", "pkg:huggingface/o/m@abc", "auth")
-    assert [(p.name, p.value) for p in c.properties][:3] == [("aibomgen.type", "model"), ("aibomgen.evidence", "ev"), ("aibomgen.path", "p.py")]
+    assert [(p.name, p.value) for p in c.properties][:3] == [("modelbom.type", "model"), ("modelbom.evidence", "ev"), ("modelbom.path", "p.py")]
     assert dict((p.name, p.value) for p in c.properties)["huggingface:language"] == "en,fr"
     assert c.licenses[0].license.name == "apache" and c.tags == ["x"]
     assert [r.url for r in c.external_references] == ["https://huggingface.co/o/m", "https://p", "https://d"]

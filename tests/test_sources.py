@@ -6,7 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from modelbom.operators.enrich import enrichment_lookup, values_map
 from modelbom.operators.extract import scan_references
+from modelbom.operators.registry import FieldSpec
 from modelbom.plans import inventory
 from modelbom.sources import boms as bomio
 from modelbom.sources import files, hub
@@ -153,7 +155,7 @@ def test_hub_responses(spark, tmp_path):
     s = tmp_path / "s.json"
     s.write_text("\n".join(json.dumps({"repo_id": "o/m", "page": i, "path": f"f{i}", "securityFileStatus": {"status": "safe"}}) for i in range(12)))
     tree = hub.read_security_tree(spark, str(s))
-    assert tree.count() == 10 and tree.where("securityFileStatus.status = 'safe' and kind = 'model'").count() == 10
+    assert tree.count() == 12 and tree.where("securityFileStatus.status = 'safe' and kind = 'model'").count() == 12
 
 
 def test_settings(spark, tmp_path):
@@ -164,17 +166,20 @@ def test_settings(spark, tmp_path):
         "bom.metadata.component.licenses": "Apache-2.0", "bom.metadata.component.tags": "[nlp bert]",
         "bom.metadata.component.properties.huggingface:language": "en",
     }
-    (m,) = files.values_map(df).collect()
-    assert len(m["values"]) == 3
+    again = df.unionByName(df.withColumn("key", F.upper("key")).withColumn("value", F.lit("zz")))
+    (m,) = values_map(again).collect()
+    assert len(m["values"]) == 3 and "zz" not in m["values"].values()
+    own = [FieldSpec("Own.Field", 1.0, present=lambda c: F.lit(True), parse=None)]
+    missing = spark.createDataFrame([("b", "Own.Field")], "bom_id string, key string")
+    (r,) = enrichment_lookup(missing, df.unionByName(spark.createDataFrame([("own.field", "v")], "key string, value string")), own).collect()
+    assert r.value == "v"
 
 
 def test_enrich_from_file(spark, doc_path, tmp_path):
     p = tmp_path / "values.yaml"
     p.write_text("BOM.metadata.component.group: grp\nBOM.metadata.component.licenses: other\nBOM.components[DATA].licenses: cc0\n")
     t = bomio.read_boms(spark, doc_path)
-    values = files.values_map(files.read_enrichment(spark, str(p))).collect()[0]["values"]
-    literal = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    done, progress = inventory.enrich_boms(t, literal)
+    done, progress = inventory.enrich_boms(t, values_map(files.read_enrichment(spark, str(p))).scalar())
     rows = {r.name: r for r in done.components.collect()}
     assert rows["o/m"].group == "grp" and rows["o/m"].licenses[0].license.name == "mit"
     assert rows["d"].licenses[0].license.name == "cc0" and rows["lib"].licenses is None
