@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from modelbom.llm.common import store
 
-_WORD = re.compile(r"[^\W_]+")
+#: Blocks of marks and spaces beyond ASCII.
+_MARKS = re.compile("[\u0080-\u00bf\u00d7\u00f7\u1680\u2000-\u206f\u2e00-\u2e7f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]")
+_SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -35,8 +38,18 @@ class Search:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters and digits."""
-    return _WORD.findall((text or "").lower())
+    """Lower-case runs of ASCII letters, digits and characters beyond ASCII that are no marks."""
+    return _MARKS.sub(" ", (text or "").lower()).encode("utf-8").translate(_SPACED).decode("utf-8").split()
+
+
+class _Symbols(dict):
+    """64-bit symbols of words as bytes; the empty word has symbol 0."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 1_000_000:
+            self.clear()
+        made = self[word] = (xxh64_intdigest(word) | 1).to_bytes(8, "little") if word else bytes(8)
+        return made
 
 
 def _mix(x):
@@ -47,6 +60,10 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+#: The symbols that a worker knows, kept between its tasks.
+_SYMBOLS = _Symbols()
+
+
 class Embedding:
     """CGK walks over word symbols, sampled at each table's coordinates.
 
@@ -58,7 +75,7 @@ class Embedding:
     def __init__(self, search: Search):
         import numpy as np
 
-        self.np, self.search, self.symbols = np, search, {}
+        self.np, self.search = np, search
         self.picks = {}
         for w in range(search.walks):
             for size in search.sizes:
@@ -67,20 +84,12 @@ class Embedding:
                     self.picks[w, size, t] = sorted(draw.choice(span, min(span, search.coordinates), replace=False).tolist())
 
     def symbol(self, words: list[str]):
-        from xxhash import xxh64_intdigest
-
-        known = self.symbols
-        if len(known) > 500_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxh64_intdigest(w) | 1
-        return self.np.array([known[w] for w in words], self.np.uint64)
+        return self.np.frombuffer(b"".join(map(_SYMBOLS.__getitem__, words)), "<u8")
 
-    def keys(self, symbols, walk: int, sizes):
-        """Per (size, table) the key of the window at every position; symbol 0 ends a text and holds the walk.
+    def keys(self, symbols, walk: int, sizes, starts):
+        """Per (size, table) the key of the window at every start; symbol 0 ends a text and holds the walk.
 
-        Also the place of each position's walk at the end of every size's span.
+        Also the place of each walk at the end of every size's span.
         """
         np = self.np
         bits = np.where(symbols == 0, np.uint64(0), _mix(symbols + np.uint64(0x9E3779B97F4A7C15 * (walk + 1) % (1 << 64))))
@@ -89,9 +98,9 @@ class Embedding:
             for t in range(self.search.tables):
                 for j in self.picks[walk, size, t]:
                     at.setdefault(j, []).append((size, t))
-        sums = {(s, t): np.full(len(symbols), (walk * 64 + s) * 64 + t, np.uint64) for s in sizes for t in range(self.search.tables)}
-        pos, ends = np.arange(len(symbols)), {}
-        seen, move = np.empty_like(symbols), np.empty(len(symbols), bool)
+        sums = {(s, t): np.full(len(starts), (walk * 64 + s) * 64 + t, np.uint64) for s in sizes for t in range(self.search.tables)}
+        pos, ends = starts.astype(np.int64), {}
+        seen, move = np.empty(len(pos), np.uint64), np.empty(len(pos), bool)
         for j in range(max((self.search.span(s) for s in sizes), default=0)):
             if j in at:
                 np.take(symbols, pos, out=seen, mode="clip")
@@ -123,13 +132,13 @@ def _item_keys(search: Search):
             rows = []
             for cls, text in zip(pdf["cls"], pdf["words"]):
                 words = text.split(" ")
-                symbols = np.concatenate([e.symbol(words), np.zeros(1, np.uint64)])
+                symbols = e.symbol([*words, ""])
                 for walk in range(search.walks):
                     sizes = [s for s in search.sizes if s <= len(words)]
-                    keys, ends = e.keys(symbols, walk, sizes)
+                    keys, ends = e.keys(symbols, walk, sizes, np.zeros(1, np.int64))
                     size = max(s for s in sizes if ends[s][0] < len(words))
                     for t in range(search.tables):
-                        k = keys[size, t][:1]
+                        k = keys[size, t]
                         a, b = _cells(k, search.cells)
                         rows.append((cls, len(words), size, k.view(np.int64)[0], a[0], b[0]))
             yield pd.DataFrame(rows, columns=["cls", "n_words", "size", "key", "cell1", "cell2"])
@@ -137,8 +146,26 @@ def _item_keys(search: Search):
     return run
 
 
-def _candidates(search: Search, longest: dict[int, int], cells):
-    """Windows whose key is among the items' keys, neighbours together, with the text around them."""
+def _item_cells(search: Search):
+    def run(batches):
+        """Cells of the filter over the items' words."""
+        import numpy as np
+        import pandas as pd
+
+        e = Embedding(search)
+        for pdf in batches:
+            words = sorted({w for text in pdf["words"] for w in text.split(" ")})
+            yield pd.DataFrame({"cell": np.unique(_cells(e.symbol(words), search.cells)[0])})
+
+    return run
+
+
+def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
+    """Windows whose key is among the items' keys, neighbours together, with the text around them.
+
+    A window within ``n`` edits of an item has at most n words that no item has, so its first words up
+    to the size have no more. Windows with more are left out before the walk.
+    """
     schema_names = ["doc_id", "digest", "key", "lo", "around"]
 
     def run(batches):
@@ -147,28 +174,36 @@ def _candidates(search: Search, longest: dict[int, int], cells):
 
         e, flags = Embedding(search), np.zeros(search.cells, bool)
         flags[np.frombuffer(cells.value, np.int64)] = True
-        sizes, most = sorted(longest), max(longest.values(), default=0)
+        known = np.zeros(search.cells, bool)
+        known[np.frombuffer(word_cells.value, np.int64)] = True
+        most = max(longest.values(), default=0)
         slack = int(search.edits * most)
         types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
 
         def search_texts(rows):
             starts = np.cumsum([0] + [len(w) + 1 for _, _, w in rows])
-            flat = [s for _, _, w in rows for s in (*w, "")]
-            e.symbols[""] = 0
+            flat = []
+            for _, _, w in rows:
+                flat += w
+                flat.append("")
             symbols = e.symbol(flat)
-            symbols[starts[1:] - 1] = 0
-            found_at, found = [], []
-            for walk in range(search.walks):
-                for k in e.keys(symbols, walk, sizes)[0].values():
-                    a, b = _cells(k, search.cells)
-                    hit = np.flatnonzero(flags[a])
-                    hit = hit[flags[b[hit]]]
-                    found_at.append(hit)
-                    found.append(k[hit])
+            strange = (symbols != 0) & ~known[_cells(symbols, search.cells)[0]]
+            upto = np.concatenate([[0], np.cumsum(strange)])
+            end = np.repeat(starts[1:] - 1, np.diff(starts))
+            place = np.arange(len(symbols))
+            found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for size, n in longest.items():
+                few = upto[np.minimum(place + size, end)] - upto[:-1] <= int(search.edits * n)
+                some = np.flatnonzero(few & (symbols != 0))
+                for walk in range(search.walks):
+                    for k in e.keys(symbols, walk, [size], some)[0].values():
+                        a, b = _cells(k, search.cells)
+                        hit = np.flatnonzero(flags[a])
+                        hit = hit[flags[b[hit]]]
+                        found_at.append(some[hit])
+                        found.append(k[hit])
             pos, key = np.concatenate(found_at), np.concatenate(found)
             pos, key = pos[o := np.argsort(pos, kind="stable")], key[o]
-            ok = symbols[pos] != 0
-            pos, key = pos[ok], key[ok]
             doc = np.searchsorted(starts, pos, "right") - 1
             out, k = [], 0
             while k < len(pos):
@@ -188,7 +223,7 @@ def _candidates(search: Search, longest: dict[int, int], cells):
                 words = words_of(text.as_py())
                 rows.append((doc_id, digest, words))
                 size += len(words) + 1
-                if size >= 1 << 13:
+                if size >= 1 << 16:
                     yield search_texts(rows)
                     rows, size = [], 0
             if rows:
@@ -205,6 +240,8 @@ def nearest_window(item: list[str], words: list[str], most: int) -> tuple[int, i
     import numpy as np
 
     number: dict[str, int] = {}
+    if sum(map(set(words).__contains__, item)) < len(item) - most:  # each missing word is an edit
+        return None
     a = [number.setdefault(w, len(number)) for w in item]
     b = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
 
@@ -263,14 +300,15 @@ def contaminated(docs: DataFrame, items: DataFrame, search: Search = Search(), t
     """Which document holds which benchmark item, allowing word edits.
 
     1. Items of equal words form a class; a class is embedded and hashed once.
-    2. One narrow pass embeds the window at every position of every document and keeps those whose key
-       is in a filter over the item keys (a fixed number of bytes, whatever the corpus or benchmark).
+    2. One narrow pass embeds the windows at every position of every document, but for those with more
+       words that no item has than edits are allowed, and keeps those whose key is in a filter over the
+       item keys. Both filters have a fixed number of bytes, whatever the corpus or benchmark.
     3. What is left is joined to the exact keys, made distinct, and verified by the edit distance of the
        item to the best window around.
 
     Returns doc_id, digest (MD5 of the text, which tells rows of one doc_id apart), item_id (least of its
-    class; see ``item_classes``), n_edits, start_word, n_words of the best window. Words are lower-case
-    runs of letters and digits. Null or empty texts and items have no words and match nothing. Repeated
+    class; see ``item_classes``), n_edits, start_word, n_words of the best window. Words are as in
+    ``words_of``. Null or empty texts and items have no words and match nothing. Repeated
     rows count once. Further columns of any name are ignored; empty tables give an empty result.
     Distances are exact; the search misses a pair only when no table samples equal coordinates, which
     cannot happen without an edit.
@@ -287,11 +325,15 @@ def contaminated(docs: DataFrame, items: DataFrame, search: Search = Search(), t
     cells = keys.select(F.explode(F.array("cell1", "cell2")).alias("cell")).distinct()
     import numpy as np
 
-    flags = spark.sparkContext.broadcast(np.array([r["cell"] for r in cells.toLocalIterator()], np.int64).tobytes())
+    word_cells = classes.mapInPandas(_item_cells(search), "cell long").distinct()
+
+    def bitmap(df):  # at most ``search.cells`` numbers
+        return spark.sparkContext.broadcast(np.array([r["cell"] for r in df.toLocalIterator()], np.int64).tobytes())
+
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(t)).alias("digest"), t.alias("text"))
     found = texts.mapInArrow(
-        _candidates(search, longest, flags), "doc_id long, digest binary, key long, lo long, around string"
+        _candidates(search, longest, bitmap(cells), bitmap(word_cells)), "doc_id long, digest binary, key long, lo long, around string"
     )
     pairs = found.join(keys.select("key", "cls").distinct(), "key").drop("key").distinct()
     pairs = pairs.join(classes, "cls").select("doc_id", "digest", "lo", "around", "cls", "words")
