@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import fixtures as fx
 from catalog.fixtures import view, with_views
 from catalog.registry import query
 from catalog.sqltext import lit, trim_sql
 from modelbom.functions.rules import RULES, Rule
 from modelbom.functions.text import SKIPPED_DIRS, classify_file, plausible_id, skip_path
 from modelbom.operators import extract as ex
+from modelbom.operators.common import work_folder
+from modelbom.sources.files import read_files
 
 _NAME = "lower(regexp_extract(path, '[^/]*$'))"
 _EXT = f"CASE WHEN contains({_NAME}, '.') THEN regexp_extract({_NAME}, '[^.]*$') END"
@@ -182,6 +185,25 @@ def g3(spark, sf_dir):
     return ex.stitch_calls(view(spark, sf_dir, "src_files"))
 
 
+@query(
+    "S1_read_files",
+    """SELECT concat('source=', source) AS folder, 'json' AS class, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars
+    FROM documents GROUP BY source""",
+)
+def s1(spark, sf_dir):
+    """A tree of real files: the documents as JSON lines in a folder per source, read back whole."""
+    fx.register_tables(spark, sf_dir, "documents")
+    root = work_folder(spark, "tree")
+    spark.table("documents").select("source", "text").write.partitionBy("source").json(root)
+    files = read_files(spark, root)
+    lines = ex.explode_lines(files.select("path", "content"))
+    text = F.get_json_object("line", "$.text")
+    both = lines.join(files.select("path", "class"), "path").select(
+        F.split("path", "/")[0].alias("folder"), "class", F.length(text).alias("n")
+    )
+    return both.groupBy("folder", "class").agg(F.count("*").alias("lines"), F.sum("n").cast("bigint").alias("chars"))
+
+
 @query("G4_explode_notebook", with_views("notebooks") + f", {_CELLS} SELECT * FROM nb_lines")
 def g4(spark, sf_dir):
     return ex.explode_notebook(view(spark, sf_dir, "notebooks"))

@@ -447,9 +447,9 @@ def small_boms(spark, sf_dir) -> bomio.BomTables:
       CASE WHEN NOT is_metadata AND has_card THEN classification END AS classification FROM s""",
 )
 def s2_s3(spark, sf_dir):
-    docs = bomio.documents(small_boms(spark, sf_dir))
-    text = docs.select("bom_id", bomio.document_json(docs).alias("value"))
-    back = bomio.tables_from_documents(bomio.documents_from_json(text))
+    path = work_folder(spark, "boms")
+    bomio.write_boms(small_boms(spark, sf_dir), path)
+    back = bomio.read_boms(spark, path, layout="entries")
     return back.components.select(
         "bom_id", "is_metadata", "bom_ref", "type", "name", "purl",
         F.get("licenses", F.lit(0))["license"]["name"].alias("license"), F.array_join("tags", "|").alias("tags"),
@@ -458,6 +458,61 @@ def s2_s3(spark, sf_dir):
     )
 
 
+# Documents with fields that no column knows: expressions of licences, authors, children of children.
+_ODD_DOCS = """SELECT concat('urn:uuid:', CAST(p_partkey AS VARCHAR)) AS serial_number,
+  concat('{"$schema":"http://s","annotations":[{"text":"n', CAST(p_partkey AS VARCHAR), '"}],"bomFormat":"CycloneDX","components":[',
+    '{"bom-ref":"c', CAST(p_partkey AS VARCHAR), '","components":[{"components":[{"components":[{"components":[{"name":"deep","type":"file"}],"name":"l4","type":"library"}],',
+    '"name":"l3","type":"library"}],"name":"l2","type":"library"}],"cpe":"cpe:2.3:a","licenses":[{"expression":"MIT OR Apache-2.0"}],"name":"', lower(p_brand), '","scope":"optional","type":"library"},',
+    '{"hashes":[{"alg":"MD5","content":"x","more":1}],"name":"twin","type":"library"}],"externalReferences":[{"hashes":[{"alg":"MD5","content":"y"}],"type":"vcs","url":"u"}],',
+    '"metadata":{"authors":[{"name":"a"}],"component":{"description":"d","name":"m', CAST(p_partkey AS VARCHAR), '","type":"machine-learning-model"},"supplier":{"name":"s"},',
+    '"timestamp":"2024-01-01T00:00:00Z","tools":{"components":[{"author":"w","name":"t","type":"application"}],"services":[{"name":"ts"}]}},"serialNumber":"urn:uuid:', CAST(p_partkey AS VARCHAR),
+    '","services":[{"bom-ref":"s","endpoints":["http://e"],"name":"svc"}],"specVersion":"1.6","version":2,"vulnerabilities":[{"bom-ref":"v","cwes":[79],"id":"CVE"}]}') AS value FROM part"""
+
+
+def odd_documents(spark, sf_dir):
+    """The documents above, one JSON file line each, in a folder."""
+    fx.register_tables(spark, sf_dir, "part")
+    path = work_folder(spark, "odd")
+    spark.sql(_ODD_DOCS.replace("VARCHAR", "STRING")).select("value").write.text(path)
+    return path
+
+
+def sorted_text(value):
+    """A JSON text with sorted keys, as variants print."""
+    return F.to_json(F.parse_json(value))
+
+
+@query("S2_S3_whole_documents", _ODD_DOCS)
+def s2_s3_whole(spark, sf_dir):
+    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines")
+    path = work_folder(spark, "whole")
+    bomio.write_boms(tables, path, layout="lines")
+    back = spark.read.text(path)
+    return back.select(F.get_json_object("value", "$.serialNumber").alias("serial_number"), sorted_text("value").alias("value"))
+
+
+@query("S2_nested_components", """SELECT concat('urn:uuid:', CAST(p_partkey AS VARCHAR)) AS bom_id, * FROM part,
+  (VALUES (2, 'l2', CONCAT('0.', '0')), (3, 'l3', '0.0.0'), (4, 'l4', '0.0.0.0'), (5, 'deep', '0.0.0.0.0')) AS k(level, name, path)""".replace("*", "level, name, path"))
+def s2_nested(spark, sf_dir):
+    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines")
+    kids = bomio.nested_components(tables.components)
+    return kids.select("bom_id", "level", "name", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
+@query(
+    "L1_written_and_validated",
+    with_views("src_files", *_MODEL_VIEWS, "hub_datasets") + f", {DISCOVERIES_CTE}, {joined_cte(_BASE_SCAN)}, models AS ({X1_SQL}) SELECT bom_id, true AS named FROM models",
+)
+def l1_written(spark, sf_dir):
+    folder = work_folder(spark)
+    tables = inventory.scan_and_generate(view(spark, sf_dir, "src_files"), hub(spark, sf_dir), store=folder)
+    bomio.write_boms(tables, folder + "/boms")
+    before = inventory.validate(tables)
+    after = inventory.validate(bomio.read_boms(spark, folder + "/boms", layout="entries"))
+    same = before.join(after, ["bom_id", "completeness_score", "model_id"])
+    return same.select("bom_id", F.col("model_id").isNotNull().alias("named"))
+
+
 # ---- decoding of landed texts -----------------------------------------------------------
 
 

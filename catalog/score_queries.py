@@ -145,14 +145,11 @@ def custom_registry(spark, sf_dir):
 
 
 _RESULTS = f"""res AS ({_A2}), dres AS ({_A3}),
-dnote AS (SELECT bom_id, list('dataset ' || coalesce(dataset_ref, '') || ': required dataset field missing: ' || missing_required) AS notes
-  FROM dres WHERE missing_required <> '' GROUP BY bom_id),
 v AS (SELECT b.bom_id, b.spec_version, coalesce(r.model_id, '(unknown)') AS model_id, r.bom_id IS NOT NULL AS found,
     coalesce(r.score, 0) AS score, coalesce(r.missing_required, '{_M}name') AS missing_required,
     coalesce(r.missing_optional, '{'|'.join(k for k, _, _ in MODEL_TESTS[1:])}') AS missing_optional,
-    has_card, CASE WHEN has_card THEN coalesce(task, family, arch, datasets_csv) IS NOT NULL END AS has_params, d.notes
-  FROM bom_rows b LEFT JOIN res r ON r.bom_id = b.bom_id LEFT JOIN comp_flat c ON c.bom_id = b.bom_id AND c.is_metadata
-  LEFT JOIN dnote d ON d.bom_id = b.bom_id)"""
+    has_card, CASE WHEN has_card THEN coalesce(task, family, arch, datasets_csv) IS NOT NULL END AS has_params
+  FROM bom_rows b LEFT JOIN res r ON r.bom_id = b.bom_id LEFT JOIN comp_flat c ON c.bom_id = b.bom_id AND c.is_metadata)"""
 
 
 def prefixed_sql(prefix: str, keys: str) -> str:
@@ -170,8 +167,6 @@ def validate_sql(strict: bool, minimum: float, card: bool) -> str:
     notes += f", {prefixed_sql('optional field missing: ', 'missing_optional')}"
     if card:
         notes += ", CASE WHEN NOT found THEN [] WHEN NOT has_card THEN ['model card not present'] WHEN NOT has_params THEN ['model parameters not present'] ELSE [] END"
-    if strict:
-        notes += ", coalesce(list_sort(notes), [])"
 
     def joined(lists):
         parts = [p for p in _split(lists)]
@@ -241,6 +236,16 @@ def a4_dataset(spark, sf_dir):
     )
 
 
+@query(
+    "A4_dataset_notes",
+    with_views("comp_flat")
+    + f""", dres AS ({_A3}) SELECT bom_id, ord, 'dataset ' || coalesce(dataset_ref, '') || ': required dataset field missing: ' || missing_required AS note
+    FROM dres WHERE missing_required <> ''""",
+)
+def a4_notes(spark, sf_dir):
+    return score.dataset_notes(fx.components(spark, sf_dir))
+
+
 def weights_sql(tests, minimum: float) -> str:
     rows = ", ".join(f"('{k}', {w}, {o})" for o, (k, w, _) in enumerate(tests) if w >= minimum)
     return f"(VALUES {rows}) AS reg(key, weight, ord)"

@@ -56,21 +56,21 @@ def _net_parens(line: Column) -> Column:
     return without(")") - without("(")
 
 
+BLOCK = 256
+
+
 def call_spans(lines: Column) -> Column:
     """array<struct(first, last)>: line ranges while parentheses are open.
 
     One fold over the lines whose net depth is not zero. Depth is cut at 0 at every line
-    end; a range still open at the end is dropped.
+    end; a range still open at the end is dropped. The fold goes by blocks of lines: a list that
+    grows is copied at each step, so ranges are listed per block and the lists joined at the end.
     """
     events = F.filter(
         F.transform(lines, lambda l, i: F.struct((i + 1).alias("line"), _net_parens(l).alias("net"))),
         lambda e: e["net"] != 0,
     )
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("first"),
-        F.array().cast("array<struct<first:int,last:int>>").alias("spans"),
-    )
+    none = F.array().cast("array<struct<first:int,last:int>>")
 
     def step(s, e):
         depth = F.greatest(s["depth"] + e["net"], F.lit(0))
@@ -82,7 +82,25 @@ def call_spans(lines: Column) -> Column:
             F.when(closes, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
         )
 
-    return F.aggregate(events, start, step, lambda s: s["spans"])
+    def block_step(s, block):
+        start = F.struct(s["depth"].alias("depth"), s["first"].alias("first"), none.alias("spans"))
+        done = F.transform(
+            F.array(F.aggregate(block, start, step)),
+            lambda r: F.struct(
+                r["depth"].alias("depth"), r["first"].alias("first"),
+                F.concat(s["lists"], F.array(r["spans"])).alias("lists"),
+            ),
+        )
+        return F.get(done, F.lit(0))
+
+    size = F.size(events)
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(events, i + 1, F.lit(BLOCK))
+    )
+    begin = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("first"), F.array().cast("array<array<struct<first:int,last:int>>>").alias("lists")
+    )
+    return F.aggregate(blocks, begin, block_step, lambda s: F.flatten(s["lists"]))
 
 
 def call_text(lines: Column, span: Column) -> Column:

@@ -186,6 +186,7 @@ def merge_metadata(boms: DataFrame, members: DataFrame) -> DataFrame:
         F.coalesce(nz("bom_format"), F.lit("CycloneDX")).alias("bom_format"),
         "serial_number", "version",
         F.coalesce(nz("timestamp"), "other_timestamp").alias("timestamp"),
+        *(["raw"] if "raw" in boms.columns else []),  # the base's authors, supplier, licences and the like
     )
 
 

@@ -110,6 +110,14 @@ def dataset_validation(scores: DataFrame, strict: bool = False) -> DataFrame:
     return scores.withColumn("errors", errors if strict else none).withColumn("warnings", warnings)
 
 
+def dataset_notes(components: DataFrame, registry: list[FieldSpec] = DATASET_REGISTRY) -> DataFrame:
+    """Warnings of strict validation about data components: rows (bom_id, ord, note)."""
+    flagged = dataset_validation(dataset_completeness(components, registry), True)
+    rows = flagged.select("bom_id", "ord", "dataset_ref", F.explode("errors").alias("error"))
+    note = F.concat(F.lit("dataset "), F.coalesce("dataset_ref", F.lit("")), F.lit(": "), F.col("error"))
+    return rows.select("bom_id", "ord", note.alias("note"))
+
+
 def validate(
     boms: DataFrame,
     components: DataFrame,
@@ -117,9 +125,9 @@ def validate(
     min_score: float = 0.0,
     check_model_card: bool = False,
     registry: list[FieldSpec] = MODEL_REGISTRY,
-    dataset_registry: list[FieldSpec] = DATASET_REGISTRY,
 ) -> DataFrame:
-    """One row per BOM: valid flag, errors, warnings and its completeness."""
+    """One row per BOM: valid flag, errors, warnings and its completeness. What strict validation says
+    about data components, any number per BOM, are the rows of ``dataset_notes``."""
     models = components.where("is_metadata").withColumn("_found", F.lit(True))
     rows = boms.select("bom_id", "spec_version").join(models, "bom_id", "left")
     has_component = F.col("_found").isNotNull()
@@ -151,7 +159,7 @@ def validate(
         (card_note if check_model_card else F.lit(None).cast("string")).alias("card_note"),
     )
     none = F.array().cast("array<string>")
-    strict_errors, dataset_notes = none, none
+    strict_errors = none
     if strict:
         required = F.transform(
             "missing_required", lambda k: F.concat(F.lit("required field missing: "), k)
@@ -163,25 +171,12 @@ def validate(
             ),
         )
         strict_errors = F.concat(required, F.array_compact(F.array(low)))
-        # Only data components without a name lack a required field; after the per-name rule
-        # at most one per spelling of "blank" is left in a BOM.
-        flagged = dataset_validation(dataset_completeness(components, dataset_registry), True)
-        notes = flagged.select("bom_id", "dataset_ref", F.explode("errors").alias("error"))
-        per_bom = notes.groupBy("bom_id").agg(
-            F.sort_array(
-                F.collect_list(
-                    F.concat(F.lit("dataset "), F.coalesce("dataset_ref", F.lit("")), F.lit(": "), F.col("error"))
-                )
-            ).alias("dataset_notes")
-        )
-        scored = scored.join(per_bom, "bom_id", "left")
-        dataset_notes = F.coalesce("dataset_notes", none)
     errors = F.concat(F.array_compact(F.array("no_metadata", "bad_spec")), strict_errors)
     optional = F.transform(
         "missing_optional", lambda k: F.concat(F.lit("optional field missing: "), k)
     )
     warnings = F.concat(
-        F.array_compact(F.array("old_spec")), optional, F.array_compact(F.array("card_note")), dataset_notes
+        F.array_compact(F.array("old_spec")), optional, F.array_compact(F.array("card_note"))
     )
     return scored.select(
         "bom_id", "model_id", (F.size(errors) == 0).alias("valid"), errors.alias("errors"),

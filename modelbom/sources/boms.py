@@ -1,46 +1,57 @@
-"""BOM documents (JSON and XML) to and from component tables."""
+"""BOM documents (JSON and XML) to and from tables that lose nothing of them.
+
+A document is taken apart into entries (bom_id, section, ord, entry): what it says about itself, its
+metadata component, and one JSON text per list entry. The tables hold the typed columns of the entries
+and, as ``raw``, the entry's own text. Writing puts the typed columns over that text: a column that still
+says what the text says leaves the text as it is, so fields and children that the columns do not know
+come out as they went in, at any depth.
+"""
 
 from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from modelbom import schemas as sc
 from modelbom.functions.text import SPEC_VERSIONS, bom_file_name, identity_ref
 
-NESTED_LEVELS = 3
-
 # Document field -> table column, where the names differ.
 _JSON_NAMES = {
     "bom_ref": "bom-ref", "external_references": "externalReferences", "model_card": "modelCard",
 }
 _EXT_REFS = "array<struct<type:string,url:string>>"
-_TOOL = "struct<vendor:string,name:string,version:string>"
+_TOOL = "struct<vendor:string,name:string,version:string,type:string,manufacturer:struct<name:string>>"
 _VULN = (
     "struct<`bom-ref`:string,source:struct<name:string,url:string>,description:string,"
     "ratings:array<struct<source:struct<name:string>,severity:string,method:string>>,"
     "advisories:array<struct<title:string,url:string>>,affects:array<struct<ref:string>>>"
 )
+_MAP = "map<string,variant>"
+ENTRIES = "bom_id string, section string, ord bigint, entry string"
+#: Sections that are lists of the document, in its order.
+LISTS = ("components", "dependencies", "services", "compositions", "externalReferences", "vulnerabilities")
+_SERVICE = "struct<`bom-ref`:string,name:string,version:string>"
 
 
-def _component_type(levels: int) -> str:
+def _component_type(levels: int = 1) -> str:
     inner = ",".join(f"`{_JSON_NAMES.get(n, n)}`:{t}" for n, t in sc.COMPONENT_FIELDS.items())
     nested = f",components:array<{_component_type(levels - 1)}>" if levels > 1 else ""
     return f"struct<{inner}{nested}>"
 
 
-def bom_schema(levels: int = NESTED_LEVELS) -> str:
+def bom_schema(levels: int = 1) -> str:
+    """The known part of a document, with children of components down to ``levels``."""
     comp = _component_type(levels)
     return (
         "bomFormat string, specVersion string, serialNumber string, version bigint, "
-        f"metadata struct<timestamp:string,component:{comp},"
-        f"tools:string>, components array<{comp}>, "
-        "dependencies array<struct<ref:string,dependsOn:array<string>>>, "
-        "services array<struct<`bom-ref`:string,name:string,version:string>>, "
-        "compositions array<struct<aggregate:string,assemblies:array<string>>>, "
+        f"metadata struct<timestamp:string,component:{comp},tools:struct<components:array<{_TOOL}>,tools:array<{_TOOL}>>>, "
+        f"components array<{comp}>, dependencies array<struct<ref:string,dependsOn:array<string>>>, "
+        f"services array<{_SERVICE}>, compositions array<struct<aggregate:string,assemblies:array<string>>>, "
         f"externalReferences {_EXT_REFS}, vulnerabilities array<{_VULN}>"
     )
 
@@ -51,7 +62,6 @@ class BomTables:
 
     boms: DataFrame
     components: DataFrame
-    nested_components: DataFrame | None = None
     dependencies: DataFrame | None = None
     tools: DataFrame | None = None
     services: DataFrame | None = None
@@ -85,143 +95,171 @@ def check_output(path: str, fmt: str = "auto", spec: str = "") -> tuple[str, str
 
 
 def read_boms(spark: SparkSession, paths, fmt: str = "auto", layout: str = "files") -> BomTables:
-    """BOM documents -> tables. ``layout`` 'files' is one document per file (its path is the
-    id), 'lines' one JSON document per line (its serial number is the id)."""
+    """BOM documents -> tables.
+
+    ``layout`` 'files' is one document per file, whose path is the id; 'lines' is one JSON document per
+    line, and 'entries' JSON lines as ``write_boms`` makes them. The id of a line is its serial number;
+    without one it is the file's path and the hash of the line, so an id is never null. With ``fmt``
+    'auto' each file counts by its own extension, also those in a folder.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    actual = {resolve_format(p, fmt) for p in paths}
-    if len(actual) > 1:
-        raise ValueError("read JSON and XML documents in two calls")
-    if actual == {"xml"}:
+    if fmt not in ("", "auto", None):
+        resolve_format("", fmt)
+    if layout == "entries":
+        return tables_from_entries(spark.read.schema(ENTRIES).json(paths))
+    kind = (fmt or "auto").strip().lower() or "auto"
+    texts = []
+    if kind in ("auto", "json"):
+        reader = spark.read.option("recursiveFileLookup", "true")
+        raw = reader.text(paths, wholetext=layout == "files").select("value", F.col("_metadata.file_path").alias("path"))
+        if kind == "auto":
+            raw = raw.where(~F.lower("path").endswith(".xml"))
+        if layout == "files":
+            texts.append(raw.select(F.col("path").alias("bom_id"), "value"))
+        else:
+            serial = F.nullif(F.get_json_object("value", "$.serialNumber"), F.lit(""))
+            own = F.concat("path", F.lit("#"), F.sha1("value"))
+            texts.append(raw.where(F.trim("value") != "").select(F.coalesce(serial, own).alias("bom_id"), "value"))
+    if kind in ("auto", "xml"):
         from modelbom.sources.bomxml import read_xml_documents
 
-        docs = read_xml_documents(spark, paths)
-    else:
-        reader = spark.read.schema(bom_schema()).option("recursiveFileLookup", "true")
-        docs = reader.option("multiLine", str(layout == "files").lower()).json(paths)
-        ident = F.col("_metadata.file_path") if layout == "files" else F.col("serialNumber")
-        docs = docs.select(ident.alias("bom_id"), "*")
-    return tables_from_documents(docs)
+        texts.append(read_xml_documents(spark, paths, only_xml=kind == "auto"))
+    return tables_from_texts(reduce(DataFrame.unionByName, texts))
 
 
-def _component_row(c: Column) -> list[Column]:
-    return [c[_JSON_NAMES.get(n, n)].cast(t).alias(n) for n, t in sc.COMPONENT_FIELDS.items()]
+def _parts(variant: Column) -> Column:
+    """A JSON value as a map of its fields."""
+    return F.from_json(F.to_json(variant), _MAP)
 
 
-def _exploded(docs: DataFrame, path: str, alias: str = "e") -> DataFrame:
-    return docs.select("bom_id", F.posexplode(F.col(path)).alias("pos", alias)).withColumn(
-        "ord", F.col("pos").cast("bigint")
-    )
-
-
-def tables_from_documents(docs: DataFrame) -> BomTables:
-    none = F.lit(None).cast("string")
-    boms = docs.select(
-        "bom_id", F.col("specVersion").alias("spec_version"), F.col("bomFormat").alias("bom_format"),
-        F.col("serialNumber").alias("serial_number"), "version",
-        F.col("metadata.timestamp").alias("timestamp"),
-    )
-    comp = F.struct(F.lit(True).alias("is_metadata"), F.lit(0).cast("bigint").alias("ord"), F.col("metadata.component").alias("c"))
-    listed = F.transform(
-        "components",
-        lambda c, i: F.struct(F.lit(False).alias("is_metadata"), i.cast("bigint").alias("ord"), c.alias("c")),
-    )
-    both = F.filter(
-        F.concat(F.array(comp), F.coalesce(listed, F.array().cast(_entry_type(docs)))),
-        lambda e: e["c"].isNotNull(),
-    )
-    rows = docs.select("bom_id", F.inline(both))
-    components = rows.select(
-        "bom_id", "ord", "is_metadata", none.alias("parent_ref"), *_component_row(F.col("c"))
-    )
-    deps = _exploded(docs, "dependencies").select(
-        "bom_id", "ord", F.col("e.ref").alias("ref"),
-        F.posexplode_outer("e.dependsOn").alias("pos", "depends_on"),
-    )
-    return BomTables(
-        boms=boms,
-        components=components,
-        nested_components=_nested(rows),
-        dependencies=deps.withColumn("pos", F.col("pos").cast("bigint")),
-        tools=_tools(docs),
-        services=_exploded(docs, "services").select(
-            "bom_id", "ord", F.col("e.bom-ref").alias("bom_ref"), "e.name", "e.version"
-        ),
-        compositions=_exploded(docs, "compositions").select("bom_id", "ord", "e.aggregate", "e.assemblies"),
-        external_refs=_exploded(docs, "externalReferences").select("bom_id", "ord", "e.type", "e.url"),
-        vulnerabilities=_vulnerabilities(docs),
-    )
+def entries_from_texts(texts: DataFrame, ident: str = "bom_id", value: str = "value") -> DataFrame:
+    """JSON document texts -> entries (bom_id, section, ord, entry)."""
+    docs = texts.select(F.col(ident).alias("bom_id"), F.from_json(value, _MAP).alias("d"))
+    get = lambda m, k: F.try_element_at(m, F.lit(k))
+    docs = docs.withColumn("m", _parts(get(F.col("d"), "metadata")))
+    tools = get(F.col("m"), "tools")
+    docs = docs.select("bom_id", "d", "m", F.to_json(tools).alias("tools_text"), _parts(tools).alias("t"))
+    array = "array<variant>"
 
+    def listed(variant: Column, section: str) -> Column:
+        texts_ = F.transform(F.try_variant_get(variant, "$", array), lambda v, i: F.struct(
+            F.lit(section).alias("section"), i.cast("bigint").alias("ord"), F.to_json(v).alias("entry")
+        ))
+        return F.coalesce(texts_, F.array().cast("array<struct<section:string,ord:bigint,entry:string>>"))
 
-def _entry_type(docs: DataFrame) -> str:
-    comp = docs.schema["components"].dataType.elementType.simpleString()
-    return f"array<struct<is_metadata:boolean,ord:bigint,c:{_quoted_fields(comp)}>>"
+    def one(entry: Column, section: str) -> Column:
+        made = F.struct(F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("ord"), entry.alias("entry"))
+        return F.array(made)
 
+    def rest(m: Column, names) -> Column:
+        return F.map_filter(m, lambda k, v: ~k.isin(*names))
 
-def _quoted_fields(type_: str) -> str:
-    return type_.replace("bom-ref:", "`bom-ref`:")
+    old_tools = F.when(F.ltrim("tools_text").startswith("["), F.try_parse_json("tools_text")).otherwise(get(F.col("t"), "tools"))
+    other_tools = rest(F.col("t"), ["components", "tools"])
+    about = F.map_concat(
+        F.coalesce(rest(F.col("m"), ["component", "tools"]), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))),
+        F.when(F.size(other_tools) > 0, F.create_map(F.lit("tools"), F.try_parse_json(F.to_json(other_tools)))).otherwise(
+            F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+        ),
+    )
+    self_ = F.map_concat(rest(F.col("d"), [*LISTS, "metadata"]), F.create_map(F.lit("metadata"), F.try_parse_json(F.to_json(about))))
+    component = get(F.col("m"), "component")
+    parts = [
+        one(F.to_json(self_), "bom"),
+        F.when(F.to_json(component).startswith("{"), one(F.to_json(component), "component")).otherwise(
+            F.array().cast("array<struct<section:string,ord:bigint,entry:string>>")
+        ),
+        listed(get(F.col("t"), "components"), "tools"),
+        listed(old_tools, "legacy tools"),
+        *[listed(get(F.col("d"), s), s) for s in LISTS],
+    ]
+    return docs.select("bom_id", F.inline(F.concat(*parts)))
 
 
-def _nested(rows: DataFrame) -> DataFrame | None:
-    """Children of components, level by level, as rows with ``parent_ref`` and ``level``."""
-    out, level = None, 2
-    level_rows = rows.select("bom_id", "c")
-    kind = level_rows.schema["c"].dataType
-    while "components" in kind.fieldNames():
-        parent = identity_ref(F.col("c.bom-ref"), F.col("c.type"), F.col("c.name"), F.col("c.version"))
-        kids = level_rows.select(
-            "bom_id", parent.alias("parent_ref"), F.posexplode("c.components").alias("pos", "k")
-        )
-        made = kids.select(
-            "bom_id", F.col("pos").cast("bigint").alias("ord"), F.lit(False).alias("is_metadata"),
-            "parent_ref", F.lit(level).alias("level"), *_component_row(F.col("k")),
-        )
-        out = made if out is None else out.unionByName(made)
-        level_rows = kids.select("bom_id", F.col("k").alias("c"))
-        kind, level = level_rows.schema["c"].dataType, level + 1
-    return out
+def _typed(entries: DataFrame, sections, type_: str) -> DataFrame:
+    rows = entries.where(F.col("section").isin(*([sections] if isinstance(sections, str) else sections)))
+    return rows.select("bom_id", "section", "ord", F.from_json("entry", type_).alias("e"), F.col("entry").alias("raw"))
 
 
-_TOOLS_TYPE = (
-    "struct<components:array<struct<type:string,name:string,version:string,"
-    "manufacturer:struct<name:string>>>>"
-)
+def tables_from_texts(texts: DataFrame, ident: str = "bom_id", value: str = "value") -> BomTables:
+    return tables_from_entries(entries_from_texts(texts, ident, value))
 
 
-def _tools(docs: DataFrame) -> DataFrame:
-    """metadata.tools is a list of old-style tools or an object with components."""
-    if "tools" not in docs.schema["metadata"].dataType.fieldNames():
-        return None
-    text = F.col("metadata.tools")
-    old = F.from_json(text, f"array<{_TOOL}>")
-    new = F.from_json(text, _TOOLS_TYPE)["components"]
-    old_inside = F.from_json(text, f"struct<tools:array<{_TOOL}>>")["tools"]
-    is_list = F.ltrim(text).startswith("[")
+def _component_rows(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
+    fields = [F.col("e")[_JSON_NAMES.get(n, n)].cast(t).alias(n) for n, t in sc.COMPONENT_FIELDS.items()]
+    return rows.select("bom_id", "ord", (F.col("section") == "component").alias("is_metadata"), none.alias("parent_ref"), *fields, "raw")
 
-    def entry(legacy, i, type_, vendor, maker, t):
-        return F.struct(
-            F.lit(legacy).alias("legacy"), i.cast("bigint").alias("ord"), type_.alias("type"),
-            vendor.alias("vendor"), maker.alias("manufacturer"), t["name"].alias("name"),
-            t["version"].alias("version"),
-        )
 
-    empty = F.array().cast(
-        "array<struct<legacy:boolean,ord:bigint,type:string,vendor:string,manufacturer:string,name:string,version:string>>"
+def tables_from_entries(entries: DataFrame) -> BomTables:
+    """Entries -> typed tables with the entries' own texts in ``raw``."""
+    e = F.col("e")
+    self_ = "struct<specVersion:string,bomFormat:string,serialNumber:string,version:bigint,metadata:struct<timestamp:string>>"
+    boms = _typed(entries, "bom", self_).select(
+        "bom_id", e["specVersion"].alias("spec_version"), e["bomFormat"].alias("bom_format"),
+        e["serialNumber"].alias("serial_number"), e["version"].alias("version"),
+        e["metadata"]["timestamp"].alias("timestamp"), "raw",
     )
-    modern = F.transform(new, lambda t, i: entry(False, i, t["type"], none, t["manufacturer"]["name"], t))
-    legacy = F.transform(
-        F.when(is_list, old).otherwise(old_inside),
-        lambda t, i: entry(True, i, none, t["vendor"], none, t),
+    whole = _typed(entries, "dependencies", "struct<ref:string,dependsOn:array<string>>")
+    whole = whole.select("bom_id", "ord", e["ref"].alias("ref"), F.posexplode_outer(e["dependsOn"]).alias("pos", "depends_on"))
+    edges = _typed(entries, "edges", "struct<ref:string,pos:bigint,dependsOn:string>")
+    edges = edges.select("bom_id", "ord", e["ref"].alias("ref"), e["pos"].alias("pos"), e["dependsOn"].alias("depends_on"))
+    tools = _typed(entries, ["tools", "legacy tools"], _TOOL).select(
+        "bom_id", "ord", (F.col("section") == "legacy tools").alias("legacy"), e["type"].alias("type"),
+        e["vendor"].alias("vendor"), e["manufacturer"]["name"].alias("manufacturer"), e["name"].alias("name"),
+        e["version"].alias("version"), "raw",
     )
-    every = F.concat(
-        F.coalesce(F.when(~is_list, modern), empty), F.coalesce(legacy, empty)
+    return BomTables(
+        boms=boms,
+        components=_component_rows(_typed(entries, ["component", "components"], _component_type())),
+        dependencies=whole.withColumn("pos", F.col("pos").cast("bigint")).unionByName(edges),
+        tools=tools,
+        services=_typed(entries, "services", _SERVICE).select(
+            "bom_id", "ord", e["bom-ref"].alias("bom_ref"), e["name"].alias("name"), e["version"].alias("version"), "raw"
+        ),
+        compositions=_typed(entries, "compositions", "struct<aggregate:string,assemblies:array<string>>").select(
+            "bom_id", "ord", e["aggregate"].alias("aggregate"), e["assemblies"].alias("assemblies"), "raw"
+        ),
+        external_refs=_typed(entries, "externalReferences", "struct<type:string,url:string>").select(
+            "bom_id", "ord", e["type"].alias("type"), e["url"].alias("url"), "raw"
+        ),
+        vulnerabilities=_vulnerabilities(_typed(entries, "vulnerabilities", _VULN)),
     )
-    return docs.select("bom_id", F.inline(every))
 
 
-def _vulnerabilities(docs: DataFrame) -> DataFrame:
+def nested_components(components: DataFrame) -> DataFrame:
+    """Children of component rows at any depth, with ``parent_ref``, ``level`` and ``path``.
+
+    ``path`` holds the places from the top-level component down, so it tells a child's parent also where
+    names repeat. Each level is one narrow step over the texts; the loop asks whether there is a further
+    level until there is none.
+    """
+    at = F.when(F.col("is_metadata"), F.lit(-1)).otherwise(F.col("ord"))
+    ref = identity_ref("bom_ref", "type", "name", "version")
+    level, out = 2, None
+    rows = components.select("bom_id", ref.alias("parent_ref"), F.array(at.cast("bigint")).alias("path"), "raw")
+    while True:
+        kids = F.try_variant_get(F.try_parse_json("raw"), "$.components", "array<variant>")
+        deeper = rows.select("bom_id", "parent_ref", "path", F.posexplode(kids).alias("pos", "kid"))
+        if deeper.isEmpty():
+            break
+        typed = deeper.select(
+            "bom_id", F.lit("components").alias("section"), F.col("pos").cast("bigint").alias("ord"), "parent_ref",
+            F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"), F.to_json("kid").alias("raw"),
+        ).withColumn("e", F.from_json("raw", _component_type()))
+        fields = [F.col("e")[_JSON_NAMES.get(n, n)].cast(t).alias(n) for n, t in sc.COMPONENT_FIELDS.items()]
+        made = typed.select("bom_id", "ord", F.lit(False).alias("is_metadata"), "parent_ref", F.lit(level).alias("level"), "path", *fields, "raw")
+        out = made if out is None else out.unionByName(made)
+        rows, level = made.select("bom_id", ref.alias("parent_ref"), "path", "raw"), level + 1
+    if out is None:
+        none = components.where("false")
+        return none.withColumns({"level": F.lit(0), "path": F.array().cast("array<bigint>")})
+    return out
+
+
+def _vulnerabilities(rows: DataFrame) -> DataFrame:
     e = F.col("e")
-    return _exploded(docs, "vulnerabilities").select(
+    return rows.select(
         "bom_id", "ord", e["bom-ref"].alias("bom_ref"),
         F.get(e["affects"], F.lit(0))["ref"].alias("affects"),
         e["source"]["name"].alias("source_name"), e["source"]["url"].alias("source_url"),
@@ -232,198 +270,188 @@ def _vulnerabilities(docs: DataFrame) -> DataFrame:
                 r["source"]["name"].alias("source"), r["severity"].alias("severity"), r["method"].alias("method")
             ),
         ).alias("ratings"),
-        e["advisories"].alias("advisories"),
+        e["advisories"].alias("advisories"), "raw",
     )
 
 
 # ---- writing ----------------------------------------------------------------------------
 
 
+def _no_tags(entry: Column) -> Column:
+    """A component's text without tags, its own and those of its children. An unescaped "tags" before a
+    colon can only be a key."""
+    tags = r'"tags":\[(?:"(?:[^"\\]|\\.)*+"(?:,(?="))?)*+\]'
+    return F.regexp_replace(F.regexp_replace(entry, tags + ",", ""), "," + tags + "|" + tags, "")
+
+
 def spec_downgrade(components: DataFrame, spec: str | None) -> DataFrame:
-    """Tags exist since spec 1.6; older outputs lose them. Works on nested rows as well."""
+    """Tags exist since spec 1.6; older outputs lose them, children too."""
     if spec is None or SPEC_VERSIONS.index(spec) >= SPEC_VERSIONS.index("1.6"):
         return components
-    return components.withColumn("tags", F.lit(None).cast("array<string>"))
-
-
-def _document_struct(extra: list[Column] | None = None) -> Column:
-    cols = [F.col(n).alias(_JSON_NAMES.get(n, n)) for n in sc.COMPONENT_FIELDS]
-    return F.struct(*cols, *(extra or []))
-
+    bare = components.withColumn("tags", F.lit(None).cast("array<string>"))
+    return bare.withColumn("raw", _no_tags(F.col("raw"))) if "raw" in bare.columns else bare
 
-def _with_children(components: DataFrame, nested: DataFrame | None) -> DataFrame:
-    """Component rows with their document struct ``c``, children inside."""
-    if nested is None:
-        return components.withColumn("c", _document_struct())
-    kids = None
-    for level in range(NESTED_LEVELS, 1, -1):
-        rows = nested.where(F.col("level") == level)
-        made = _attach(rows, kids)
-        kids = made.groupBy("bom_id", "parent_ref").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", "c"))), lambda e: e["c"]).alias("kids")
-        )
-    return _attach(components, kids)
-
-
-def _attach(rows: DataFrame, kids: DataFrame | None) -> DataFrame:
-    if kids is None:
-        return rows.withColumn("c", _document_struct())
-    own = rows.withColumn("_ref", identity_ref("bom_ref", "type", "name", "version"))
-    right = kids.withColumnRenamed("parent_ref", "_ref")
-    joined = own.join(right, ["bom_id", "_ref"], "left")
-    return joined.withColumn("c", _document_struct([F.col("kids").alias("components")])).drop("kids", "_ref")
-
-
-DOCUMENT_BOUND = 50_000
 
+def over(raw: Column, typed: Column, type_: str) -> Column:
+    """The text of ``raw`` with the changes of ``typed``, a struct of the known fields of type ``type_``.
 
-def _listed(rows: DataFrame, name: str, entry: Column, bound: int) -> DataFrame:
-    """(bom_id, part, list in order). The entries of a BOM are counted first; more than
-    ``bound`` of them are spread over several parts, so no group grows with the data."""
-    sizes = rows.groupBy("bom_id").agg(F.ceil(F.count("*") / bound).alias("_parts"))
-    placed = rows.select("bom_id", "ord", entry.alias("e")).join(sizes, "bom_id")
-    spread = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("ord", F.to_json(F.struct("e"))), F.col("_parts")))
-    part = F.coalesce(spread, F.lit(0)).cast("bigint").alias("part")
-    # An explicit exchange: the join may have put all of a BOM into one partition.
-    parted = placed.select("bom_id", part, "ord", "e").repartition("bom_id", "part")
-    return parted.groupBy("bom_id", "part").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x["e"]).alias(name)
-    )
-
-
-def _tool_entries(tools: DataFrame) -> tuple[DataFrame, Column]:
-    maker = F.coalesce("manufacturer", "vendor")
-    entry = F.struct(
-        F.coalesce("type", F.lit("application")).alias("type"), "name", "version",
-        F.when(maker.isNotNull(), F.struct(maker.alias("name"))).alias("manufacturer"),
+    A field that says the same as the text leaves the text's value, with all it holds; a changed field
+    takes its place; a null one goes. Without a text the struct alone is written.
+    """
+    names = list(StructType.fromDDL("x " + type_)[0].dataType.fieldNames())
+    now = F.from_json(F.to_json(typed), _MAP)
+    was = F.from_json(F.to_json(F.from_json(raw, type_)), _MAP)
+    own = F.from_json(raw, _MAP)
+    get = F.try_element_at
+
+    def value(k):
+        same = F.to_json(get(now, k)).eqNullSafe(F.to_json(get(was, k)))
+        return F.struct(k.alias("key"), F.when(same, get(own, k)).otherwise(get(now, k)).alias("value"))
+
+    known = F.filter(F.transform(F.array(*[F.lit(n) for n in names]), value), lambda x: x["value"].isNotNull())
+    merged = F.map_concat(F.map_filter(own, lambda k, v: ~k.isin(*names)), F.map_from_entries(known))
+    return F.when(raw.isNull(), F.to_json(typed)).otherwise(F.to_json(merged))
+
+
+def _raw(df: DataFrame) -> Column:
+    return F.col("raw") if "raw" in df.columns else F.lit(None).cast("string")
+
+
+def _place(df: DataFrame, column: str = "ord") -> Column:
+    """An order value as one number: merged rows have a struct of (sequence, ..., place)."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, StructType):
+        return F.col(column).cast("bigint")
+    names = kind.fieldNames()
+    widths = {1: [0], 2: [40, 0], 3: [41, 40, 0]}[len(names)] if column == "ord" else {3: [48, 24, 0]}[len(names)]
+    return sum((F.shiftleft(F.col(column)[n].cast("bigint"), w) for n, w in zip(names, widths)), F.lit(0).cast("bigint"))
+
+
+def entries(tables: BomTables, spec: str | None = None) -> DataFrame:
+    """Tables -> entries (bom_id, section, ord, entry), one row per list entry and dependency edge."""
+    c = spec_downgrade(tables.components, spec)
+    comp = F.struct(*[F.col(n).alias(_JSON_NAMES.get(n, n)) for n in sc.COMPONENT_FIELDS])
+    section = F.when(F.col("is_metadata"), "component").otherwise("components")
+    rows = [c.select("bom_id", section.alias("section"), _place(c).alias("ord"), over(_raw(c), comp, _component_type()).alias("entry"))]
+    b = tables.boms
+    version = F.lit(spec) if spec else F.coalesce("spec_version", F.lit("1.6"))
+    about = F.struct(
+        version.alias("specVersion"), F.coalesce("bom_format", F.lit("CycloneDX")).alias("bomFormat"),
+        F.col("serial_number").alias("serialNumber"), F.coalesce("version", F.lit(1).cast("bigint")).alias("version"),
     )
-    return tools, entry
-
-
-def _dependency_entries(edges: DataFrame, bound: int) -> tuple[DataFrame, Column]:
-    """Edges -> one row per (ref, piece of its list)."""
-    keys = ["bom_id", "ord", "ref"]
-    sizes = edges.groupBy(*keys).agg(F.ceil(F.count("*") / bound).alias("_parts"))
-    spread = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("depends_on"), F.col("_parts")))
-    lists = (
-        edges.join(sizes, keys)
-        .select(*keys, F.coalesce(spread, F.lit(0)).alias("piece"), "pos", "depends_on")
-        .repartition(*keys, "piece")
-        .groupBy(*keys, "piece")
-        .agg(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(F.when(F.col("depends_on").isNotNull(), F.struct("pos", "depends_on")))
-                ),
-                lambda e: e["depends_on"],
-            ).alias("deps")
+    text = over(_raw(b), about, "struct<specVersion:string,bomFormat:string,serialNumber:string,version:bigint>")
+    meta = over(F.get_json_object(_raw(b), "$.metadata"), F.struct("timestamp"), "struct<timestamp:string>")
+    b = b.select("bom_id", F.from_json(text, _MAP).alias("m"), meta.alias("meta"))
+    self_ = F.map_concat(F.map_filter("m", lambda k, v: k != "metadata"), F.create_map(F.lit("metadata"), F.try_parse_json("meta")))
+    rows.append(b.select("bom_id", F.lit("bom").alias("section"), F.lit(0).cast("bigint").alias("ord"), F.to_json(self_).alias("entry")))
+
+    def add(df, section, typed):
+        if df is not None:
+            entry = F.coalesce(_raw(df), F.to_json(typed))
+            rows.append(df.select("bom_id", F.lit(section).alias("section"), _place(df).alias("ord"), entry.alias("entry")))
+
+    t = tables.tools
+    if t is not None:
+        maker = F.coalesce(*[c for c in ("manufacturer", "vendor") if c in t.columns])
+        made = F.struct(
+            F.coalesce("type", F.lit("application")).alias("type"), "name", "version",
+            F.when(maker.isNotNull(), F.struct(maker.alias("name"))).alias("manufacturer"),
         )
-    )
-    return lists, F.struct("ref", F.when(F.size("deps") > 0, F.col("deps")).alias("dependsOn"))
+        # An old-style tool becomes a component; its own text has the old form.
+        add(t.withColumn("raw", F.when(~F.col("legacy"), _raw(t))), "tools", made)
+    d = tables.dependencies
+    if d is not None:
+        edge = F.struct("ref", _place(d, "pos").alias("pos"), F.col("depends_on").alias("dependsOn"))
+        rows.append(d.select("bom_id", F.lit("edges").alias("section"), _place(d).alias("ord"), F.to_json(edge).alias("entry")))
+    add(tables.services, "services", F.struct(F.col("bom_ref").alias("bom-ref"), "name", "version") if tables.services is not None else None)
+    add(tables.compositions, "compositions", F.struct("aggregate", "assemblies"))
+    add(tables.external_refs, "externalReferences", F.struct("type", "url"))
+    v = tables.vulnerabilities
+    if v is not None:
+        ratings = F.transform(
+            "ratings",
+            lambda r: F.struct(
+                F.struct(r["source"].alias("name")).alias("source"), r["severity"].alias("severity"), r["method"].alias("method"),
+            ),
+        )
+        made = F.struct(
+            F.col("bom_ref").alias("bom-ref"),
+            F.struct(F.col("source_name").alias("name"), F.col("source_url").alias("url")).alias("source"),
+            "description", ratings.alias("ratings"), "advisories",
+            F.array(F.struct(F.col("affects").alias("ref"))).alias("affects"),
+        )
+        add(v if "ord" in v.columns else v.withColumn("ord", F.lit(0)), "vulnerabilities", made)
+    return reduce(DataFrame.unionByName, rows)
 
 
-def _vulnerability_entries(rows: DataFrame) -> tuple[DataFrame, Column]:
-    v = rows if "ord" in rows.columns else rows.withColumn("ord", F.struct("bom_ref"))
-    ratings = F.transform(
-        "ratings",
-        lambda r: F.struct(
-            F.struct(r["source"].alias("name")).alias("source"), r["severity"].alias("severity"),
-            r["method"].alias("method"),
-        ),
+def documents(tables: BomTables, spec: str | None = None) -> DataFrame:
+    """Tables -> (bom_id, name, value): whole JSON documents, for a caller who wants them. Each gathers
+    the entries of its BOM in one row; ``entries`` is the form that does not."""
+    rows = entries(tables, spec)
+    edges = rows.where("section = 'edges'").withColumn("e", F.from_json("entry", "struct<ref:string,pos:bigint,dependsOn:string>"))
+    lists = edges.groupBy("bom_id", "e.ref").agg(
+        F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.when(F.col("e.dependsOn").isNotNull(), F.struct("e.pos", "e.dependsOn")))).alias("to")
     )
-    entry = F.struct(
-        F.col("bom_ref").alias("bom-ref"),
-        F.struct(F.col("source_name").alias("name"), F.col("source_url").alias("url")).alias("source"),
-        "description", ratings.alias("ratings"), "advisories",
-        F.array(F.struct(F.col("affects").alias("ref"))).alias("affects"),
+    to = F.transform("to", lambda x: x["dependsOn"])
+    lists = lists.select(
+        "bom_id", F.lit("dependencies").alias("section"), "ord",
+        F.to_json(F.struct("ref", F.when(F.size(to) > 0, to).alias("dependsOn"))).alias("entry"),
     )
-    return v, entry
+    rows = rows.where("section <> 'edges'").unionByName(lists)
+    whole = rows.groupBy("bom_id").agg(F.array_sort(F.collect_list(F.struct("section", "ord", "entry"))).alias("x"))
 
+    def of(section):
+        return F.transform(F.filter("x", lambda e: e["section"] == section), lambda e: e["entry"])
 
-def documents(tables: BomTables, spec: str | None = None, bound: int = DOCUMENT_BOUND) -> DataFrame:
-    """Tables -> one row per BOM with the document's top-level fields, ready for JSON.
+    def field_(name, value):
+        return F.concat(F.lit(f'"{name}":'), value)
 
-    A BOM with more than ``bound`` entries in a list becomes several documents (``part`` 0, 1,
-    ...) with the same serial number; together they hold every entry.
-    """
-    nested = tables.nested_components
-    comps = _with_children(
-        spec_downgrade(tables.components, spec), None if nested is None else spec_downgrade(nested, spec)
-    )
-    lists: dict[str, tuple[DataFrame, Column]] = {
-        "components": (comps.where("not is_metadata"), F.col("c"))
-    }
-    if tables.tools is not None:
-        lists["_tools"] = _tool_entries(tables.tools)
-    if tables.dependencies is not None:
-        lists["dependencies"] = _dependency_entries(tables.dependencies, bound)
-    if tables.services is not None:
-        lists["services"] = (tables.services, F.struct(F.col("bom_ref").alias("bom-ref"), "name", "version"))
-    if tables.compositions is not None:
-        lists["compositions"] = (tables.compositions, F.struct("aggregate", "assemblies"))
-    if tables.external_refs is not None:
-        lists["externalReferences"] = (tables.external_refs, F.struct("type", "url"))
-    if tables.vulnerabilities is not None:
-        lists["vulnerabilities"] = _vulnerability_entries(tables.vulnerabilities)
-    body = tables.boms.select("bom_id", F.lit(0).cast("bigint").alias("part"))
-    for name, (rows, entry) in lists.items():
-        body = body.join(_listed(rows, name, entry, bound), ["bom_id", "part"], "full")
-    meta = comps.where("is_metadata").select("bom_id", F.col("c").alias("_component"))
-    out = body.join(tables.boms, "bom_id").join(meta, "bom_id", "left")
-    tool_part = F.lit(None).cast(_TOOLS_TYPE)
-    if "_tools" in lists:
-        tool_part = F.when(F.col("_tools").isNotNull(), F.struct(F.col("_tools").alias("components")))
-    version = F.lit(spec) if spec else F.coalesce("spec_version", F.lit("1.6"))
-    return out.select(
-        "bom_id",
-        "part",
-        F.col("_component.name").alias("_name"),
-        F.coalesce("bom_format", F.lit("CycloneDX")).alias("bomFormat"),
-        version.alias("specVersion"),
-        F.col("serial_number").alias("serialNumber"),
-        F.coalesce("version", F.lit(1).cast("bigint")).alias("version"),
-        F.struct("timestamp", tool_part.alias("tools"), F.col("_component").alias("component")).alias("metadata"),
-        *[n for n in lists if n != "_tools"],
-    )
-
-
-def documents_from_json(texts: DataFrame, ident: str = "bom_id", value: str = "value") -> DataFrame:
-    """JSON document texts in a column -> document rows for ``tables_from_documents``."""
-    return texts.select(ident, F.from_json(value, bom_schema()).alias("d")).select(
-        F.col(ident).alias("bom_id"), "d.*"
-    )
+    def list_of(section):
+        return F.when(F.size(of(section)) > 0, F.concat(F.lit("["), F.array_join(of(section), ","), F.lit("]")))
 
+    def with_fields(text, fields):
+        body = F.regexp_replace(text, r"^\{|\}$", "")
+        return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(F.nullif(body, F.lit("")), *fields)), ","), F.lit("}"))
 
-def document_json(docs: DataFrame, pretty: bool = False) -> Column:
-    body = [c for c in docs.columns if c not in ("bom_id", "part", "_name")]
-    return F.to_json(F.struct(*body), {"pretty": "true"} if pretty else {})
+    self_ = F.get(of("bom"), F.lit(0))
+    component = F.get(of("component"), F.lit(0))
+    about = F.get_json_object(self_, "$.metadata")
+    other = F.get_json_object(about, "$.tools")
+    own_tools = F.when(list_of("tools").isNotNull() | other.isNotNull(), with_fields(F.coalesce(other, F.lit("{}")), [field_("components", list_of("tools"))]))
+    rest = lambda text, name: F.to_json(F.map_filter(F.from_json(text, _MAP), lambda k, v: k != name))
+    meta = with_fields(rest(about, "tools"), [field_("tools", own_tools), field_("component", component)])
+    value = with_fields(rest(self_, "metadata"), [field_("metadata", meta), *[field_(s, list_of(s)) for s in LISTS]])
+    return whole.where(self_.isNotNull()).select("bom_id", F.get_json_object(component, "$.name").alias("name"), value.alias("value"))
 
 
 def write_boms(
-    tables: BomTables, path: str, fmt: str = "json", spec: str = "", layout: str = "lines", mode: str = "errorifexists"
+    tables: BomTables, path: str, fmt: str = "json", spec: str = "", layout: str = "entries", mode: str = "errorifexists"
 ) -> None:
-    """Write documents below ``path``.
+    """Write BOMs below ``path``.
 
-    ``layout`` 'lines' (default): JSON, one document per line, any number per file.
-    'files': one directory per document, named after its component (many small files; for a
-    moderate number of documents). XML output holds a list of ``bom`` elements per file.
+    ``layout`` 'entries' (default): JSON lines (bom_id, section, ord, entry), one per entry, whatever the
+    size of a BOM. 'lines': one JSON document per line. 'files': one directory per document, named after
+    its component (for a moderate number of documents). The latter two gather a BOM in one row. XML holds
+    a list of ``bom`` elements per file, with the known fields.
     """
     actual, version = check_output("out." + resolve_format("", fmt), fmt, spec)
+    if actual == "json" and layout == "entries":
+        entries(tables, version).write.mode(mode).json(path)
+        return
     docs = documents(tables, version)
-    name = bom_file_name("_name", F.lit(None).cast("string"), F.lit(None).cast("string"), "." + actual)
+    none = F.lit(None).cast("string")
+    named = docs.select(bom_file_name("name", none, none, "." + actual).alias("file_name"), "bom_id", "value")
     if actual == "xml":
-        from modelbom.sources.bomxml import xml_columns
+        from modelbom.sources.bomxml import xml_rows
 
-        xml = docs.select(name.alias("file_name"), *xml_columns(docs))
+        xml = xml_rows(named)
         writer = xml if layout == "files" else xml.drop("file_name")
         out = writer.write.mode(mode).format("xml").option("rowTag", "bom").option("rootTag", "boms")
         (out.partitionBy("file_name") if layout == "files" else out).save(path)
-        return
-    text = docs.select(name.alias("file_name"), document_json(docs, layout == "files").alias("value"))
-    if layout == "files":
-        text.write.mode(mode).partitionBy("file_name").text(path)
+    elif layout == "files":
+        named.select("file_name", "value").write.mode(mode).partitionBy("file_name").text(path)
     else:
-        text.select("value").write.mode(mode).text(path)
+        named.select("value").write.mode(mode).text(path)
 
 
 def stamp_boms(boms: DataFrame, tool_name: str = "modelbom", tool_version: str = "v0.0.0") -> tuple[DataFrame, DataFrame]:

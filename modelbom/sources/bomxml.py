@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 _PROP = "struct<property:array<struct<_name:string,_VALUE:string>>>"
 _MODEL_CARD = (
@@ -24,20 +23,36 @@ _DATA = (
     f"governance:struct<custodians:struct<custodian:{_PARTY}>,stewards:struct<steward:{_PARTY}>,"
     f"owners:struct<owner:{_PARTY}>>>"
 )
-_COMPONENT = (
-    "struct<_type:string,`_bom-ref`:string,manufacturer:struct<name:string>,"
+#: Levels of components inside components that the XML form carries.
+LEVELS = 5
+_PLAIN = (
+    "_type:string,`_bom-ref`:string,manufacturer:struct<name:string>,"
     "authors:struct<author:array<struct<name:string,email:string>>>,group:string,name:string,"
     "version:string,hashes:struct<hash:array<struct<_alg:string,_VALUE:string>>>,"
     "licenses:struct<license:array<struct<id:string,name:string>>>,purl:string,"
     "externalReferences:struct<reference:array<struct<_type:string,url:string>>>,"
-    f"properties:{_PROP},modelCard:{_MODEL_CARD},data:array<{_DATA}>,tags:struct<tag:array<string>>>"
+    f"properties:{_PROP},modelCard:{_MODEL_CARD},data:array<{_DATA}>,tags:struct<tag:array<string>>"
 )
+
+
+def _component_type(levels: int) -> str:
+    inner = f",components:struct<component:array<{_component_type(levels - 1)}>>" if levels > 1 else ""
+    return f"struct<{_PLAIN}{inner}>"
+
+
+_COMPONENT = _component_type(LEVELS)
 _SCHEMA = (
     "_xmlns string, _serialNumber string, _version bigint, "
     f"metadata struct<timestamp:string,tools:struct<components:struct<component:array<{_COMPONENT}>>,"
     f"tool:array<struct<vendor:string,name:string,version:string>>>,component:{_COMPONENT}>, "
     f"components struct<component:array<{_COMPONENT}>>, "
-    "dependencies struct<dependency:array<struct<_ref:string,dependency:array<struct<_ref:string>>>>>"
+    "dependencies struct<dependency:array<struct<_ref:string,dependency:array<struct<_ref:string>>>>>, "
+    "services struct<service:array<struct<`_bom-ref`:string,name:string,version:string>>>, "
+    "compositions struct<composition:array<struct<aggregate:string,assemblies:struct<assembly:array<struct<_ref:string>>>>>>, "
+    "externalReferences struct<reference:array<struct<_type:string,url:string>>>, "
+    "vulnerabilities struct<vulnerability:array<struct<`_bom-ref`:string,source:struct<name:string,url:string>,"
+    "ratings:struct<rating:array<struct<source:struct<name:string>,severity:string,method:string>>>,description:string,"
+    "advisories:struct<advisory:array<struct<title:string,url:string>>>,affects:struct<target:array<struct<ref:string>>>>>>"
 )
 
 NAMESPACE = "http://cyclonedx.org/schema/bom/"
@@ -49,7 +64,7 @@ def _props(c: Column) -> Column:
     )
 
 
-def _component(c: Column) -> Column:
+def _component(c: Column, levels: int = LEVELS) -> Column:
     mc = c["modelCard"]
     mp, cons = mc["modelParameters"], mc["considerations"]
     card = F.struct(
@@ -106,20 +121,25 @@ def _component(c: Column) -> Column:
         c["tags"]["tag"].alias("tags"), _props(c["properties"]).alias("properties"),
         F.when(mc.isNotNull(), card).alias("modelCard"),
         F.transform(c["data"], data).alias("data"),
+        *(
+            [F.transform(c["components"]["component"], lambda k: _component(k, levels - 1)).alias("components")]
+            if levels > 1 else []
+        ),
     )
     return F.when(c.isNotNull(), made)
 
 
-def read_xml_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``bom`` elements as rows in the JSON document shape."""
-    from modelbom.sources.boms import bom_schema
+def read_xml_documents(spark: SparkSession, paths: list[str], only_xml: bool = False) -> DataFrame:
+    """``bom`` elements as (bom_id, value): JSON document texts. ``only_xml`` passes over other files."""
+    reader = spark.read.format("xml").option("rowTag", "bom").option("recursiveFileLookup", "true")
+    if only_xml:
+        reader = reader.option("pathGlobFilter", "*.[xX][mM][lL]")
+    raw = reader.schema(_SCHEMA).load(paths)
 
-    raw = (
-        spark.read.format("xml").option("rowTag", "bom").option("recursiveFileLookup", "true")
-        .schema(_SCHEMA).load(paths)
-    )
-    shaped = raw.select(
-        F.coalesce(F.nullif("_serialNumber", F.lit("")), F.col("_metadata.file_path")).alias("bom_id"),
+    def tool(t):
+        return F.struct(t["_type"].alias("type"), t["name"], t["version"], t["manufacturer"])
+
+    doc = F.struct(
         F.lit("CycloneDX").alias("bomFormat"),
         F.nullif(F.regexp_extract("_xmlns", r"/bom/([0-9.]+)", 1), F.lit("")).alias("specVersion"),
         F.col("_serialNumber").alias("serialNumber"),
@@ -127,31 +147,32 @@ def read_xml_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.struct(
             F.col("metadata.timestamp").alias("timestamp"),
             _component(F.col("metadata.component")).alias("component"),
-            F.to_json(
-                F.struct(
-                    F.transform(
-                        "metadata.tools.components.component",
-                        lambda t: F.struct(t["_type"].alias("type"), t["name"], t["version"], t["manufacturer"]),
-                    ).alias("components"),
-                    F.col("metadata.tools.tool").alias("tools"),
-                )
+            F.struct(
+                F.transform("metadata.tools.components.component", tool).alias("components"),
+                F.col("metadata.tools.tool").alias("tools"),
             ).alias("tools"),
         ).alias("metadata"),
-        F.transform("components.component", _component).alias("components"),
+        F.transform("components.component", lambda c: _component(c)).alias("components"),
         F.transform(
             "dependencies.dependency",
-            lambda d: F.struct(
-                d["_ref"].alias("ref"), F.transform(d["dependency"], lambda x: x["_ref"]).alias("dependsOn")
-            ),
+            lambda d: F.struct(d["_ref"].alias("ref"), F.transform(d["dependency"], lambda x: x["_ref"]).alias("dependsOn")),
         ).alias("dependencies"),
+        F.transform("services.service", lambda v: F.struct(v["_bom-ref"].alias("bom-ref"), v["name"], v["version"])).alias("services"),
+        F.transform(
+            "compositions.composition",
+            lambda v: F.struct(v["aggregate"], F.transform(v["assemblies"]["assembly"], lambda a: a["_ref"]).alias("assemblies")),
+        ).alias("compositions"),
+        F.transform("externalReferences.reference", lambda v: F.struct(v["_type"].alias("type"), v["url"])).alias("externalReferences"),
+        F.transform(
+            "vulnerabilities.vulnerability",
+            lambda v: F.struct(
+                v["_bom-ref"].alias("bom-ref"), v["source"], v["description"], v["ratings"]["rating"].alias("ratings"),
+                v["advisories"]["advisory"].alias("advisories"), v["affects"]["target"].alias("affects"),
+            ),
+        ).alias("vulnerabilities"),
     )
-    # Fields the XML mapping does not carry come as NULL in their JSON type.
-    have = set(shaped.columns)
-    target = StructType.fromDDL(bom_schema())
-    extra = [
-        F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields if f.name not in have
-    ]
-    return shaped.select("*", *extra)
+    path = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.sha1(F.to_json(doc)))
+    return raw.select(F.coalesce(F.nullif("_serialNumber", F.lit("")), path).alias("bom_id"), F.to_json(doc).alias("value"))
 
 
 # ---- writing ----------------------------------------------------------------------------
@@ -167,7 +188,7 @@ def _xml_props(c: Column) -> Column:
     )
 
 
-def _xml_component(c: Column) -> Column:
+def _xml_component(c: Column, levels: int = LEVELS) -> Column:
     mc = c["modelCard"]
     mp, qa, cons = mc["modelParameters"], mc["quantitativeAnalysis"], mc["considerations"]
     card = F.struct(
@@ -225,12 +246,23 @@ def _xml_component(c: Column) -> Column:
         F.when(mc.isNotNull(), card).alias("modelCard"),
         F.transform(c["data"], data).alias("data"),
         _wrapped(c["tags"], "tag").alias("tags"),
+        *(
+            [_wrapped(F.transform(c["components"], lambda k: _xml_component(k, levels - 1)), "component").alias("components")]
+            if levels > 1 else []
+        ),
     )
     return F.when(c.isNotNull(), made)
 
 
-def xml_columns(docs: DataFrame) -> list[Column]:
-    """Document rows -> columns for the XML writer (nested children are not written)."""
+def xml_rows(named: DataFrame) -> DataFrame:
+    """(file_name, value) JSON documents -> file_name and the columns of the XML writer."""
+    from modelbom.sources.boms import bom_schema
+
+    docs = named.select("file_name", F.from_json("value", bom_schema(LEVELS)).alias("d")).select("file_name", "d.*")
+    return docs.select("file_name", *_xml_columns(docs))
+
+
+def _xml_columns(docs: DataFrame) -> list[Column]:
     tools = F.transform(
         "metadata.tools.components",
         lambda t: F.struct(t["type"].alias("_type"), t["manufacturer"], t["name"], t["version"]),
@@ -244,15 +276,33 @@ def xml_columns(docs: DataFrame) -> list[Column]:
             F.when(F.size(tools) > 0, F.struct(F.struct(tools.alias("component")).alias("components"))).alias("tools"),
             _xml_component(F.col("metadata.component")).alias("component"),
         ).alias("metadata"),
-        _wrapped(F.transform("components", _xml_component), "component").alias("components"),
+        _wrapped(F.transform("components", lambda c: _xml_component(c)), "component").alias("components"),
+    ]
+    deps = F.transform(
+        "dependencies",
+        lambda d: F.struct(
+            d["ref"].alias("_ref"),
+            F.transform(d["dependsOn"], lambda r: F.struct(r.alias("_ref"))).alias("dependency"),
+        ),
+    )
+    services = F.transform("services", lambda v: F.struct(v["bom-ref"].alias("_bom-ref"), v["name"], v["version"]))
+    compositions = F.transform(
+        "compositions",
+        lambda v: F.struct(v["aggregate"], _wrapped(F.transform(v["assemblies"], lambda a: F.struct(a.alias("_ref"))), "assembly").alias("assemblies")),
+    )
+    references = F.transform("externalReferences", lambda v: F.struct(v["type"].alias("_type"), v["url"]))
+    vulnerabilities = F.transform(
+        "vulnerabilities",
+        lambda v: F.struct(
+            v["bom-ref"].alias("_bom-ref"), v["source"], _wrapped(v["ratings"], "rating").alias("ratings"), v["description"],
+            _wrapped(v["advisories"], "advisory").alias("advisories"), _wrapped(v["affects"], "target").alias("affects"),
+        ),
+    )
+    return [
+        *cols,
+        _wrapped(services, "service").alias("services"),
+        _wrapped(references, "reference").alias("externalReferences"),
+        _wrapped(deps, "dependency").alias("dependencies"),
+        _wrapped(compositions, "composition").alias("compositions"),
+        _wrapped(vulnerabilities, "vulnerability").alias("vulnerabilities"),
     ]
-    if "dependencies" in docs.columns:
-        deps = F.transform(
-            "dependencies",
-            lambda d: F.struct(
-                d["ref"].alias("_ref"),
-                F.transform(d["dependsOn"], lambda r: F.struct(r.alias("_ref"))).alias("dependency"),
-            ),
-        )
-        cols.append(_wrapped(deps, "dependency").alias("dependencies"))
-    return cols

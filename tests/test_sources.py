@@ -2,6 +2,7 @@
 
 import json
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +57,8 @@ def test_read_json(spark, doc_path):
     assert [rows[k].name for k in sorted(rows, reverse=True)] == ["o/m", "lib", "d"]
     m = rows[(True, 0)]
     assert m.model_card.modelParameters.task == "qa" and [p.value for p in m.properties] == ["1", "2"]
-    assert {(r.level, r.parent_ref, r.name) for r in t.nested_components.collect()} == {(2, "library/lib/1", "inner"), (3, "library/inner", "deep")}
+    kids = bomio.nested_components(t.components).collect()
+    assert {(r.level, r.parent_ref, r.name, tuple(r.path)) for r in kids} == {(2, "library/lib/1", "inner", (1, 0)), (3, "library/inner", "deep", (1, 0, 0))}
     assert {(r.ref, r.pos, r.depends_on) for r in t.dependencies.collect()} == {("m", 0, "d"), ("m", 1, "e"), ("d", None, None)}
     (tool,) = t.tools.collect()
     assert (tool.legacy, tool.name, tool.manufacturer) == (False, "t", "v")
@@ -74,9 +76,13 @@ def strip(x):
 def test_json_round_trip(spark, doc_path, tmp_path):
     t = bomio.read_boms(spark, doc_path)
     out = str(tmp_path / "out")
-    bomio.write_boms(t, out)
+    bomio.write_boms(t, out, layout="lines")
     (line,) = spark.read.text(out).collect()
-    assert strip(json.loads(line.value)) == strip(DOC)
+    assert json.loads(line.value) == DOC
+    parts = str(tmp_path / "entries")
+    bomio.write_boms(t, parts)
+    (line,) = bomio.documents(bomio.read_boms(spark, parts, layout="entries")).collect()
+    assert json.loads(line.value) == DOC
     again = bomio.read_boms(spark, out + "/*.txt", fmt="json", layout="lines")
     assert again.components.count() == 3
 
@@ -97,6 +103,7 @@ def test_xml_round_trip(spark, doc_path, tmp_path):
     bomio.write_boms(t, out, fmt="xml")
     back = bomio.read_boms(spark, out, fmt="xml")
     cols = [c for c in t.components.columns if c not in ("bom_id", "parent_ref")]
+    cols.remove("raw")
     # JSON text leaves out what is empty, so absent and empty structs compare equal.
     def texts(df):
         return sorted(json.dumps(strip(json.loads(r.j)), sort_keys=True) for r in df.select(F.to_json(F.struct(*cols)).alias("j")).collect())
@@ -108,16 +115,66 @@ def test_xml_round_trip(spark, doc_path, tmp_path):
     assert (b.spec_version, b.serial_number, b.version, b.timestamp) == ("1.6", "urn:uuid:1", 2, "2024-01-01T00:00:00Z")
 
 
-def test_large_documents_come_in_parts(spark, doc_path):
+def test_changes_go_over_the_text(spark, doc_path, tmp_path):
     t = bomio.read_boms(spark, doc_path)
-    many = t.components.where("name = 'lib'").select("*").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(95))))
+    new = t.components.withColumn("group", F.when(F.col("name") == "lib", "g")).withColumn("tags", F.when(F.col("name") != "lib", F.col("tags")))
+    (row,) = bomio.documents(replace(t, components=new)).collect()
+    got, want = json.loads(row.value), json.loads(json.dumps(DOC))
+    want["components"][1]["group"] = "g"
+    del want["components"][1]["tags"]
+    assert got == want
+
+
+def test_any_size_is_one_form(spark, doc_path):
+    t = bomio.read_boms(spark, doc_path)
+    many = t.components.where("name = 'lib'").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(500))))
     many = many.withColumn("ord", F.col("i").cast("bigint")).withColumn("name", F.concat("name", F.col("i").cast("string"))).drop("i")
     tables = bomio.BomTables(boms=t.boms, components=t.components.where("is_metadata").unionByName(many))
-    docs = bomio.documents(tables, bound=10).collect()
-    assert sorted(d.part for d in docs) == list(range(10)) and {d.serialNumber for d in docs} == {"urn:uuid:1"}
-    assert sorted(c.name for d in docs for c in d.components) == sorted(f"lib{i}" for i in range(1, 96))
+    rows = bomio.entries(tables)
+    assert rows.where("section = 'components'").count() == 500
     (whole,) = bomio.documents(tables).collect()
-    assert [c.name for c in whole.components] == [f"lib{i}" for i in range(1, 96)]
+    assert [c["name"] for c in json.loads(whole.value)["components"]] == [f"lib{i}" for i in range(1, 501)]
+
+
+def test_lines_without_serial_number(spark, tmp_path):
+    p = tmp_path / "a.json"
+    p.write_text("\n".join(json.dumps({"bomFormat": "CycloneDX", "metadata": {"component": {"name": n}}}) for n in ("a", "b", "c")))
+    t = bomio.read_boms(spark, str(p), layout="lines")
+    ids = {r.bom_id for r in t.boms.collect()}
+    assert len(ids) == 3 and None not in ids and {r.name for r in t.components.collect()} == {"a", "b", "c"}
+
+
+def test_each_file_by_its_extension(spark, doc_path, tmp_path):
+    t = bomio.read_boms(spark, doc_path)
+    out = str(tmp_path / "xml")
+    bomio.write_boms(t, out, fmt="xml", layout="files")
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "a.json").write_text(json.dumps(DOC))
+    for folder, _, names in os.walk(out):
+        for n in names:
+            if n.endswith(".xml"):
+                (both / "b.xml").write_bytes(open(os.path.join(folder, n), "rb").read())
+    got = bomio.read_boms(spark, str(both))
+    assert got.boms.count() == 2 and got.components.count() == 6
+    assert got.services.count() == got.compositions.count() == got.external_refs.count() == got.vulnerabilities.count() == 2
+    assert bomio.nested_components(got.components).count() == 4
+
+
+def test_merged_boms_keep_base_metadata(spark, doc_path):
+    import copy
+
+    other = copy.deepcopy(DOC)
+    base = copy.deepcopy(DOC)
+    base["metadata"]["authors"] = [{"name": "who"}]
+    other["components"][1] = {"type": "library", "name": "other", "components": [{"type": "file", "name": "kid", "cpe": "x"}]}
+    docs = spark.createDataFrame([("a", json.dumps(base)), ("b", json.dumps(other))], "bom_id string, value string")
+    members = spark.createDataFrame([("t", 0, "a"), ("t", 1, "b")], "target_id string, seq int, bom_id string")
+    out, _ = inventory.merge_boms(bomio.tables_from_texts(docs), members)
+    (row,) = bomio.documents(out).collect()
+    doc = json.loads(row.value)
+    assert doc["metadata"]["authors"] == [{"name": "who"}] and doc["metadata"]["component"]["name"] == "o/m"
+    assert next(c for c in doc["components"] if c["name"] == "other")["components"] == [{"type": "file", "name": "kid", "cpe": "x"}]
 
 
 def test_formats():
