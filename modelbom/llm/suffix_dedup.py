@@ -421,23 +421,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ga
     )
     shared = store(shared.where("low <> high").select("lead", (F.col("a") != F.col("z")).alias("mixed")), "shared")
 
-    concerned = store(texts.mapInArrow(
+    concerned = texts.mapInArrow(
         _second_pass(length, gap, key_filter(shared, "lead")),
         "doc binary, data binary, lead array<long>, around array<long>, at array<array<int>>",
-    ), "concerned")
-    rows = concerned.select("doc", F.explode(F.arrays_zip("lead", "around", "at")).alias("x"))
-    rows = rows.select("doc", "x.lead", "x.around", "x.at").join(shared, "lead")
+    )
+    # The row number is stored with the row: copies of a text share ``doc``, so texts are joined by row.
+    concerned = store(concerned.withColumn("row", F.monotonically_increasing_id()), "concerned")
+    rows = concerned.select("row", "doc", F.explode(F.arrays_zip("lead", "around", "at")).alias("x"))
+    rows = rows.select("row", "doc", "x.lead", "x.around", "x.at").join(shared, "lead")
     rows = store(rows, "suffixes")
 
-    place = F.struct("doc", F.element_at("at", 1).alias("at"))
+    place = F.struct("doc", F.element_at("at", 1).alias("at"), "row")
     kinds = rows.where("mixed").groupBy("lead", "around").agg(
         F.min(place).alias("one"), F.max(F.struct("doc", F.element_at("at", -1).alias("at"))).alias("other")
     )
-    kinds = store(kinds.select("lead", "around", "one", (F.col("one") != F.col("other")).alias("twice")), "kinds")
+    twice = (F.col("one.doc") != F.col("other.doc")) | (F.col("one.at") != F.col("other.at"))
+    kinds = store(kinds.select("lead", "around", "one", twice.alias("twice")), "kinds")
     large = kinds.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > group).select("lead", F.lit(True).alias("large"))
-    wanted = kinds.select(F.col("one.doc").alias("doc"), F.struct("lead", "around", "twice", F.col("one.at").alias("at")).alias("w"))
-    wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("w"))  # of one text
-    pieces = concerned.select("doc", "data").join(wanted, "doc").select("data", "w").mapInArrow(
+    wanted = kinds.select(F.col("one.row").alias("row"), F.struct("lead", "around", "twice", F.col("one.at").alias("at")).alias("w"))
+    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("w"))  # of one text
+    pieces = concerned.select("row", "data").join(wanted, "row").select("data", "w").mapInArrow(
         _surroundings(length, gap), "first binary, lead long, around long, twice boolean, data binary, least int, most int"
     )
     pieces = store(pieces.join(large, "lead", "left").select(
@@ -451,11 +454,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ga
     masks = store(masks.withColumn("found", F.lit(True)), "masks")
 
     copies = slim.groupBy("doc").agg(F.count("*").alias("copies"))
-    hits = rows.join(masks, ["lead", "around"], "left").where("not mixed or found")
-    hits = hits.groupBy("doc").agg(F.collect_set(F.struct("at", "shifts")).alias("hits"))  # of one text
-    single = copies.where("copies = 1").select("doc")
+    single = rows.join(copies.where("copies = 1").select("doc"), "doc", "left_semi")
+    hits = single.join(masks, ["lead", "around"], "left").where("not mixed or found")
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("at", "shifts")).alias("hits"))  # of one text
     left = (
-        concerned.select("doc", "data").join(hits, "doc").join(single, "doc", "left_semi")
+        concerned.select("row", "doc", "data").join(hits, "row").select("doc", "data", "hits")
         .mapInArrow(_removal(length, gap), "doc binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     )
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
