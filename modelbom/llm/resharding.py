@@ -142,14 +142,16 @@ def reshard(spark: SparkSession, old_path: str, new_path: str, shards: int) -> t
     moved = [(i, j, a, b) for i, j, a, b in transfers if i != j]
     gone = reduce(lambda out, t: out | ((F.col("old") == t[0]) & F.col("row_id").between(t[2], t[3])), moved, F.lit(False))
     files = rows.groupBy("file").agg(F.max(gone).alias("moved"))
-    paths = {r["moved"]: r["files"] for r in files.groupBy("moved").agg(F.collect_list("file").alias("files")).collect()}
-    if paths.get(True):
+    paths: dict[bool, list[str]] = {True: [], False: []}
+    for r in files.toLocalIterator():  # names alone, as a file listing has them
+        paths[r["moved"]].append(r["file"])
+    if paths[True]:
         shard = F.col("shard")
         for i, j, a, b in moved:
             shard = F.when((F.col("shard") == i) & F.col("row_id").between(a, b), j).otherwise(shard)
         affected = spark.read.schema(_SCHEMA).option("basePath", old_path).parquet(*paths[True])
         affected.withColumn("shard", shard).write.option("compression", "zstd").partitionBy("shard").parquet(new_path)
-    return placement, paths.get(False, [])
+    return placement, paths[False]
 
 
 def resharded(docs: DataFrame, old_shard: Column, shards: int = 8, text: str = "text") -> DataFrame:
