@@ -88,12 +88,12 @@ def _moments(batches):
 
 
 def fit(labelled: DataFrame, shrink: float = 0.1, scale_rows: int = 20_000) -> Model:
-    """Fit to rows of FEATURES and label (0 or 1).
+    """Fit to rows of doc_id, FEATURES and label (0 or 1).
 
     The class moments are sums over all rows (one small row per class reaches the driver). Each class
     covariance is shrunk to ``(1 - shrink)`` of itself, half of the rest from the pooled covariance and
     half from its diagonal; a class of too few rows leans on the pooled one in full. The log odds are
-    scaled by a logistic fit on the ``scale_rows`` rows that come first by a hash.
+    scaled by a logistic fit on about ``scale_rows`` rows drawn by a hash of the id, twice as many at most.
     """
     import numpy as np
 
@@ -119,8 +119,9 @@ def fit(labelled: DataFrame, shrink: float = 0.1, scale_rows: int = 20_000) -> M
         factors.append(np.linalg.inv(lower))
         logs.append(np.log(n[k] / (n[0] + n[1])) - np.log(np.diag(lower)).sum())
     model = Model(means, factors, logs)
-    order = F.xxhash64(*FEATURES, "label")
-    some = labelled.select("label", *FEATURES).orderBy(order).limit(scale_rows).toPandas()
+    share = min(1.0, scale_rows / sum(n))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20))
+    some = labelled.where(drawn).select("label", *FEATURES).limit(2 * scale_rows).toPandas()
     if some["label"].nunique() == 2:
         odds, y = np.clip(model.log_odds(some[list(FEATURES)].to_numpy(float)), -200, 200), some["label"].to_numpy(float)
         a, b = 0.1, 0.0
