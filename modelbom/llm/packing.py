@@ -18,7 +18,7 @@ OPEN = 32
 #: Partitions whose left-over windows are merged together: at most MERGE * OPEN windows a task.
 MERGE = 16
 #: Words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 1_000_000
 #: The id that ends a document.
 END = 2
 
