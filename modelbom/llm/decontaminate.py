@@ -46,7 +46,7 @@ class _Symbols(dict):
     """64-bit symbols of words as bytes; the empty word has symbol 0."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         made = self[word] = (xxh64_intdigest(word) | 1).to_bytes(8, "little") if word else bytes(8)
         return made
