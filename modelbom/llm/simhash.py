@@ -240,22 +240,6 @@ def simhash_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
     )
 
 
-def one_of_each(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that stand for a group: the one of the smallest doc_id (null last), with all columns.
-
-    Of rows equal in doc_id the one with the least MD5 of the text stays, of rows equal in both any one.
-    """
-    rows, roots = _grouped(docs, text, shingle, distance)
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    stays = rows.join(roots, "bits").groupBy("root").agg(F.min(place).alias("p"))
-    stays = stays.select(F.col("p.doc_id").alias("_doc"), F.col("p.digest").alias("_digest"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    marked = docs.select(F.col("doc_id").cast("long").alias("d"), digest.alias("g"), row.alias("row"))
-    kept = marked.join(store(stays, "stays"), F.col("d").eqNullSafe(F.col("_doc")) & (F.col("g") == F.col("_digest")), "left_semi")
-    return kept.dropDuplicates(["d", "g"]).select("row.*")
-
-
 def _grouped(docs: DataFrame, text: str, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, bits) of every row, and (bits, least doc_id, root) of every fingerprint."""
     if not 0 <= distance <= 3:
