@@ -29,7 +29,9 @@ PATTERNS = {
     "iso_date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "day_date": r"(?<![\d./])\d{2}([./])\d{2}\1\d{4}(?![\d/]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    # A run of digit groups, up to a group that begins another kind; ``_cards`` finds the numbers in it.
+    "card": r"(?<![\d-])(?=\d(?:[ -]?\d){12})\d{1,19}+(?!\d|-(?!\d))(?:[ -](?!\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)|\d{4}-\d{2}-\d{2}(?![\d-])"
+    r"|\d{2}(?:\.\d{2}\.|/\d{2}/)\d{4}(?![\d/]|\.\d)|\d{3}-\d{2}-\d{4}(?![\d-]))\d{1,19}+(?!\d|-(?!\d)))*+",
     "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{2,4}\)|[ .-]\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)",
     "token": r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9A-F]{32}|[0-9a-f]{64})(?![0-9A-Za-z])",
 }
@@ -124,11 +126,64 @@ def _fill(shape: Column, digits: Column) -> Column:
     return F.aggregate(chars(shape), F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), step, lambda s: s["t"])
 
 
+#: Usual groupings of card numbers; a run of groups is searched for these first.
+CARD_SHAPE = r"^(?:\d{13,19}|(?:\d{4}[ -]){3}\d{1,4}|(?:\d{4}[ -]){4}\d{1,3}|\d{4}[ -]\d{6}[ -]\d{4,5})$"
+
+
 def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = permute(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", ALPHABETS[:1])
     whole = let(body, lambda b: F.concat(b, F.pmod(10 - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-    return let(whole, lambda w: F.when(luhn(digits) == 0, _fill(m, w)).otherwise(m))
+    return let(whole, lambda w: _fill(m, w))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """(text, n): a run of digit groups with its n card numbers replaced.
+
+    Numbers of 13 to 19 digits from one group border to another with a right Luhn sum: those in a usual
+    grouping first, then by place, the longest first; what overlaps one taken before is not taken. Away
+    from the start of the run only groups of three or more digits count, or tables of small numbers
+    would hold many by chance.
+    """
+
+    def windows(at):
+        def ending(a, i):
+            some = F.transform(F.slice(at, i + 1, 19), lambda b, j: F.struct(
+                a["s"].alias("s"), (b["s"] + b["n"]).alias("e"), (b["s"] + b["n"] - a["s"] - j).alias("digits"),
+                ((i == 0) | ~F.exists(F.slice(at, i + 1, j + 1), lambda x: x["n"] < 3)).alias("ok"),
+            ))
+            return F.filter(some, lambda w: w["ok"] & w["digits"].between(13, 19))
+
+        return F.flatten(F.transform(at, ending))
+
+    def part(w):
+        return F.substr(m, w["s"], w["e"] - w["s"])
+
+    def place(groups):
+        return F.transform(groups, lambda g, i: F.struct(
+            F.aggregate(F.slice(groups, F.lit(1), i), F.lit(1), lambda s, x: s + F.length(x) + 1).alias("s"), F.length(g).alias("n")
+        ))
+
+    def taken(found):
+        none = F.array().cast("array<struct<s:int,e:int>>")
+        ranked = F.sort_array(F.transform(found, lambda w: F.struct(
+            (~F.rlike(part(w), F.lit(CARD_SHAPE))).alias("odd"), w["s"].alias("s"), (-w["e"]).alias("back")
+        )))
+        free = lambda out, w: ~F.exists(out, lambda o: (o["s"] < -w["back"]) & (w["s"] < o["e"]))
+        return F.sort_array(F.aggregate(ranked, none, lambda out, w: F.when(
+            free(out, w), F.concat(out, F.array(F.struct(w["s"].alias("s"), (-w["back"]).alias("e"))))
+        ).otherwise(out)))
+
+    def woven(cards):
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("t"))
+        step = lambda o, w: F.struct(
+            w["e"].alias("at"), F.concat(o["t"], F.substr(m, o["at"], w["s"] - o["at"]), _card(part(w), key)).alias("t")
+        )
+        text = F.aggregate(cards, start, step, lambda o: F.concat(o["t"], F.substr(m, o["at"], F.length(m))))
+        return F.struct(text.alias("t"), F.size(cards).alias("n"))
+
+    valid = lambda at: F.filter(windows(at), lambda w: luhn(F.regexp_replace(part(w), "[^0-9]", "")) == 0)
+    return let(let(let(let(F.split(m, "[ -]"), place), valid), taken), woven)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -139,12 +194,30 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(valid, let(permute_number(number, (1 << 16, 1 << 16), key, "ip"), back)).otherwise(m)
 
 
-def _date(m: Column, shape: str, key: str) -> Column:
+def _date(m: Column, shape: str, key: str, otherwise: Column | None = None) -> Column:
     day = F.try_to_date(m, shape)
     number = F.datediff(day, F.to_date(F.lit(FIRST_DAY)))
     new = permute_number(number.cast("long"), DAYS, key, "date")
     moved = F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), new.cast("int")), shape)
-    return F.when(day.isNotNull() & number.between(0, DAYS[0] * DAYS[1] - 1), moved).otherwise(m)
+    return F.when(day.isNotNull() & number.between(0, DAYS[0] * DAYS[1] - 1), moved).otherwise(m if otherwise is None else otherwise)
+
+
+def _day_date(m: Column, mark: str, key: str) -> Column:
+    """Day first; what is no such date but one with the month first is moved among the latter.
+
+    These are the days after the 12th. The permutation is repeated until it meets one, which is one to
+    one among them, and no pseudonym of a day-first date looks like theirs.
+    """
+    shape = f"MM{mark}dd{mark}yyyy"
+    day = F.try_to_date(m, shape)
+    first = F.to_date(F.lit(FIRST_DAY))
+    number = F.datediff(day, first).cast("long")
+    late = lambda n: F.dayofmonth(F.date_add(first, n.cast("int"))) > 12
+    step = lambda n, i: F.when((i > 0) & late(n), n).otherwise(permute_number(n, DAYS, key, "date"))
+    new = F.aggregate(F.sequence(F.lit(0), F.lit(127)), number, step)
+    moved = F.date_format(F.date_add(first, new.cast("int")), shape)
+    month_first = F.when(day.isNotNull() & late(number) & number.between(0, DAYS[0] * DAYS[1] - 1), moved).otherwise(m)
+    return _date(m, f"dd{mark}MM{mark}yyyy", key, month_first)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -205,18 +278,19 @@ def _token(m: Column, key: str) -> Column:
 
 
 def pseudonym(match: Column, key: str) -> Column:
-    """(kind, text) of a match of the joined pattern; kind null if it is not valid and stays."""
+    """(text, n) of a match of the joined pattern: n values are valid and replaced; without one it stays."""
     made = {
         "email": _email(match, key), "iban": _iban(match, key), "ip": _ip(match, key),
         "iso_date": _date(match, "yyyy-MM-dd", key),
-        "day_date": F.when(F.contains(match, F.lit("/")), _date(match, "dd/MM/yyyy", key)).otherwise(_date(match, "dd.MM.yyyy", key)),
-        "ssn": _ssn(match, key), "card": _card(match, key), "phone": _phone(match, key), "token": _token(match, key),
+        "day_date": F.when(F.contains(match, F.lit("/")), _day_date(match, "/", key)).otherwise(_day_date(match, ".", key)),
+        "ssn": _ssn(match, key), "phone": _phone(match, key), "token": _token(match, key),
     }
-    text = match
+    one = lambda text: let(text, lambda t: F.struct(t.alias("t"), (t != match).cast("int").alias("n")))
+    out = F.struct(match.alias("t"), F.lit(0).alias("n"))
     for kind in reversed(PATTERNS):
         whole = F.rlike(match, F.lit("^(?:" + PATTERNS[kind] + ")$"))
-        text = F.when(whole, made[kind]).otherwise(text)
-    return text
+        out = F.when(whole, _cards(match, key) if kind == "card" else one(made[kind])).otherwise(out)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -228,7 +302,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     country code, and hex tokens are permuted place by place. Equal values have equal pseudonyms in all
     documents under one key, and different ones different: the permutations are one to one.
 
-    Returns doc_id, text, n_found (matches), n_replaced (matches that passed validation). Only built-in
+    Card numbers are found among other numbers next to them (``_cards``); dates have the year first, the
+    day first or, where that is no date, the month first.
+
+    Returns doc_id, text, n_found (matches; of several cards in a run of digits each counts), n_replaced
+    (those that passed validation). Only built-in
     expressions in one narrow projection; texts without a digit or @ are passed on after a short test.
     Null and empty texts stay as they are with counts 0; null ids, repeated rows and columns of any
     further name are no matter; an empty table gives an empty result.
@@ -239,12 +317,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = docs.select("doc_id", t.alias("text"), F.when(some, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).alias("found"))
     made = found.withColumn("made", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
     gaps = F.split(F.col("text"), pattern)
-    woven = F.array_join(F.zip_with(gaps, "made", lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("found", "made", lambda a, b: a != b), lambda x: x))
+    woven = F.array_join(F.zip_with(gaps, "made", lambda g, m: F.concat(g, F.coalesce(m["t"], F.lit("")))), "")
+    count = lambda n: F.coalesce(F.aggregate("made", F.lit(0), lambda s, m: s + n(m["n"])), F.lit(0)).cast("long")
     return settled(made.select(
         "doc_id", F.when(F.size("made") > 0, woven).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.greatest(F.size("found"), F.lit(0)), F.lit(0)).cast("long").alias("n_found"),
-        F.coalesce(F.greatest(changed, F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"),
+        count(lambda n: F.greatest(n, F.lit(1))).alias("n_found"), count(lambda n: n).alias("n_replaced"),
     ))
 
 
