@@ -86,6 +86,16 @@ class Embedding:
     def symbol(self, words: list[str]):
         return self.np.frombuffer(b"".join(map(_SYMBOLS.__getitem__, words)), "<u8")
 
+    def pieces(self, symbols, size: int):
+        """At every place the key of the ``size`` words that start there; a text's end makes it match nothing."""
+        np, n = self.np, len(symbols)
+        after = np.concatenate([symbols, np.zeros(size, np.uint64)])
+        h = np.full(n, (1 << 20) + size, np.uint64)
+        for k in range(size):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += after[k : k + n]
+        return _mix(h)
+
     def keys(self, symbols, walk: int, sizes, starts):
         """Per (size, table) the key of the window at every start; symbol 0 ends a text and holds the walk.
 
@@ -121,9 +131,15 @@ def _cells(key, cells: int):
     return (key & np.uint64(cells - 1)).astype(np.int64), (key >> np.uint64(40) & np.uint64(cells - 1)).astype(np.int64)
 
 
+def pieces(n: int, edits: float) -> list[tuple[int, int]]:
+    """(start, size) of floor(edits * n) + 1 pieces of an item of n words: as many edits leave one of them whole."""
+    k = int(edits * n) + 1
+    return [(n * i // k, n * (i + 1) // k - n * i // k) for i in range(k)]
+
+
 def _item_keys(search: Search):
     def run(batches):
-        """(cls, n_words, size, key, cell1, cell2) of each item class."""
+        """(cls, n_words, size, key, cell1, cell2) of each item class; the size of a piece is negative."""
         import numpy as np
         import pandas as pd
 
@@ -141,6 +157,10 @@ def _item_keys(search: Search):
                         k = keys[size, t]
                         a, b = _cells(k, search.cells)
                         rows.append((cls, len(words), size, k.view(np.int64)[0], a[0], b[0]))
+                for start, size in pieces(len(words), search.edits):
+                    k = e.pieces(symbols[start : start + size], size)[:1]
+                    a, b = _cells(k, search.cells)
+                    rows.append((cls, len(words), -size, k.view(np.int64)[0], a[0], b[0]))
             yield pd.DataFrame(rows, columns=["cls", "n_words", "size", "key", "cell1", "cell2"])
 
     return run
@@ -164,7 +184,8 @@ def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
     """Windows whose key is among the items' keys, neighbours together, with the text around them.
 
     A window within ``n`` edits of an item has at most n words that no item has, so its first words up
-    to the size have no more. Windows with more are left out before the walk.
+    to the size have no more. Windows with more are left out before the walk. A piece may be anywhere in
+    its item, so the text around reaches back by the longest item.
     """
     schema_names = ["doc_id", "digest", "key", "lo", "around"]
 
@@ -192,7 +213,16 @@ def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
             end = np.repeat(starts[1:] - 1, np.diff(starts))
             place = np.arange(len(symbols))
             found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for size in [-s for s in longest if s < 0]:
+                k = e.pieces(symbols, size)
+                a, b = _cells(k, search.cells)
+                hit = np.flatnonzero(flags[a])
+                hit = hit[flags[b[hit]]]
+                found_at.append(hit)
+                found.append(k[hit])
             for size, n in longest.items():
+                if size < 0:
+                    continue
                 few = upto[np.minimum(place + size, end)] - upto[:-1] <= int(search.edits * n)
                 some = np.flatnonzero(few & (symbols != 0))
                 for walk in range(search.walks):
@@ -211,7 +241,7 @@ def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
                 while end < len(pos) and doc[end] == d and pos[end] - pos[end - 1] <= slack + 1 and pos[end] - first <= most:
                     end += 1
                 doc_id, digest, words = rows[d]
-                lo = max(0, int(first - starts[d]) - slack)
+                lo = max(0, int(first - starts[d]) - most - slack)
                 around = " ".join(words[lo : int(pos[end - 1] - starts[d]) + most + slack])
                 out += [(doc_id, digest, int(x), lo, around) for x in np.unique(key[k:end]).view(np.int64)]
                 k = end
@@ -310,8 +340,8 @@ def contaminated(docs: DataFrame, items: DataFrame, search: Search = Search(), t
     class; see ``item_classes``), n_edits, start_word, n_words of the best window. Words are as in
     ``words_of``. Null or empty texts and items have no words and match nothing. Repeated
     rows count once. Further columns of any name are ignored; empty tables give an empty result.
-    Distances are exact; the search misses a pair only when no table samples equal coordinates, which
-    cannot happen without an edit.
+    Distances are exact, and no pair is missed: beside its walks an item is hashed by the words of its
+    ``pieces``, one more than the edits that are allowed, so one of them is whole wherever the edits are.
     """
     spark = docs.sparkSession
     classes = item_classes(items).where("words <> ''").select("item_id", "words").distinct()
