@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelbom.llm.alignment import link_counts
 from modelbom.llm.classifier import classify
 from modelbom.llm.common import new_path, read
 from modelbom.llm.decontaminate import contaminated
@@ -17,7 +18,9 @@ from modelbom.llm.quality_rules import STOP_WORDS, quality_rules
 from modelbom.llm.resharding import resharded
 from modelbom.llm.simhash import simhash_groups
 from modelbom.llm.suffix_dedup import remove_repeats
+from modelbom.llm.toxicity import toxicity
 from modelbom.llm.warc import BASE32, parse_records, read_archive, write_archive
+from modelbom.llm.whitening import whitened_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +166,18 @@ def op7(spark, sf_dir):
 @query("op9_suffix_dedup")
 def op9(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents")).drop("doc", "kept")
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitened_components(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_alignment")
+def op12(spark, sf_dir):
+    return link_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_toxicity")
+def op13(spark, sf_dir):
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
