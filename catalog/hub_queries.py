@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -495,8 +498,92 @@ def s2_s3_whole(spark, sf_dir):
   (VALUES (2, 'l2', CONCAT('0.', '0')), (3, 'l3', '0.0.0'), (4, 'l4', '0.0.0.0'), (5, 'deep', '0.0.0.0.0')) AS k(level, name, path)""".replace("*", "level, name, path"))
 def s2_nested(spark, sf_dir):
     tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines")
-    kids = bomio.nested_components(tables.components)
-    return kids.select("bom_id", "level", "name", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+    kids = bomio.nested_components(tables.components).join(tables.boms.select("bom_id", "serial_number"), "bom_id")
+    return kids.select(
+        F.col("serial_number").alias("bom_id"), "level", "name", F.array_join(F.col("path").cast("array<string>"), ".").alias("path")
+    )
+
+
+@query("S2_S3_xml_documents", _ODD_DOCS)
+def s2_s3_xml(spark, sf_dir):
+    """Out as XML and back, with unknown fields, numbers, names that XML does not allow, and five levels of components."""
+    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines")
+    path = work_folder(spark, "xml")
+    bomio.write_boms(tables, path, fmt="xml", layout="lines")
+    back = bomio.documents(bomio.read_boms(spark, path, fmt="xml"))
+    return back.select(F.get_json_object("value", "$.serialNumber").alias("serial_number"), sorted_text("value").alias("value"))
+
+
+_DEPTH = 12
+_KIDS = reduce(
+    lambda inner, k: f'{{"components":[{inner}],"name":"l{k}","scope":"s{k}","type":"library"}}',
+    range(_DEPTH, 1, -1), '{"name":"deep","type":"file","x":{"y":[1,true,"z"]}}',
+)
+#: Two versions of each of these BOMs have one serial number; their components differ and are nested twelve levels deep.
+_VERSIONED = f"""SELECT concat('urn:uuid:', CAST(s_suppkey AS VARCHAR)) AS serial_number, v AS version,
+  concat('{{"bomFormat":"CycloneDX","components":[{{"components":[{_KIDS}],"name":"top', CAST(s_suppkey AS VARCHAR), '-', CAST(v AS VARCHAR),
+    '","type":"library"}}],"serialNumber":"urn:uuid:', CAST(s_suppkey AS VARCHAR), '","specVersion":"1.6","version":', CAST(v AS VARCHAR), '}}') AS value
+FROM supplier, (VALUES (1), (2)) AS k(v)"""
+
+
+def versioned_documents(spark, sf_dir):
+    fx.register_tables(spark, sf_dir, "supplier")
+    path = work_folder(spark, "versions")
+    spark.sql(_VERSIONED.replace("VARCHAR", "STRING")).select("value").write.text(path)
+    return path
+
+
+@query("S2_bom_identity", f"SELECT serial_number, version, concat('top', substr(serial_number, 10), '-', CAST(version AS VARCHAR)) AS name, CAST(1 AS BIGINT) AS n_components FROM ({_VERSIONED})")
+def s2_identity(spark, sf_dir):
+    """Two versions of one serial number stay two BOMs, each with its own components."""
+    tables = bomio.read_boms(spark, versioned_documents(spark, sf_dir), layout="lines")
+    own = tables.components.groupBy("bom_id").agg(F.min("name").alias("name"), F.count("*").alias("n_components"))
+    return tables.boms.join(own, "bom_id").select("serial_number", F.col("version").cast("int").alias("version"), "name", "n_components")
+
+
+@query(
+    "S2_twelve_levels",
+    f"""SELECT serial_number, version, level, CASE WHEN level = {_DEPTH + 1} THEN 'deep' ELSE concat('l', CAST(level AS VARCHAR)) END AS name,
+      concat('0', repeat('.0', level - 1)) AS path FROM ({_VERSIONED}), (SELECT CAST(unnest(generate_series(2, {_DEPTH + 1})) AS INT) AS level)""",
+)
+def s2_twelve(spark, sf_dir):
+    """Children of twelve levels after a way through XML."""
+    tables = bomio.read_boms(spark, versioned_documents(spark, sf_dir), layout="lines")
+    path = work_folder(spark, "deep-xml")
+    bomio.write_boms(tables, path, fmt="xml", layout="lines")
+    back = bomio.read_boms(spark, path, fmt="xml")
+    about = back.boms.select("bom_id", "serial_number", F.col("version").cast("int").alias("bom_version"))
+    kids = bomio.nested_components(back.components).join(about, "bom_id")
+    return kids.select(
+        "serial_number", F.col("bom_version").alias("version"), "level", "name", F.array_join(F.col("path").cast("array<string>"), ".").alias("path")
+    )
+
+
+_SPECS = ("1.1", "1.3", "1.4", "1.5", "1.6")
+
+
+@query(
+    "P19_fields_by_version",
+    with_views("comp_flat") + """, s AS (SELECT *, concat(type, '-', CAST(CAST(floor(k / 10) AS BIGINT) AS VARCHAR)) AS doc, is_metadata AND k % 10 = 0 AS meta FROM comp_flat),
+    v AS (SELECT unnest(['1.1', '1.3', '1.4', '1.5', '1.6']) AS spec)
+    SELECT spec, doc AS bom_id, ord, meta AS is_metadata,
+      CASE WHEN spec < '1.5' AND type IN ('machine-learning-model', 'data') THEN 'application' ELSE type END AS type,
+      spec >= '1.6' AND tags_csv IS NOT NULL AND tags_csv <> '' AS has_tags,
+      spec >= '1.3' AND nullif(props_csv, '') IS NOT NULL AS has_properties,
+      spec >= '1.5' AND is_metadata AND has_card AS has_card,
+      spec >= '1.5' AND NOT is_metadata AND has_card AS has_data
+    FROM s, v WHERE NOT (spec = '1.1' AND meta)""",
+)
+def p19_versions(spark, sf_dir):
+    """What the entries of each specification version hold, read from the written texts alone."""
+    tables = small_boms(spark, sf_dir)
+    made = [bomio.entries(tables, v).select(F.lit(v).alias("spec"), "bom_id", "ord", "section", "entry") for v in _SPECS]
+    rows = reduce(DataFrame.unionByName, made).where("section in ('component', 'components')")
+    has = lambda path: F.get_json_object("entry", path).isNotNull()
+    return rows.select(
+        "spec", "bom_id", "ord", (F.col("section") == "component").alias("is_metadata"), F.get_json_object("entry", "$.type").alias("type"),
+        has("$.tags").alias("has_tags"), has("$.properties").alias("has_properties"), has("$.modelCard").alias("has_card"), has("$.data").alias("has_data"),
+    )
 
 
 @query(

@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 
 from modelbom import schemas as sc
 from modelbom.functions.text import SPEC_VERSIONS, bom_file_name, identity_ref
+from modelbom.sources.bomxml import LISTS
+from modelbom.sources.downgrade import SECTIONS, SINCE, component_type, dropped, later, pruned
+from modelbom.sources.rewriting import depth, descend
 
 # Document field -> table column, where the names differ.
 _JSON_NAMES = {
@@ -34,26 +37,13 @@ _VULN = (
 _MAP = "map<string,variant>"
 ENTRIES = "bom_id string, section string, ord bigint, entry string"
 #: Sections that are lists of the document, in its order.
-LISTS = ("components", "dependencies", "services", "compositions", "externalReferences", "vulnerabilities")
+LISTS_OF_DOCUMENT = ("components", "dependencies", "services", "compositions", "externalReferences", "vulnerabilities")
 _SERVICE = "struct<`bom-ref`:string,name:string,version:string>"
 
 
-def _component_type(levels: int = 1) -> str:
+def _component_type() -> str:
     inner = ",".join(f"`{_JSON_NAMES.get(n, n)}`:{t}" for n, t in sc.COMPONENT_FIELDS.items())
-    nested = f",components:array<{_component_type(levels - 1)}>" if levels > 1 else ""
-    return f"struct<{inner}{nested}>"
-
-
-def bom_schema(levels: int = 1) -> str:
-    """The known part of a document, with children of components down to ``levels``."""
-    comp = _component_type(levels)
-    return (
-        "bomFormat string, specVersion string, serialNumber string, version bigint, "
-        f"metadata struct<timestamp:string,component:{comp},tools:struct<components:array<{_TOOL}>,tools:array<{_TOOL}>>>, "
-        f"components array<{comp}>, dependencies array<struct<ref:string,dependsOn:array<string>>>, "
-        f"services array<{_SERVICE}>, compositions array<struct<aggregate:string,assemblies:array<string>>>, "
-        f"externalReferences {_EXT_REFS}, vulnerabilities array<{_VULN}>"
-    )
+    return f"struct<{inner}>"
 
 
 @dataclass
@@ -98,9 +88,10 @@ def read_boms(spark: SparkSession, paths, fmt: str = "auto", layout: str = "file
     """BOM documents -> tables.
 
     ``layout`` 'files' is one document per file, whose path is the id; 'lines' is one JSON document per
-    line, and 'entries' JSON lines as ``write_boms`` makes them. The id of a line is its serial number;
-    without one it is the file's path and the hash of the line, so an id is never null. With ``fmt``
-    'auto' each file counts by its own extension, also those in a folder.
+    line, and 'entries' JSON lines as ``write_boms`` makes them. The id of a line is the file's path and the
+    hash of the line: two versions of a BOM with one serial number are two BOMs, and a line repeated in
+    a file is read once. Serial numbers are a column. With ``fmt`` 'auto' each file counts by its own
+    extension, also those in a folder.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if fmt not in ("", "auto", None):
@@ -117,9 +108,8 @@ def read_boms(spark: SparkSession, paths, fmt: str = "auto", layout: str = "file
         if layout == "files":
             texts.append(raw.select(F.col("path").alias("bom_id"), "value"))
         else:
-            serial = F.nullif(F.get_json_object("value", "$.serialNumber"), F.lit(""))
             own = F.concat("path", F.lit("#"), F.sha1("value"))
-            texts.append(raw.where(F.trim("value") != "").select(F.coalesce(serial, own).alias("bom_id"), "value"))
+            texts.append(raw.where(F.trim("value") != "").select(own.alias("bom_id"), "value").dropDuplicates(["bom_id"]))
     if kind in ("auto", "xml"):
         from modelbom.sources.bomxml import read_xml_documents
 
@@ -162,7 +152,7 @@ def entries_from_texts(texts: DataFrame, ident: str = "bom_id", value: str = "va
             F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
         ),
     )
-    self_ = F.map_concat(rest(F.col("d"), [*LISTS, "metadata"]), F.create_map(F.lit("metadata"), F.try_parse_json(F.to_json(about))))
+    self_ = F.map_concat(rest(F.col("d"), [*LISTS_OF_DOCUMENT, "metadata"]), F.create_map(F.lit("metadata"), F.try_parse_json(F.to_json(about))))
     component = get(F.col("m"), "component")
     parts = [
         one(F.to_json(self_), "bom"),
@@ -171,7 +161,7 @@ def entries_from_texts(texts: DataFrame, ident: str = "bom_id", value: str = "va
         ),
         listed(get(F.col("t"), "components"), "tools"),
         listed(old_tools, "legacy tools"),
-        *[listed(get(F.col("d"), s), s) for s in LISTS],
+        *[listed(get(F.col("d"), s), s) for s in LISTS_OF_DOCUMENT],
     ]
     return docs.select("bom_id", F.inline(F.concat(*parts)))
 
@@ -227,34 +217,39 @@ def tables_from_entries(entries: DataFrame) -> BomTables:
     )
 
 
+_KID = "struct<level:int,parent:string,path:array<bigint>,raw:string>"
+
+
 def nested_components(components: DataFrame) -> DataFrame:
     """Children of component rows at any depth, with ``parent_ref``, ``level`` and ``path``.
 
     ``path`` holds the places from the top-level component down, so it tells a child's parent also where
-    names repeat. Each level is one narrow step over the texts; the loop asks whether there is a further
-    level until there is none.
+    names repeat. One narrow step over each component's text: its levels are walked within the row, as many
+    as the text is deep, and nothing is asked of the data beforehand.
     """
-    at = F.when(F.col("is_metadata"), F.lit(-1)).otherwise(F.col("ord"))
-    ref = identity_ref("bom_ref", "type", "name", "version")
-    level, out = 2, None
-    rows = components.select("bom_id", ref.alias("parent_ref"), F.array(at.cast("bigint")).alias("path"), "raw")
-    while True:
-        kids = F.try_variant_get(F.try_parse_json("raw"), "$.components", "array<variant>")
-        deeper = rows.select("bom_id", "parent_ref", "path", F.posexplode(kids).alias("pos", "kid"))
-        if deeper.isEmpty():
-            break
-        typed = deeper.select(
-            "bom_id", F.lit("components").alias("section"), F.col("pos").cast("bigint").alias("ord"), "parent_ref",
-            F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"), F.to_json("kid").alias("raw"),
-        ).withColumn("e", F.from_json("raw", _component_type()))
-        fields = [F.col("e")[_JSON_NAMES.get(n, n)].cast(t).alias(n) for n, t in sc.COMPONENT_FIELDS.items()]
-        made = typed.select("bom_id", "ord", F.lit(False).alias("is_metadata"), "parent_ref", F.lit(level).alias("level"), "path", *fields, "raw")
-        out = made if out is None else out.unionByName(made)
-        rows, level = made.select("bom_id", ref.alias("parent_ref"), "path", "raw"), level + 1
-    if out is None:
-        none = components.where("false")
-        return none.withColumns({"level": F.lit(0), "path": F.array().cast("array<bigint>")})
-    return out
+    def ref(text: Column) -> Column:
+        e = F.from_json(text, "`bom-ref` string, type string, name string, version string")
+        return identity_ref(e["bom-ref"], e["type"], e["name"], e["version"])
+
+    def kids(parent: Column) -> Column:
+        items = F.try_variant_get(F.try_parse_json(parent["raw"]), "$.components", "array<variant>")
+        made = F.transform(items, lambda v, i: F.struct(
+            (parent["level"] + 1).alias("level"), ref(parent["raw"]).alias("parent"),
+            F.concat(parent["path"], F.array(i.cast("bigint"))).alias("path"), F.to_json(v).alias("raw"),
+        ))
+        return F.coalesce(made.cast(f"array<{_KID}>"), F.array().cast(f"array<{_KID}>"))
+
+    at = F.when(F.col("is_metadata"), F.lit(-1)).otherwise(F.col("ord")).cast("bigint")
+    top = F.struct(F.lit(1).alias("level"), F.lit("").alias("parent"), F.array(at).alias("path"), F.col("raw").alias("raw"))
+    rounds = F.floor(depth(F.col("raw")) / 2).cast("int")  # a level is a list and an object deep
+    rows = components.where(F.col("raw").contains('"components"'))
+    rows = rows.select("bom_id", F.explode(descend(F.array(top), rounds, kids, _KID)).alias("k"))
+    rows = rows.select("bom_id", "k.level", "k.parent", "k.path", "k.raw", F.from_json("k.raw", _component_type()).alias("e"))
+    fields = [F.col("e")[_JSON_NAMES.get(n, n)].cast(t).alias(n) for n, t in sc.COMPONENT_FIELDS.items()]
+    return rows.select(
+        "bom_id", F.element_at("path", -1).alias("ord"), F.lit(False).alias("is_metadata"), F.col("parent").alias("parent_ref"),
+        "level", "path", *fields, "raw",
+    )
 
 
 def _vulnerabilities(rows: DataFrame) -> DataFrame:
@@ -277,19 +272,26 @@ def _vulnerabilities(rows: DataFrame) -> DataFrame:
 # ---- writing ----------------------------------------------------------------------------
 
 
-def _no_tags(entry: Column) -> Column:
-    """A component's text without tags, its own and those of its children. An unescaped "tags" before a
-    colon can only be a key."""
-    tags = r'"tags":\[(?:"(?:[^"\\]|\\.)*+"(?:,(?="))?)*+\]'
-    return F.regexp_replace(F.regexp_replace(entry, tags + ",", ""), "," + tags + "|" + tags, "")
-
-
 def spec_downgrade(components: DataFrame, spec: str | None) -> DataFrame:
-    """Tags exist since spec 1.6; older outputs lose them, children too."""
-    if spec is None or SPEC_VERSIONS.index(spec) >= SPEC_VERSIONS.index("1.6"):
+    """Component rows of an older specification: what came later goes, the rows' own and their children's.
+
+    The fields and component types of each version are in ``downgrade``.
+    """
+    if spec is None or spec == SPEC_VERSIONS[-1]:
         return components
-    bare = components.withColumn("tags", F.lit(None).cast("array<string>"))
-    return bare.withColumn("raw", _no_tags(F.col("raw"))) if "raw" in bare.columns else bare
+    gone = {f for f in dropped(spec, "component")}
+    names = {n: _JSON_NAMES.get(n, n) for n in sc.COMPONENT_FIELDS}
+    out = components.withColumns({
+        n: F.lit(None).cast(t) for n, t in sc.COMPONENT_FIELDS.items() if names[n] in gone and n in components.columns
+    })
+    if "type" in out.columns:
+        out = out.withColumn("type", component_type(F.col("type"), spec))
+    card = SINCE["considerations"]["environmentalConsiderations"]
+    if "model_card" in out.columns and "modelCard" not in gone and later(card, spec):
+        considerations = F.col("model_card.considerations").dropFields("environmentalConsiderations")
+        kept = F.col("model_card").withField("considerations", F.when(F.col("model_card.considerations").isNotNull(), considerations.withField("environmentalConsiderations", F.lit(None).cast("struct<properties:array<struct<name:string,value:string>>>"))))
+        out = out.withColumn("model_card", F.when(F.col("model_card").isNotNull(), kept).cast(sc.MODEL_CARD))
+    return out.withColumn("raw", pruned(F.col("raw"), F.lit("component"), spec)) if "raw" in out.columns else out
 
 
 def over(raw: Column, typed: Column, type_: str) -> Column:
@@ -328,7 +330,24 @@ def _place(df: DataFrame, column: str = "ord") -> Column:
 
 
 def entries(tables: BomTables, spec: str | None = None) -> DataFrame:
-    """Tables -> entries (bom_id, section, ord, entry), one row per list entry and dependency edge."""
+    """Tables -> entries (bom_id, section, ord, entry), one row per list entry and dependency edge.
+
+    With ``spec``, sections and fields that came later are left out at any depth, and before 1.5 tools have
+    the old form (vendor, name, version).
+    """
+    rows = _entries(tables, spec)
+    if spec is None or spec == SPEC_VERSIONS[-1]:
+        return rows
+    gone = dropped(spec, "bom")
+    rows = rows.where(~F.col("section").isin(*gone, *[s for s, holder in SECTIONS.items() if holder in gone], ""))
+    kinds = {s: LISTS[s] for s in LISTS_OF_DOCUMENT} | {"bom": "bom", "tools": "component"}
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("section"))
+    # Component rows are pruned before their columns go over their texts.
+    done = F.col("section").isin("component", "components", "edges")
+    return rows.withColumn("entry", F.when(done, F.col("entry")).otherwise(pruned(F.col("entry"), F.coalesce(kind, F.lit("")), spec)))
+
+
+def _entries(tables: BomTables, spec: str | None) -> DataFrame:
     c = spec_downgrade(tables.components, spec)
     comp = F.struct(*[F.col(n).alias(_JSON_NAMES.get(n, n)) for n in sc.COMPONENT_FIELDS])
     section = F.when(F.col("is_metadata"), "component").otherwise("components")
@@ -357,8 +376,12 @@ def entries(tables: BomTables, spec: str | None = None) -> DataFrame:
             F.coalesce("type", F.lit("application")).alias("type"), "name", "version",
             F.when(maker.isNotNull(), F.struct(maker.alias("name"))).alias("manufacturer"),
         )
-        # An old-style tool becomes a component; its own text has the old form.
-        add(t.withColumn("raw", F.when(~F.col("legacy"), _raw(t))), "tools", made)
+        if spec is not None and later("1.5", spec):  # the form of before
+            more = F.from_json(_raw(t), "hashes variant, externalReferences variant")
+            old = F.struct(maker.alias("vendor"), "name", "version", more["hashes"].alias("hashes"), more["externalReferences"].alias("externalReferences"))
+            add(t.withColumn("raw", F.when(F.col("legacy"), _raw(t))), "legacy tools", old)
+        else:  # an old-style tool becomes a component; its own text has the old form
+            add(t.withColumn("raw", F.when(~F.col("legacy"), _raw(t))), "tools", made)
     d = tables.dependencies
     if d is not None:
         edge = F.struct("ref", _place(d, "pos").alias("pos"), F.col("depends_on").alias("dependsOn"))
@@ -417,10 +440,11 @@ def documents(tables: BomTables, spec: str | None = None) -> DataFrame:
     component = F.get(of("component"), F.lit(0))
     about = F.get_json_object(self_, "$.metadata")
     other = F.get_json_object(about, "$.tools")
-    own_tools = F.when(list_of("tools").isNotNull() | other.isNotNull(), with_fields(F.coalesce(other, F.lit("{}")), [field_("components", list_of("tools"))]))
+    own_tools = list_of("legacy tools")  # alone, in documents of before 1.5
+    own_tools = F.when(own_tools.isNotNull(), own_tools).when(list_of("tools").isNotNull() | other.isNotNull(), with_fields(F.coalesce(other, F.lit("{}")), [field_("components", list_of("tools"))]))
     rest = lambda text, name: F.to_json(F.map_filter(F.from_json(text, _MAP), lambda k, v: k != name))
     meta = with_fields(rest(about, "tools"), [field_("tools", own_tools), field_("component", component)])
-    value = with_fields(rest(self_, "metadata"), [field_("metadata", meta), *[field_(s, list_of(s)) for s in LISTS]])
+    value = with_fields(rest(self_, "metadata"), [field_("metadata", F.nullif(meta, F.lit("{}"))), *[field_(s, list_of(s)) for s in LISTS_OF_DOCUMENT]])
     return whole.where(self_.isNotNull()).select("bom_id", F.get_json_object(component, "$.name").alias("name"), value.alias("value"))
 
 
@@ -431,8 +455,8 @@ def write_boms(
 
     ``layout`` 'entries' (default): JSON lines (bom_id, section, ord, entry), one per entry, whatever the
     size of a BOM. 'lines': one JSON document per line. 'files': one directory per document, named after
-    its component (for a moderate number of documents). The latter two gather a BOM in one row. XML holds
-    a list of ``bom`` elements per file, with the known fields.
+    its component (for a moderate number of documents). The latter two gather a BOM in one row. XML has one
+    ``bom`` element per line or file, with all fields and all levels of components.
     """
     actual, version = check_output("out." + resolve_format("", fmt), fmt, spec)
     if actual == "json" and layout == "entries":
@@ -442,11 +466,11 @@ def write_boms(
     none = F.lit(None).cast("string")
     named = docs.select(bom_file_name("name", none, none, "." + actual).alias("file_name"), "bom_id", "value")
     if actual == "xml":
-        from modelbom.sources.bomxml import xml_rows
+        from modelbom.sources.bomxml import xml_from_json
 
-        xml = xml_rows(named)
-        writer = xml if layout == "files" else xml.drop("file_name")
-        out = writer.write.mode(mode).format("xml").option("rowTag", "bom").option("rootTag", "boms")
+        xml = named.select(*["file_name"] * (layout == "files"), xml_from_json(F.col("value")).alias("value"))
+        # Plain lines in files that end with .xml, which the text writer cannot name; nothing is quoted.
+        out = xml.write.mode(mode).format("csv").option("extension", "xml").option("sep", "\x01").option("quote", "\x00")
         (out.partitionBy("file_name") if layout == "files" else out).save(path)
     elif layout == "files":
         named.select("file_name", "value").write.mode(mode).partitionBy("file_name").text(path)
