@@ -372,7 +372,7 @@ def l1_vulnerabilities(spark, sf_dir):
     fx.register_tables(spark, sf_dir, "customer region")
     view(spark, sf_dir, "hub_models").createOrReplaceTempView("hub_models")
     tables = inventory.generate_from_ids(spark.sql(_IDS_TABLE), hub(spark, sf_dir))
-    return tables.vulnerabilities.groupBy("bom_id").agg(F.count("*").alias("files"))
+    return tables.all_vulnerabilities().groupBy("bom_id").agg(F.count("*").alias("files"))
 
 
 @query(

@@ -180,6 +180,32 @@ def l6(spark, sf_dir):
     c = components(spark, sf_dir)
     tables = BomTables(boms=view(spark, sf_dir, "bom_rows"), components=c)
     done, _ = inventory.vuln_scan(tables, fx.security_entries(spark, sf_dir))
-    return done.vulnerabilities.select(
+    return done.all_vulnerabilities().select(
         "bom_id", "bom_ref", "description", security.highest_severity("ratings").alias("severity")
     )
+
+
+@query(
+    "J7_upsert_factors",
+    with_views(*_VIEWS) + f", {_COMP}, {_TARGETS}, {_LISTED}, {_FINDINGS}, {_UPSERT}",
+)
+def j7_factors(spark, sf_dir):
+    """The upsert on links and findings; expanded only to be compared."""
+    targets = security.scan_targets(components(spark, sf_dir))
+    entries = fx.security_entries(spark, sf_dir)
+    findings = security.file_findings(entries)
+    existing = existing_vulns(spark, sf_dir, security.file_vulnerabilities(targets, entries))
+    made = security.factor_vulnerabilities(existing, security.finding_links(targets, findings), findings)
+    return made.expanded().select("bom_id", "bom_ref", "description")
+
+
+@query(
+    "L6_vulnerability_counts",
+    with_views(*_VIEWS)
+    + f", {_COMP}, {_TARGETS}, {_LISTED}, {_FINDINGS} SELECT bom_id, CAST(count(DISTINCT bom_ref) AS BIGINT) AS vulnerabilities FROM vulns GROUP BY bom_id",
+)
+def l6_counts(spark, sf_dir):
+    """Vulnerabilities per BOM without expanding them."""
+    tables = BomTables(boms=view(spark, sf_dir, "bom_rows"), components=components(spark, sf_dir))
+    done, _ = inventory.vuln_scan(tables, fx.security_entries(spark, sf_dir))
+    return done.factors.counts()

@@ -6,6 +6,8 @@ is a hash aggregate with map-side combine; no step gathers the files of one repo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,6 +249,67 @@ def upsert_vulnerabilities(existing: DataFrame, incoming: DataFrame) -> DataFram
     return kept.unionByName(last, allowMissingColumns=True)
 
 
+@dataclass
+class Factors:
+    """Vulnerabilities of many BOMs without the product of components and findings.
+
+    ``links`` say which component refers to which repository, ``findings`` what its files hold: together they
+    stand for one vulnerability per pair. ``rows`` are those that are not of that form: vulnerabilities of other
+    sources, and those of the few components whose references collide with another's.
+    """
+
+    links: DataFrame
+    findings: DataFrame
+    rows: DataFrame
+
+    def expanded(self) -> DataFrame:
+        """One row per vulnerability, as documents hold them."""
+        return self.rows.unionByName(expand_findings(self.links, self.findings), allowMissingColumns=True)
+
+    def counts(self) -> DataFrame:
+        """Vulnerabilities per BOM, from the factors alone."""
+        per_repo = self.findings.groupBy("kind", "hub_id").agg(F.count("*").alias("n"))
+        linked = self.links.drop("findings").join(per_repo, ["kind", "hub_id"]).select("bom_id", "n")
+        both = linked.unionByName(self.rows.select("bom_id", F.lit(1).cast("bigint").alias("n")))
+        return both.groupBy("bom_id").agg(F.sum("n").alias("vulnerabilities"))
+
+
+def _cuts(text: Column) -> Column:
+    """All ways to part a text at a hyphen: (head, tail)."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, 1) == "-")
+    return F.transform(at, lambda i: F.struct(F.substring(text, 1, i - 1).alias("head"), F.substring(text, i + 1, F.length(text)).alias("tail")))
+
+
+def factor_vulnerabilities(existing: DataFrame | None, links: DataFrame, findings: DataFrame) -> Factors:
+    """The upsert of ``upsert_vulnerabilities`` on links and findings, equal to it when expanded.
+
+    A reference is made of a component's and a file's. So repeats are settled within each factor: of a
+    repository's files with one reference the last by path counts, of a BOM's links of one component to one
+    repository the last. What is left can collide only between components with one reference, or where one
+    component's reference begins another's up to a hyphen; those links alone are expanded and settled row by
+    row. An existing row gives way if some parting of its reference names a link and a finding.
+    """
+    findings = first_wins(findings, ["kind", "hub_id", "safe_path"], [F.desc("path")])
+    own = ["bom_id", "bom_ref"]
+    links = first_wins(links, [*own, "kind", "hub_id"], ["is_metadata", F.desc("ord")])
+    several = links.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(*own)
+    begun = links.where(F.contains("bom_ref", F.lit("-"))).select(*own, F.inline(_cuts(F.col("bom_ref"))))
+    refs = links.select("bom_id", F.col("bom_ref").alias("head")).distinct()
+    pairs = begun.join(refs, ["bom_id", "head"]).select("bom_id", F.explode(F.array("bom_ref", "head")).alias("bom_ref"))
+    contested = several.unionByName(pairs).distinct()
+    plain = links.join(contested, own, "left_anti")
+    rows = expand_findings(links.join(contested, own, "left_semi"), findings)
+    rows = first_wins(rows, own, [F.desc("target_rank"), F.desc("target_ord"), F.desc("path")])
+    if existing is not None:
+        prefix = F.lit("hfsec-")
+        cut = existing.where(F.startswith("bom_ref", prefix)).select(*own, F.inline(_cuts(F.substring(F.col("bom_ref"), F.lit(7), F.length("bom_ref")))))
+        named = cut.join(plain.select("bom_id", F.col("bom_ref").alias("head"), "kind", "hub_id"), ["bom_id", "head"])
+        again = named.join(findings.select("kind", "hub_id", F.col("safe_path").alias("tail")), ["kind", "hub_id", "tail"]).select(*own)
+        kept = existing.join(again.unionByName(rows.select(*own)).distinct(), own, "left_anti")
+        rows = kept.unionByName(rows, allowMissingColumns=True)
+    return Factors(links=plain, findings=findings, rows=rows)
+
+
 def fetch_outcomes(log: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Status log (keys, seq, stage, status) -> one outcome per model.
 

@@ -54,16 +54,14 @@ def generate(discoveries: DataFrame, hub: Hub, store: str | None = None, tool: t
         refs = assemble.model_dataset_refs(models, F.col("dataset_ids"))
         attached = assemble.attach_datasets(refs, hub.datasets, hub.dataset_cards)
         components = components.unionByName(stored(assemble.assemble_datasets(attached), store, "datasets"))
-    vulnerabilities, extras = None, {}
+    factors = None
     if entries is not None:
         targets = components.where("is_metadata").select(
             "bom_id", "ord", "is_metadata", "bom_ref", F.lit("model").alias("kind"),
             F.col("bom_id").alias("hub_id"),
         )
         findings = security.file_findings(entries)
-        links = security.finding_links(targets, findings)
-        extras = {"findings": findings, "finding_links": links}
-        vulnerabilities = security.expand_findings(links, findings)
+        factors = security.factor_vulnerabilities(None, security.finding_links(targets, findings), findings)
     none = F.lit(None).cast("string")
     boms = components.where("is_metadata").select(
         "bom_id", F.lit("1.6").alias("spec_version"), F.lit("CycloneDX").alias("bom_format"),
@@ -75,8 +73,8 @@ def generate(discoveries: DataFrame, hub: Hub, store: str | None = None, tool: t
         components=components,
         dependencies=assemble.dependency_edges(components),
         tools=tools,
-        vulnerabilities=vulnerabilities,
-        extras=extras,
+        vulnerabilities=None if factors is None else factors.rows,
+        factors=factors,
     )
 
 
@@ -152,18 +150,16 @@ def enrich_boms(
 
 
 def vuln_scan(tables: BomTables, entries: DataFrame) -> tuple[BomTables, DataFrame]:
-    """Look up every component, derive vulnerabilities, put them in: (tables, report)."""
+    """Look up every component, derive vulnerabilities, put them in: (tables, report).
+
+    The vulnerabilities stay factorised (``tables.factors``: links, findings and the rows of other kinds); a
+    component's findings are written out only with its document.
+    """
     targets = security.scan_targets(tables.components)
     findings = security.file_findings(entries)
-    links = security.finding_links(targets, findings)
-    incoming = security.expand_findings(links, findings)
-    existing = tables.vulnerabilities
-    if existing is None:
-        spark = incoming.sparkSession
-        existing = spark.createDataFrame([], incoming.schema)
-    merged = security.upsert_vulnerabilities(existing, incoming)
-    extras = {**tables.extras, "findings": findings, "finding_links": links}
-    return replace(tables, vulnerabilities=merged, extras=extras), security.vuln_report(targets, entries)
+    existing = tables.vulnerabilities if tables.factors is None else tables.factors.expanded()
+    factors = security.factor_vulnerabilities(existing, security.finding_links(targets, findings), findings)
+    return replace(tables, vulnerabilities=factors.rows, factors=factors), security.vuln_report(targets, entries)
 
 
 def merge_boms(

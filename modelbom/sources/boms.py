@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from modelbom import schemas as sc
 from modelbom.functions.text import SPEC_VERSIONS, bom_file_name, identity_ref
+from modelbom.operators.security import Factors
 from modelbom.sources.bomxml import LISTS
 from modelbom.sources.downgrade import SECTIONS, SINCE, component_type, dropped, later, pruned
 from modelbom.sources.rewriting import depth, descend
@@ -58,8 +59,14 @@ class BomTables:
     compositions: DataFrame | None = None
     external_refs: DataFrame | None = None
     vulnerabilities: DataFrame | None = None
+    #: Vulnerabilities as links and findings, of which ``vulnerabilities`` are the rows of other kinds.
+    factors: Factors | None = None
     extras: dict = field(default_factory=dict)
 
+    def all_vulnerabilities(self) -> DataFrame | None:
+        """One row per vulnerability, with those that stand in ``factors``."""
+        return self.vulnerabilities if self.factors is None else self.factors.expanded()
+
 
 def resolve_format(path: str, fmt: str = "auto") -> str:
     actual = (fmt or "").strip().lower()
@@ -389,7 +396,7 @@ def _entries(tables: BomTables, spec: str | None) -> DataFrame:
     add(tables.services, "services", F.struct(F.col("bom_ref").alias("bom-ref"), "name", "version") if tables.services is not None else None)
     add(tables.compositions, "compositions", F.struct("aggregate", "assemblies"))
     add(tables.external_refs, "externalReferences", F.struct("type", "url"))
-    v = tables.vulnerabilities
+    v = tables.all_vulnerabilities()
     if v is not None:
         ratings = F.transform(
             "ratings",
