@@ -104,11 +104,18 @@ class Pieces:
         return self.model.encode(text[1:])
 
 
-def common_ends(ends_a, ends_b, tops_a, tops_b):
+def bisected(ends_a, ends_b):
+    """For every A token the first B token that does not end before it; found by bisection."""
+    import numpy as np
+
+    return np.searchsorted(ends_b, ends_a)
+
+
+def common_ends(ends_a, ends_b, at_b, tops_a, tops_b):
     """Sorted indexes (into A, into B) of all tokens whose ends both sides share.
 
-    ``ends_a`` and ``ends_b`` are the rising byte ends of the tokens of one or more texts laid end to end;
-    ``tops_a`` and ``tops_b`` the numbers of tokens up to each text's end, where both sides end.
+    ``ends_a`` and ``ends_b`` are the rising byte ends of the tokens of one or more texts laid end to end,
+    ``at_b`` their ``bisected``; ``tops_a`` and ``tops_b`` the numbers of tokens up to each text's end, where both sides end.
     """
     import numpy as np
 
@@ -127,7 +134,7 @@ def common_ends(ends_a, ends_b, tops_a, tops_b):
             i = middle[open_] + step
             inside = (i >= a0[open_]) & (i < a1[open_] - 1)
             at = np.where(inside, i, a0[open_])
-            j = np.searchsorted(ends_b, ends_a[at])
+            j = at_b[at]
             hit = inside & (ends_b[j] == ends_a[at])
             cut_a[open_[hit]], cut_b[open_[hit]] = at[hit], j[hit]
             open_ = open_[~hit]
@@ -135,7 +142,7 @@ def common_ends(ends_a, ends_b, tops_a, tops_b):
                 break
         for n in open_[a1[open_] - a0[open_] > PROBES]:  # few: look through the interval, nearest to the middle first
             ends = ends_a[a0[n] : a1[n] - 1]
-            j = b0[n] + np.searchsorted(ends_b[b0[n] : b1[n]], ends)
+            j = at_b[a0[n] : a1[n] - 1]
             same = np.flatnonzero(ends_b[j] == ends)
             if len(same):
                 best = same[np.argmin(np.abs(same + a0[n] - middle[n]))]
@@ -148,13 +155,13 @@ def common_ends(ends_a, ends_b, tops_a, tops_b):
     return np.sort(np.concatenate(found_a)), np.sort(np.concatenate(found_b))
 
 
-def overlaps(ends_a, ends_b):
+def overlaps(ends_a, ends_b, at_b):
     """(index into A, index into B) of every pair of tokens whose byte ranges overlap."""
     import numpy as np
 
-    starts = np.concatenate([[0], ends_a[:-1]])
-    low = np.searchsorted(ends_b, starts, "right")
-    n = np.searchsorted(ends_b, ends_a, "left") - low + 1
+    # An A token's first B token is the last one of the A token before, or the next if both end there.
+    low = np.concatenate([[0], at_b[:-1] + (ends_b[at_b[:-1]] == ends_a[:-1])])
+    n = at_b - low + 1
     a = np.repeat(np.arange(len(ends_a)), n)
     b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
     return a, b
@@ -185,11 +192,12 @@ class Aligner:
 
     def ids(self, text: str):
         """Ids of both sides, or None where their bytes are not those of the text."""
+        np = self.np
         a, b, raw = self.a.encode(text), self.b.encode(text), text.encode("utf-8")
-        own_a, own_b = self.a.bytes, self.b.bytes
-        if b"".join([own_b[i] for i in b]) != raw or b"".join([own_a[i] for i in a]) != raw:
+        bytes_a, bytes_b = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
+        if b"".join(bytes_b) != raw or b"".join(bytes_a) != raw or b"" in bytes_a or b"" in bytes_b:
             return None
-        return (a, b) if all(map(own_a.__getitem__, a)) and all(map(own_b.__getitem__, b)) else None
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def align(self, texts: list[str]):
         """Of texts that begin with a space: None, or ids of both sides and the group ends among them, and links.
@@ -201,11 +209,12 @@ class Aligner:
         out, have = [None] * len(texts), [(n, x) for n, t in enumerate(texts) if (x := self.ids(t))]
         if not have:
             return out
-        a, b = (np.concatenate([np.array(x[k], np.int64) for _, x in have]) for k in (0, 1))
+        a, b = (np.concatenate([x[k] for _, x in have]) for k in (0, 1))
         tops_a, tops_b = (np.cumsum([len(x[k]) for _, x in have]) for k in (0, 1))
         ends_a, ends_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
-        cut_a, cut_b = common_ends(ends_a, ends_b, tops_a, tops_b)
-        link_a, link_b = overlaps(ends_a, ends_b)
+        at_b = bisected(ends_a, ends_b)
+        cut_a, cut_b = common_ends(ends_a, ends_b, at_b, tops_a, tops_b)
+        link_a, link_b = overlaps(ends_a, ends_b, at_b)
         text_of = np.searchsorted(tops_a, link_a, "right")
         wide = self.a.size * self.b.size
         pairs, counts = np.unique(text_of * wide + a[link_a] * self.b.size + b[link_b], return_counts=True)
@@ -368,7 +377,8 @@ def link_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -
     total = total.withColumn("b", F.pmod("pair", F.lit(size_b)))
     most = total.groupBy("b").agg(F.max("c").alias("m"))
     known = total.join(most, "b").select("pair", "c", (F.col("c") == F.col("m")).cast("long").alias("best"))
-    sums = each.join(known, "pair").groupBy("row_key").agg(
+    # The sides' sizes differ much: hash the known pairs of a partition instead of sorting all documents' pairs.
+    sums = each.join(known.hint("shuffle_hash"), "pair").groupBy("row_key").agg(
         F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("c")).alias("count_sum")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)

@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from modelbom.llm import alignment
-from modelbom.llm.alignment import Aligner, common_ends, link_counts, overlaps, token_groups
+from modelbom.llm.alignment import Aligner, bisected, common_ends, link_counts, overlaps, token_groups
 from modelbom.llm.queries import tokenizer_path
 
 A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -149,9 +149,10 @@ def test_divide():
         ends = [np.unique(np.append(rnd.integers(1, span + 1, int(rnd.integers(0, span + 1))), span)) for _ in range(2)]
         if n % 3 == 0:  # one long interval without a cut
             ends = [np.append(np.arange(2, 2 * span, 2), 2 * span), np.append(np.arange(1, 2 * span, 2), 2 * span)]
-        i, j = common_ends(*ends, [len(ends[0])], [len(ends[1])])
+        at = bisected(*ends)
+        i, j = common_ends(*ends, at, [len(ends[0])], [len(ends[1])])
         assert ends[0][i].tolist() == ends[1][j].tolist() == np.intersect1d(*ends).tolist()
-        a, b = overlaps(*ends)
+        a, b = overlaps(*ends, at)
         starts = [np.concatenate([[0], e[:-1]]) for e in ends]
         want = [(x, y) for x in range(len(ends[0])) for y in range(len(ends[1])) if starts[0][x] < ends[1][y] and starts[1][y] < ends[0][x]]
         assert list(zip(a.tolist(), b.tolist())) == want
