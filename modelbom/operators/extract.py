@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from modelbom.functions import semistructured as ss
 from modelbom.functions.rules import CLASS_KINDS, RULES, Rule, java_pattern, trigger_of
-from modelbom.functions.text import classify_file, col, plausible_id, skip_path, trim
+from modelbom.functions.text import classify_file, col, let, plausible_id, skip_path, trim
 
 MATCH_TYPE = "array<struct<rule_ord:int,match_ord:int,method:string,id:string>>"
 HIT_ORDER = ["path", "cell", "emit_line", "phase", "rule_ord", "match_ord"]
@@ -93,10 +93,12 @@ def call_spans(lines: Column) -> Column:
         )
         return F.get(done, F.lit(0))
 
-    size = F.size(events)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(events, i + 1, F.lit(BLOCK))
-    )
+    def parted(all_):
+        starts = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1, F.lit(BLOCK)))
+        ends = lambda i: F.least(i + BLOCK, F.size(all_)) - 1
+        return F.transform(starts, lambda i: F.transform(F.sequence(i, ends(i)), lambda k: F.get(all_, k)))
+
+    blocks = F.coalesce(let(events, parted), F.array().cast("array<array<struct<line:int,net:int>>>"))
     begin = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("first"), F.array().cast("array<array<struct<first:int,last:int>>>").alias("lists")
     )
@@ -104,20 +106,20 @@ def call_spans(lines: Column) -> Column:
 
 
 def call_text(lines: Column, span: Column) -> Column:
-    part = F.slice(lines, span["first"], span["last"] - span["first"] + 1)
-    return F.array_join(F.transform(part, trim), " ")
+    # By index: ``slice`` copies the whole array before it cuts.
+    part = F.transform(F.sequence(span["first"], span["last"]), lambda i: trim(F.get(lines, i - 1)))
+    return F.array_join(part, " ")
 
 
 def stitch_calls(files: DataFrame) -> DataFrame:
     """files(path, content) -> (path, start_line, end_line, text) of calls over several lines."""
     lined = files.select("path", line_array("content").alias("lines"))
-    spans = lined.select("path", "lines", F.explode(call_spans(F.col("lines"))).alias("s"))
-    return spans.select(
-        "path",
-        F.col("s.first").alias("start_line"),
-        F.col("s.last").alias("end_line"),
-        call_text(F.col("lines"), F.col("s")).alias("text"),
-    )
+    lines = F.col("lines")
+    # The texts are made beside the lines, so that an exploded call carries its own lines alone.
+    calls = F.transform(call_spans(lines), lambda s: F.struct(
+        s["first"].alias("start_line"), s["last"].alias("end_line"), call_text(lines, s).alias("text")
+    ))
+    return lined.select("path", F.inline(calls))
 
 
 # ---- notebooks and Markdown -----------------------------------------------------------
@@ -256,33 +258,24 @@ def match_texts(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     is_code = F.col("cell_type") == "code"
     cells = _file_cells(files.where(_file_can_match(rules))).select(
         "*",
-        F.when(is_code, call_spans(lines)).alias("spans"),
         F.when((F.col("cell_type") == "markdown") & (F.col("class") == "markdown"), front_matter_close(lines)).alias("close"),
     )
-    calls = F.transform("spans", lambda s: call_text(lines, s))
+
+    def row(first, last, phase, text):
+        return F.struct(first.alias("line_no"), last.alias("emit_line"), F.lit(phase).alias("phase"), text.alias("text"))
+
+    plain = F.transform(lines, lambda l, i: row(i + 1, i + 1, 0, l))
+    calls = F.transform(call_spans(lines), lambda s: row(s["first"], s["last"], 1, call_text(lines, s)))
     one = cells.select(
-        "path", "class", "cell", "cell_type", "spans", "close",
-        F.size(lines).alias("n_lines"),
-        F.posexplode(F.when(is_code, F.concat(lines, calls)).otherwise(lines)).alias("pos", "text"),
+        "path", "class", "cell", "cell_type", "close", F.inline(F.when(is_code, F.concat(plain, calls)).otherwise(plain))
     )
-    is_call = F.col("pos") >= F.col("n_lines")
-    span = F.get("spans", F.col("pos") - F.col("n_lines"))
-    line_no = F.col("pos") + 1
     kind = (
         F.when(F.col("cell_type") != "markdown", F.col("cell_type"))
         .when(F.col("class") == "notebook", F.lit("front"))
-        .otherwise(_markdown_kind(line_no, F.col("close")))
+        .otherwise(_markdown_kind(F.col("line_no"), F.col("close")))
     )
     placed = one.withColumn("kind", kind).where(_text_can_match(rules))
-    return placed.select(
-        "path",
-        "cell",
-        F.when(is_call, span["first"]).otherwise(line_no).alias("line_no"),
-        F.when(is_call, span["last"]).otherwise(line_no).alias("emit_line"),
-        is_call.cast("int").alias("phase"),
-        "kind",
-        "text",
-    )
+    return placed.select("path", "cell", "line_no", "emit_line", "phase", "kind", "text")
 
 
 # ---- rules ----------------------------------------------------------------------------

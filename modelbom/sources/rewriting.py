@@ -11,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from modelbom.functions.text import let
+
+__all__ = ["PIECE", "PIECES", "depth", "descend", "let", "piece", "rewrite"]
+
 #: A piece of a text being written: a finished part, or a JSON value still to be written in its place.
 PIECE = "struct<done:boolean,name:string,flag:string,text:string>"
 PIECES = f"array<{PIECE}>"
@@ -27,11 +31,6 @@ def depth(text: Column) -> Column:
     return F.coalesce(deepest["most"], F.lit(0))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once. Inside lambdas nothing else keeps an expression from running at every use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def piece(done: bool, text: Column, name: Column | str = "", flag: Column | str = "") -> Column:
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from modelbom.functions.rules import RULES, Rule
 from modelbom.functions.text import classify_file
@@ -183,3 +184,19 @@ def test_hits_equal_the_line_loop(spark):
 @pytest.mark.parametrize("close", ["---", "..."])
 def test_front_matter_delimiters(spark, close):
     assert ids(spark, "x.md", f" --- \nmodel: o/a\n{close}\nmodel: o/b") == ["o/a", "o/b"]
+
+
+def test_huge_file_with_calls(spark):
+    """200,000 lines with 100,000 calls over two lines: each call row holds its own lines, in time that grows with the lines."""
+    import time
+
+    n = 200_000
+    text = "\n".join(f'm{k} = x.from_pretrained(\n  "org/m{k}")' for k in range(n // 2))
+    took = []
+    for lines in (n // 4, n):
+        part = spark.createDataFrame([("a.py", "\n".join(text.split("\n")[:lines]))], "path string, content string")
+        start = time.time()
+        rows = ex.stitch_calls(part).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.max("end_line").alias("last")).first()
+        took.append(time.time() - start)
+        assert (rows["n"], rows["last"]) == (lines // 2, lines) and rows["longest"] < 80
+    assert took[1] < 12 * took[0] + 5
