@@ -43,6 +43,7 @@ STARTS = (3, 4, 5, 6)
 #: Characters whose tokens are counted at a time, and tokens that a worker remembers.
 SLICE, KNOWN = 1 << 20, 200_000
 
+_DRAWN = re.compile(r"(.)\1\1")
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 
 
@@ -77,6 +78,9 @@ class Tokens(dict):
     kinds: dict = field(default_factory=dict)
     masked: dict = field(default_factory=dict)
 
+    #: Capital word, capitals, marks, punctuation, obfuscated, obfuscated hit, drawn out of a plain lower-case word.
+    QUIET = (0.0,) * 7
+
     def __post_init__(self):
         self.words = INSULTS | {t for t in self.lexicon if t[-1] != "-"}
         for w in self.words:
@@ -94,20 +98,23 @@ class Tokens(dict):
 
     def read(self, token: str) -> tuple:
         """(hit, strength, insult, you, capital word, capitals, marks, punctuation, obfuscated, obfuscated hit, drawn out, letter)"""
-        word = core(token)
+        plain_word = token.isalpha()
+        word = token.lower() if plain_word else core(token)
         strength = max([self.lexicon.get(t, 0.0) for t in terms_of(word)]) if word else 0.0
         insult = word in INSULTS
-        letters = sum(c.isalpha() for c in token)
+        if plain_word and token == word and not _DRAWN.search(word):  # most tokens
+            return (float(strength > 0 or insult), round(strength, 1), float(insult), float(word in YOU), *self.QUIET, float(len(word) == 1))
+        letters = sum(map(str.isalpha, token))
         mixed = letters > 1 and not word.isalpha() and any(c.isdigit() or c in "@$*!|_" for c in word)
         plain = core(word.translate(STANDS_FOR)) if mixed else word
-        drawn = re.sub(r"(.)\1+", r"\1", plain) if re.search(r"(.)\1\1", plain) else ""
-        found = bool(mixed and (plain in self.words or any(self.same(w, word) for w in self.masked.get((len(word), word[0]), ())) if "*" in word else mixed and plain in self.words))
-        found = found or bool(drawn and drawn in self.words)
-        upper = sum(c.isupper() for c in token)
+        drawn = re.sub(r"(.)\1+", r"\1", plain) if _DRAWN.search(plain) else ""
+        masked = "*" in word and any(self.same(w, word) for w in self.masked.get((len(word), word[0]), ()))
+        found = mixed and (plain in self.words or masked) or drawn != "" and drawn in self.words
+        upper = sum(map(str.isupper, token))
         return (
             float(strength > 0 or insult or found), round(strength, 1), float(insult), float(word in YOU),
             float(upper > 1 and upper == letters), float(upper), float(token.count("!") + token.count("?")),
-            float(sum(not c.isalnum() for c in token)), float(mixed), float(found), float(bool(drawn)), float(len(word) == 1),
+            float(len(token) - sum(map(str.isalnum, token))), float(mixed), float(found), float(bool(drawn)), float(len(word) == 1),
         )
 
     @staticmethod
@@ -121,7 +128,13 @@ class Reader:
     def __init__(self, lexicon: dict[str, float]):
         import numpy as np
 
-        self.np, self.tokens = np, Tokens(lexicon)
+        self.np, self.tokens, self.rows = np, Tokens(lexicon), np.zeros((0, 12))
+
+    def table(self):
+        """The attributes of all kinds of tokens met so far."""
+        if len(self.rows) < len(self.tokens.rows):
+            self.rows = self.np.array(self.tokens.rows)
+        return self.rows
 
     def spelled(self, words: list[str], single) -> int:
         """Insults spelled with spaces: runs of four or more single letters that give a word of the lexicon."""
@@ -134,17 +147,17 @@ class Reader:
         np, kinds, spelled, chars = self.np, [], 0, len(text or "")
         for part in slices(text or ""):
             words = part.split()
-            got = np.array([self.tokens[w] for w in words], np.int32)
+            got = np.fromiter(map(self.tokens.__getitem__, words), np.int32, len(words))
             kinds.append(got)
             if len(got):
-                single = np.array(self.tokens.rows)[got, 11].astype(np.int8)
+                single = self.table()[got, 11].astype(np.int8)
                 if single.sum() >= 4:
                     spelled += self.spelled(words, single)
         kinds = np.concatenate(kinds)
         n = len(kinds)
         if not n:
             return [0.0] * len(FEATURES)
-        rows = np.array(self.tokens.rows)
+        rows = self.table()
         sums = np.bincount(kinds, minlength=len(rows)) @ rows
         hit, you = rows[kinds, 0] > 0, np.concatenate([[0], np.cumsum(rows[kinds, 3])])
         at = np.flatnonzero(hit)
