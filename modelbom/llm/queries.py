@@ -11,7 +11,7 @@ from modelbom.llm.alignment import link_counts
 from modelbom.llm.classifier import classify
 from modelbom.llm.common import new_path, read
 from modelbom.llm.decontaminate import contaminated
-from modelbom.llm.line_dedup import RUN, line_dedup
+from modelbom.llm.line_dedup import CHARS, RUN, line_dedup
 from modelbom.llm.packing import pack
 from modelbom.llm.pii import pseudonymise
 from modelbom.llm.quality_rules import STOP_WORDS, quality_rules
@@ -77,14 +77,17 @@ LINES_SQL = f"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t, text FROM documents),
 a AS (SELECT doc_id, md5(t) AS g, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS pos FROM d),
 n AS (SELECT doc_id, g, line, pos, row_number() OVER (PARTITION BY doc_id, g ORDER BY pos) AS i FROM a WHERE trim(line, {_SPACE}) <> ''),
-w AS (SELECT doc_id, g, pos, i, string_agg(line, chr(10)) OVER k AS run, count(*) OVER k AS n
-      FROM n WINDOW k AS (PARTITION BY doc_id, g ORDER BY i ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING)),
-s AS (SELECT doc_id, g, i, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, g, i) AS place FROM w WHERE n = {RUN}),
-r AS (SELECT DISTINCT n.doc_id, n.g, n.pos FROM n JOIN s ON n.doc_id IS NOT DISTINCT FROM s.doc_id AND n.g = s.g AND n.i BETWEEN s.i AND s.i + {RUN - 1} WHERE s.place > 1),
+c AS (SELECT doc_id, g, count(*) AS n_lines FROM n GROUP BY ALL),
+x AS (SELECT doc_id, g, pos, i, line, lead(line) OVER o AS line2, lead(line, 2) OVER o AS line3 FROM n WINDOW o AS (PARTITION BY doc_id, g ORDER BY i)),
+w AS (SELECT doc_id, g, i, CASE WHEN length(line) >= {CHARS} THEN 1 WHEN length(line) + length(line2) >= {CHARS} THEN 2 WHEN line3 IS NOT NULL THEN {RUN} END AS size,
+        concat_ws(chr(10), line, CASE WHEN length(line) < {CHARS} THEN line2 END, CASE WHEN length(line) + length(line2) < {CHARS} THEN line3 END) AS run FROM x),
+u AS (SELECT doc_id, g, i, size, 'run' AS kind, run FROM w WHERE size IS NOT NULL
+      UNION ALL SELECT n.doc_id, n.g, 1, c.n_lines, 'whole', string_agg(line, chr(10) ORDER BY i) FROM n JOIN c ON n.doc_id IS NOT DISTINCT FROM c.doc_id AND n.g = c.g WHERE c.n_lines < {RUN} GROUP BY n.doc_id, n.g, c.n_lines),
+s AS (SELECT doc_id, g, i, size, row_number() OVER (PARTITION BY kind, run, size ORDER BY doc_id NULLS FIRST, g, i) AS place FROM u),
+r AS (SELECT DISTINCT n.doc_id, n.g, n.pos FROM n JOIN s ON n.doc_id IS NOT DISTINCT FROM s.doc_id AND n.g = s.g AND n.i BETWEEN s.i AND s.i + s.size - 1 WHERE s.place > 1),
 k AS (SELECT a.doc_id, a.g, string_agg(a.line, chr(10) ORDER BY a.pos) FILTER (r.pos IS NULL) AS kept,
         CAST(count(r.pos) AS BIGINT) AS n_removed, coalesce(list(a.pos ORDER BY a.pos) FILTER (r.pos IS NOT NULL), []) AS removed
-      FROM a LEFT JOIN r ON a.doc_id IS NOT DISTINCT FROM r.doc_id AND a.g = r.g AND a.pos = r.pos GROUP BY ALL),
-c AS (SELECT doc_id, g, count(*) AS n_lines FROM n GROUP BY ALL)
+      FROM a LEFT JOIN r ON a.doc_id IS NOT DISTINCT FROM r.doc_id AND a.g = r.g AND a.pos = r.pos GROUP BY ALL)
 SELECT o.doc_id, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text, CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines, k.n_removed, k.removed
 FROM documents o JOIN k ON o.doc_id IS NOT DISTINCT FROM k.doc_id AND md5(coalesce(o.text, '')) = k.g
 LEFT JOIN c ON o.doc_id IS NOT DISTINCT FROM c.doc_id AND c.g = k.g
