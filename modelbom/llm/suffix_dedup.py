@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelbom.llm.common import store
+from modelbom.llm.common import forget, store
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -446,12 +446,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ga
     pieces = store(pieces.join(large, "lead", "left").select(
         "first", "lead", "around", "twice", "data", "least", "most", F.coalesce("large", F.lit(False)).alias("large")
     ), "pieces")
+    forget(kinds)
     masks = (
         pieces.where("not large").drop("large").repartitionByRange("first").sortWithinPartitions("first")
         .mapInArrow(_buckets(length, gap), "lead long, around long, shifts binary")
     )
     masks = masks.unionByName(_large_groups(pieces.where("large").drop("large"), length, gap))
     masks = store(masks.withColumn("found", F.lit(True)), "masks")
+    forget(pieces)  # no later plan reads the texts around the mixed suffixes
 
     copies = slim.groupBy("doc").agg(F.count("*").alias("copies"))
     single = rows.join(copies.where("copies = 1").select("doc"), "doc", "left_semi")
