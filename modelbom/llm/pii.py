@@ -16,6 +16,23 @@ ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 )
+
+
+def _letters(first: int, last: int) -> tuple[str, ...]:
+    """The lower-case, the upper-case and the other letters of a range, as alphabets of their own."""
+    all_ = [chr(c) for c in range(first, last + 1) if chr(c).isalpha() and len(chr(c).upper()) == len(chr(c).lower()) == 1]
+    kinds = ([c for c in all_ if c.islower()], [c for c in all_ if c.isupper()], [c for c in all_ if not c.islower() and not c.isupper()])
+    return tuple("".join(k) for k in kinds if len(k) > 1)
+
+
+#: Letters of other alphabets: Latin Extended-A, Greek, Cyrillic, Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, kana.
+_RANGES = (
+    (0x100, 0x17F), (0x370, 0x3FF), (0x400, 0x4FF), (0x531, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939),
+    (0xE01, 0xE30), (0x10D0, 0x10FA), (0x3041, 0x3096), (0x30A1, 0x30FA),
+)
+OTHER_LETTERS = tuple(a for r in _RANGES for a in _letters(*r))
+#: Letters and digits that a pseudonym can take: what an address may be made of.
+_NAME = "0-9A-Za-z" + "".join(ALPHABETS[3:] + OTHER_LETTERS)
 HEX = "0123456789abcdef"
 
 #: Days of the Gregorian cycle of 400 years from 1800-01-01, as 189 * 773.
@@ -23,7 +40,7 @@ FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
 #: Kinds in the order in which they are tried at a place. A match that fails its validation stays.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": rf"(?<![{_NAME}._%+\-])[{_NAME}._%+\-]{{1,64}}+@" r"(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "iso_date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
@@ -126,8 +143,10 @@ def _fill(shape: Column, digits: Column) -> Column:
     return F.aggregate(chars(shape), F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), step, lambda s: s["t"])
 
 
-#: Usual groupings of card numbers; a run of groups is searched for these first.
-CARD_SHAPE = r"^(?:\d{13,19}|(?:\d{4}[ -]){3}\d{1,4}|(?:\d{4}[ -]){4}\d{1,3}|\d{4}[ -]\d{6}[ -]\d{4,5})$"
+#: The first digits of card issuers.
+ISSUERS = r"^(?:4|5[0-8]|6|3[0-9]|2[2-7])"
+#: Groups whose places are summed together.
+_BLOCK = 256
 
 
 def _card(m: Column, key: str) -> Column:
@@ -140,50 +159,62 @@ def _card(m: Column, key: str) -> Column:
 def _cards(m: Column, key: str) -> Column:
     """(text, n): a run of digit groups with its n card numbers replaced.
 
-    Numbers of 13 to 19 digits from one group border to another with a right Luhn sum: those in a usual
-    grouping first, then by place, the longest first; what overlaps one taken before is not taken. Away
-    from the start of the run only groups of three or more digits count, or tables of small numbers
-    would hold many by chance.
+    A card number begins with an issuer's digits, has a right Luhn sum and stands in a usual grouping: 13 to 19
+    digits alone, groups of four (13 to 19 digits), or 4, 6 and 4 or 5. So tables of small numbers stay as they are. Of
+    numbers that overlap the first counts. The work grows with the groups of the run.
     """
 
-    def windows(at):
-        def ending(a, i):
-            some = F.transform(F.slice(at, i + 1, 19), lambda b, j: F.struct(
-                a["s"].alias("s"), (b["s"] + b["n"]).alias("e"), (b["s"] + b["n"] - a["s"] - j).alias("digits"),
-                ((i == 0) | ~F.exists(F.slice(at, i + 1, j + 1), lambda x: x["n"] < 3)).alias("ok"),
-            ))
-            return F.filter(some, lambda w: w["ok"] & w["digits"].between(13, 19))
-
-        return F.flatten(F.transform(at, ending))
-
-    def part(w):
-        return F.substr(m, w["s"], w["e"] - w["s"])
+    def placed(groups):
+        starts = F.sequence(F.lit(0), F.size(groups) - 1, F.lit(_BLOCK))
+        ends = lambda b: F.least(b + _BLOCK, F.size(groups)) - 1
+        blocks = F.transform(starts, lambda b: F.transform(F.sequence(b, ends(b)), lambda i: F.get(groups, i)))
 
-    def place(groups):
-        return F.transform(groups, lambda g, i: F.struct(
-            F.aggregate(F.slice(groups, F.lit(1), i), F.lit(1), lambda s, x: s + F.length(x) + 1).alias("s"), F.length(g).alias("n")
-        ))
+        def within(parts, base):
+            return F.transform(parts, lambda g, i: F.struct(
+                (base + F.aggregate(F.transform(F.sequence(F.lit(0), i), lambda k: F.get(parts, k)), -F.length(g), lambda s, x: s + F.length(x)) + i).alias("s"),
+                F.length(g).alias("n"), g.alias("t"),
+            ))
 
-    def taken(found):
+        none = F.array().cast("array<int>")
+        total = lambda parts: F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x) + 1)
+        bases = F.aggregate(blocks, F.struct(F.lit(1).alias("at"), none.alias("all")), lambda o, parts: F.struct(
+            (o["at"] + total(parts)).alias("at"), F.concat(o["all"], F.array(o["at"])).alias("all")
+        ), lambda o: o["all"])
+        return let(bases, lambda base: F.flatten(F.transform(blocks, lambda parts, b: within(parts, F.get(base, b)))))
+
+    def candidate(at, i):
+        g = [F.get(at, i + k) for k in range(5)]
+        four = lambda n: (g[0]["n"] == 4) & (g[1]["n"] == 4) & (g[2]["n"] == 4) & (F.lit(True) if n == 3 else g[3]["n"] == 4)
+        shapes = (
+            (g[0]["n"].between(13, 19), g[0]), (four(3) & g[3]["n"].between(1, 4), g[3]), (four(4) & g[4]["n"].between(1, 3), g[4]),
+            ((g[0]["n"] == 4) & (g[1]["n"] == 6) & g[2]["n"].between(4, 5), g[2]),
+        )
+        out = F.lit(None).cast("int")
+        for shape, last in reversed(shapes):
+            end = last["s"] + last["n"]
+            right = luhn(F.regexp_replace(F.substr(m, g[0]["s"], end - g[0]["s"]), "[^0-9]", "")) == 0
+            out = F.when(F.coalesce(shape, F.lit(False)) & right, end).otherwise(out)
+        end = F.when(F.rlike(g[0]["t"], F.lit(ISSUERS)) & (g[0]["n"] >= 4), out)
+        return F.when(end.isNotNull(), F.struct(g[0]["s"].alias("s"), end.alias("e")))
+
+    def found(at):
+        return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda i: candidate(at, i)))
+
+    def taken(numbers):
         none = F.array().cast("array<struct<s:int,e:int>>")
-        ranked = F.sort_array(F.transform(found, lambda w: F.struct(
-            (~F.rlike(part(w), F.lit(CARD_SHAPE))).alias("odd"), w["s"].alias("s"), (-w["e"]).alias("back")
-        )))
-        free = lambda out, w: ~F.exists(out, lambda o: (o["s"] < -w["back"]) & (w["s"] < o["e"]))
-        return F.sort_array(F.aggregate(ranked, none, lambda out, w: F.when(
-            free(out, w), F.concat(out, F.array(F.struct(w["s"].alias("s"), (-w["back"]).alias("e"))))
-        ).otherwise(out)))
+        return F.aggregate(numbers, F.struct(F.lit(0).alias("free"), none.alias("all")), lambda o, w: F.when(
+            w["s"] >= o["free"], F.struct(w["e"].alias("free"), F.concat(o["all"], F.array(w)).alias("all"))
+        ).otherwise(o), lambda o: o["all"])
 
     def woven(cards):
-        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("t"))
-        step = lambda o, w: F.struct(
-            w["e"].alias("at"), F.concat(o["t"], F.substr(m, o["at"], w["s"] - o["at"]), _card(part(w), key)).alias("t")
-        )
-        text = F.aggregate(cards, start, step, lambda o: F.concat(o["t"], F.substr(m, o["at"], F.length(m))))
-        return F.struct(text.alias("t"), F.size(cards).alias("n"))
+        begins = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.get(cards, k - 1)["e"])
+        parts = F.transform(cards, lambda w, k: F.concat(
+            F.substr(m, begins(k), w["s"] - begins(k)), _card(F.substr(m, w["s"], w["e"] - w["s"]), key)
+        ))
+        rest = F.substr(m, begins(F.size(cards)), F.length(m))
+        return F.struct(F.concat(F.array_join(parts, ""), rest).alias("t"), F.size(cards).alias("n"))
 
-    valid = lambda at: F.filter(windows(at), lambda w: luhn(F.regexp_replace(part(w), "[^0-9]", "")) == 0)
-    return let(let(let(let(F.split(m, "[ -]"), place), valid), taken), woven)
+    return let(let(let(let(F.split(m, "[ -]"), placed), found), taken), woven)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -262,7 +293,10 @@ def _iban(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    return F.concat(permute(local, key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    # Most addresses have letters of the common alphabets only; the others are looked up in all.
+    common = local.rlike("^[\\x00-\\xff]*$")
+    new = F.when(common, permute(local, key, "email")).otherwise(permute(local, key, "email", ALPHABETS + OTHER_LETTERS))
+    return F.concat(new, F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -303,7 +337,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     documents under one key, and different ones different: the permutations are one to one.
 
     Card numbers are found among other numbers next to them (``_cards``); dates have the year first, the
-    day first or, where that is no date, the month first.
+    day first or, where that is no date, the month first, and lie in the years 1800 to 2199; others stay. Letters of an
+    address are those of ``ALPHABETS`` and ``OTHER_LETTERS``; an address with letters of further scripts is not found.
 
     Returns doc_id, text, n_found (matches; of several cards in a run of digits each counts), n_replaced
     (those that passed validation). Only built-in
