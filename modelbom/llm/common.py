@@ -16,9 +16,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, one in the warehouse, but only on a local master:
+    on a cluster its default is a folder of the driver's machine."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if folder:
+        return folder.rstrip("/")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -35,7 +35,7 @@ class Rule:
 
 #: The threshold table over the measured columns.
 RULES = (
-    Rule("word_count", "n_words", None, 10, 2_000_000),
+    Rule("word_count", "n_words", None, 10, None),
     Rule("mean_word_length", "word_chars", "n_words", 2, 12),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.1),
     Rule("marks_per_word", "n_marks", "n_words", None, 0.5),

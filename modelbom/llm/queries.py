@@ -56,7 +56,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_repla
       FROM e LEFT JOIN c USING (r)),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         list_filter([
-          CASE WHEN n_words < 10 OR n_words > 2000000 THEN 'word_count' END,
+          CASE WHEN n_words < 10 THEN 'word_count' END,
           CASE WHEN n_words > 0 AND (word_chars / n_words < 2 OR word_chars / n_words > 12) THEN 'mean_word_length' END,
           CASE WHEN n_words > 0 AND n_symbols / n_words > 0.1 THEN 'symbols_per_word' END,
           CASE WHEN n_words > 0 AND n_marks / n_words > 0.5 THEN 'marks_per_word' END,

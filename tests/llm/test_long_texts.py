@@ -1,6 +1,5 @@
-"""The quality stage keeps clean texts of any length."""
+"""The quality rules keep clean texts of any length."""
 
-import corpus_pipeline
 from modelbom.llm.quality_rules import RULES, verdict
 
 CLEAN = dict(word_chars=5, n_symbols=0, n_marks=0, n_stop_words=0.3, n_dup_lines=0, n_repeat_words=0)
@@ -9,13 +8,5 @@ CLEAN = dict(word_chars=5, n_symbols=0, n_marks=0, n_stop_words=0.3, n_dup_lines
 def test_long_clean_text(spark):
     rows = [{k: int(v * n) for k, v in CLEAN.items()} | {"n_words": n, "n_lines": n // 10} for n in (5, 5000, 2_000_001, 50_000_000)]
     measured = spark.createDataFrame(rows)
-    kept = lambda rules: sorted(r["n_words"] for r in measured.where(verdict(rules)[0]).collect())
-    assert kept(corpus_pipeline.STAGE_RULES) == [5000, 2_000_001, 50_000_000]
-    assert kept(RULES) == [5000]  # op3, as its SQL
-
-
-def test_stage_uses_them(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(corpus_pipeline, "passing", lambda docs, rules: seen.append(rules))
-    corpus_pipeline.quality(spark, None, "")
-    assert seen == [corpus_pipeline.STAGE_RULES]
+    kept = sorted(r["n_words"] for r in measured.where(verdict(RULES)[0]).collect())
+    assert kept == [5000, 2_000_001, 50_000_000]
