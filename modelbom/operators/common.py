@@ -62,8 +62,13 @@ STORED_SECONDS = [0.0]
 
 
 def work_folder(spark: SparkSession, name: str = "work") -> str:
-    """A new folder for intermediate tables: below ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    """A new folder for intermediate tables below ``spark.checkpoint.dir``. Where that is unset, in the warehouse, but
+    only on a local master: on a cluster its default is a folder of the driver's machine."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not shared:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return f"{shared.rstrip('/')}/modelbom-{name}-{uuid.uuid4().hex}"
 
 
