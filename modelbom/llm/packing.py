@@ -62,7 +62,7 @@ class WordIds:
 
     def learn(self, split: list[list[bytes]]) -> None:
         ids = self.ids
-        new = {w for words in split for w in words if w not in ids}
+        new = set().union(*split).difference(ids)
         if len(ids) + len(new) > KNOWN_WORDS:
             self.ids, self.runs, new = {b"": b""}, {"": b""}, {w for words in split for w in words}
         parted, runs = {}, set()
@@ -98,7 +98,7 @@ class WordIds:
         self.learn(split)
         ids = self.ids
         for words in split:
-            yield b"".join([ids[w] for w in words])
+            yield b"".join(map(ids.__getitem__, words))
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
