@@ -581,7 +581,7 @@ def p19_versions(spark, sf_dir):
     rows = reduce(DataFrame.unionByName, made).where("section in ('component', 'components')")
     has = lambda path: F.get_json_object("entry", path).isNotNull()
     return rows.select(
-        "spec", "bom_id", "ord", (F.col("section") == "component").alias("is_metadata"), F.get_json_object("entry", "$.type").alias("type"),
+        "spec", "bom_id", F.get("ord", F.lit(0)).alias("ord"), (F.col("section") == "component").alias("is_metadata"), F.get_json_object("entry", "$.type").alias("type"),
         has("$.tags").alias("has_tags"), has("$.properties").alias("has_properties"), has("$.modelCard").alias("has_card"), has("$.data").alias("has_data"),
     )
 

@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from modelbom import schemas as sc
 from modelbom.functions.text import SPEC_VERSIONS, bom_file_name, identity_ref
@@ -36,7 +36,7 @@ _VULN = (
     "advisories:array<struct<title:string,url:string>>,affects:array<struct<ref:string>>>"
 )
 _MAP = "map<string,variant>"
-ENTRIES = "bom_id string, section string, ord bigint, entry string"
+ENTRIES = "bom_id string, section string, ord array<bigint>, entry string"
 #: Sections that are lists of the document, in its order.
 LISTS_OF_DOCUMENT = ("components", "dependencies", "services", "compositions", "externalReferences", "vulnerabilities")
 _SERVICE = "struct<`bom-ref`:string,name:string,version:string>"
@@ -199,7 +199,8 @@ def tables_from_entries(entries: DataFrame) -> BomTables:
     )
     whole = _typed(entries, "dependencies", "struct<ref:string,dependsOn:array<string>>")
     whole = whole.select("bom_id", "ord", e["ref"].alias("ref"), F.posexplode_outer(e["dependsOn"]).alias("pos", "depends_on"))
-    edges = _typed(entries, "edges", "struct<ref:string,pos:bigint,dependsOn:string>")
+    written = isinstance(entries.schema["ord"].dataType, ArrayType)  # order values of ``entries``; else places in a text
+    edges = _typed(entries, "edges", f"struct<ref:string,pos:{'array<bigint>' if written else 'bigint'},dependsOn:string>")
     edges = edges.select("bom_id", "ord", e["ref"].alias("ref"), e["pos"].alias("pos"), e["dependsOn"].alias("depends_on"))
     tools = _typed(entries, ["tools", "legacy tools"], _TOOL).select(
         "bom_id", "ord", (F.col("section") == "legacy tools").alias("legacy"), e["type"].alias("type"),
@@ -209,7 +210,7 @@ def tables_from_entries(entries: DataFrame) -> BomTables:
     return BomTables(
         boms=boms,
         components=_component_rows(_typed(entries, ["component", "components"], _component_type())),
-        dependencies=whole.withColumn("pos", F.col("pos").cast("bigint")).unionByName(edges),
+        dependencies=whole.withColumn("pos", F.array(F.col("pos").cast("bigint")) if written else F.col("pos").cast("bigint")).unionByName(edges),
         tools=tools,
         services=_typed(entries, "services", _SERVICE).select(
             "bom_id", "ord", e["bom-ref"].alias("bom_ref"), e["name"].alias("name"), e["version"].alias("version"), "raw"
@@ -246,8 +247,8 @@ def nested_components(components: DataFrame) -> DataFrame:
         ))
         return F.coalesce(made.cast(f"array<{_KID}>"), F.array().cast(f"array<{_KID}>"))
 
-    at = F.when(F.col("is_metadata"), F.lit(-1)).otherwise(F.col("ord")).cast("bigint")
-    top = F.struct(F.lit(1).alias("level"), F.lit("").alias("parent"), F.array(at).alias("path"), F.col("raw").alias("raw"))
+    at = F.when(F.col("is_metadata"), F.array(F.lit(-1).cast("bigint"))).otherwise(_place(components))
+    top = F.struct(F.lit(1).alias("level"), F.lit("").alias("parent"), at.alias("path"), F.col("raw").alias("raw"))
     rounds = F.floor(depth(F.col("raw")) / 2).cast("int")  # a level is a list and an object deep
     rows = components.where(F.col("raw").contains('"components"'))
     rows = rows.select("bom_id", F.explode(descend(F.array(top), rounds, kids, _KID)).alias("k"))
@@ -327,13 +328,16 @@ def _raw(df: DataFrame) -> Column:
 
 
 def _place(df: DataFrame, column: str = "ord") -> Column:
-    """An order value as one number: merged rows have a struct of (sequence, ..., place)."""
-    kind = df.schema[column].dataType
-    if not isinstance(kind, StructType):
-        return F.col(column).cast("bigint")
-    names = kind.fieldNames()
-    widths = {1: [0], 2: [40, 0], 3: [41, 40, 0]}[len(names)] if column == "ord" else {3: [48, 24, 0]}[len(names)]
-    return sum((F.shiftleft(F.col(column)[n].cast("bigint"), w) for n, w in zip(names, widths)), F.lit(0).cast("bigint"))
+    """An order value as a list of numbers, compared from the left: merged rows have a struct of (sequence, ..., place),
+    whose parts may be such values themselves. No part is packed into another's digits, so any number of members
+    and entries keeps its order."""
+    return _numbers(F.col(column), df.schema[column].dataType)
+
+
+def _numbers(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, StructType):
+        return F.concat(*[_numbers(value[f.name], f.dataType) for f in kind.fields])
+    return value if isinstance(kind, ArrayType) else F.array(value.cast("bigint"))
 
 
 def entries(tables: BomTables, spec: str | None = None) -> DataFrame:
@@ -369,7 +373,7 @@ def _entries(tables: BomTables, spec: str | None) -> DataFrame:
     meta = over(F.get_json_object(_raw(b), "$.metadata"), F.struct("timestamp"), "struct<timestamp:string>")
     b = b.select("bom_id", F.from_json(text, _MAP).alias("m"), meta.alias("meta"))
     self_ = F.map_concat(F.map_filter("m", lambda k, v: k != "metadata"), F.create_map(F.lit("metadata"), F.try_parse_json("meta")))
-    rows.append(b.select("bom_id", F.lit("bom").alias("section"), F.lit(0).cast("bigint").alias("ord"), F.to_json(self_).alias("entry")))
+    rows.append(b.select("bom_id", F.lit("bom").alias("section"), F.array(F.lit(0).cast("bigint")).alias("ord"), F.to_json(self_).alias("entry")))
 
     def add(df, section, typed):
         if df is not None:
@@ -418,7 +422,7 @@ def documents(tables: BomTables, spec: str | None = None) -> DataFrame:
     """Tables -> (bom_id, name, value): whole JSON documents, for a caller who wants them. Each gathers
     the entries of its BOM in one row; ``entries`` is the form that does not."""
     rows = entries(tables, spec)
-    edges = rows.where("section = 'edges'").withColumn("e", F.from_json("entry", "struct<ref:string,pos:bigint,dependsOn:string>"))
+    edges = rows.where("section = 'edges'").withColumn("e", F.from_json("entry", "struct<ref:string,pos:array<bigint>,dependsOn:string>"))
     lists = edges.groupBy("bom_id", "e.ref").agg(
         F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.when(F.col("e.dependsOn").isNotNull(), F.struct("e.pos", "e.dependsOn")))).alias("to")
     )

@@ -153,3 +153,22 @@ def test_older_specifications(spark, spec):
     if spec < "1.5" and "metadata" in want:
         want["metadata"]["tools"] = [{"vendor": "v", "name": "t", "version": "1"}]
     assert written == want
+
+
+def test_order_values_of_any_size(spark, tmp_path):
+    """More members and entries than fit the digits of one number keep their order, in entries and documents."""
+    docs = spark.createDataFrame([("a", json.dumps({"components": [{"name": "x", "type": "library"}], "dependencies": [{"ref": "r", "dependsOn": ["p"]}]}))], "bom_id string, value string")
+    t = bomio.tables_from_texts(docs)
+    places = [(0, 0, 1 << 62), (0, 1, 0), (1, 0, 5), (1 << 15, 0, 0), (1 << 15, 0, 1 << 41), (1 << 15, 1, 3), (1 << 40, 0, 0)]
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(random.Random(1).sample(places, len(places)))], "k int, p struct<seq:bigint,rank:bigint,ord:bigint>")
+    many = t.components.drop("ord").crossJoin(rows).withColumn("ord", F.struct(F.col("p"), F.col("k").cast("bigint").alias("last"))).withColumn("name", F.to_json("p")).drop("p", "k")
+    deps = t.dependencies.drop("pos").crossJoin(rows).withColumn("pos", F.col("p")).withColumn("depends_on", F.to_json("p")).drop("p", "k")
+    tables = bomio.BomTables(boms=t.boms, components=many, dependencies=deps)
+    want = [json.loads(r[0]) for r in rows.orderBy("p").select(F.to_json("p")).collect()]
+    out = str(tmp_path / "entries")
+    bomio.write_boms(tables, out)
+    for source in (tables, bomio.read_boms(spark, out, layout="entries")):
+        (doc,) = bomio.documents(source).collect()
+        doc = json.loads(doc.value)
+        assert [json.loads(c["name"]) for c in doc["components"]] == want
+        assert [json.loads(x) for x in doc["dependencies"][0]["dependsOn"]] == want
