@@ -364,17 +364,73 @@ def references(evidence: DataFrame) -> DataFrame:
     )
 
 
-def joined_evidence(evidence: DataFrame) -> DataFrame:
-    """Evidence rows -> (type, id, evidence): one text per reference, joined by '. ' in hit order, leaving
-    out a text which the joined text already contains. For a caller who wants one property text: it
-    gathers all texts of a reference, so choose the references first."""
+#: Stands in every evidence text between the method and the matched text.
+_MARK = r" at line (\d+): "
+
+
+def _occurrences(text: Column) -> Column:
+    """Every place of the mark in an evidence text: (line, before, rest)."""
+    numbers = F.regexp_extract_all(text, F.lit(_MARK), F.lit(1))
+    parts = F.split(text, _MARK)
+    marks = F.transform(numbers, lambda n: F.concat(F.lit(" at line "), n, F.lit(": ")))
+
+    def joined(first, last):  # the parts from one to another, with their marks between
+        return F.array_join(F.transform(F.sequence(first, last), lambda k: F.concat(
+            F.get(parts, k), F.when(k < last, F.get(marks, k)).otherwise("")
+        )), "")
+
+    return F.transform(numbers, lambda n, i: F.struct(
+        n.alias("line"), joined(F.lit(0), i).alias("before"), joined(i + 1, F.size(numbers)).alias("rest")
+    ))
+
+
+def kept_evidence(evidence: DataFrame) -> DataFrame:
+    """The evidence rows that a joined text holds: those which the texts before them, joined by '. ', do not contain.
+
+    An index instead of a fold: a text can only lie where its mark, with its line number, lies in another text. So each
+    text gives, per mark, hashes of what follows, cut to the lengths that texts with the same number have; a
+    text is dropped if one before it has its hash and the same method in front. What lies across the joint
+    of two texts needs a text that ends in the middle of another at '. '; only references with such texts are
+    folded one by one. So the rows of a hot reference stay spread by line number and text.
+    """
+    ref = ["type", "id"]
+    rows = evidence.select(*ref, "at", "evidence", _occurrences(F.col("evidence")).alias("o"))
+    own = F.get("o", F.lit(0))
+    needles = rows.select(*ref, "at", "evidence", own["line"].alias("line"), own["before"].alias("method"), own["rest"].alias("rest"))
+    found = rows.select(*ref, "at", F.inline("o"))
+    lengths = needles.select(*ref, "line", F.length("rest").alias("n")).distinct()
+    cut = found.join(lengths, [*ref, "line"]).where(F.length("rest") >= F.col("n"))
+    index = cut.groupBy(*ref, "line", "n", F.xxhash64(F.substr("rest", F.lit(1), F.col("n"))).alias("h"), "before").agg(F.min("at").alias("first"))
+    key = [*ref, "line", "n", "h"]
+    asked = needles.withColumns({"n": F.length("rest"), "h": F.xxhash64("rest")})
+    again = asked.join(index, key).where(F.col("first") < F.col("at")).where(F.endswith("before", F.col("method")))
+    # Texts that may lie across a joint, or have no mark: their references go through the fold.
+    ends = F.transform(F.split("rest", r"\. "), lambda p, i: i)
+    heads = F.transform(ends, lambda i: F.xxhash64(F.array_join(F.transform(F.sequence(F.lit(0), i), lambda k: F.get(F.split("rest", r"\. "), k)), ". ")))
+    across = needles.where(F.contains("rest", F.lit(". "))).select(*ref, "line", F.explode(F.slice(heads, 1, F.size(heads) - 1)).alias("h"))
+    whole = found.select(*ref, "line", F.xxhash64("rest").alias("h")).distinct()
+    folded = across.join(whole, [*ref, "line", "h"]).select(*ref).union(needles.where("line is null").select(*ref)).distinct()
+    plain = evidence.join(folded, ref, "left_anti").join(again.select(*ref, "evidence").distinct(), [*ref, "evidence"], "left_anti")
+    return plain.select(*ref, "at", "evidence").union(_folded_evidence(evidence.join(folded, ref, "left_semi")))
+
+
+def _folded_evidence(evidence: DataFrame) -> DataFrame:
+    """The kept texts by the rule itself: text after text of a reference, gathered in one row."""
     items = evidence.groupBy("type", "id").agg(F.array_sort(F.collect_list(F.struct("at", "evidence"))).alias("items"))
-    joined = F.aggregate(
-        F.slice("items", F.lit(2), F.size("items") - 1),
-        F.get("items", F.lit(0))["evidence"],
-        lambda acc, e: F.when(F.contains(acc, e["evidence"]), acc).otherwise(F.concat(acc, F.lit(". "), e["evidence"])),
-    )
-    return items.select("type", "id", joined.alias("evidence"))
+    head = F.get("items", F.lit(0))
+    start = F.struct(head["evidence"].alias("text"), F.array(head).alias("kept"))
+    step = lambda s, e: F.when(F.contains(s["text"], e["evidence"]), s).otherwise(F.struct(
+        F.concat(s["text"], F.lit(". "), e["evidence"]).alias("text"), F.concat(s["kept"], F.array(e)).alias("kept")
+    ))
+    kept = F.aggregate(F.slice("items", F.lit(2), F.size("items") - 1), start, step, lambda s: s["kept"])
+    return items.select("type", "id", F.inline(kept))
+
+
+def joined_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence rows -> (type, id, evidence): one text per reference of its ``kept_evidence``, joined by '. ' in hit
+    order. For a caller who wants one property text: it gathers the kept texts of a reference in a row."""
+    items = kept_evidence(evidence).groupBy("type", "id").agg(F.array_sort(F.collect_list(F.struct("at", "evidence"))).alias("items"))
+    return items.select("type", "id", F.array_join(F.transform("items", lambda i: i["evidence"]), ". ").alias("evidence"))
 
 
 def dedupe_discoveries(hits: DataFrame) -> DataFrame:

@@ -200,3 +200,49 @@ def test_huge_file_with_calls(spark):
         took.append(time.time() - start)
         assert (rows["n"], rows["last"]) == (lines // 2, lines) and rows["longest"] < 80
     assert took[1] < 12 * took[0] + 5
+
+
+def evidence_of(spark, texts):
+    rows = [("model", i, e, (f"p{k:06d}", 0, 1, 0, 0, 0, "m")) for k, (i, e) in enumerate(dict.fromkeys(texts))]
+    at = "struct<path:string,cell:int,emit_line:int,phase:int,rule_ord:int,match_ord:int,method:string>"
+    return spark.createDataFrame(rows, f"type string, id string, evidence string, at {at}")
+
+
+def plain_joined(texts):
+    out = {}
+    for i, e in dict.fromkeys(texts):
+        if i not in out:
+            out[i] = e
+        elif e not in out[i]:
+            out[i] += ". " + e
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_evidence_containment(spark, seed):
+    """Texts that lie in others, at their start, in quoted evidence, and across the joint of two."""
+    rnd = random.Random(seed)
+    words = ["a", "ab", "b. a", "b.", ". ", "load at line 2: a", "at line 1: ab", "x"]
+
+    def text():
+        return f"{rnd.choice(['load', 'preload', 'x.load'])} at line {rnd.randrange(1, 3)}: {' '.join(rnd.choice(words) for _ in range(rnd.randrange(1, 4)))}"
+
+    texts = [(f"i{rnd.randrange(6)}", text()) for _ in range(250)]
+    quoted = [(i, f"{t}. {u}"[: rnd.randrange(12, 80)]) for (i, t), (_, u) in zip(texts[::9], texts[1::9])]
+    texts += [(i, t) for i, t in quoted if " at line " in t and ": " in t]
+    rnd.shuffle(texts)
+    texts += [("no mark", "a"), ("no mark", "b"), ("no mark", "a. b"), ("one", "load at line 1: z")]
+    got = {r["id"]: r["evidence"] for r in ex.joined_evidence(evidence_of(spark, texts)).collect()}
+    assert got == plain_joined(texts)
+
+
+def test_evidence_of_a_hot_reference_stays_spread(spark):
+    """200,000 texts of one reference: none is gathered, and repeats with longer tails are dropped."""
+    n = 200_000
+    at = F.struct(F.format_string("p%06d", "id").alias("path"), *[F.lit(0).alias(c) for c in ("cell", "emit_line", "phase", "rule_ord", "match_ord")], F.lit("m").alias("method"))
+    tail = F.when(F.col("id") % 2 == 0, F.concat(F.lit("name = 'org/hot' # "), (F.col("id") + 1).cast("string"), F.lit(" and more"))).otherwise(F.concat(F.lit("name = 'org/hot' # "), F.col("id").cast("string")))
+    rows = spark.range(n).select(F.lit("model").alias("type"), F.lit("org/hot").alias("id"), F.concat(F.lit("load at line "), (F.floor(F.col("id") / 2) % 5000).cast("string"), F.lit(": "), tail).alias("evidence"), at.alias("at"))
+    kept = ex.kept_evidence(rows)
+    assert kept.count() == n // 2
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1  # of the folded references alone, of which there is none here
