@@ -40,6 +40,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_small(df: DataFrame, name: str, size: int = 1 << 22) -> DataFrame:
+    """``store`` for plans whose rows carry large binaries to Python workers: Arrow batches of ``size`` bytes at most
+    (or one row), since the JVM and the worker both hold a batch outside the heap, and Spark's default is 64 MB."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = conf.get(key, None)
+    conf.set(key, str(size))
+    try:
+        return store(df, name)
+    finally:
+        conf.unset(key) if old is None else conf.set(key, old)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored table that no later plan reads."""
     spark = df.sparkSession
