@@ -21,13 +21,13 @@ class Search:
     """Parameters. An item of n words matches a window at floor(edits * n) or fewer word edits."""
 
     edits: float = 0.15
-    #: Independent random walks, and hash tables of each.
+    #: Independent random walks, and hash tables of each, for windows of up to 32 words (see ``tables_of``).
     walks: int = 2
     tables: int = 6
     #: Sampled coordinates of a table.
     coordinates: int = 4
-    #: An item is hashed as a window of the largest of these sizes that its own walk does not leave.
-    sizes: tuple[int, ...] = (1, 4, 12, 28)
+    #: Whether whole pieces of an item are keys too, which find what the walks miss.
+    whole_pieces: bool = True
     #: Cells of the filter over the item keys: at most this many bytes are broadcast.
     cells: int = 1 << 22
     seed: int = 20
@@ -36,6 +36,14 @@ class Search:
         """Steps of the walk from which a size's coordinates come; it advances every other step."""
         return max(1, size * 3 // 2)
 
+    def tables_of(self, size: int) -> int:
+        """Tables of a window size: more edits fall into a longer window, so more samples are drawn to miss them."""
+        return self.tables * max(1, size // 32)
+
+    def sizes(self, n: int) -> list[int]:
+        """Window sizes for an item of n words: powers of two, so that two windows cover the item."""
+        return [1 << k for k in range(n.bit_length())]
+
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of ASCII letters, digits and characters beyond ASCII that are no marks."""
@@ -76,12 +84,15 @@ class Embedding:
         import numpy as np
 
         self.np, self.search = np, search
-        self.picks = {}
-        for w in range(search.walks):
-            for size in search.sizes:
-                span, draw = search.span(size), np.random.default_rng((search.seed, w, size))
-                for t in range(search.tables):
-                    self.picks[w, size, t] = sorted(draw.choice(span, min(span, search.coordinates), replace=False).tolist())
+        self.drawn = {}
+
+    def picks(self, walk: int, size: int) -> list[list[int]]:
+        """The sampled coordinates of each table."""
+        if (walk, size) not in self.drawn:
+            span, draw = self.search.span(size), self.np.random.default_rng((self.search.seed, walk, size))
+            some = min(span, self.search.coordinates)
+            self.drawn[walk, size] = [sorted(draw.choice(span, some, replace=False).tolist()) for _ in range(self.search.tables_of(size))]
+        return self.drawn[walk, size]
 
     def symbol(self, words: list[str]):
         return self.np.frombuffer(b"".join(map(_SYMBOLS.__getitem__, words)), "<u8")
@@ -96,33 +107,41 @@ class Embedding:
             h += after[k : k + n]
         return _mix(h)
 
-    def keys(self, symbols, walk: int, sizes, starts):
-        """Per (size, table) the key of the window at every start; symbol 0 ends a text and holds the walk.
+    def keys(self, symbols, walk: int, wanted: dict):
+        """(size, starts, keys of all tables, places of the walks at the end) for the starts wanted of each size.
 
-        Also the place of each walk at the end of every size's span.
+        One walk from a start serves all sizes; it ends with the largest for which the start is wanted.
+        Symbol 0 ends a text and holds the walk.
         """
         np = self.np
         bits = np.where(symbols == 0, np.uint64(0), _mix(symbols + np.uint64(0x9E3779B97F4A7C15 * (walk + 1) % (1 << 64))))
+        sizes, last = sorted(wanted), np.zeros(len(symbols), np.int64)
+        for size in sizes:
+            last[wanted[size]] = size
+        starts = np.flatnonzero(last)
+        pos, last, j = starts.copy(), last[starts], 0
+        sums = {}
         at = {}
         for size in sizes:
-            for t in range(self.search.tables):
-                for j in self.picks[walk, size, t]:
-                    at.setdefault(j, []).append((size, t))
-        sums = {(s, t): np.full(len(starts), (walk * 64 + s) * 64 + t, np.uint64) for s in sizes for t in range(self.search.tables)}
-        pos, ends = starts.astype(np.int64), {}
-        seen, move = np.empty(len(pos), np.uint64), np.empty(len(pos), bool)
-        for j in range(max((self.search.span(s) for s in sizes), default=0)):
-            if j in at:
-                np.take(symbols, pos, out=seen, mode="clip")
-                for k in at[j]:
-                    sums[k] *= np.uint64(0x9E3779B97F4A7C15)
-                    sums[k] += seen
-            for s in sizes:
-                if self.search.span(s) - 1 == j:
-                    ends[s] = pos.copy()
-            np.take((bits & np.uint64(1 << (j & 63))) != 0, pos, out=move, mode="clip")
-            pos += move
-        return {k: _mix(v) for k, v in sums.items()}, ends
+            for t, picks in enumerate(self.picks(walk, size)):
+                sums[size, t] = np.full(len(starts), (walk * 64 + size.bit_length()) * 65536 + t, np.uint64)
+                for k in picks:
+                    at.setdefault(k, []).append((size, t))
+        for size in sizes:
+            while j < self.search.span(size):
+                if j in at:
+                    seen = symbols[pos]
+                    for k in at[j]:
+                        sums[k] *= np.uint64(0x9E3779B97F4A7C15)
+                        sums[k] += seen
+                ends = pos
+                pos = pos + ((bits[pos] & np.uint64(1 << (j & 63))) != 0)
+                j += 1
+            here = np.searchsorted(starts, wanted[size])
+            yield size, wanted[size], [_mix(sums.pop((size, t))[here]) for t in range(self.search.tables_of(size))], ends[here]
+            on = last > size
+            starts, pos, last = starts[on], pos[on], last[on]
+            sums = {k: v[on] for k, v in sums.items()}
 
 
 def _cells(key, cells: int):
@@ -150,14 +169,17 @@ def _item_keys(search: Search):
                 words = text.split(" ")
                 symbols = e.symbol([*words, ""])
                 for walk in range(search.walks):
-                    sizes = [s for s in search.sizes if s <= len(words)]
-                    keys, ends = e.keys(symbols, walk, sizes, np.zeros(1, np.int64))
-                    size = max(s for s in sizes if ends[s][0] < len(words))
-                    for t in range(search.tables):
-                        k = keys[size, t]
-                        a, b = _cells(k, search.cells)
-                        rows.append((cls, len(words), size, k.view(np.int64)[0], a[0], b[0]))
-                for start, size in pieces(len(words), search.edits):
+                    anchors = {s: np.unique([0, len(words) - s]) for s in search.sizes(len(words))}
+                    inside = {}  # the largest window from the first word, and to the last, whose walk stays in the item
+                    for size, starts, keys, ends in e.keys(symbols, walk, anchors):
+                        for n, start in enumerate(starts):
+                            if ends[n] < len(words):
+                                inside[start > 0] = (size, [k[n : n + 1] for k in keys])
+                    for size, keys in inside.values():
+                        for k in keys:
+                            a, b = _cells(k, search.cells)
+                            rows.append((cls, len(words), size, k.view(np.int64)[0], a[0], b[0]))
+                for start, size in pieces(len(words), search.edits) if search.whole_pieces else []:
                     k = e.pieces(symbols[start : start + size], size)[:1]
                     a, b = _cells(k, search.cells)
                     rows.append((cls, len(words), -size, k.view(np.int64)[0], a[0], b[0]))
@@ -180,6 +202,28 @@ def _item_cells(search: Search):
     return run
 
 
+def _packed(width: int):
+    def run(pdf):
+        """A block of a bitmap: ``width`` cells as bits."""
+        import numpy as np
+        import pandas as pd
+
+        bits = np.zeros(width, np.uint8)
+        bits[pdf["cell"] % width] = 1
+        return pd.DataFrame({"block": pdf["cell"][:1] // width, "bits": [np.packbits(bits).tobytes()]})
+
+    return run
+
+
+def _bitmap(cells: DataFrame, most: int):
+    """Broadcast bits of the distinct numbers ``cell`` below ``most``: packed in tasks, most / 8 bytes in all."""
+    width = min(most, 1 << 15)
+    blocks = cells.groupBy(F.floor(F.col("cell") / width)).applyInPandas(_packed(width), "block long, bits binary").collect()
+    bits = {r["block"]: bytes(r["bits"]) for r in blocks}
+    empty = bytes(width // 8)
+    return cells.sparkSession.sparkContext.broadcast(b"".join(bits.get(k, empty) for k in range(most // width)))
+
+
 def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
     """Windows whose key is among the items' keys, neighbours together, with the text around them.
 
@@ -193,10 +237,8 @@ def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
         import numpy as np
         import pyarrow as pa
 
-        e, flags = Embedding(search), np.zeros(search.cells, bool)
-        flags[np.frombuffer(cells.value, np.int64)] = True
-        known = np.zeros(search.cells, bool)
-        known[np.frombuffer(word_cells.value, np.int64)] = True
+        e = Embedding(search)
+        flags, known = (np.unpackbits(np.frombuffer(x.value, np.uint8)).astype(bool) for x in (cells, word_cells))
         most = max(longest.values(), default=0)
         slack = int(search.edits * most)
         types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
@@ -220,13 +262,14 @@ def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
                 hit = hit[flags[b[hit]]]
                 found_at.append(hit)
                 found.append(k[hit])
+            wanted = {}
             for size, n in longest.items():
-                if size < 0:
-                    continue
-                few = upto[np.minimum(place + size, end)] - upto[:-1] <= int(search.edits * n)
-                some = np.flatnonzero(few & (symbols != 0))
-                for walk in range(search.walks):
-                    for k in e.keys(symbols, walk, [size], some)[0].values():
+                if size > 0:
+                    few = upto[np.minimum(place + size, end)] - upto[:-1] <= int(search.edits * n)
+                    wanted[size] = np.flatnonzero(few & (symbols != 0))
+            for walk in range(search.walks):
+                for _, some, keys, _ in e.keys(symbols, walk, wanted):
+                    for k in keys:
                         a, b = _cells(k, search.cells)
                         hit = np.flatnonzero(flags[a])
                         hit = hit[flags[b[hit]]]
@@ -300,14 +343,13 @@ def _verify(share: float):
 
         for pdf in batches:
             rows = []
-            for doc_id, digest, lo, around, cls, text in zip(*(pdf[c] for c in pdf.columns)):
+            for doc_id, digest, lo, around, cls, text, by_walk in zip(*(pdf[c] for c in pdf.columns)):
                 item = text.split(" ")
                 hit = nearest_window(item, around.split(" "), int(share * len(item)))
                 if hit:
-                    rows.append((doc_id, digest, cls, hit[0], lo + hit[1], hit[2] - hit[1]))
-            yield pd.DataFrame(rows, columns=["doc_id", "digest", "cls", "n_edits", "start_word", "n_words"]).astype(
-                {"doc_id": "Int64"}
-            )
+                    rows.append((doc_id, digest, cls, hit[0], lo + hit[1], hit[2] - hit[1], by_walk))
+            names = ["doc_id", "digest", "cls", "n_edits", "start_word", "n_words", "by_walk"]
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return run
 
@@ -329,21 +371,22 @@ def item_classes(items: DataFrame, item_id: str = "item_id", text: str = "text")
 def contaminated(docs: DataFrame, items: DataFrame, search: Search = Search(), text: str = "text") -> DataFrame:
     """Which document holds which benchmark item, allowing word edits.
 
-    1. Items of equal words form a class; a class is embedded and hashed once.
+    1. Items of equal words form a class; a class is embedded and hashed once, as two windows: the largest
+       power of two of words from its first word, and as many up to its last.
     2. One narrow pass embeds the windows at every position of every document, but for those with more
        words that no item has than edits are allowed, and keeps those whose key is in a filter over the
-       item keys. Both filters have a fixed number of bytes, whatever the corpus or benchmark.
+       item keys. Both filters are bitmaps of a fixed number of bytes, whatever the corpus or benchmark; a
+       benchmark that fills their cells makes them spare nothing, with the same result.
     3. What is left is joined to the exact keys, made distinct, and verified by the edit distance of the
        item to the best window around.
 
     Returns doc_id, digest (MD5 of the text, which tells rows of one doc_id apart), item_id (least of its
-    class; see ``item_classes``), n_edits, start_word, n_words of the best window. Words are as in
-    ``words_of``. Null or empty texts and items have no words and match nothing. Repeated
+    class; see ``item_classes``), n_edits, start_word, n_words of the best window, and by_walk: whether a
+    key of a walk led there, not whole pieces alone. Words are as in ``words_of``. Null or empty texts and items have no words and match nothing. Repeated
     rows count once. Further columns of any name are ignored; empty tables give an empty result.
     Distances are exact, and no pair is missed: beside its walks an item is hashed by the words of its
     ``pieces``, one more than the edits that are allowed, so one of them is whole wherever the edits are.
     """
-    spark = docs.sparkSession
     classes = item_classes(items).where("words <> ''").select("item_id", "words").distinct()
     classes = store(classes.withColumn("cls", F.md5("words")), "items")
     keys = store(
@@ -353,25 +396,23 @@ def contaminated(docs: DataFrame, items: DataFrame, search: Search = Search(), t
     )
     longest = {r["size"]: r["n"] for r in keys.groupBy("size").agg(F.max("n_words").alias("n")).collect()}
     cells = keys.select(F.explode(F.array("cell1", "cell2")).alias("cell")).distinct()
-    import numpy as np
-
     word_cells = classes.mapInPandas(_item_cells(search), "cell long").distinct()
 
-    def bitmap(df):  # at most ``search.cells`` numbers
-        return spark.sparkContext.broadcast(np.array([r["cell"] for r in df.toLocalIterator()], np.int64).tobytes())
-
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(t)).alias("digest"), t.alias("text"))
     found = texts.mapInArrow(
-        _candidates(search, longest, bitmap(cells), bitmap(word_cells)), "doc_id long, digest binary, key long, lo long, around string"
+        _candidates(search, longest, _bitmap(cells, search.cells), _bitmap(word_cells, search.cells)), "doc_id long, digest binary, key long, lo long, around string"
     )
-    pairs = found.join(keys.select("key", "cls").distinct(), "key").drop("key").distinct()
-    pairs = pairs.join(classes, "cls").select("doc_id", "digest", "lo", "around", "cls", "words")
+    of = keys.groupBy("key", "cls").agg(F.max(F.col("size") > 0).alias("by_walk"))
+    pairs = found.join(of, "key").groupBy("doc_id", "digest", "lo", "around", "cls").agg(F.max("by_walk").alias("by_walk"))
+    pairs = pairs.join(classes, "cls").select("doc_id", "digest", "lo", "around", "cls", "words", "by_walk")
     hits = pairs.mapInPandas(
-        _verify(search.edits), "doc_id long, digest binary, cls string, n_edits long, start_word long, n_words long"
+        _verify(search.edits), "doc_id long, digest binary, cls string, n_edits long, start_word long, n_words long, by_walk boolean"
+    )
+    best = hits.groupBy("doc_id", "digest", "cls").agg(
+        F.min(F.struct("n_edits", "start_word", "n_words")).alias("b"), F.max("by_walk").alias("by_walk")
     )
-    best = hits.groupBy("doc_id", "digest", "cls").agg(F.min(F.struct("n_edits", "start_word", "n_words")).alias("b"))
-    return best.join(classes, "cls").select("doc_id", "digest", "item_id", "b.n_edits", "b.start_word", "b.n_words")
+    return best.join(classes, "cls").select("doc_id", "digest", "item_id", "b.n_edits", "b.start_word", "b.n_words", "by_walk")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, search: Search = Search(), text: str = "text") -> DataFrame:
