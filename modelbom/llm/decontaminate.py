@@ -40,9 +40,9 @@ class Search:
         """Tables of a window size: more edits fall into a longer window, so more samples are drawn to miss them."""
         return self.tables * max(1, size // 32)
 
-    def sizes(self, n: int) -> list[int]:
-        """Window sizes for an item of n words: powers of two, so that two windows cover the item."""
-        return [1 << k for k in range(n.bit_length())]
+    def size(self, n: int) -> int:
+        """The window size for an item of n words: the largest power of two, so that two windows cover the item."""
+        return 1 << n.bit_length() - 1
 
 
 def words_of(text: str | None) -> list[str]:
@@ -169,16 +169,13 @@ def _item_keys(search: Search):
                 words = text.split(" ")
                 symbols = e.symbol([*words, ""])
                 for walk in range(search.walks):
-                    anchors = {s: np.unique([0, len(words) - s]) for s in search.sizes(len(words))}
-                    inside = {}  # the largest window from the first word, and to the last, whose walk stays in the item
-                    for size, starts, keys, ends in e.keys(symbols, walk, anchors):
-                        for n, start in enumerate(starts):
-                            if ends[n] < len(words):
-                                inside[start > 0] = (size, [k[n : n + 1] for k in keys])
-                    for size, keys in inside.values():
+                    size = search.size(len(words))
+                    anchors = np.unique([0, len(words) - size])
+                    for _, _, keys, ends in e.keys(symbols, walk, {size: anchors}):
                         for k in keys:
+                            k = k[ends < len(words)]  # a walk that leaves the item matches nothing
                             a, b = _cells(k, search.cells)
-                            rows.append((cls, len(words), size, k.view(np.int64)[0], a[0], b[0]))
+                            rows += [(cls, len(words), size, *x) for x in zip(k.view(np.int64), a, b)]
                 for start, size in pieces(len(words), search.edits) if search.whole_pieces else []:
                     k = e.pieces(symbols[start : start + size], size)[:1]
                     a, b = _cells(k, search.cells)
@@ -188,16 +185,16 @@ def _item_keys(search: Search):
     return run
 
 
-def _item_cells(search: Search):
+def _item_cells(search: Search, size: int):
     def run(batches):
-        """Cells of the filter over the items' words."""
+        """Cells of the filter over the items' runs of ``size`` words."""
         import numpy as np
         import pandas as pd
 
         e = Embedding(search)
         for pdf in batches:
-            words = sorted({w for text in pdf["words"] for w in text.split(" ")})
-            yield pd.DataFrame({"cell": np.unique(_cells(e.symbol(words), search.cells)[0])})
+            keys = [e.pieces(e.symbol(text.split(" ")), size)[: 1 - size or None] for text in pdf["words"]]
+            yield pd.DataFrame({"cell": np.unique(_cells(np.concatenate(keys), search.cells)[0]) if keys else []})
 
     return run
 
@@ -224,11 +221,12 @@ def _bitmap(cells: DataFrame, most: int):
     return cells.sparkSession.sparkContext.broadcast(b"".join(bits.get(k, empty) for k in range(most // width)))
 
 
-def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
+def _candidates(search: Search, longest: dict[int, int], cells, word_cells, pair_cells):
     """Windows whose key is among the items' keys, neighbours together, with the text around them.
 
-    A window within ``n`` edits of an item has at most n words that no item has, so its first words up
-    to the size have no more. Windows with more are left out before the walk. A piece may be anywhere in
+    A window within ``n`` edits of an item has at most n words that no item has, and at most 2 n pairs of
+    neighbours that no item has, so its first words up to the size have no more. Windows with more are left
+    out before the walk. A piece may be anywhere in
     its item, so the text around reaches back by the longest item.
     """
     schema_names = ["doc_id", "digest", "key", "lo", "around"]
@@ -238,7 +236,7 @@ def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
         import pyarrow as pa
 
         e = Embedding(search)
-        flags, known = (np.unpackbits(np.frombuffer(x.value, np.uint8)).astype(bool) for x in (cells, word_cells))
+        flags, *known = (np.unpackbits(np.frombuffer(x.value, np.uint8)).astype(bool) for x in (cells, word_cells, pair_cells))
         most = max(longest.values(), default=0)
         slack = int(search.edits * most)
         types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
@@ -250,8 +248,11 @@ def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
                 flat += w
                 flat.append("")
             symbols = e.symbol(flat)
-            strange = (symbols != 0) & ~known[_cells(symbols, search.cells)[0]]
-            upto = np.concatenate([[0], np.cumsum(strange)])
+            upto, full = [], symbols != 0
+            for size in (1, 2):
+                strange = ~known[size - 1][_cells(e.pieces(symbols, size), search.cells)[0]] & full
+                upto.append(np.concatenate([[0], np.cumsum(strange)]))
+                full = full & np.append(full[1:], False)
             end = np.repeat(starts[1:] - 1, np.diff(starts))
             place = np.arange(len(symbols))
             found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -265,7 +266,9 @@ def _candidates(search: Search, longest: dict[int, int], cells, word_cells):
             wanted = {}
             for size, n in longest.items():
                 if size > 0:
-                    few = upto[np.minimum(place + size, end)] - upto[:-1] <= int(search.edits * n)
+                    most_edits = int(search.edits * n)
+                    few = upto[0][np.minimum(place + size, end)] - upto[0][:-1] <= most_edits
+                    few &= upto[1][np.minimum(place + size - 1, end)] - upto[1][:-1] <= 2 * most_edits
                     wanted[size] = np.flatnonzero(few & (symbols != 0))
             for walk in range(search.walks):
                 for _, some, keys, _ in e.keys(symbols, walk, wanted):
@@ -374,8 +377,8 @@ def contaminated(docs: DataFrame, items: DataFrame, search: Search = Search(), t
     1. Items of equal words form a class; a class is embedded and hashed once, as two windows: the largest
        power of two of words from its first word, and as many up to its last.
     2. One narrow pass embeds the windows at every position of every document, but for those with more
-       words that no item has than edits are allowed, and keeps those whose key is in a filter over the
-       item keys. Both filters are bitmaps of a fixed number of bytes, whatever the corpus or benchmark; a
+       words or pairs of words that no item has than edits allow, and keeps those whose key is in a filter over the
+       item keys. The three filters are bitmaps of a fixed number of bytes, whatever the corpus or benchmark; a
        benchmark that fills their cells makes them spare nothing, with the same result.
     3. What is left is joined to the exact keys, made distinct, and verified by the edit distance of the
        item to the best window around.
@@ -396,12 +399,12 @@ def contaminated(docs: DataFrame, items: DataFrame, search: Search = Search(), t
     )
     longest = {r["size"]: r["n"] for r in keys.groupBy("size").agg(F.max("n_words").alias("n")).collect()}
     cells = keys.select(F.explode(F.array("cell1", "cell2")).alias("cell")).distinct()
-    word_cells = classes.mapInPandas(_item_cells(search), "cell long").distinct()
+    runs = [classes.mapInPandas(_item_cells(search, n), "cell long").distinct() for n in (1, 2)]
 
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(t)).alias("digest"), t.alias("text"))
     found = texts.mapInArrow(
-        _candidates(search, longest, _bitmap(cells, search.cells), _bitmap(word_cells, search.cells)), "doc_id long, digest binary, key long, lo long, around string"
+        _candidates(search, longest, *(_bitmap(c, search.cells) for c in (cells, *runs))), "doc_id long, digest binary, key long, lo long, around string"
     )
     of = keys.groupBy("key", "cls").agg(F.max(F.col("size") > 0).alias("by_walk"))
     pairs = found.join(of, "key").groupBy("doc_id", "digest", "lo", "around", "cls").agg(F.max("by_walk").alias("by_walk"))
