@@ -96,7 +96,7 @@ def _first_pass(length: int, gap: int):
                 continue
             salt = np.frombuffer(doc[:8], "<u8")[0]
             place = (at.astype(np.uint64) + salt) * np.uint64(0x9E3779B97F4A7C15)
-            place ^= place >> np.uint64(31)
+            place = (place ^ (place >> np.uint64(31))).view(np.int64)  # signed, as the aggregates compare
             order = np.lexsort((place, around, keys))
             k, a, p = keys[order], around[order], place[order]
             new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] != a[:-1])]))

@@ -272,6 +272,20 @@ def test_suffixes(spark, sf_dir, odd_docs, no_docs, rows, group):
         assert remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_twice_in_one_text_and_once_in_another(spark):
+    """Places are hashes of 64 bits: the least and the largest of a text have to be those of the signed order of the aggregates."""
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    texts = []
+    for _ in range(8):
+        p = noise(3000)
+        texts += [noise(90) + p + noise(70) + p + noise(50), noise(80) + p + noise(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(enumerate(plain_repeats([t.encode() for t in texts], 200)))
+    got = remove_repeats(docs).collect()
+    assert {(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got} == want
+
+
 def test_multikey_quicksort():
     rnd = np.random.default_rng(3)
     for _ in range(50):
