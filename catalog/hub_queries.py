@@ -487,7 +487,7 @@ def sorted_text(value):
 
 @query("S2_S3_whole_documents", _ODD_DOCS)
 def s2_s3_whole(spark, sf_dir):
-    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines")
+    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines", store=work_folder(spark))
     path = work_folder(spark, "whole")
     bomio.write_boms(tables, path, layout="lines")
     back = spark.read.text(path)
@@ -497,7 +497,7 @@ def s2_s3_whole(spark, sf_dir):
 @query("S2_nested_components", """SELECT concat('urn:uuid:', CAST(p_partkey AS VARCHAR)) AS bom_id, * FROM part,
   (VALUES (2, 'l2', CONCAT('0.', '0')), (3, 'l3', '0.0.0'), (4, 'l4', '0.0.0.0'), (5, 'deep', '0.0.0.0.0')) AS k(level, name, path)""".replace("*", "level, name, path"))
 def s2_nested(spark, sf_dir):
-    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines")
+    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines", store=work_folder(spark))
     kids = bomio.nested_components(tables.components).join(tables.boms.select("bom_id", "serial_number"), "bom_id")
     return kids.select(
         F.col("serial_number").alias("bom_id"), "level", "name", F.array_join(F.col("path").cast("array<string>"), ".").alias("path")
@@ -507,10 +507,10 @@ def s2_nested(spark, sf_dir):
 @query("S2_S3_xml_documents", _ODD_DOCS)
 def s2_s3_xml(spark, sf_dir):
     """Out as XML and back, with unknown fields, numbers, names that XML does not allow, and five levels of components."""
-    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines")
+    tables = bomio.read_boms(spark, odd_documents(spark, sf_dir), layout="lines", store=work_folder(spark))
     path = work_folder(spark, "xml")
     bomio.write_boms(tables, path, fmt="xml", layout="lines")
-    back = bomio.documents(bomio.read_boms(spark, path, fmt="xml"))
+    back = bomio.documents(bomio.read_boms(spark, path, fmt="xml", store=work_folder(spark)))
     return back.select(F.get_json_object("value", "$.serialNumber").alias("serial_number"), sorted_text("value").alias("value"))
 
 
@@ -536,7 +536,7 @@ def versioned_documents(spark, sf_dir):
 @query("S2_bom_identity", f"SELECT serial_number, version, concat('top', substr(serial_number, 10), '-', CAST(version AS VARCHAR)) AS name, CAST(1 AS BIGINT) AS n_components FROM ({_VERSIONED})")
 def s2_identity(spark, sf_dir):
     """Two versions of one serial number stay two BOMs, each with its own components."""
-    tables = bomio.read_boms(spark, versioned_documents(spark, sf_dir), layout="lines")
+    tables = bomio.read_boms(spark, versioned_documents(spark, sf_dir), layout="lines", store=work_folder(spark))
     own = tables.components.groupBy("bom_id").agg(F.min("name").alias("name"), F.count("*").alias("n_components"))
     return tables.boms.join(own, "bom_id").select("serial_number", F.col("version").cast("int").alias("version"), "name", "n_components")
 
@@ -548,10 +548,10 @@ def s2_identity(spark, sf_dir):
 )
 def s2_twelve(spark, sf_dir):
     """Children of twelve levels after a way through XML."""
-    tables = bomio.read_boms(spark, versioned_documents(spark, sf_dir), layout="lines")
+    tables = bomio.read_boms(spark, versioned_documents(spark, sf_dir), layout="lines", store=work_folder(spark))
     path = work_folder(spark, "deep-xml")
     bomio.write_boms(tables, path, fmt="xml", layout="lines")
-    back = bomio.read_boms(spark, path, fmt="xml")
+    back = bomio.read_boms(spark, path, fmt="xml", store=work_folder(spark))
     about = back.boms.select("bom_id", "serial_number", F.col("version").cast("int").alias("bom_version"))
     kids = bomio.nested_components(back.components).join(about, "bom_id")
     return kids.select(

@@ -57,6 +57,16 @@ def cap_pages(entries: DataFrame, pages: int = 10) -> DataFrame:
     return entries.where(F.col("page") < pages)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over all cores, for work that is long for the bytes of its rows.
+
+    A number that is asked for is kept: adaptive execution would merge small partitions by their bytes, down to one task.
+    """
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(width, *keys)
+
+
 #: Seconds spent in ``stored``, for a bench that tells planning from execution.
 STORED_SECONDS = [0.0]
 

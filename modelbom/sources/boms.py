@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from modelbom import schemas as sc
-from modelbom.functions.text import SPEC_VERSIONS, bom_file_name, identity_ref
+from modelbom.functions.text import SPEC_VERSIONS, bom_file_name, identity_ref, let
+from modelbom.operators.common import dealt, stored
 from modelbom.operators.security import Factors
 from modelbom.sources.bomxml import LISTS
 from modelbom.sources.downgrade import SECTIONS, SINCE, component_type, dropped, later, pruned
@@ -91,14 +92,15 @@ def check_output(path: str, fmt: str = "auto", spec: str = "") -> tuple[str, str
 # ---- reading ----------------------------------------------------------------------------
 
 
-def read_boms(spark: SparkSession, paths, fmt: str = "auto", layout: str = "files") -> BomTables:
+def read_boms(spark: SparkSession, paths, fmt: str = "auto", layout: str = "files", store: str | None = None) -> BomTables:
     """BOM documents -> tables.
 
     ``layout`` 'files' is one document per file, whose path is the id; 'lines' is one JSON document per
     line, and 'entries' JSON lines as ``write_boms`` makes them. The id of a line is the file's path and the
     hash of the line: two versions of a BOM with one serial number are two BOMs, and a line repeated in
     a file is read once. Serial numbers are a column. With ``fmt`` 'auto' each file counts by its own
-    extension, also those in a folder.
+    extension, also those in a folder. ``store`` names a folder for the entries, which all tables read: there
+    each document is parsed once, without it once per table.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if fmt not in ("", "auto", None):
@@ -116,12 +118,13 @@ def read_boms(spark: SparkSession, paths, fmt: str = "auto", layout: str = "file
             texts.append(raw.select(F.col("path").alias("bom_id"), "value"))
         else:
             own = F.concat("path", F.lit("#"), F.sha1("value"))
-            texts.append(raw.where(F.trim("value") != "").select(own.alias("bom_id"), "value").dropDuplicates(["bom_id"]))
+            lines = raw.where(F.trim("value") != "").select(own.alias("bom_id"), "value")
+            texts.append(dealt(lines, "bom_id").dropDuplicates(["bom_id"]))
     if kind in ("auto", "xml"):
         from modelbom.sources.bomxml import read_xml_documents
 
         texts.append(read_xml_documents(spark, paths, only_xml=kind == "auto"))
-    return tables_from_texts(reduce(DataFrame.unionByName, texts))
+    return tables_from_entries(stored(entries_from_texts(reduce(DataFrame.unionByName, texts)), store, "entries"))
 
 
 def _parts(variant: Column) -> Column:
@@ -309,18 +312,22 @@ def over(raw: Column, typed: Column, type_: str) -> Column:
     takes its place; a null one goes. Without a text the struct alone is written.
     """
     names = list(StructType.fromDDL("x " + type_)[0].dataType.fieldNames())
-    now = F.from_json(F.to_json(typed), _MAP)
-    was = F.from_json(F.to_json(F.from_json(raw, type_)), _MAP)
-    own = F.from_json(raw, _MAP)
+    parsed = F.struct(
+        F.from_json(F.to_json(typed), _MAP).alias("now"), F.from_json(F.to_json(F.from_json(raw, type_)), _MAP).alias("was"),
+        F.from_json(raw, _MAP).alias("own"),
+    )
     get = F.try_element_at
 
-    def value(k):
-        same = F.to_json(get(now, k)).eqNullSafe(F.to_json(get(was, k)))
-        return F.struct(k.alias("key"), F.when(same, get(own, k)).otherwise(get(now, k)).alias("value"))
+    def merged(x):
+        def value(k):
+            same = F.to_json(get(x["now"], k)).eqNullSafe(F.to_json(get(x["was"], k)))
+            return F.struct(k.alias("key"), F.when(same, get(x["own"], k)).otherwise(get(x["now"], k)).alias("value"))
+
+        known = F.filter(F.transform(F.array(*[F.lit(n) for n in names]), value), lambda e: e["value"].isNotNull())
+        return F.map_concat(F.map_filter(x["own"], lambda k, v: ~k.isin(*names)), F.map_from_entries(known))
 
-    known = F.filter(F.transform(F.array(*[F.lit(n) for n in names]), value), lambda x: x["value"].isNotNull())
-    merged = F.map_concat(F.map_filter(own, lambda k, v: ~k.isin(*names)), F.map_from_entries(known))
-    return F.when(raw.isNull(), F.to_json(typed)).otherwise(F.to_json(merged))
+    # Parsed once, not once per field: inside the lambda the texts would be parsed again for every name.
+    return F.when(raw.isNull(), F.to_json(typed)).otherwise(F.to_json(let(parsed, merged)))
 
 
 def _raw(df: DataFrame) -> Column:
@@ -432,7 +439,7 @@ def documents(tables: BomTables, spec: str | None = None) -> DataFrame:
         F.to_json(F.struct("ref", F.when(F.size(to) > 0, to).alias("dependsOn"))).alias("entry"),
     )
     rows = rows.where("section <> 'edges'").unionByName(lists)
-    whole = rows.groupBy("bom_id").agg(F.array_sort(F.collect_list(F.struct("section", "ord", "entry"))).alias("x"))
+    whole = dealt(rows, "bom_id").groupBy("bom_id").agg(F.array_sort(F.collect_list(F.struct("section", "ord", "entry"))).alias("x"))
 
     def of(section):
         return F.transform(F.filter("x", lambda e: e["section"] == section), lambda e: e["entry"])

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelbom.operators.common import dealt
 from modelbom.sources.rewriting import PIECES, let, piece, rewrite
 
 NAMESPACE = "http://cyclonedx.org/schema/bom/"
@@ -245,12 +246,18 @@ def json_from_xml(xml: Column) -> Column:
     # runs interpreted; Spark 4.1 generates code for it that does not compile.
     sound = lambda x: (x != "") & F.from_xml(x, "bad string", {"columnNameOfCorruptRecord": "bad"})["bad"].isNull()
     parsed = F.transform(F.array(_marked(xml)), lambda x: F.when(sound(x), F.to_json(F.from_xml(x, "variant", options))))
-    v = F.get(parsed, F.lit(0))
-    spec = F.regexp_extract(F.get_json_object(v, "$._xmlns"), r"/bom/([0-9.]+)", 1)
-    body = rewrite(v, F.lit("bom"), _to_json)
-    head = F.concat(F.lit('{"bomFormat":"CycloneDX"'), F.when(spec != "", F.concat(F.lit(',"specVersion":"'), spec, F.lit('"'))).otherwise(F.lit("")))
-    rest = F.regexp_replace(body, r"^\{", "")
-    return F.concat(head, F.when(rest == "}", F.lit("")).otherwise(F.lit(",")), rest)
+
+    def document(v):
+        spec = F.regexp_extract(F.get_json_object(v, "$._xmlns"), r"/bom/([0-9.]+)", 1)
+        body = rewrite(v, F.lit("bom"), _to_json)
+        return let(F.struct(spec.alias("spec"), F.regexp_replace(body, r"^\{", "").alias("rest")), whole)
+
+    def whole(x):
+        spec, rest = x["spec"], x["rest"]
+        head = F.concat(F.lit('{"bomFormat":"CycloneDX"'), F.when(spec != "", F.concat(F.lit(',"specVersion":"'), spec, F.lit('"'))).otherwise(F.lit("")))
+        return F.concat(head, F.when(rest == "}", F.lit("")).otherwise(F.lit(",")), rest)
+
+    return let(F.get(parsed, F.lit(0)), document)  # parsed and rewritten once each
 
 
 def read_xml_documents(spark: SparkSession, paths: list[str], only_xml: bool = False) -> DataFrame:
@@ -264,8 +271,11 @@ def read_xml_documents(spark: SparkSession, paths: list[str], only_xml: bool = F
         reader = reader.option("pathGlobFilter", "*.[xX][mM][lL]")
     raw = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"(?s)<bom[\s>].*$", 0).alias("xml"))
     xml = F.when(F.col("xml") != "", F.concat("xml", F.lit("</bom>")))
-    ids = raw.select(F.concat("path", F.lit("#"), F.sha1(xml)).alias("bom_id"), json_from_xml(xml).alias("value"))
-    return ids.where(F.col("value").isNotNull()).dropDuplicates(["bom_id"])
+    ids = raw.where(xml.isNotNull()).select(F.concat("path", F.lit("#"), F.sha1(xml)).alias("bom_id"), xml.alias("xml"))
+    ids = dealt(ids, "bom_id").dropDuplicates(["bom_id"])
+    # A one-row generator keeps the filter above it, which else would hold the whole conversion a second time.
+    once = F.inline(F.array(F.struct(json_from_xml(F.col("xml")).alias("value"))))
+    return ids.select("bom_id", once).where(F.col("value").isNotNull())
 
 
 # ---- writing ----------------------------------------------------------------------------

@@ -45,13 +45,15 @@ def rewrite(text: Column, name: Column, expand: Callable[[Column], Column]) -> C
     ``expand`` gives the pieces of one unfinished piece: finished parts and, in their places, the values
     one level below. Every round expands all unfinished pieces; the rounds are one more than the depth.
     """
-    start = F.array(piece(False, text, name)).cast(PIECES)
-
     def level(pieces: Column, _: Column) -> Column:
         return F.flatten(F.transform(pieces, lambda p: F.when(p["done"], F.array(p).cast(PIECES)).otherwise(expand(p).cast(PIECES))))
 
-    pieces = F.aggregate(F.sequence(F.lit(0), depth(text)), start, level)
-    return F.when(text.isNotNull(), F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
+    def written(t: Column) -> Column:
+        start = F.array(piece(False, t, name)).cast(PIECES)
+        pieces = F.aggregate(F.sequence(F.lit(0), depth(t)), start, level)
+        return F.when(t.isNotNull(), F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
+
+    return let(text, written)
 
 
 def descend(start: Column, rounds: Column, below: Callable[[Column], Column], type_: str) -> Column:

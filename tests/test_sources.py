@@ -242,3 +242,19 @@ def test_enrich_from_file(spark, doc_path, tmp_path):
     assert rows["d"].licenses[0].license.name == "cc0" and rows["lib"].licenses is None
     (r,) = progress.collect()
     assert r.final_passed == r.initial_passed + 1
+
+
+def test_documents_are_parsed_once(spark, tmp_path, doc_path):
+    """XML is parsed and rewritten in one place of a plan; with a store the tables read entries, not texts."""
+    from modelbom.sources.bomxml import read_xml_documents
+
+    out = str(tmp_path / "xml")
+    bomio.write_boms(bomio.read_boms(spark, doc_path), out, fmt="xml", layout="lines")
+    xml = read_xml_documents(spark, [out])
+    plan = xml._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 2  # is it sound, and its VARIANT
+    kept = bomio.read_boms(spark, out, fmt="xml", store=str(tmp_path / "store"))
+    assert "Generate" not in kept.components._jdf.queryExecution().optimizedPlan().toString()
+    lazy = bomio.read_boms(spark, out, fmt="xml")
+    assert [r["value"] for r in bomio.documents(kept).collect()] == [r["value"] for r in bomio.documents(lazy).collect()]
+    assert bomio.documents(lazy).rdd.getNumPartitions() > 1
