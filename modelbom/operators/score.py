@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelbom.functions.text import SPEC_VERSIONS, nz, trim
 from modelbom.operators.assemble import component_get
-from modelbom.operators.common import first_wins, stage
+from modelbom.operators.common import dealt, first_wins, stage
 from modelbom.operators.registry import DATASET_REGISTRY, DATASETS_KEY, MODEL_REGISTRY, FieldSpec
 
 
@@ -222,12 +222,19 @@ def missing_specs(
 def enrichment_progress(
     before: DataFrame, after: DataFrame, refetched: DataFrame | None = None, keys=("bom_id",)
 ) -> DataFrame:
-    """Score, passed and total at the start, after a refetch and at the end."""
+    """Score, passed and total at the start, after a refetch and at the end.
+
+    Without a refetch the start stands on two sides of the joins: it is dealt by its keys, so that both read one exchange
+    and the scores are computed once. A one-row generator keeps the join's filter on the keys above that exchange.
+    """
+    middle = refetched
+    if refetched is None:
+        before = dealt(before.select(*keys, "score", "passed", "total"), *keys)
+        middle = before.select(F.inline(F.array(F.struct(*before.columns))))
 
     def side(df, name):
         return df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("score", "passed", "total")])
 
     out = side(before, "initial")
-    middle = before if refetched is None else refetched
     out = out.join(side(middle, "refetched"), list(keys), "left")
     return out.join(side(after, "final"), list(keys), "left")
