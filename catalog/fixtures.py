@@ -302,7 +302,7 @@ def _over_dealt_tables(spark: SparkSession, sql: str) -> str:
     """``sql`` over tables whose rows are dealt over all tasks.
 
     Rows of few bytes stand for long work, and a split of a file holds very many of them: read as they lie, the models of
-    the largest table would be one task. The narrow tables are dealt before the views' wide columns are made; the texts
+    the largest table would be one task. The narrow tables are dealt, four tasks a core, before the views' wide columns are made; the texts
     of ``documents``, whose splits follow their bytes, only where they come in fewer splits than there are cores.
     """
     width = spark.sparkContext.defaultParallelism
@@ -311,7 +311,7 @@ def _over_dealt_tables(spark: SparkSession, sql: str) -> str:
             continue
         df = spark.table(t).select(*[c for c in spark.table(t).columns if re.search(rf"\b{c}\b", sql)])
         if t != "documents":
-            df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), width))
+            df = df.repartition(4 * width)
         elif df.rdd.getNumPartitions() < width:
             df = df.repartition(width)
         df.createOrReplaceTempView(f"{t}_dealt")
