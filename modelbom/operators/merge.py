@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelbom.functions.text import identity_ref, nz, tool_key
-from modelbom.operators.common import first_wins
+from modelbom.operators.common import dealt, first_wins
 
 ORDER = ["seq", "rank", "ord"]
 
@@ -62,11 +62,19 @@ def new_components(placed: DataFrame) -> DataFrame:
 
 def merge_stats(placed: DataFrame, merged: DataFrame) -> DataFrame:
     """Counts per target: base components, added ones, duplicates left out, and the name of
-    the base's metadata component."""
-    before = placed.groupBy("target_id").agg(
+    the base's metadata component.
+
+    The name is a grouping column first: counts alone are combined by hash, while a maximum of texts among them would
+    sort all rows of a task in its memory.
+    """
+    named = F.when((F.col("seq") == 0) & F.col("is_metadata"), F.col("name")).alias("metadata_component")
+    counted = placed.groupBy("target_id", named).agg(
         F.count_if((F.col("seq") == 0) & ~F.col("is_metadata")).alias("sbom_components"),
         F.count_if(F.col("seq") > 0).alias("candidates"),
-        F.max(F.when((F.col("seq") == 0) & F.col("is_metadata"), F.col("name"))).alias("metadata_component"),
+    )
+    before = counted.groupBy("target_id").agg(
+        F.sum("sbom_components").alias("sbom_components"), F.sum("candidates").alias("candidates"),
+        F.max("metadata_component").alias("metadata_component"),
     )
     added = merged.groupBy("target_id").agg(F.count_if(F.col("seq") > 0).alias("aibom_components"))
     added_n = F.coalesce("aibom_components", F.lit(0).cast("bigint"))
@@ -97,18 +105,22 @@ def merge_dependencies(placed: DataFrame, base_last_wins: bool = False) -> DataF
     union in first-seen order; a ref without any list keeps one empty row. ``base_last_wins``: of
     several base entries of one ref only the last counts (the two-BOM form).
 
-    The entries of a ref are an aggregate combined before the shuffle. It has one row per ref, so the
-    join with the rows can be split at a hot ref, and the distinct after it is spread by the edge.
+    The entries of a ref are an aggregate combined before the shuffle, from rows dealt by entry: a task sorts its share, not
+    the rows of a large BOM. It has one row per ref, so the join with the rows hashes that side, sorts none of the rows, and
+    can be split at a hot ref. The distinct after it groups by the pair of target and ref as one value:
+    by the two columns the join's own partitions would do, and a hot ref would be sorted whole in one task. So it is combined
+    in the split tasks, then spread by the edge.
     """
     listed = F.col("depends_on").isNotNull()
     base, entry = F.col("seq") == 0, F.struct("seq", "ord")
     other = listed & ~base if base_last_wins else listed
-    entries = placed.groupBy("target_id", "ref").agg(
+    spread = dealt(placed.select("target_id", "ref", "seq", "ord", "depends_on"), "target_id", "ref", "ord")
+    entries = spread.groupBy("target_id", "ref").agg(
         F.max(F.when(base, F.col("ord"))).alias("_last"),
         F.max(F.when(base & listed, F.col("ord"))).alias("_last_listed"),
         F.min(F.when(other, entry)).alias("_first"), F.max(F.when(other, entry)).alias("_final"),
     )
-    rows = placed.join(entries, ["target_id", "ref"])
+    rows = placed.join(entries.hint("shuffle_hash"), ["target_id", "ref"])
     first, final = F.col("_first"), F.col("_final")
     if base_last_wins:
         rows = rows.where("seq > 0 or ord = _last")
@@ -119,8 +131,9 @@ def merge_dependencies(placed: DataFrame, base_last_wins: bool = False) -> DataF
     rows = rows.where(listed | first.isNull())
     # Repeats inside the only list of a ref stay, each with its own place.
     copy = F.when(first == final, at).alias("_copy")
-    one = rows.groupBy("target_id", "ref", "depends_on", copy).agg(F.min(at).alias("at"))
-    return one.select("target_id", "ref", "depends_on", "at")
+    edges = rows.select(F.struct("target_id", "ref").alias("_ref"), "depends_on", copy, at.alias("at"))
+    one = edges.groupBy("_ref", "depends_on", "_copy").agg(F.min("at").alias("at"))
+    return one.select("_ref.target_id", "_ref.ref", "depends_on", "at")
 
 
 def dependency_lists(edges: DataFrame) -> DataFrame:
