@@ -17,6 +17,8 @@ TABLES = (
 
 VIEWS: dict[str, str] = {}
 STORED_LIKE = {"src_files", "notebooks", "cards", "comp_flat"}
+#: Views of long rows over a narrow table, which is dealt over all tasks; filters on them are rewritten as on any view.
+DEALT = {"hub_datasets"}
 
 # One id in three is the same hot one. The rest are shared by four neighbouring parts.
 _IDS = """
@@ -302,19 +304,15 @@ def _over_dealt_tables(spark: SparkSession, sql: str) -> str:
     """``sql`` over tables whose rows are dealt over all tasks.
 
     Rows of few bytes stand for long work, and a split of a file holds very many of them: read as they lie, the models of
-    the largest table would be one task. The narrow tables are dealt, four tasks a core, before the views' wide columns are made; the texts
-    of ``documents``, whose splits follow their bytes, only where they come in fewer splits than there are cores.
+    the largest table would be one task. So may the texts of ``documents`` be, that lie in one row group: its splits by
+    bytes are then many, but all rows in one of them. Tables are dealt, four tasks a core, before the views' wide columns are made.
     """
     width = spark.sparkContext.defaultParallelism
-    for t in ("customer", "orders", "part", "documents"):
+    for t in ("customer", "orders", "part", "supplier", "documents"):
         if not re.search(rf"\bFROM {t}\b", sql):
             continue
         df = spark.table(t).select(*[c for c in spark.table(t).columns if re.search(rf"\b{c}\b", sql)])
-        if t != "documents":
-            df = df.repartition(4 * width)
-        elif df.rdd.getNumPartitions() < width:
-            df = df.repartition(width)
-        df.createOrReplaceTempView(f"{t}_dealt")
+        df.repartition(4 * width).createOrReplaceTempView(f"{t}_dealt")
         sql = re.sub(rf"\bFROM {t}\b", f"FROM {t}_dealt", sql)
     return sql
 
@@ -327,8 +325,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     sql = VIEWS[name]
     register_tables(spark, sf_dir, sql)
-    if name not in STORED_LIKE:
+    if name not in STORED_LIKE | DEALT:
         return spark.sql(sql)
+    if name in DEALT:
+        return spark.sql(_over_dealt_tables(spark, sql))
     df = spark.sql(_over_dealt_tables(spark, sql))
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from modelbom import schemas as sc
 from modelbom.functions import semistructured as ss
 from modelbom.functions.text import bom_ref, first_text, property_entry, purl, trim_nz
-from modelbom.operators.common import first_wins, stage
+from modelbom.operators.common import first_wins, spread_join, stage
 from modelbom.operators.registry import (
     DATASET_REGISTRY, MODEL_REGISTRY, OPTIONAL_TEXT, FieldSpec, Get,
 )
@@ -115,19 +115,20 @@ def model_dataset_refs(rows: DataFrame, ids: Column | None = None) -> DataFrame:
 def attach_datasets(
     refs: DataFrame, hub_datasets: DataFrame, dataset_cards: DataFrame | None = None
 ) -> DataFrame:
-    """(bom_id, ord, dataset_id) -> with scan, api, card; unknown datasets are dropped."""
-    rows = _join(refs, _side(hub_datasets, sc.DATASET_API_FIELDS, "api"), "dataset_id", "inner")
+    """(bom_id, ord, dataset_id) -> with scan, api, card; unknown datasets are dropped.
+
+    Both hub sides hold one row per dataset and are joined, and the configurations parsed, before the
+    references come in; the references of a hot dataset are dealt over tasks.
+    """
+    known = _side(hub_datasets, sc.DATASET_API_FIELDS, "api")
     if dataset_cards is not None:
-        rows = _join(rows, _side(dataset_cards, sc.DATASET_CARD_FIELDS, "card"), "dataset_id", "left")
+        known = known.join(_side(dataset_cards, sc.DATASET_CARD_FIELDS, "card"), "_key", "left")
     else:
-        rows = rows.withColumn("card", F.lit(None).cast(_struct_type(sc.DATASET_CARD_FIELDS)))
+        known = known.withColumn("card", F.lit(None).cast(_struct_type(sc.DATASET_CARD_FIELDS)))
     configs = ss.parse_dataset_configs(ss.at(F.col("api.card_data"), "$.configs"))
-    return rows.select(
-        "bom_id", "ord", "dataset_id",
-        F.struct(F.col("dataset_id").alias("name")).alias("scan"),
-        "api",
-        F.col("card").withField("configs", configs).alias("card"),
-    )
+    known = known.select(F.col("_key").alias("dataset_id"), "api", F.col("card").withField("configs", configs).alias("card"))
+    rows = spread_join(refs, known, ["dataset_id"], ["bom_id", "ord"])
+    return rows.select("bom_id", "ord", "dataset_id", F.struct(F.col("dataset_id").alias("name")).alias("scan"), "api", "card")
 
 
 # ---- component rows ---------------------------------------------------------------------

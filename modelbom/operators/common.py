@@ -38,6 +38,23 @@ def first_wins(
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def spread_join(
+    left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", most: int = 10_000
+) -> DataFrame:
+    """Equi join whose hot keys of ``left`` are dealt over several tasks, also where their bytes are few.
+
+    The rows of a key that has more than ``most`` are dealt into slices by the columns ``by``; its rows of ``right`` are
+    there for each slice. Only those keys, one in ``most`` rows at the most, go to all tasks.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
+    hot = F.broadcast(counts.select(*on, F.ceil(F.col("_rows") / most).cast("int").alias("_slices")))
+    place = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_slices")), F.lit(0)).cast("int")
+    dealt_left = left.join(hot, on, "left").withColumn("_slice", place).drop("_slices")
+    slices = F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
+    dealt_right = right.join(hot, on, "left").withColumn("_slice", slices).drop("_slices")
+    return dealt_left.join(dealt_right, [*on, "_slice"], how).drop("_slice")
+
+
 def search_models(models: DataFrame, query: str | None, limit: int = 20) -> DataFrame:
     """Case-insensitive substring search on the id, most downloads first."""
     limit = limit if limit > 0 else 20
