@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelbom.functions.text import HUB_URL, col, dataset_id_from_component, model_id_from_component, nz
-from modelbom.operators.common import first_wins
+from modelbom.operators.common import first_wins, spread_join
 
 # Scanner key -> display name, in report order.
 SCANNERS = {
@@ -156,14 +156,14 @@ def file_findings(entries: DataFrame) -> DataFrame:
     """One row per file with findings, of repositories with an unsafe or caution file:
     (kind, hub_id, path, safe_path, description, ratings, advisories).
 
-    The gate is a per-repository aggregate joined back as a semi join; texts are built once per file.
+    The gate is a per-repository aggregate joined back as a semi join; texts are built once per file. The files of
+    a hot repository are dealt over tasks.
     """
     gate = (
         entries.where(F.lower(F.col(STATUS)).isin("unsafe", "caution")).select("kind", "repo_id").distinct()
     )
     return (
-        entries.where(actionable(F.col(STATUS)))
-        .join(gate, ["kind", "repo_id"], "left_semi")
+        spread_join(entries.where(actionable(F.col(STATUS))), gate, ["kind", "repo_id"], ["path"], "left_semi")
         .select("*", _scanner_findings().alias("found"))
         .select("kind", "repo_id", "path", *_finding_columns())
         .withColumnRenamed("repo_id", "hub_id")
@@ -179,8 +179,11 @@ def finding_links(targets: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def expand_findings(links: DataFrame, findings: DataFrame) -> DataFrame:
-    """Links and findings -> one row per component and finding, as documents hold them."""
-    joined = links.join(findings, ["kind", "hub_id"])
+    """Links and findings -> one row per component and finding, as documents hold them.
+
+    The findings of a hot repository are dealt over tasks, and stream past its links.
+    """
+    joined = spread_join(findings, links, ["kind", "hub_id"], ["path"])
     return joined.select(
         "bom_id",
         F.concat(F.lit("hfsec-"), "bom_ref", F.lit("-"), "safe_path").alias("bom_ref"),
