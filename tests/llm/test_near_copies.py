@@ -118,3 +118,59 @@ def test_batches_are_bounded_by_bytes(spark, tmp_path):
     rows = spark.range(0, 600, 1, 1).selectExpr("cast(repeat('x', 20000) as binary) b")
     got = [r["n"] for r in store_small(rows.mapInArrow(sizes, "n long"), "sizes", 1 << 20).collect()]
     assert sum(got) > 12_000_000 and max(got) < 1_200_000 and spark.conf.get(key) == before
+
+
+def at_similarity(n, fresh, rnd):
+    """Two sets' texts of about n shingles: the second has ``fresh`` words anew at its end."""
+    word = lambda: f"y{rnd.randrange(10**9)}"
+    text = [word() for _ in range(n + 4)]
+    return " ".join(text), " ".join([*text[: n + 4 - fresh], *(word() for _ in range(fresh))])
+
+
+@pytest.mark.parametrize(("changed", "least"), [(1 / 9, 0.9), (0.05, 0.99)])
+def test_golay_keys_alone_find_near_copies(spark, changed, least):
+    """The Golay keys of SimHash fingerprints, without the MinHash bands, find 0.9 of the pairs at a similarity of 0.8."""
+    rnd = random.Random(11)
+    pairs = [at_similarity(n, int(n * changed), rnd) for n in (45, 90, 180, 360) for _ in range(150)]
+    similar = [len(a & b) / len(a | b) for a, b in (map(shingle_set, p) for p in pairs)]
+    assert min(similar) >= 0.8 and max(similar) < (0.82 if changed > 0.1 else 0.93)
+    docs = spark.createDataFrame(list(enumerate(t for p in pairs for t in p)), "doc_id long, text string")
+    _, rows, nodes = near_copies._printed(docs, "text", Rule())
+    node = {r["doc_id"]: r["node"] for r in rows.collect()}
+    found = {(r["a"], r["b"]) for r in near_copies.code_pairs(nodes, Rule()).collect()}
+    hits = {tuple(sorted((node[2 * k], node[2 * k + 1]))) for k in range(len(pairs))} & found
+    assert len(hits) >= least * len(pairs)
+    assert len(found) < 2 * len(pairs)  # unrelated texts are no candidates
+
+
+def test_fingerprints_are_majorities():
+    """Each bit is 1 if it is set in over half the hashes of the set, also of more than 255."""
+    import numpy as np
+
+    sets = [np.random.default_rng(n).integers(0, 1 << 63, n, np.uint64) for n in (1, 2, 255, 256, 1000, 7)]
+    whole = near_copies.fingerprints(sets, 2)
+    for s, got in zip(sets, whole):
+        for f in range(2):
+            seed = near_copies._mix(np.array([f + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            x = near_copies._mix(s ^ seed)
+            # Counters are bytes: bit k of byte j stands at place 8 * k + j.
+            want = [2 * int((x >> np.uint64(8 * j + k) & np.uint64(1)).sum()) > len(s) for k in range(8) for j in range(8)]
+            assert list(got[64 * f : 64 * f + 64]) == want
+
+
+@pytest.mark.parametrize("few", [1, 16])
+def test_golay_pairs_of_large_buckets(spark, few):
+    """A large group of near copies gives a spanning forest, and all of it is one group by the Golay keys alone."""
+    rnd = random.Random(12)
+    word = lambda: f"z{rnd.randrange(10**9)}"
+    text = [word() for _ in range(300)]
+    texts = [" ".join([*text, word()]) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rule = Rule(few=few)
+    _, rows, nodes = near_copies._printed(docs, "text", rule)
+    pairs = near_copies.code_pairs(nodes, rule)
+    from modelbom.llm.common import components
+
+    assert components(pairs).select("node").distinct().count() == 200 == rows.count()
+    assert components(pairs).select("root").distinct().count() == 1
+    assert pairs.count() < 200 * 30 and pairs.where("a >= b").count() == 0
