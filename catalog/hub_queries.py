@@ -476,7 +476,7 @@ def odd_documents(spark, sf_dir):
     """The documents above, one JSON file line each, in a folder."""
     fx.register_tables(spark, sf_dir, "part")
     path = work_folder(spark, "odd")
-    spark.sql(_ODD_DOCS.replace("VARCHAR", "STRING")).select("value").write.text(path)
+    spark.sql(fx._over_dealt_tables(spark, _ODD_DOCS.replace("VARCHAR", "STRING"))).select("value").write.text(path)
     return path
 
 

@@ -44,7 +44,8 @@ def col(c: Column | str) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once. Inside lambdas nothing else keeps an expression from running at every use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, value, lambda kept, _: kept, body)
 
 
 def trim(c: Column | str) -> Column:

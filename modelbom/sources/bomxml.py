@@ -1,263 +1,58 @@
 """XML form of BOM documents, mapped to and from the JSON form at any depth without losing a field.
 
-Reading: the parser makes one VARIANT of a ``bom`` element; a table of attribute, list and text names says
+Reading: a parser makes a tree of a ``bom`` element; a table of attribute, list and text names says
 how its elements stand in JSON. Writing goes the other way, from the JSON text. What no table knows is
 marked with attributes of an own namespace, so that it comes back as it was: lists outside the table,
-numbers, booleans, nulls, empty objects, and names that XML does not allow.
+numbers, booleans, nulls, empty objects, and names that XML does not allow. The tables and the step from one
+parsed form to the other are in ``bomtexts``; it runs in Arrow batches, one pass over each text.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from modelbom.operators.common import dealt
-from modelbom.sources.rewriting import PIECES, let, piece, rewrite
+from modelbom.sources import bomtexts
+from modelbom.sources.bomtexts import LISTS, TEXT_MARK
 
-NAMESPACE = "http://cyclonedx.org/schema/bom/"
-#: Namespace of the marks on what the tables below do not know.
-MARKS = "urn:modelbom:json"
+__all__ = ["LISTS", "json_from_xml", "read_xml_documents", "xml_from_json"]
 
-#: JSON list -> name of its XML items, which stand in an element of the list's name.
-LISTS = {
-    "components": "component", "services": "service", "properties": "property", "hashes": "hash",
-    "externalReferences": "reference", "tags": "tag", "authors": "author", "datasets": "dataset",
-    "performanceMetrics": "performanceMetric", "useCases": "useCase", "users": "user",
-    "technicalLimitations": "technicalLimitation", "performanceTradeoffs": "performanceTradeoff",
-    "ethicalConsiderations": "ethicalConsideration", "fairnessAssessments": "fairnessAssessment",
-    "custodians": "custodian", "stewards": "steward", "owners": "owner", "compositions": "composition",
-    "vulnerabilities": "vulnerability", "ratings": "rating", "advisories": "advisory", "affects": "target",
-    "dependencies": "dependency", "assemblies": "assembly", "cwes": "cwe", "endpoints": "endpoint",
-    "annotations": "annotation", "lifecycles": "lifecycle", "licenses": "license", "notes": "note",
-    "inputs": "input", "outputs": "output",
-}
-#: JSON lists whose items stand side by side in XML, without an element around them.
-REPEATED = ("data", "sensitiveData")
-#: Fields that are attributes in XML: element name -> JSON field -> attribute.
-ATTRIBUTES = {
-    "bom": {"serialNumber": "serialNumber", "version": "version"},
-    "component": {"type": "type", "bom-ref": "bom-ref", "mime-type": "mime-type"},
-    "service": {"bom-ref": "bom-ref"}, "vulnerability": {"bom-ref": "bom-ref"}, "composition": {"bom-ref": "bom-ref"},
-    "annotation": {"bom-ref": "bom-ref"}, "modelCard": {"bom-ref": "bom-ref"}, "license": {"bom-ref": "bom-ref"},
-    "organization": {"bom-ref": "bom-ref"}, "property": {"name": "name"}, "hash": {"alg": "alg"}, "reference": {"type": "type"},
-    "attachment": {"contentType": "content-type", "encoding": "encoding"}, "dependency": {"ref": "ref"},
-    "text": {"contentType": "content-type", "encoding": "encoding"},
-}
-#: The field that is an element's own text in XML.
-TEXTS = {"property": "value", "hash": "content", "attachment": "content", "text": "content"}
-#: Numbers and booleans of the format, which XML has as plain text.
-NUMBERS = ("score", "cwe")
-BOOLEANS = ("modified", "authenticated", "x-trust-boundary")
 
-_MAP = "map<string,variant>"
-#: Put before every text before parsing, so that no text is read as a number, a date or a boolean.
-_TEXT = "\ue000\ue001"
+def _json_texts(texts: pa.Array) -> pa.Array:
+    return pa.array([bomtexts.to_json(t.as_py()) for t in texts], pa.string())
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
-
-
-def _pair_lookup(table: dict[str, dict[str, str]], name: Column, key: Column, back: bool = False) -> Column:
-    flat = {f"{n} {v if back else k}": (k if back else v) for n, kv in table.items() for k, v in kv.items()}
-    return _lookup(flat, F.concat_ws(" ", name, key))
-
-
-def _fields(text: Column) -> Column:
-    """Fields of a JSON object text as (key, value) pairs, values as texts."""
-    pairs = F.map_entries(F.from_json(text, _MAP))
-    return F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
-
-
-def _items(text: Column) -> Column:
-    """Items of a JSON list text, as texts."""
-    return F.transform(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), lambda v: F.to_json(v))
-
-
-def _string(text: Column) -> Column:
-    """The string that a JSON string text stands for."""
-    return F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x string")["x"]
-
-
-def _quoted(string: Column) -> Column:
-    """A string as JSON text."""
-    return F.regexp_replace(F.to_json(F.array(string)), r"^\[|\]$", "")
-
-
-def _array(*pieces: Column) -> Column:
-    return F.array(*pieces).cast(PIECES)
-
-
-def _join(items: Column, make) -> Column:
-    """Pieces of all items, with a comma piece between them."""
-    comma = _array(piece(True, F.lit(",")))
-    return F.flatten(F.transform(items, lambda x, i: F.when(i == 0, make(x)).otherwise(F.concat(comma, make(x)))))
+def _xml_texts(texts: pa.Array) -> pa.Array:
+    return pa.array([bomtexts.to_xml(t.as_py()) for t in texts], pa.string())
 
 
 # ---- reading ----------------------------------------------------------------------------
 
 
 def _marked(xml: Column) -> Column:
-    """XML text whose CDATA is plain text and whose texts and attribute values begin with a mark."""
-    parts = F.split(F.regexp_replace(xml, r"(?s)<!--.*?-->|<\?.*?\?>", ""), r"<!\[CDATA\[")
+    """XML text whose CDATA is plain text and whose texts begin with a mark."""
+    noted = F.contains(xml, F.lit("<!--")) | F.contains(xml, F.lit("<?"))
+    xml = F.when(noted, F.regexp_replace(xml, r"(?s)<!--.*?-->|<\?.*?\?>", "")).otherwise(xml)
     escaped = lambda t: reduce(lambda x, y: F.replace(x, F.lit(y[0]), F.lit(y[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")], t)
-    plain = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(
+    plain = F.transform(F.split(xml, r"<!\[CDATA\["), lambda p, i: F.when(i == 0, p).otherwise(F.concat(
         escaped(F.substring_index(p, "]]>", 1)), F.substring(p, F.length(F.substring_index(p, "]]>", 1)) + 4, F.length(p))
     )))
-    text = F.array_join(plain, "")
-    text = F.regexp_replace(text, r">(?=\s*[^<\s])", ">" + _TEXT)
-    return F.regexp_replace(text, r"""=\s*(["'])""", "=$1" + _TEXT)
-
-
-def _unmarked(text: Column) -> Column:
-    return F.replace(text, F.lit(_TEXT), F.lit(""))
-
-
-def _of(fields: Column, key) -> Column:
-    """The value of a field, null if there is none."""
-    return F.get(F.filter(fields, lambda f: f["key"] == key), F.lit(0))["value"]
-
-
-def _side_by_side(value: Column) -> Column:
-    """The elements of one name: a list of them, or one alone."""
-    return F.when(value.startswith("["), _items(value)).when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
-
-
-def _to_json(p: Column) -> Column:
-    """The JSON pieces of one XML value (JSON text of its VARIANT)."""
-    fields = F.coalesce(F.when(p["text"].startswith("{"), _fields(p["text"])), F.array().cast("array<struct<key:string,value:string>>"))
-    return let(F.struct(p["name"].alias("name"), p["text"].alias("text"), fields.alias("fields")), _value_pieces)
-
-
-def _value_pieces(x: Column) -> Column:
-    name, text, fields = x["name"], x["text"], x["fields"]
-    is_object = text.startswith("{")
-    kind = _unmarked(_string(_of(fields, "_json:type")))
-    own = F.when(is_object, F.coalesce(_of(fields, "_VALUE"), F.lit('""'))).otherwise(F.when(text == "null", '""').otherwise(text))
-    mark = lambda f: f["key"].startswith("_json:") | f["key"].startswith("_xmlns") | f["key"].startswith("_xsi:")
-    blank = lambda f: (f["key"] == "_VALUE") & (F.trim(_unmarked(f["value"])) == '""')
-    shown = F.filter(fields, lambda f: ~mark(f) & ~blank(f))
-    made = F.struct(
-        name.alias("name"), text.alias("text"), fields.alias("fields"), kind.alias("kind"), _unmarked(own).alias("own"),
-        shown.alias("shown"), _lookup(LISTS, name).alias("item"), is_object.alias("is_object"),
-    )
-    return let(made, _chosen_pieces)
-
-
-def _chosen_pieces(x: Column) -> Column:
-    name, kind, own, shown, is_object = x["name"], x["kind"], x["own"], x["shown"], x["is_object"]
-    tool_list = (name == "tools") & _of(x["fields"], "tool").isNotNull()
-    plain_kind = F.coalesce(kind, F.lit("")).isin("object", "string", "number", "boolean", "null")
-    as_list = (x["item"].isNotNull() | tool_list | F.coalesce(kind == "list", F.lit(False))) & ~plain_kind
-    ref = _unmarked(_of(x["fields"], "_ref"))
-    string = _string(own)
-    plain = F.when(kind == "null", F.lit("null")).when(kind.isin("number", "boolean"), string)
-    plain = plain.when(kind == "base64", _quoted(F.decode(F.unbase64(string), "UTF-8")))
-    plain = plain.when(name.isin("assembly", "dependsOn"), ref)
-    plain = plain.when(name.isin(*NUMBERS) & F.try_to_number(string, F.lit("999999999.999999")).isNotNull(), string)
-    plain = plain.when(name.isin(*BOOLEANS) & string.isin("true", "false"), string)
-    only_text = (name != "bom") & kind.isNull() & F.forall(shown, lambda f: f["key"] == "_VALUE")
-    text_alone = is_object & only_text & ((F.size(shown) == 0) | _lookup(TEXTS, name).isNull())
-    text = x["text"]
-    listed = F.concat(
-        _array(piece(True, F.lit("["))), F.coalesce(_join(_items(text), lambda i: _array(piece(False, i, name))), F.array().cast(PIECES)),
-        _array(piece(True, F.lit("]"))),
-    )
-    return let(plain, lambda done: (
-        F.when(done.isNotNull(), _array(piece(True, done)))
-        .when(as_list, _list_pieces(x, tool_list))
-        .when(text.startswith("["), listed)
-        .when((kind == "string") | text_alone, _array(piece(True, own)))
-        .when(is_object, _object_pieces(x))
-        .otherwise(_array(piece(True, own)))
-    ))
-
-
-def _list_pieces(x: Column, tool_list: Column) -> Column:
-    """A list's items: those of its name, or marked ones; licences also stand under other names."""
-    name, fields = x["name"], x["fields"]
-    item = F.when(x["kind"] == "list", F.lit("item")).when(tool_list, F.lit("tool")).otherwise(x["item"])
-    none = F.array().cast("array<string>")
-    direct = F.when(name == "licenses", none).otherwise(_side_by_side(_of(fields, item)))
-    generic = F.when(item == "item", none).otherwise(_side_by_side(_of(fields, F.lit("item"))))
-    other = F.filter(fields, lambda f: (name == "licenses") & ~f["key"].startswith("_") & (f["key"] != "item"))
-    held = F.flatten(F.transform(other, lambda f: F.transform(_side_by_side(f["value"]), lambda v: F.struct(f["key"].alias("key"), v.alias("value")))))
-
-    def licence(h):
-        return _array(piece(True, F.concat(F.lit("{"), _quoted(h["key"]), F.lit(":"))), piece(False, h["value"], h["key"]), piece(True, F.lit("}")))
-
-    makes = F.concat(
-        F.transform(direct, lambda v: _array(piece(False, v, item))),
-        F.transform(generic, lambda v: _array(piece(False, v, F.lit("item")))),
-        F.transform(held, licence),
-    )
-    inside = F.coalesce(_join(makes, lambda v: v), F.array().cast(PIECES))
-    return F.concat(_array(piece(True, F.lit("["))), inside, _array(piece(True, F.lit("]"))))
-
-
-def _object_pieces(x: Column) -> Column:
-    """An object's fields: attributes, own text and child elements."""
-    name = x["name"]
-
-    def json_key(k):
-        bare = F.substring(k, 2, F.length(k))
-        return (
-            F.when(k == "_VALUE", F.coalesce(_lookup(TEXTS, name), F.lit("_VALUE")))
-            .when(k.startswith("_"), F.coalesce(_pair_lookup(ATTRIBUTES, name, bare, back=True), bare))
-            .when(k.startswith("x-json."), F.decode(F.unhex(F.substring(k, 8, F.length(k))), "UTF-8"))
-            .when((name == "dependency") & (k == "dependency"), F.lit("dependsOn"))
-            .otherwise(k)
-        )
-
-    def entry(f):
-        k, v = f["key"], f["value"]
-        needs = (name == "dependency") & (k == "dependency")
-        first = F.get(_side_by_side(v), F.lit(0))
-        mark = F.when(first.startswith("{") & v.contains("_json:list"), _unmarked(F.get_json_object(first, "$['_json:list']")))
-        made = F.struct(
-            F.concat(_quoted(json_key(k)), F.lit(":")).alias("key"), v.alias("value"), k.alias("name"), mark.alias("mark"), needs.alias("needs"),
-        )
-
-        def pieces(e):
-            v, k, mark = e["value"], e["name"], e["mark"]
-            child = F.when(e["needs"], F.lit("dependsOn")).otherwise(k)
-            many = (v.startswith("[") | k.isin(*REPEATED) | mark.isNotNull()) & _lookup(LISTS, k).isNull() & ~F.coalesce(mark == "no", F.lit(False))
-            items = F.when(mark == "empty", F.array().cast("array<string>")).otherwise(_side_by_side(v))
-            inside = F.coalesce(_join(items, lambda i: _array(piece(False, i, child))), F.array().cast(PIECES))
-            number = (name == "bom") & (k == "_version")
-            return (
-                F.when(number, _array(piece(True, F.concat(e["key"], _unmarked(_string(v))))))
-                .when(e["needs"] | many, F.concat(_array(piece(True, F.concat(e["key"], F.lit("[")))), inside, _array(piece(True, F.lit("]")))))
-                .otherwise(_array(piece(True, e["key"]), piece(False, v, child)))
-            )
-
-        return let(made, pieces)
-
-    inside = F.coalesce(_join(x["shown"], entry), F.array().cast(PIECES))
-    return F.concat(_array(piece(True, F.lit("{"))), inside, _array(piece(True, F.lit("}"))))
+    text = F.when(F.contains(xml, F.lit("<![CDATA[")), F.array_join(plain, "")).otherwise(xml)
+    return F.regexp_replace(text, r">(?=\s*[^<\s])", ">" + TEXT_MARK)
 
 
 def json_from_xml(xml: Column) -> Column:
     """JSON document text of the XML text of one ``bom`` element; null if it cannot be parsed."""
-    options = {"ignoreSurroundingSpaces": "false"}
-    # The parser to VARIANT throws on a broken text; the one to a struct puts it in a column. Inside a lambda it
-    # runs interpreted; Spark 4.1 generates code for it that does not compile.
+    # Spark's parser judges the text; to a struct it puts a broken one in a column. Inside a lambda it runs interpreted; Spark
+    # 4.1 generates code for it that does not compile.
     sound = lambda x: (x != "") & F.from_xml(x, "bad string", {"columnNameOfCorruptRecord": "bad"})["bad"].isNull()
-    parsed = F.transform(F.array(_marked(xml)), lambda x: F.when(sound(x), F.to_json(F.from_xml(x, "variant", options))))
-
-    def document(v):
-        spec = F.regexp_extract(F.get_json_object(v, "$._xmlns"), r"/bom/([0-9.]+)", 1)
-        body = rewrite(v, F.lit("bom"), _to_json)
-        return let(F.struct(spec.alias("spec"), F.regexp_replace(body, r"^\{", "").alias("rest")), whole)
-
-    def whole(x):
-        spec, rest = x["spec"], x["rest"]
-        head = F.concat(F.lit('{"bomFormat":"CycloneDX"'), F.when(spec != "", F.concat(F.lit(',"specVersion":"'), spec, F.lit('"'))).otherwise(F.lit("")))
-        return F.concat(head, F.when(rest == "}", F.lit("")).otherwise(F.lit(",")), rest)
-
-    return let(F.get(parsed, F.lit(0)), document)  # parsed and rewritten once each
+    marked = F.transform(F.array(_marked(xml)), lambda x: F.when(sound(x), x))
+    return F.arrow_udf(_json_texts, StringType())(F.get(marked, F.lit(0)))
 
 
 def read_xml_documents(spark: SparkSession, paths: list[str], only_xml: bool = False) -> DataFrame:
@@ -281,130 +76,6 @@ def read_xml_documents(spark: SparkSession, paths: list[str], only_xml: bool = F
 # ---- writing ----------------------------------------------------------------------------
 
 
-def _escaped(string: Column) -> Column:
-    """A string as XML text or attribute value; white space that a parser would change becomes references."""
-    for a, b in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")]:
-        string = F.replace(string, F.lit(a), F.lit(b))
-    return F.when(F.trim(string) == "", F.replace(string, F.lit(" "), F.lit("&#32;"))).otherwise(string)
-
-
-def _element_name(key: Column) -> Column:
-    """The key, or its bytes in hexadecimal digits where XML does not allow it as a name."""
-    allowed = key.rlike(r"^[A-Za-z][A-Za-z0-9._-]*$") & ~F.lower(key).rlike("^(xml|x-json\\.)")
-    return F.when(allowed, key).otherwise(F.concat(F.lit("x-json."), F.hex(F.encode(key, "UTF-8"))))
-
-
-#: Characters that XML text cannot hold, and the mark of texts.
-_UNSAFE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\ue000]"
-
-
-def _is_text(value: Column) -> Column:
-    return F.when(value.startswith('"'), ~_string(value).rlike(_UNSAFE)).otherwise(False)
-
-
-def _to_xml(p: Column) -> Column:
-    """The XML pieces of one JSON value in an element of its name."""
-    made = F.struct(
-        p["name"].alias("name"), p["flag"].alias("flag"), p["text"].alias("text"), _element_name(p["name"]).alias("tag"),
-        F.substring(p["text"], 1, 1).alias("first"), _lookup(LISTS, p["name"]).alias("item"),
-    )
-    return let(made, lambda x: (
-        F.when(x["first"] == "{", _object_element(x)).when(x["first"] == "[", _list_element(x)).otherwise(_scalar_element(x))
-    ))
-
-
-def _scalar_element(x: Column) -> Column:
-    name, text, tag = x["name"], x["text"], x["tag"]
-
-    def element(string):
-        content = (
-            F.when(string.rlike(_UNSAFE), F.struct(F.lit("base64").alias("kind"), F.base64(F.encode(string, "UTF-8")).alias("text")))
-            .when(string.isNotNull(), F.struct(F.when(x["item"].isNotNull(), "string").otherwise("").alias("kind"), _escaped(string).alias("text")))
-            .when(text == "null", F.struct(F.lit("null").alias("kind"), F.lit("").alias("text")))
-            .when(name.isin(*NUMBERS, *BOOLEANS), F.struct(F.lit("").alias("kind"), text.alias("text")))
-            .otherwise(F.struct(F.when(text.isin("true", "false"), "boolean").otherwise("number").alias("kind"), text.alias("text")))
-        )
-        mark = lambda k: F.when(k == "", "").otherwise(F.concat(F.lit(' json:type="'), k, F.lit('"')))
-        return let(content, lambda c: F.concat(F.lit("<"), tag, x["flag"], mark(c["kind"]), F.lit(">"), c["text"], F.lit("</"), tag, F.lit(">")))
-
-    return _array(piece(True, let(F.when(x["first"] == '"', _string(text)), element)))
-
-
-def _object_element(x: Column) -> Column:
-    """Attributes first, then the own text, then a child element for each other field."""
-    name, tag = x["name"], x["tag"]
-
-    def known(f):
-        k, v = f["key"], f["value"]
-        text = _is_text(v)
-        number = (name == "bom") & (k == "version") & v.rlike("^[0-9]+$")
-        attribute = F.when(text | number, _pair_lookup(ATTRIBUTES, name, k))
-        content = F.when(text, _escaped(_string(v))).otherwise(v)
-        return F.struct(k.alias("key"), v.alias("value"), text.alias("is_text"), attribute.alias("attribute"), content.alias("content"))
-
-    def element(fields):
-        # Own text only beside an attribute: alone it would read as a plain string.
-        has_attribute = F.exists(fields, lambda f: f["attribute"].isNotNull())
-        own = lambda f: f["attribute"].isNull() & F.coalesce((f["key"] == _lookup(TEXTS, name)) & f["is_text"] & (f["content"] != ""), F.lit(False)) & has_attribute
-        skip = lambda f: (name == "bom") & f["key"].isin("bomFormat", "specVersion") & f["is_text"]
-        attributes = F.transform(F.filter(fields, lambda f: f["attribute"].isNotNull()), lambda f: F.concat(F.lit(" "), f["attribute"], F.lit('="'), f["content"], F.lit('"')))
-        text = F.array_join(F.transform(F.filter(fields, own), lambda f: f["content"]), "")
-        others = F.filter(fields, lambda f: f["attribute"].isNull() & ~own(f) & ~skip(f))
-        mark = F.when((F.size(fields) == 0) | (x["item"].isNotNull() & (name != "tools")), F.lit(' json:type="object"')).otherwise("")
-        spec = F.coalesce(_string(_of(fields, F.lit("specVersion"))), F.lit(""))
-        space = F.when(name == "bom", F.concat(F.lit(f' xmlns="{NAMESPACE}'), spec, F.lit(f'" xmlns:json="{MARKS}"'))).otherwise("")
-        start = F.concat(F.lit("<"), tag, space, x["flag"], F.array_join(attributes, ""), mark, F.lit(">"), text)
-        inside = F.coalesce(F.flatten(F.transform(others, child)), F.array().cast(PIECES))
-        return F.concat(_array(piece(True, start)), inside, _array(piece(True, F.concat(F.lit("</"), tag, F.lit(">")))))
-
-    def child(f):
-        k, v = f["key"], f["value"]
-        one_flag = F.when(k.isin(*REPEATED), F.lit(' json:list="no"')).otherwise("")
-
-        def of(items):
-            refs = (name == "dependency") & (k == "dependsOn") & F.forall(items, _is_text) & (F.size(items) > 0)
-            flag = F.when(k.isin(*REPEATED), "").otherwise(' json:list="item"')
-            empty = piece(True, F.concat(F.lit("<"), _element_name(k), F.lit(' json:list="empty"/>')))
-            return (
-                F.when(items.isNull(), _array(piece(False, v, k, one_flag)))
-                .when(refs, F.transform(items, lambda i: piece(True, F.concat(F.lit('<dependency ref="'), _escaped(_string(i)), F.lit('"/>')))).cast(PIECES))
-                .when(F.size(items) == 0, _array(empty))
-                .otherwise(F.transform(items, lambda i: piece(False, i, k, flag)).cast(PIECES))
-            )
-
-        own_list = v.startswith("[") & _lookup(LISTS, k).isNull() & (k != "tools")
-        return let(F.when(own_list, _items(v)), of)
-
-    return let(F.transform(_fields(x["text"]), known), element)
-
-
-def _list_element(x: Column) -> Column:
-    """Lists stand in an element of their name."""
-    name, tag = x["name"], x["tag"]
-    item_name = F.when(name == "tools", "tool").otherwise(F.coalesce(x["item"], F.lit("item")))
-
-    def listed(v):
-        def of(inner):
-            licence = (name == "licenses") & (F.size(inner) == 1) & F.get(inner, F.lit(0))["key"].isin("license", "expression")
-            text = _is_text(v)
-            return (
-                F.when(licence, F.transform(inner, lambda f: piece(False, f["value"], f["key"])).cast(PIECES))
-                .when((name == "assemblies") & text, _array(piece(True, F.concat(F.lit('<assembly ref="'), _escaped(_string(v)), F.lit('"/>')))))
-                .when(name.isin("licenses", "assemblies"), _array(piece(False, v, F.lit("item"))))
-                .otherwise(_array(piece(False, v, item_name)))
-            )
-
-        return let(F.when((name == "licenses") & v.startswith("{"), _fields(v)), of)
-
-    def element(items):
-        odd = (x["item"].isNull() & (name != "tools")) | ((name == "tools") & (F.size(items) == 0))
-        start = F.concat(F.lit("<"), tag, x["flag"], F.when(odd, ' json:type="list"').otherwise(""), F.lit(">"))
-        inside = F.coalesce(F.flatten(F.transform(items, listed)), F.array().cast(PIECES))
-        return F.concat(_array(piece(True, start)), inside, _array(piece(True, F.concat(F.lit("</"), tag, F.lit(">")))))
-
-    return let(_items(x["text"]), element)
-
-
 def xml_from_json(value: Column) -> Column:
     """XML text of a JSON document text."""
-    return rewrite(F.to_json(F.try_parse_json(value)), F.lit("bom"), _to_xml)
+    return F.arrow_udf(_xml_texts, StringType())(F.to_json(F.try_parse_json(value)))
