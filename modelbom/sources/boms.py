@@ -38,6 +38,8 @@ _VULN = (
 )
 _MAP = "map<string,variant>"
 ENTRIES = "bom_id string, section string, ord array<bigint>, entry string"
+#: Entries of a written file at most.
+ENTRIES_PER_FILE = 250_000
 #: Sections that are lists of the document, in its order.
 LISTS_OF_DOCUMENT = ("components", "dependencies", "services", "compositions", "externalReferences", "vulnerabilities")
 _SERVICE = "struct<`bom-ref`:string,name:string,version:string>"
@@ -467,18 +469,23 @@ def documents(tables: BomTables, spec: str | None = None) -> DataFrame:
 
 
 def write_boms(
-    tables: BomTables, path: str, fmt: str = "json", spec: str = "", layout: str = "entries", mode: str = "errorifexists"
+    tables: BomTables, path: str, fmt: str = "json", spec: str = "", layout: str = "entries", mode: str = "errorifexists",
+    compression: str = "gzip",
 ) -> None:
     """Write BOMs below ``path``.
 
     ``layout`` 'entries' (default): JSON lines (bom_id, section, ord, entry), one per entry, whatever the
     size of a BOM. 'lines': one JSON document per line. 'files': one directory per document, named after
     its component (for a moderate number of documents). The latter two gather a BOM in one row. XML has one
-    ``bom`` element per line or file, with all fields and all levels of components.
+    ``bom`` element per line or file, with all fields and all levels of components. Files of entries are compressed:
+    entries repeat each other's words, and plain they take several times the disk of their inputs. ``compression``
+    is a name that Spark's JSON writer knows, or 'none'.
     """
     actual, version = check_output("out." + resolve_format("", fmt), fmt, spec)
     if actual == "json" and layout == "entries":
-        entries(tables, version).write.mode(mode).json(path)
+        # A compressed file is read by one task, so it holds a bounded number of entries.
+        out = entries(tables, version).write.mode(mode).option("compression", compression)
+        out.option("maxRecordsPerFile", ENTRIES_PER_FILE).json(path)
         return
     docs = documents(tables, version)
     none = F.lit(None).cast("string")
