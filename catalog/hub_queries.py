@@ -22,7 +22,7 @@ from modelbom.functions import cards
 from modelbom.functions import semistructured as ss
 from modelbom.functions.rules import RULES
 from modelbom.operators import assemble, extract, security
-from modelbom.operators.common import cap_pages, first_wins, search_models, work_folder
+from modelbom.operators.common import cap_pages, dealt, first_wins, search_models, work_folder
 from modelbom.plans import inventory
 from modelbom import schemas as sc
 from modelbom.sources import boms as bomio
@@ -476,7 +476,10 @@ def odd_documents(spark, sf_dir):
     """The documents above, one JSON file line each, in a folder."""
     fx.register_tables(spark, sf_dir, "part")
     path = work_folder(spark, "odd")
-    spark.sql(fx._over_dealt_tables(spark, _ODD_DOCS.replace("VARCHAR", "STRING"))).select("value").write.text(path)
+    # Dealt by key, so that a row that comes twice stands in one file, where it is one document.
+    dealt(spark.table("part"), "p_partkey").createOrReplaceTempView("part_by_key")
+    sql = _ODD_DOCS.replace("VARCHAR", "STRING").replace("FROM part", "FROM part_by_key")
+    spark.sql(sql).select("value").write.text(path)
     return path
 
 
