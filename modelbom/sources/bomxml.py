@@ -1,6 +1,6 @@
 """XML form of BOM documents, mapped to and from the JSON form at any depth without losing a field.
 
-Reading: a parser makes a tree of a ``bom`` element; a table of attribute, list and text names says
+Reading: the parser makes one VARIANT of a ``bom`` element; a table of attribute, list and text names says
 how its elements stand in JSON. Writing goes the other way, from the JSON text. What no table knows is
 marked with attributes of an own namespace, so that it comes back as it was: lists outside the table,
 numbers, booleans, nulls, empty objects, and names that XML does not allow. The tables and the step from one
@@ -35,7 +35,7 @@ def _xml_texts(texts: pa.Array) -> pa.Array:
 
 
 def _marked(xml: Column) -> Column:
-    """XML text whose CDATA is plain text and whose texts begin with a mark."""
+    """XML text whose CDATA is plain text and whose texts and attribute values begin with a mark."""
     noted = F.contains(xml, F.lit("<!--")) | F.contains(xml, F.lit("<?"))
     xml = F.when(noted, F.regexp_replace(xml, r"(?s)<!--.*?-->|<\?.*?\?>", "")).otherwise(xml)
     escaped = lambda t: reduce(lambda x, y: F.replace(x, F.lit(y[0]), F.lit(y[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")], t)
@@ -43,16 +43,18 @@ def _marked(xml: Column) -> Column:
         escaped(F.substring_index(p, "]]>", 1)), F.substring(p, F.length(F.substring_index(p, "]]>", 1)) + 4, F.length(p))
     )))
     text = F.when(F.contains(xml, F.lit("<![CDATA[")), F.array_join(plain, "")).otherwise(xml)
-    return F.regexp_replace(text, r">(?=\s*[^<\s])", ">" + TEXT_MARK)
+    text = F.regexp_replace(text, r">(?=\s*[^<\s])", ">" + TEXT_MARK)
+    return F.regexp_replace(text, r"""=\s*(["'])""", "=$1" + TEXT_MARK)
 
 
 def json_from_xml(xml: Column) -> Column:
     """JSON document text of the XML text of one ``bom`` element; null if it cannot be parsed."""
-    # Spark's parser judges the text; to a struct it puts a broken one in a column. Inside a lambda it runs interpreted; Spark
-    # 4.1 generates code for it that does not compile.
+    options = {"ignoreSurroundingSpaces": "false"}
+    # The parser to VARIANT throws on a broken text; the one to a struct puts it in a column. Inside a lambda it
+    # runs interpreted; Spark 4.1 generates code for it that does not compile.
     sound = lambda x: (x != "") & F.from_xml(x, "bad string", {"columnNameOfCorruptRecord": "bad"})["bad"].isNull()
-    marked = F.transform(F.array(_marked(xml)), lambda x: F.when(sound(x), x))
-    return F.arrow_udf(_json_texts, StringType())(F.get(marked, F.lit(0)))
+    parsed = F.transform(F.array(_marked(xml)), lambda x: F.when(sound(x), F.to_json(F.from_xml(x, "variant", options))))
+    return F.arrow_udf(_json_texts, StringType())(F.get(parsed, F.lit(0)))
 
 
 def read_xml_documents(spark: SparkSession, paths: list[str], only_xml: bool = False) -> DataFrame:
